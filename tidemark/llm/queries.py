@@ -89,6 +89,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
 
 
+def op4_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .loss_difference import loss_differences, quality_target
+
+    checkpoints(spark)
+    return loss_differences(table(spark, sf_dir, "documents"), quality_target(table(spark, sf_dir, "labels")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scanner, train
 
@@ -130,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat": op1_chat,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_language": op3_language,
+        "op4_loss_difference": op4_loss_difference,
         "op5_secrets": op5_secrets,
         "op6_nearest": op6_nearest,
         "op7_token_counts": op7_token_counts,
