@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ CAPACITY, OPEN_BINS = 4096, 256
 #: Partitions whose last open bins are packed again together; with OPEN_BINS it bounds a group.
 JOINED = 16
 #: Distinct words a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean"
 
 
@@ -58,8 +61,17 @@ class OpenBins:
         return {b for bins in self.by_free.values() for b in bins}
 
 
-class WordIds:
-    """The identifiers of a text by its words: no token of the file's splitter reaches across white space."""
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"([{_LATIN}]+)([.,;:!?]*)")
+
+
+class WordIds(dict):
+    """The identifiers of a text by its words: no token of the file's splitter reaches across white space.
+
+    Words are remembered. A new one that is Latin letters and marks goes to the file's model in
+    lower case, letters and marks apart, as the file's own steps would hand them over; others go
+    through these steps.
+    """
 
     def __init__(self, path: str):
         import os
@@ -67,20 +79,49 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if m := _PLAIN.fullmatch(text):
+            letters, marks = m.groups()
+            ids = self._part(letters.lower()) + (self._part(marks) if marks else b"")
+        else:
+            ids = _little(array("I", self.library.encode(text, add_special_tokens=False).ids))
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        if (ids := self.parts.get(part)) is None:
+            tokens = self.model.tokenize(part if part.isascii() else _shown(part))
+            self.parts[part] = ids = _little(array("I", [t.id for t in tokens]))
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit identifiers; bytes.split() cuts at ASCII white space alone."""
+        if len(self) + len(self.parts) > CACHE_WORDS:
+            self.clear()
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+
+
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+def _shown(text: str) -> str:
+    """Bytes as the printable characters by which byte-level vocabularies write them: the Latin-1 ones
+    stand for themselves, the others follow from 256 on."""
+    return "".join(_BYTE[b] for b in text.encode())
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit identifiers of each text; bytes.split() cuts at ASCII white space alone."""
-        words = [(t or "").encode().split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*words).difference(self.cache))
-        found = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
 
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 
 _loaded: dict[str, WordIds] = {}
 
@@ -111,16 +152,14 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 1, c
         last: list[tuple] = []
         waiting: dict[int, list[tuple]] = {}
         for batch in batches:
-            ids, texts = batch.doc_id.tolist(), batch.text.tolist()
-            for at in range(0, len(texts), 128):
-                for doc, packed in zip(ids[at : at + 128], words.encode(texts[at : at + 128]), strict=True):
-                    packed += end
-                    n = len(packed) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        part = packed[4 * start : 4 * (start + capacity)]
-                        size = len(part) // 4
-                        b, offset = bins.add(size)
-                        waiting.setdefault(b, []).append((doc, piece, start, size, zlib.crc32(part), task + b, offset))
+            for doc, text in zip(batch.doc_id.tolist(), batch.text, strict=True):
+                packed = words.encode(text) + end
+                n = len(packed) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    part = packed[4 * start : 4 * (start + capacity)]
+                    size = len(part) // 4
+                    b, offset = bins.add(size)
+                    waiting.setdefault(b, []).append((doc, piece, start, size, zlib.crc32(part), task + b, offset))
             still = bins.open()
             for b in [b for b in waiting if b not in still]:
                 out += [(*p, True) for p in waiting.pop(b)]
