@@ -50,7 +50,7 @@ def config_from_changes(rows: DataFrame) -> DataFrame:
 def demo_lines(rows: DataFrame, value: str = "value") -> DataFrame:
     """``id,name,seconds`` lines as id, name and an event time."""
     part = F.split(value, ",")
-    return rows.select(part[0].try_cast("int").alias("id"), part[1].alias("name"), F.timestamp_seconds(part[2].try_cast("long")).alias("ts"))
+    return rows.select(part[0].try_cast("int").alias("id"), F.get(part, F.lit(1)).alias("name"), F.timestamp_seconds(F.get(part, F.lit(2)).try_cast("long")).alias("ts"))
 
 
 def to_messages(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
