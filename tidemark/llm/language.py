@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 #: Subwords are runs of so many bytes of a word and the spaces beside it; they hash to BUCKETS rows.
 SIZES, BUCKETS, DIMENSIONS, EPOCHS = (2, 3, 4), 1 << 16, 16, 6
 #: Labelled rows that train and calibrate, and at most how many of each language (expected numbers).
-EXAMPLES, PER_LANGUAGE = 6000, 2000
-#: The part of the calibration rows that may score below the threshold of rejection.
-REJECTED = 0.001
+EXAMPLES, PER_LANGUAGE = 2400, 600
+#: The part of the calibration rows that may score below the threshold of rejection, and its highest
+#: value: a text whose language is more likely than not stays.
+REJECTED, SURE = 0.001, 0.5
 UNKNOWN = "und"
 PIECE = 1 << 20
 
@@ -120,7 +121,7 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mo
     """Trains on four fifths of (language, buckets, counts) and calibrates on the rest.
 
     The temperature gives the lowest log loss there; the threshold is the score below which
-    REJECTED of those rows fall.
+    REJECTED of those rows fall, SURE at most.
     """
     languages = sorted({lang for lang, _, _ in examples})
     if not languages:
@@ -152,7 +153,7 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mo
         truth = np.array([index[lang] for lang, _, _ in held])
         loss = {t: -np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
         model.temperature = float(min(loss, key=loss.get))
-        model.threshold = float(np.quantile(_softmax(logits / model.temperature).max(axis=1), REJECTED))
+        model.threshold = min(SURE, float(np.quantile(_softmax(logits / model.temperature).max(axis=1), REJECTED)))
     return model
 
 
