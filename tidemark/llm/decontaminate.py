@@ -166,7 +166,7 @@ def scan_shard(ids: list, texts: list[list[bytes]], windows: Windows) -> pd.Data
     for b, e in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
         d = int(np.searchsorted(bounds, b, "right")) - 1
         spans[d].append({"start": b - int(bounds[d]), "end": e - int(bounds[d])})
-    return pd.DataFrame({"doc_id": ids, "n_words": sizes, "n_hit": total[bounds[1:] - 1] - total[bounds[:-1]], "spans": spans, "items": [sorted(x) for x in items]})
+    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": sizes, "n_hit": total[bounds[1:] - 1] - total[bounds[:-1]], "spans": spans, "items": [sorted(x) for x in items]})
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,7 +186,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     passes = []
     for block in range(blocks):
         sent = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect()], window))
@@ -194,8 +194,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, texts, n = [], [], 0
             for batch in batches:
-                for doc, text in zip(batch.doc_id.tolist(), batch.text.tolist(), strict=True):
-                    ids.append(doc)
+                for doc, text in zip(batch.doc_id, batch.text, strict=True):
+                    ids.append(None if doc is None else int(doc))
                     texts.append(words(text))
                     if (n := n + len(texts[-1])) >= SHARD_WORDS:
                         yield scan_shard(ids, texts, sent.value)

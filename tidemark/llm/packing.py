@@ -152,8 +152,8 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 1, c
         last: list[tuple] = []
         waiting: dict[int, list[tuple]] = {}
         for batch in batches:
-            for doc, text in zip(batch.doc_id.tolist(), batch.text, strict=True):
-                packed = words.encode(text) + end
+            for doc, text in zip(batch.doc_id, batch.text, strict=True):
+                doc, packed = None if doc is None else int(doc), words.encode(text) + end
                 n = len(packed) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = packed[4 * start : 4 * (start + capacity)]
@@ -170,18 +170,19 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 1, c
         yield _frame(last)
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "sequence_id", "offset"], ascending=[False, *[True] * 5]).reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True]).reset_index(drop=True)
         bins, base = OpenBins(capacity, len(pdf) or 1), (1 << 62) + (int(pdf["group"].iloc[0]) << 32)
         placed = [bins.add(int(n)) for n in pdf.length]
         pdf["sequence_id"], pdf["offset"] = [base + b for b, _ in placed], [o for _, o in placed]
         return pdf.assign(closed=True).drop(columns="group")
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(first, PIECES).checkpoint()
+    packed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(first, PIECES).checkpoint()
     rest = packed.where(~F.col("closed")).withColumn("group", F.shiftrightunsigned(F.col("sequence_id"), 32) / JOINED)
-    rest = rest.withColumn("group", F.floor("group").cast("long")).groupBy("group").applyInPandas(again, PIECES)
-    return packed.where("closed").unionByName(rest).drop("closed")
+    rest = rest.withColumns({"group": F.floor("group").cast("long"), "doc_id": F.col("doc_id").cast("string")}).groupBy("group").applyInPandas(again, PIECES.replace("doc_id long", "doc_id string"))
+    return packed.where("closed").unionByName(rest.withColumn("doc_id", F.col("doc_id").cast("long"))).drop("closed")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "closed"])
-    return df.astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64", "sequence_id": "int64", "offset": "int64", "closed": "bool"} | ({} if df.doc_id.isna().any() else {"doc_id": "int64"}))
+    df = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "closed"], dtype=object)
+    kinds = dict.fromkeys(("start", "length", "ids_crc32", "sequence_id", "offset"), "int64")
+    return df.astype({"doc_id": "Int64", "piece": "int32", "closed": "bool"} | kinds)

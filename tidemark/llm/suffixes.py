@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     out; an empty table gives no rows.
     """
     # Rows alike in both columns share a key; each of them still counts, and loses the same bytes.
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    keyed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     cover = repeated_windows(keyed).groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("cover"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         gone.append([s, e])
                 edges = [0, *(x for g in gone for x in g), len(data)]
                 kept = b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                rows.append((doc, len(data), [{"start": s, "end": e} for s, e in gone], kept))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"]).astype({"doc_id": "Int64"})
+                rows.append((None if doc is None else int(doc), len(data), [{"start": s, "end": e} for s, e in gone], kept))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"], dtype=object).astype({"doc_id": "Int64", "n_bytes": "int64"})
 
     return keyed.join(cover, "key", "left").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
