@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The shared vocabulary: the most frequent words of each of RANGES ranges of word hashes. Other
@@ -32,17 +32,17 @@ def words(text: str | None) -> np.ndarray:
 def _flags(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, object]:
     """Documents with a column ``target``; few target identifiers are broadcast, many are joined."""
     ids = target.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # text: no null turns it into a float
     n = ids.count()
     if n > BROADCAST_TARGETS:
-        return docs.join(ids, docs.doc_id == ids.target_id, "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target")), None
+        return docs.join(ids, docs.doc_id == ids.target_id.cast("string"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target")), None
     known = np.sort(ids.toPandas().target_id.to_numpy(np.int64)) if n else np.zeros(0, np.int64)
     return docs, docs.sparkSession.sparkContext.broadcast(known)
 
 
 def _read(batches: Iterator[pd.DataFrame], known) -> Iterator[tuple[int | None, bool, np.ndarray]]:
     for b in batches:
-        ids = [None if pd.isna(i) else int(i) for i in b.doc_id]
+        ids = [None if i is None else int(i) for i in b.doc_id]
         if known is None:
             flags = b.target.tolist()
         else:
@@ -60,13 +60,11 @@ def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
 class Vocabulary:
     """Word hashes in order with their counts in both models; number 0 is the unknown word, 1 begins and 2 ends a document."""
 
-    def __init__(self, rows: list[tuple[int, int, int]], total: tuple[int, int], docs: tuple[int, int]):
-        rows = sorted((h & (1 << 64) - 1, t, b) for h, t, b in rows)
-        self.hashes = np.array([h for h, _, _ in rows], np.uint64)
-        counts = np.array([[t, b] for _, t, b in rows], np.int64).reshape(-1, 2)
-        unknown = np.array(total) - counts.sum(axis=0)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: np.ndarray, docs: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
         #: counts[m, w]: how often word w is in model m (0: target, 1: background).
-        self.counts = np.concatenate([[unknown, docs, docs], counts]).T.astype(np.float64)
+        self.counts = np.concatenate([[total - counts.sum(axis=0), docs, docs], counts[order]]).T.astype(np.float64)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -115,17 +113,24 @@ def vocabulary(docs: DataFrame, known, fragments: int) -> Vocabulary:
         counts = [np.frombuffer(b, np.uint32, -1, len(b) // 2).reshape(-1, 2) for b in pdf.body[pdf.block == 0]]
         own, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *sent]), return_inverse=True)
         rows = np.concatenate([np.zeros((0, 2), np.uint32), *counts])
-        target, ground = (np.bincount(back, weights=rows[:, m], minlength=len(own)).astype(np.int64) for m in (0, 1))
-        top = np.lexsort((own, -(target + ground)))[:WORDS_OF_RANGE]
-        out = pd.DataFrame({"kind": 0, "word": own[top].view(np.int64), "t": target[top], "b": ground[top], "td": 0, "bd": 0})
-        return pd.concat([out, pd.DataFrame([{"kind": 1, "word": 0, "t": totals[0], "b": totals[2], "td": totals[1], "bd": totals[3]}])])
-
-    summed = docs.mapInPandas(count, BLOBS).groupBy("fragment").applyInPandas(add, "kind int, word long, t long, b long, td long, bd long").checkpoint()
-    totals = summed.where("kind = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b", "td", "bd")]).first()
-    size = F.col("t") + F.col("b")
-    place = F.row_number().over(Window.partitionBy(F.shiftrightunsigned("word", 58)).orderBy(size.desc(), "word"))
-    rows = summed.where("kind = 0").withColumn("n", place).where(F.col("n") <= WORDS_OF_RANGE).select("word", "t", "b").collect()
-    return Vocabulary([(r.word, r.t, r.b) for r in rows], (totals.t, totals.b), (totals.td, totals.bd))
+        both = np.stack([np.bincount(back, weights=rows[:, m], minlength=len(own)).astype(np.int64) for m in (0, 1)], 1)
+        return most(int(pdf.fragment.iloc[0]) * RANGES // fine, own, both, totals)
+
+    def most(range_: int, own: np.ndarray, both: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+        top = np.lexsort((own, -both.sum(axis=1)))[:WORDS_OF_RANGE]
+        return pd.DataFrame({"range": [range_], "words": [own[top].tobytes()], "counts": [both[top].tobytes()], "totals": [totals.tobytes()]})
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf.words])
+        both = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in pdf.counts])
+        return most(int(pdf.range.iloc[0]), own, both, sum(np.frombuffer(b, np.int64) for b in pdf.totals))
+
+    schema = "range int, words binary, counts binary, totals binary"
+    chosen = docs.mapInPandas(count, BLOBS).groupBy("fragment").applyInPandas(add, schema).groupBy("range").applyInPandas(choose, schema).collect()  # RANGES rows at most
+    totals = sum((np.frombuffer(r.totals, np.int64) for r in chosen), np.zeros(4, np.int64))
+    hashes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.words, np.uint64) for r in chosen]])
+    counts = np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(r.counts, np.int64).reshape(-1, 2) for r in chosen]])
+    return Vocabulary(hashes, counts, totals[[0, 2]], totals[[1, 3]])
 
 
 def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
