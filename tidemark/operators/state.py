@@ -43,6 +43,19 @@ def bounces(pages: DataFrame, within_seconds: int = 10) -> DataFrame:
     return pages.withColumn("_alone", alone).where("last_page_id IS NULL AND _alone").drop("_alone")
 
 
+def visit_flags(pages: DataFrame, within_seconds: int = 10) -> DataFrame:
+    """Every page view with what it is: a visitor's first entry of the day (uv), an entry (sv), a bounce (uj).
+
+    The rows of :func:`unique_visitors` and :func:`bounces`, but all windows are over the visitor, so one shuffle serves them.
+    """
+    entry = F.col("last_page_id").isNull()
+    by = Window.partitionBy("mid").orderBy("ts", "seq")
+    nth = F.row_number().over(Window.partitionBy("mid", F.to_date("rt"), entry).orderBy("ts", "seq"))
+    next_ts, next_last = F.lead("ts").over(by), F.lead(F.struct("last_page_id")).over(by)
+    alone = next_ts.isNull() | next_last["last_page_id"].isNull() | (next_ts - F.col("ts") >= within_seconds * 1000)
+    return pages.withColumns({"uv": flag(entry & (nth == 1)), "sv": flag(entry), "uj": flag(entry & alone)})
+
+
 def home_detail_flags(pages: DataFrame) -> DataFrame:
     """Rows that are a visitor's first of the day on the home page or on a detail page, with a flag for each."""
     firsts = first_of(pages.where(F.col("page_id").isin("home", "good_detail")), ["mid", "page_id", F.to_date("rt")], ["ts", "seq"])

@@ -158,6 +158,10 @@ def all_queries() -> dict[str, str]:
         "user_register_window": query("kv", f"SELECT {ends('ts')}, count(*) register_ct FROM kv WHERE event_type = 'signup' GROUP BY ALL"),
         "keyword_window": query("pages", f"""SELECT {ends('rt', '1 hour')}, 'search' source, keyword, count(*) keyword_count FROM (
           SELECT rt, unnest(regexp_extract_all(lower(item), '([a-z0-9]+)', 1)) keyword FROM pages WHERE item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword') GROUP BY ALL"""),
+        "keyword_window_udtf": query("pages", f"""SELECT {ends('rt', '1 hour')}, 'search' source, keyword, count(*) keyword_count FROM (
+          SELECT rt, unnest(regexp_extract_all(lower(item), '([a-z0-9]+)', 1)) keyword FROM pages WHERE item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword') GROUP BY ALL"""),
+        "stream_visitor_is_new_fix": query("pages", "SELECT mid, seq, ts, is_new FROM pages"),
+        "stream_unique_visitor_days": query("uv", "SELECT mid, strftime(rt, '%Y-%m-%d') AS \"day\" FROM uv"),
         "log_split_page": query("raw", f"SELECT {_COMMON}, page_id, last_page_id, item, item_type, during_time, ts FROM raw WHERE {_OK} AND event_type <> 'signup'"),
         "log_split_start": query("raw", f"SELECT {_COMMON}, 'icon' entry, CAST(k AS BIGINT) loading_time, ts FROM raw WHERE {_OK} AND event_type = 'signup'"),
         "log_split_error": query("raw", f"SELECT mid, page_id, CAST(k AS BIGINT) error_code, 'oops' msg, ts FROM raw WHERE {_OK} AND event_type = 'error'"),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import register_splitter
 from ..operators import state
 from ..operators.joins import interval_join, window_join
 from ..operators.route import as_text, parse_logs, route_dimensions, split_logs
+from ..operators.windows import tumble
 from ..sources import adapters as A
+from ..streaming import processors, runners
 from . import facts, oracle, serving, trade, traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +78,29 @@ def _demo(how: str) -> Query:
     return run
 
 
-_PRE = [c for c in "id order_id sku_id sku_name order_price sku_num create_time source_type_id source_type_name source_id split_total_amount split_activity_amount split_coupon_amount consignee total_amount order_status user_id payment_way operate_time province_id order_detail_activity_id activity_id activity_rule_id order_detail_coupon_id coupon_id coupon_use_id type".split()]
+def _keywords_by_function(s: SparkSession, d: str) -> DataFrame:
+    """The keyword count with the table function in place of the built-in split."""
+    register_splitter(s)
+    searched = _pages(s, d).where("item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword'").select("rt", "item")
+    searched.createOrReplaceTempView("searched_items")
+    words = s.sql("SELECT rt, word AS keyword FROM searched_items, LATERAL split_words(item)")
+    return tumble(words, "rt", ["keyword"], [F.count(F.lit(1)).alias("keyword_count")], "1 hour").select("stt", "edt", F.lit("search").alias("source"), "keyword", "keyword_count")
+
+
+def _streamed(run: Callable[[DataFrame], DataFrame]) -> Query:
+    """A stream over the page views as files, run until it has taken them all. Files and state lie in the shared checkpoint folder."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        folder = f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or s.sparkContext.getCheckpointDir() or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+        A.page_log(s, d).withColumn("rt", F.col("rt").cast("timestamp")).drop("k", "event_type").write.parquet(f"{folder}/in")
+        rows = run(s.readStream.schema(s.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"))
+        runners.run_once(rows, f"{folder}/checkpoint", runners.write_batch(f"{folder}/out"))
+        return s.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(f"{folder}/out")
+
+    return query
+
+
+_PRE = "id order_id sku_id sku_name order_price sku_num create_time source_type_id source_type_name source_id split_total_amount split_activity_amount split_coupon_amount consignee total_amount order_status user_id payment_way operate_time province_id order_detail_activity_id activity_id activity_rule_id order_detail_coupon_id coupon_id coupon_use_id type".split()
 
 
 def queries() -> dict[str, Query]:
@@ -89,6 +115,9 @@ def queries() -> dict[str, Query]:
         "user_login_window": lambda s, d: traffic.login_window(_pages(s, d)),
         "user_register_window": lambda s, d: traffic.register_window(facts.user_register(A.topic_db(s, d))),
         "keyword_window": lambda s, d: traffic.keyword_window(_pages(s, d), "1 hour"),
+        "keyword_window_udtf": _keywords_by_function,
+        "stream_visitor_is_new_fix": _streamed(lambda rows: processors.repair_new_visitors(rows).select("mid", "seq", "ts", "is_new")),
+        "stream_unique_visitor_days": _streamed(lambda rows: processors.daily_firsts(rows.where("last_page_id IS NULL"), "mid").select("mid", F.date_format("rt", "yyyy-MM-dd").alias("day"))),
         "log_split_page": lambda s, d: _logs(s, d)["page"].select("common.*", "page.*", "ts"),
         "log_split_start": lambda s, d: _logs(s, d)["start"].select("common.*", "start.*", "ts"),
         "log_split_error": lambda s, d: _logs(s, d)["error"].select("common.mid", "page.page_id", "err.*", "ts"),

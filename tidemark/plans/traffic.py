@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import flag
 from ..functions.tokens import keywords
 from ..operators import state
 from ..operators.windows import tumble
@@ -16,17 +15,13 @@ CHANNEL = ["vc", "ch", "ar", "is_new"]
 def page_view_window(pages: DataFrame, size: str = "10 seconds", bounce_seconds: int = 10, legacy_sv: bool = False) -> DataFrame:
     """Visitors, sessions, views, time on page and bounces by version, channel, area and newness.
 
+    A bounce or a first visit counts where its page view does, however late it is known.
     ``legacy_sv`` counts a session for every view, as jobs did that looked for the last page in the wrong place.
     """
-    session = F.lit(1).cast("long") if legacy_sv else flag(F.col("last_page_id").isNull())
-    zero = F.lit(0).cast("long")
-    facts = lambda rows, uv, sv, pv, dur, uj: rows.select("rt", *CHANNEL, uv.alias("uv"), sv.alias("sv"), pv.alias("pv"), dur.alias("dur"), uj.alias("uj"))
-    one = F.lit(1).cast("long")
-    views = facts(pages, zero, session, one, F.col("during_time"), zero)
-    visitors = facts(state.unique_visitors(pages), one, zero, zero, zero, zero)
-    jumps = facts(state.bounces(pages, bounce_seconds), zero, zero, zero, zero, one)
-    sums = [F.sum(a).cast("long").alias(b) for a, b in (("uv", "uv_ct"), ("sv", "sv_ct"), ("pv", "pv_ct"), ("dur", "dur_sum"), ("uj", "uj_ct"))]
-    return tumble(views.unionByName(visitors).unionByName(jumps), "rt", CHANNEL, sums, size)
+    rows = state.visit_flags(pages, bounce_seconds)
+    rows = rows.withColumn("sv", F.lit(1).cast("long")) if legacy_sv else rows
+    sums = [F.sum(a).cast("long").alias(b) for a, b in (("uv", "uv_ct"), ("sv", "sv_ct"), (F.lit(1), "pv_ct"), ("during_time", "dur_sum"), ("uj", "uj_ct"))]
+    return tumble(rows, "rt", CHANNEL, sums, size)
 
 
 def home_detail_window(pages: DataFrame, size: str = "10 seconds") -> DataFrame:
