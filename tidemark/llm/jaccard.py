@@ -9,19 +9,23 @@ documents, so no n-gram is a row of its own until a document is known to be able
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 #: N-grams and documents of one block; partial overlaps are counted in so many fragments.
-BLOCK_GRAMS, BLOCK_DOCS, OVERLAP_FRAGMENTS = 1_000_000, 4000, 4
+BLOCK_GRAMS, BLOCK_DOCS, OVERLAP_FRAGMENTS = 600_000, 4000, 4
+GRAM_BITS = 48
+_EDGES = np.array([(i << GRAM_BITS) // OVERLAP_FRAGMENTS for i in range(1, OVERLAP_FRAGMENTS)], np.int64)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -51,29 +55,47 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
-def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
-    return ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+def _bits(fragments: int) -> int:
+    """Leading bits that name a fragment; at least eight, so an n-gram goes there without its first byte."""
+    return max(8, (fragments - 1).bit_length())
 
 
-def _send(docs: list[tuple], fragments: int) -> pd.DataFrame:
-    """A block's n-grams by fragment, and its table of documents, which travels with one of them."""
+def _packed(grams: np.ndarray) -> bytes:
+    return np.ascontiguousarray(grams, "<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(body: bytes, at: int, n: int, first: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(body, np.uint8, 5 * n, at).reshape(-1, 5)
+    out[:, 5] = first
+    return out.view("<i8").ravel()
+
+
+def _send(docs: list[tuple], bits: int) -> pd.DataFrame:
+    """A block's n-grams by fragment, and its table of documents, which travels with one of them.
+
+    From here on an n-gram is the first 48 bits of its hash. A set's size is that of the 64-bit
+    hashes; shorter ones may only let an n-gram pass as shared that is not, or count two of one pair
+    as one, once in some 10^9 pairs of usual documents.
+    """
     sizes = np.array([len(g) for _, g in docs], np.uint32)
-    grams = np.concatenate([g for _, g in docs]) if docs else np.zeros(0, np.uint64)
+    whole = np.concatenate([g for _, g in docs]) if docs else np.zeros(0, np.uint64)
+    grams = (whole >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
     owner = np.repeat(np.arange(len(docs)), sizes)
     names = b"".join(xxhash.xxh3_128_digest(g.tobytes()) for _, g in docs)
     ids = np.array([0 if d is None else d for d, _ in docs], np.int64)
     absent = np.array([d is None for d, _ in docs], np.uint8)
     table = np.uint32(len(docs)).tobytes() + ids.tobytes() + absent.tobytes() + sizes.tobytes() + names
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId()) >> 1
-    to = _fragment(grams, fragments).astype(np.int64)
+    to = (grams >> (GRAM_BITS - bits)).astype(np.uint32)
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(fragments + 1))
-    rows = [(block % fragments, block, 1, table)]
-    for f in range(fragments):
+    cuts = np.searchsorted(to[order], np.arange((1 << bits) + 1))
+    rows = [(block % (1 << bits), block, 1, table)]
+    for f in range(1 << bits):
         own = order[cuts[f] : cuts[f + 1]]
         if len(own):
             counts = np.bincount(owner[own], minlength=len(docs)).astype(np.uint32)
-            rows.append((f, block, 0, np.uint32(len(docs)).tobytes() + counts.tobytes() + grams[own].tobytes()))
+            rows.append((f, block, 0, np.uint32(len(docs)).tobytes() + counts.tobytes() + _packed(grams[own])))
     return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
 
 
@@ -82,17 +104,18 @@ def _open(body: bytes) -> tuple[np.ndarray, int]:
     return np.frombuffer(body, np.uint32, n, 4), 4 + 4 * n
 
 
-def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
+def _count_fragment(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """In how many documents each n-gram of a fragment is; those of two or more go back to their blocks."""
-    out = [(r.block, 1, r.body) for r in pdf.itertuples() if r.kind == 1]
+    first = int(pdf.fragment.iloc[0]) >> (bits - 8)
+    out = [(r.block, -1, r.body) for r in pdf.itertuples() if r.kind == 1]
     sent = [(r.block, *_open(r.body), r.body) for r in pdf.itertuples() if r.kind == 0]
     if sent:
-        grams = np.concatenate([np.frombuffer(body, np.uint64, -1, at) for _, _, at, body in sent])
+        grams = np.concatenate([_unpacked(body, at, (len(body) - at) // 5, first) for _, _, at, body in sent])
         order = np.argsort(grams)
         ordered = grams[order]
         group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        df = np.empty(len(grams), np.uint32)
-        df[order] = np.bincount(group)[group]
+        df = np.empty(len(grams), np.uint16)  # it only orders n-grams: all above are alike
+        df[order] = np.minimum(np.bincount(group), 65535)[group]
         at = 0
         for block, counts, _, _ in sent:
             n = int(counts.sum())
@@ -100,101 +123,124 @@ def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
             keep = number >= 2
             if keep.any():
                 kept = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts)).astype(np.uint32)
-                out.append((block, 0, np.uint32(len(counts)).tobytes() + kept.tobytes() + own[keep].tobytes() + number[keep].tobytes()))
+                out.append((block, first, np.uint32(len(counts)).tobytes() + kept.tobytes() + _packed(own[keep]) + number[keep].tobytes()))
             at += n
-    return pd.DataFrame(out, columns=["block", "kind", "body"])
-
-
-def _gather_block(percent: int):
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = next(r.body for r in pdf.itertuples() if r.kind == 1)
-        n = int(np.frombuffer(table, np.uint32, 1)[0])
-        ids, absent = np.frombuffer(table, np.int64, n, 4), np.frombuffer(table, np.uint8, n, 4 + 8 * n)
-        sizes, at = np.frombuffer(table, np.uint32, n, 4 + 9 * n).astype(np.int64), 4 + 13 * n
-        grams, dfs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for r in pdf.itertuples():
-            if r.kind == 0:
-                counts, begin = _open(r.body)
-                m = int(counts.sum())
-                grams.append(np.frombuffer(r.body, np.uint64, m, begin))
-                dfs.append(np.frombuffer(r.body, np.uint32, m, begin + 8 * m))
-                owners.append(np.repeat(np.arange(n), counts))
-        gram, df, owner = np.concatenate(grams), np.concatenate(dfs), np.concatenate(owners)
-        shared = np.bincount(owner, minlength=n)
-        able = (100 * shared >= percent * sizes) & (sizes > 0) & (absent == 0)
-        order = np.lexsort((gram, df, owner))
-        gram, df, cuts = gram[order], df[order], np.concatenate([[0], np.cumsum(shared)])
-        rows = []
-        for i in range(n):
-            doc, size, name = (None if absent[i] else int(ids[i])), int(sizes[i]), table[at + 16 * i : at + 16 * i + 16]
-            if able[i]:
-                own = slice(cuts[i], cuts[i + 1])
-                prefix = int(size - -(-percent * size // 100) + 1 - (size - shared[i]))
-                rows.append((doc, size, name, gram[own].tobytes(), prefix, float(df[own].sum()) / size))
-            else:
-                rows.append((doc, size, name, None, 0, 0.0))
-        out = pd.DataFrame(rows, columns=["doc_id", "n", "class", "grams", "prefix", "weight"])
-        return out.astype({"doc_id": "Int64"})
-
-    return gather
-
-
-DOCS = "doc_id long, n long, class binary, grams binary, prefix int, weight double"
+    return pd.DataFrame(out, columns=["block", "first", "body"])
+
+
+def _gather_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The documents of a block. Of those that could link: the n-grams that others hold too, cut into
+    fragments, and those that are in the prefix by (number of documents, hash)."""
+    table = next(r.body for r in pdf.itertuples() if r.first < 0)
+    n = int(np.frombuffer(table, np.uint32, 1)[0])
+    ids, absent = np.frombuffer(table, np.int64, n, 4), np.frombuffer(table, np.uint8, n, 4 + 8 * n)
+    sizes, at = np.frombuffer(table, np.uint32, n, 4 + 9 * n).astype(np.int64), 4 + 13 * n
+    grams, dfs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for r in pdf.itertuples():
+        if r.first >= 0:
+            counts, begin = _open(r.body)
+            m = int(counts.sum())
+            grams.append(_unpacked(r.body, begin, m, r.first))
+            dfs.append(np.frombuffer(r.body, np.uint16, m, begin + 5 * m))
+            owners.append(np.repeat(np.arange(n), counts))
+    gram, df, owner = np.concatenate(grams), np.concatenate(dfs), np.concatenate(owners)
+    shared = np.bincount(owner, minlength=n)
+    able = (100 * shared >= percent * sizes) & (sizes > 0) & (absent == 0)
+    order = np.lexsort((gram, df, owner))
+    gram, df, cuts = gram[order], df[order], np.concatenate([[0], np.cumsum(shared)]).tolist()
+    rows = []
+    for i in range(n):
+        doc, size, name = (None if absent[i] else int(ids[i])), int(sizes[i]), table[at + 16 * i : at + 16 * i + 16]
+        if able[i]:
+            own = gram[cuts[i] : cuts[i + 1]]
+            prefix = int(size - -(-percent * size // 100) + 1 - (size - len(own)))
+            ordered = np.sort(own)
+            weight = float(df[cuts[i] : cuts[i + 1]].sum(dtype=np.int64)) / size
+            rows.append((doc, size, name, len(own), weight, own[:prefix], *np.split(ordered, np.searchsorted(ordered, _EDGES))))
+        else:
+            rows.append((doc, size, name, None, None, None, *[None] * OVERLAP_FRAGMENTS))
+    out = pd.DataFrame(rows, columns=["doc_id", "n", "class", "shared", "weight", "prefix", *PARTS], dtype=object)
+    return out.astype({"doc_id": "Int64", "n": "int64", "shared": "Int64", "weight": "Float64"})
+
+
+PARTS = [f"part{f}" for f in range(OVERLAP_FRAGMENTS)]
+DOCS = "doc_id long, n long, class binary, shared long, weight double, prefix array<long>, " + ", ".join(f"{p} array<long>" for p in PARTS)
 
 
 def able_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Every document with its set size and the name of its set; for those that could link to another,
-    the n-grams that others hold too, in the global order, and how many of them are the prefix."""
-    fragments = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    the n-grams that others hold too, in fragments, and the prefix of the global order."""
+    bits = _bits(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, n = [], 0
         for batch in batches:
-            ids = [None if pd.isna(i) else int(i) for i in batch.doc_id]
-            for doc, text in zip(ids, batch.text, strict=True):
+            for doc, text in zip(batch.doc_id, batch.text, strict=True):
                 grams = shingles(text, size)
-                block.append((doc, grams))
+                block.append((None if doc is None else int(doc), grams))
                 n += len(grams)
                 if n >= BLOCK_GRAMS or len(block) >= BLOCK_DOCS:
-                    yield _send(block, fragments)
+                    yield _send(block, bits)
                     block, n = [], 0
         if block:
-            yield _send(block, fragments)
+            yield _send(block, bits)
+
+    sent = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(send, "fragment int, block long, kind int, body binary")
+    counted = sent.groupBy("fragment").applyInPandas(lambda pdf: _count_fragment(pdf, bits), "block long, first int, body binary")
+    return counted.groupBy("block").applyInPandas(lambda pdf: _gather_block(pdf, percent), DOCS)
+
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(send, "fragment int, block long, kind int, body binary")
-    counted = sent.groupBy("fragment").applyInPandas(_count_fragment, "block long, kind int, body binary")
-    return counted.groupBy("block").applyInPandas(_gather_block(percent), DOCS)
+def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a fragment of either set, once for each fragment."""
+    cut = sets.select("node", "n", F.posexplode(F.array(*PARTS)).alias("fragment", "segment"))
+    left = cut.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("x"))
+    right = cut.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("y"))
+    return pairs.join(left, "a").join(right, ["b", "fragment"])
 
 
-def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        k = b["prefix"].to_numpy()
-        gram = [np.frombuffer(g, np.int64, p) for g, p in zip(b.grams, k, strict=True)]
-        yield pd.DataFrame({"gram": np.concatenate([np.zeros(0, np.int64), *gram]), "node": np.repeat(b.node.to_numpy(np.int64), k), "n": np.repeat(b.n.to_numpy(np.int64), k), "weight": np.repeat(b.weight.to_numpy(float), k)})
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sizes and what they have in common: partial overlaps by fragment, summed per pair."""
+    partial = _meet(pairs.select("a", "b"), sets).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("part"))
+    return partial.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for node, n, grams in zip(b.node, b.n, b.grams, strict=True):
-            own = np.sort(np.frombuffer(grams, np.uint64))
-            cuts = np.searchsorted(_fragment(own, OVERLAP_FRAGMENTS), np.arange(OVERLAP_FRAGMENTS + 1))
-            rows += [(node, n, f, own[cuts[f] : cuts[f + 1]].tobytes()) for f in range(OVERLAP_FRAGMENTS)]
-        yield pd.DataFrame(rows, columns=["node", "n", "fragment", "segment"])
+def _reaches(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return (100 + percent) * both >= percent * (n_a + n_b)
 
 
-def _overlap(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(left, right, strict=True)], dtype="int64")
+_FACTS = ("node", "n", "shared", "component", "hub", "held")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity: partial overlaps by fragment, summed per pair."""
-    cut = sets.select("node", "n", "grams").mapInPandas(_segments, "node long, n long, fragment int, segment binary")
-    left = cut.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("x"))
-    right = cut.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("y"))
-    partial = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.pandas_udf(_overlap, "long")("x", "y").alias("part"))
-    total = partial.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return total.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rows of one key and different components, columns with _a and _b. For each key only the
+    rows outside of its largest component look for partners."""
+    sizes = rows.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy(*keys).agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    rows = rows.join(mixed, keys).checkpoint()
+    keyed = [F.col(k).alias(f"key_{k}") for k in keys]
+    a = rows.where("component <> main").select(*keyed, *[F.col(c).alias(f"{c}_a") for c in _FACTS])
+    b = rows.select(*keyed, "main", *[F.col(c).alias(f"{c}_b") for c in _FACTS])
+    once = (F.col("component_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    same = [a[f"key_{k}"] == b[f"key_{k}"] for k in keys]
+    return a.join(b, reduce(and_, same) & once & (F.col("component_a") != F.col("component_b"))).select(*[F.col(f"{c}_{x}") for x in "ab" for c in _FACTS])
+
+
+def _remaining(prefix: DataFrame, sets: DataFrame, known: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes of different components that share a prefix n-gram and may reach the similarity.
+
+    ``checked`` has for each class the hub that it was compared with and what they have in common. Two
+    classes of one hub share no more than the smaller of their parts of it, and what they share outside of it,
+    which is counted by a join on these n-grams alone.
+    """
+    facts = sets.select("node", "n", "shared").join(known, "node", "left").join(checked, "node", "left").select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "node").alias("hub"), F.coalesce("held", "shared").alias("held")).checkpoint()
+    least = lambda c: F.least(f"{c}_a", f"{c}_b")
+    reach = lambda most: _reaches(most, F.col("n_a"), F.col("n_b"), percent)
+    pairs = _across(prefix.select("gram", "node").join(facts, "node"), ["gram"])
+    inside = pairs.where(reach(F.when(F.col("hub_a") == F.col("hub_b"), least("held")).otherwise(least("shared"))))
+    other = _meet(checked.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets).select(F.col("a").alias("node"), F.explode(F.array_except("x", "y")).alias("gram"))
+    outside = _across(other.join(facts, "node"), ["hub", "gram"]).groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "held_a", "held_b")])
+    outside = outside.where(reach(least("held") + F.col("k")))
+    return inside.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(outside.select("node_a", "node_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -202,34 +248,33 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Two documents link when 100 * intersection >= percent * union of their sets of n-grams. Equal
     sets become one class. A document that shares too few of its n-grams with any other can't link.
-    Of the rest, each class is first compared with one other, the best known holder of its prefix
-    n-grams; what this links becomes a component. Then every pair of classes that share a prefix
-    n-gram and are of different components is compared. So a large group of near copies around one
-    text costs a comparison for each of its members and no link is lost.
+    Of the rest, each class is first compared with its hub, the holder of one of its prefix n-grams whose
+    own are the most frequent, and with the one that is best for most of them; what this links becomes a
+    component. Then every pair of classes that share a prefix n-gram, are of different components and
+    may still link by what they share with their hub is compared. So a large group of near copies
+    around one text costs a comparison or two for each of its members, and no link is lost.
 
     Nulls: a null or empty text, or one of white space, has no n-grams and links with nothing; a null
     doc_id links with nothing and has a null component. Rows that repeat a doc_id are returned each; for links
     they count as one document. Further columns are left out; an empty table gives no rows.
     """
     every = able_documents(docs, size, percent).checkpoint()
-    able = every.where("grams IS NOT NULL")
-    sets = able.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("prefix").alias("prefix"), F.first("weight").alias("weight")).checkpoint()
-    prefix = sets.select("node", "n", "grams", "prefix", "weight").mapInPandas(_prefixes, "gram long, node long, n long, weight double")
-    similar = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    able = every.where("prefix IS NOT NULL")
+    sets = able.groupBy("class").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "shared", "weight", "prefix", *PARTS)]).checkpoint()
+    prefix = sets.select("node", "n", "shared", "weight", F.explode("prefix").alias("gram"))
 
     held = prefix.groupBy("gram").agg(F.max(F.struct("weight", "node", "n")).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    tried = prefix.join(held, "gram").where((F.col("node") != F.col("best.node")) & similar(F.col("n"), F.col("best.n")))
-    tried = tried.groupBy("node", "best.node").agg(F.count(F.lit(1)).alias("k"), F.first("best.weight").alias("w")).toDF("a", "b", "k", "w")
-    tried = tried.groupBy("a").agg(F.max(F.struct("k", "w", "b"))["b"].alias("b"))
-    first = _linked(tried, sets, percent).checkpoint()
-    known = components(first)
-
-    mine = prefix.join(known, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = mine.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    mine = mine.join(mixed, "gram").checkpoint()
-    a, b = mine.toDF("gram", "a", "n_a", "c_a"), mine.toDF("gram", "b", "n_b", "c_b")
-    rest = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & similar(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-    links = first.union(_linked(rest, sets, percent)).checkpoint()
+    near = _reaches(F.least("n", "best.n"), F.col("n"), F.col("best.n"), percent)
+    tried = prefix.join(held, "gram").where((F.col("node") != F.col("best.node")) & near)
+    tried = tried.groupBy("node", "best.node").agg(F.count(F.lit(1)).alias("k"), F.first("best.weight").alias("w"), F.first("shared").alias("shared")).toDF("a", "b", "k", "w", "shared")
+    tried = tried.groupBy("a").agg(F.max(F.struct("w", "b"))["b"].alias("hub"), F.max(F.struct("k", "w", "b"))["b"].alias("often"), F.first("shared").alias("shared")).checkpoint()
+    pairs = tried.select("a", F.col("hub").alias("b")).union(tried.select("a", F.col("often").alias("b"))).distinct()
+    compared = _overlaps(pairs, sets).checkpoint()
+    linked = lambda rows: rows.where(_reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    first = linked(compared)
+    checked = tried.join(compared.select("a", F.col("b").alias("hub"), "both"), ["a", "hub"]).select(F.col("a").alias("node"), "hub", F.col("both").alias("held"))
+    rest = _remaining(prefix, sets, components(first), checked, percent)
+    links = first.union(linked(_overlaps(rest, sets))).checkpoint()
     found = components(links)
     named = sets.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
