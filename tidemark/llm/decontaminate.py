@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WINDOW = 13
 #: Words of training text in one shard, every how many positions a suffix keeps its place, and
 #: bytes of benchmark text whose windows are searched in one pass.
-SHARD_WORDS, SAMPLED, BLOCK_BYTES = 1_000_000, 8, 16_000_000
+SHARD_WORDS, SAMPLED, BLOCK_BYTES = 250_000, 8, 16_000_000
 FOUND = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

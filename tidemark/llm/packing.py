@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 CAPACITY, OPEN_BINS = 4096, 256
 #: Partitions whose last open bins are packed again together; with OPEN_BINS it bounds a group.
 JOINED = 16
-#: Distinct words a worker remembers.
-CACHE_WORDS = 1_200_000
+#: Distinct words that a task remembers.
+CACHE_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean"
 
 
@@ -94,6 +94,10 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
     def _part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
             tokens = self.model.tokenize(part if part.isascii() else _shown(part))
@@ -103,8 +107,7 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit identifiers; bytes.split() cuts at ASCII white space alone."""
         if len(self) + len(self.parts) > CACHE_WORDS:
-            self.clear()
-            self.parts.clear()
+            self.forget()
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
@@ -165,6 +168,7 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 1, c
                 out += [(*p, True) for p in waiting.pop(b)]
             yield _frame(out)
             out.clear()
+        words.forget()
         for b in waiting:
             last += [(*p, False) for p in waiting[b]]
         yield _frame(last)

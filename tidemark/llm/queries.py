@@ -12,10 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """The session's own folder for checkpoints; another only where none is named, as in tests."""
+#: Rows of whole texts that a Python worker gets at a time.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """The session's own folder for checkpoints, another only where none is named, as in tests; and
+    smaller batches of texts for Python workers, unless the session has chosen so itself."""
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) == 10000:  # Spark's default
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def tokenizer_file(name: str) -> Callable[[], str]:
@@ -60,6 +68,7 @@ FROM placed GROUP BY conv_id, part, participant
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counter
 
+    prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = docs.withColumn("n_tokens", token_counter(tokenizer_file("piece_bpe_32k.model"))("text"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -68,14 +77,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    checkpoints(spark)
+    prepare(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import remove_repeats
 
-    checkpoints(spark)
+    prepare(spark)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -83,6 +92,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out, predictor, train
 
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     guess = predictor(train(docs.where(~held_out())), spark)
     told = docs.select("doc_id", held_out().alias("held_out"), guess("text").alias("p"))
@@ -92,13 +102,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .loss_difference import loss_differences, quality_target
 
-    checkpoints(spark)
+    prepare(spark)
     return loss_differences(table(spark, sf_dir, "documents"), quality_target(table(spark, sf_dir, "labels")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scanner, train
 
+    prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", scanner(train(docs), spark)("text").alias("spans"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -110,20 +121,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
-    checkpoints(spark)
+    prepare(spark)
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join_components
 
-    checkpoints(spark)
+    prepare(spark)
     return join_components(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
+    prepare(spark)
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
