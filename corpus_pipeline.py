@@ -15,20 +15,21 @@ from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.jaccard import join_components
 from tidemark.llm.language import held_out, predictor, train
 from tidemark.llm.packing import pack
-from tidemark.llm.queries import checkpoints, table, tokenizer_file
+from tidemark.llm.queries import prepare, table, tokenizer_file
 from tidemark.llm.secrets import redact, scanner
 from tidemark.llm.secrets import train as train_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go: no letter, or no language it is sure of."""
+    prepare(spark)
     guess = predictor(train(docs.where(~held_out())), spark)
-    return docs.withColumn("guess", guess("text")).where(~F.col("guess.rejected")).drop("guess")
+    return docs.where(~guess("text")["rejected"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: that with the smallest doc_id, once."""
-    checkpoints(spark)
+    prepare(spark)
     first = join_components(docs).where("component_id = doc_id").select("doc_id").distinct()
     # Rows that share a doc_id are one document to the join; rows without one are kept as they are.
     once = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark windows go; the others stay whole."""
+    prepare(spark)
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     dirty = found.where("n_hit > 0 AND 20 * n_hit >= n_words AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
@@ -44,13 +46,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret found is replaced in its text; no document goes."""
+    prepare(spark)
     clean = docs.withColumn("text", redact(F.col("text"), scanner(train_secrets(docs), spark)("text")))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 4096 tokens."""
-    checkpoints(spark)
+    prepare(spark)
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -68,7 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each keeps lies in the checkpoint folder until the session's owner clears it."""
-    checkpoints(spark)
+    prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
