@@ -15,8 +15,8 @@ SIZES, BUCKETS, DIMENSIONS, EPOCHS = (2, 3, 4), 1 << 16, 16, 6
 #: Labelled rows that train and calibrate, and at most how many of each language (expected numbers).
 EXAMPLES, PER_LANGUAGE = 2400, 600
 #: The part of the calibration rows that may score below the threshold of rejection, and its highest
-#: value: a text whose language is more likely than not stays.
-REJECTED, SURE = 0.001, 0.5
+#: value, so that a text in two languages stays.
+REJECTED, SURE = 0.001, 0.35
 UNKNOWN = "und"
 PIECE = 1 << 20
 
