@@ -10,6 +10,14 @@ from tidemark.sources import adapters as A
 from tidemark.streaming import processors, runners
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """State is kept for each partition, and these tables are small."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.fixture(scope="module")
 def page_files(spark, sf_dir, tmp_path_factory):
     """Page views in order of time in several files, with a last row that moves the watermark past all others."""
@@ -91,3 +99,46 @@ def test_latest_of_key_holds_then_emits(spark, tmp_path):
         assert got == {"a": 3, "b": 2}
     finally:
         query.stop()
+
+
+def test_unique_and_new_users_equal_batch(spark, page_files, tmp_path):
+    rows = stream(spark, page_files).where("mid <> 'end'").select("mid", "ts", "seq")
+    got = gather(spark, processors.unique_and_new(rows, "mid"), tmp_path)
+    want = state.unique_and_new(page_files[2].select("mid", "ts", "seq", "rt"), "mid", F.to_date("rt"), ["ts", "seq"])
+    assert sorted((r.seq, r.unique_user, r.new_user) for r in got.collect()) == sorted((r.seq, r.unique_user, r.new_user) for r in want.collect())
+
+
+def test_visitors_may_be_forgotten(spark, page_files, tmp_path):
+    rows = processors.repair_new_visitors(stream(spark, page_files), forget_ms=3_600_000)
+    query = rows.writeStream.format("memory").queryName("forgetful").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(120):
+            n = spark.sql("SELECT count(*) AS n FROM forgetful WHERE mid <> 'end'").first().n
+            if n == page_files[2].count():
+                return
+            query.awaitTermination(0.5)
+        raise AssertionError(n)
+    finally:
+        query.stop()
+
+
+def test_order_lines_join_as_a_stream(spark, tmp_path):
+    from tidemark.schemas import CDC, DICTIONARY
+    from tidemark.streaming import joins
+
+    def change(table, data, ts, kind="insert"):
+        return ("shop", table, kind, data, None, str(ts))
+
+    t = 1_704_067_200
+    first = [
+        change("order_detail", {"id": "1", "order_id": "o", "source_type": "2401"}, t), change("order_detail", {"id": "2", "order_id": "o", "source_type": "2401"}, t),
+        change("order_detail", {"id": "3", "order_id": "late", "source_type": "2401"}, t), change("order_info", {"id": "o", "user_id": "u"}, t + 1), change("order_info", {"id": "late"}, t + 30),
+        change("order_detail_activity", {"id": "a", "order_detail_id": "1", "activity_id": "x"}, t + 2),
+    ]
+    after = [change(x, {"id": f"end{n}", "order_id": f"end{n}", "order_detail_id": f"end{n}", "source_type": "2401"}, t + 1000 * n) for n in (1, 2) for x in ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")]
+    for i, rows in enumerate((first, after[:4], after[4:])):
+        spark.createDataFrame(rows, CDC).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    db = spark.readStream.schema(CDC).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    dic = spark.createDataFrame([("2401", "query", "24")], DICTIONARY)
+    got = gather(spark, joins.order_pre_process(db, dic).select("id", "user_id", "activity_id", "coupon_id", "source_type_name"), tmp_path)
+    assert sorted(tuple(r) for r in got.collect() if not r.id.startswith("end")) == [("1", "u", "x", None, "query"), ("2", "u", None, None, "query")]

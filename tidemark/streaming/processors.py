@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAY = 86_400_000
@@ -21,11 +22,18 @@ def _sorted(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(order, kind="stable")
 
 
-def repair_new_visitors(pages: DataFrame) -> DataFrame:
-    """The stream form of the batch repair: a visitor's state is the day since when they are known."""
+def repair_new_visitors(pages: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """The stream form of the batch repair: a visitor's state is the day since when they are known.
+
+    A visitor who hasn't been seen for ``forget_ms`` of processing time is forgotten; by default nobody is.
+    With it the query goes on looking for them, so it has no end under an availableNow trigger.
+    """
     schema = pages.schema
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _sorted(frames, ["ts", "seq"])
         since = state.get[0] if state.exists else None
         out = []
@@ -34,9 +42,35 @@ def repair_new_visitors(pages: DataFrame) -> DataFrame:
                 since = _day(ts if new == "1" else ts - DAY)
             out.append("0" if new == "1" and _day(ts) != since else new)
         state.update((since,))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield rows.assign(is_new=out)[schema.fieldNames()]
 
-    return pages.groupBy("mid").applyInPandasWithState(step, schema, "since string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return pages.groupBy("mid").applyInPandasWithState(step, schema, "since string", "append", timeout)
+
+
+def unique_and_new(rows: DataFrame, user: str, time: str = "ts", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """Flags on every row of (user, time in ms): the user's first of the day, and the first ever.
+
+    The state is the last day, so days that come out of order count again; the batch form sorts first.
+    """
+    names = rows.schema.fieldNames()
+    schema = StructType([*rows.schema.fields, StructField("unique_user", LongType()), StructField("new_user", LongType())])
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = _sorted(frames, list(order))
+        last = state.get[0] if state.exists else None
+        unique, new = [], []
+        for ms in own[time]:
+            day = _day(ms)
+            unique.append(int(day != last))
+            new.append(int(last is None))
+            last = day
+        state.update((last,))
+        yield own[names].assign(unique_user=unique, new_user=new)
+
+    return rows.groupBy(user).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def bounces(pages: DataFrame, within_seconds: int = 10, watermark: str = "2 seconds") -> DataFrame:
