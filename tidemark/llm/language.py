@@ -18,7 +18,7 @@ EXAMPLES, PER_LANGUAGE = 2400, 600
 #: value, so that a text in two languages stays.
 REJECTED, SURE = 0.001, 0.35
 UNKNOWN = "und"
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")

@@ -18,7 +18,7 @@ CAPACITY, OPEN_BINS = 4096, 256
 #: Partitions whose last open bins are packed again together; with OPEN_BINS it bounds a group.
 JOINED = 16
 #: Distinct words that a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean"
 
 
