@@ -32,7 +32,8 @@ def test_suffixes(spark, sf_dir):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_suffix_cases(spark, seed):
+def test_suffix_cases(spark, seed, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_TILES", (200_000, 40, 7)[seed])  # copies within a block, and over several
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abcé ") for _ in range(rng.randint(150, 420))) for _ in range(6)]
     texts = ["".join(rng.choice([rng.choice(passages)[rng.randint(0, 90) :], "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 6))) for _ in range(60)]

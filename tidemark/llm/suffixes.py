@@ -23,7 +23,8 @@ LENGTH, ANCHOR = 200, 64
 BLOCK_TILES, RUN_TILES, SEGMENT = 200_000, 100_000, 1 << 22
 _PLACE = 23  # bits of a place within a segment; the rest of the key is hash
 
-_TILE = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("key", "<i8"), ("start", "<u4"), ("before", "<u2"), ("windows", "<u2")])
+#: times: 1 or 2 (or more) tiles like it in its block; 0 for a known repeat, which is only passed on.
+_TILE = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("key", "<i8"), ("start", "<u4"), ("before", "u1"), ("windows", "u1"), ("times", "u1")])
 _BYTES = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
@@ -69,8 +70,20 @@ def tiles(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _TILE)
 
 
-def _shares(own: np.ndarray, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
-    to = ((_mix(np.ascontiguousarray(own["anchor"]).view(np.uint64)) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+def _fold(own: np.ndarray) -> np.ndarray:
+    """The tiles of a block, where of those alike in anchor and text the first stands for all: the
+    others are known repeats. So an anchor's fragment gets one tile of each text from a block, however
+    many copies the block has. Tiles of rows that repeat each other (one key) stay once."""
+    own = own[np.lexsort((own["start"], own["key"], own["text"], own["anchor"]))]
+    new = np.concatenate([[True], (own["anchor"][1:] != own["anchor"][:-1]) | (own["text"][1:] != own["text"][:-1])])
+    same = ~new & np.concatenate([[False], (own["key"][1:] == own["key"][:-1]) & (own["start"][1:] == own["start"][:-1])])
+    group = np.cumsum(new) - 1
+    own["times"] = np.where(new, np.minimum(np.bincount(group), 2)[group], 0)
+    return own[~same]
+
+
+def _shares(by: np.ndarray, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
+    to = ((_mix(by.astype(np.uint64)) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(fragments + 1))
     for f in range(fragments):
@@ -85,14 +98,17 @@ _ROWS = "kind int, key long, start long, windows int, before int, anchor long, s
 def _compare_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     """For the tiles of a fragment: repeated texts, and one tile of each text of anchors with several."""
     own = np.concatenate([np.frombuffer(b, _TILE) for b in pdf.body])
+    known, own = own[own["times"] == 0], own[own["times"] > 0]
     own = own[np.lexsort((own["start"], own["key"], own["text"], own["anchor"]))]
-    anchor_new = np.concatenate([[True], own["anchor"][1:] != own["anchor"][:-1]])
-    text_new = anchor_new | np.concatenate([[True], own["text"][1:] != own["text"][:-1]])
+    begin = np.arange(len(own)) == 0
+    anchor_new, text_new, same = begin.copy(), begin.copy(), ~begin
+    anchor_new[1:] |= own["anchor"][1:] != own["anchor"][:-1]
+    text_new[1:] |= anchor_new[1:] | (own["text"][1:] != own["text"][:-1])
+    same[1:] &= ~text_new[1:] & (own["key"][1:] == own["key"][:-1]) & (own["start"][1:] == own["start"][:-1])
     text_id, anchor_id = np.cumsum(text_new) - 1, np.cumsum(anchor_new) - 1
-    times = np.bincount(text_id)[text_id]
+    times = np.bincount(text_id, own["times"])[text_id]
     kinds = np.bincount(anchor_id[text_new])[anchor_id]
-    same = np.concatenate([[False], (own["key"][1:] == own["key"][:-1]) & (own["start"][1:] == own["start"][:-1]) & ~text_new[1:]])
-    repeated, asked = own[(times > 1) & ~same], own[text_new & (kinds > 1)]
+    repeated, asked = np.concatenate([known, own[(times > 1) & ~same]]), own[text_new & (kinds > 1)]
     single = times[text_new & (kinds > 1)] == 1
     both = np.concatenate([repeated, asked])
     return pd.DataFrame({"kind": np.repeat([0, 1], [len(repeated), len(asked)]).astype(np.int32), "key": both["key"], "start": both["start"].astype(np.int64), "windows": both["windows"].astype(np.int32), "before": both["before"].astype(np.int32), "anchor": both["anchor"].astype(np.int64), "single": np.concatenate([np.zeros(len(repeated), bool), single])})
@@ -184,7 +200,7 @@ def _write_runs(rows: list[tuple], fragments: int) -> pd.DataFrame:
     """Sorted and front-coded runs of (suffix, reversed prefix, tile), one pair of runs for each fragment."""
     about = np.array([r[2] for r in rows], _ASKED)
     out = []
-    for f, own in _shares(about, fragments):
+    for f, own in _shares(about["anchor"], fragments):
         body = [np.array([len(own)], np.uint32).tobytes(), about[own].tobytes()]
         for side in (0, 1):
             strings = [rows[i][side] for i in own.tolist()]
@@ -281,8 +297,9 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
             yield block(held)
 
     def block(held: list[np.ndarray]) -> pd.DataFrame:
-        own = np.concatenate(held)
-        return pd.DataFrame([(f, own[at].tobytes()) for f, at in _shares(own, fragments)], columns=["fragment", "body"])
+        own = _fold(np.concatenate(held))
+        by = np.where(own["times"] > 0, own["anchor"], own["key"].astype(np.uint64) + own["start"])  # known repeats go anywhere
+        return pd.DataFrame([(f, own[at].tobytes()) for f, at in _shares(by, fragments)], columns=["fragment", "body"])
 
     found = keyed.select("key", "text").mapInPandas(send, "fragment int, body binary").groupBy("fragment").applyInPandas(_compare_tiles, _ROWS).checkpoint()
     asked = found.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "before", "windows", "single")).alias("asked"))
@@ -318,7 +335,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     # Rows alike in both columns share a key; each of them still counts, and loses the same bytes.
     keyed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    cover = repeated_windows(keyed).groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("cover"))
+    cover = repeated_windows(keyed).groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("cover"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
