@@ -79,7 +79,8 @@ def family(rng, base, n, changes):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_jaccard_cases(spark, seed):
+def test_jaccard_cases(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", (4000, 30, 3)[seed])  # copies within a block, and over several
     rng = random.Random(seed)
     common = words(rng, 60)
     texts = [t for n in (40, 80, 120) for t in family(rng, words(rng, n), 25, 4)]

@@ -74,18 +74,24 @@ def _unpacked(body: bytes, at: int, n: int, first: int) -> np.ndarray:
 def _send(docs: list[tuple], bits: int) -> pd.DataFrame:
     """A block's n-grams by fragment, and its table of documents, which travels with one of them.
 
-    From here on an n-gram is the first 48 bits of its hash. A set's size is that of the 64-bit
-    hashes; shorter ones may only let an n-gram pass as shared that is not, or count two of one pair
-    as one, once in some 10^9 pairs of usual documents.
+    Documents of equal sets send their n-grams once, with their number, so a block adds one entry to
+    an n-gram for each different set that holds it. From here on an n-gram is the first 48 bits of
+    its hash. A set's size is that of the 64-bit hashes; shorter ones may only let an n-gram pass as
+    shared that is not, or count two of one pair as one, once in some 10^9 pairs of usual documents.
     """
     sizes = np.array([len(g) for _, g in docs], np.uint32)
-    whole = np.concatenate([g for _, g in docs]) if docs else np.zeros(0, np.uint64)
+    names = [xxhash.xxh3_128_digest(g.tobytes()) for _, g in docs]
+    place: dict[bytes, int] = {}
+    which = np.array([place.setdefault(x, len(place)) for x in names], np.uint32)
+    first, times = np.unique(which, return_index=True, return_counts=True)[1:]
+    whole = np.concatenate([docs[i][1] for i in first])
     grams = (whole >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(docs)), sizes)
-    names = b"".join(xxhash.xxh3_128_digest(g.tobytes()) for _, g in docs)
+    owner = np.repeat(np.arange(len(first)), sizes[first])
     ids = np.array([0 if d is None else d for d, _ in docs], np.int64)
     absent = np.array([d is None for d, _ in docs], np.uint8)
-    table = np.uint32(len(docs)).tobytes() + ids.tobytes() + absent.tobytes() + sizes.tobytes() + names
+    table = np.uint32(len(docs)).tobytes() + ids.tobytes() + absent.tobytes() + sizes.tobytes() + which.tobytes() + b"".join(names)
+    many = np.flatnonzero(times > 1)
+    head = np.array([len(many), *many, *times[many]], np.uint32).tobytes()
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId()) >> 1
     to = (grams >> (GRAM_BITS - bits)).astype(np.uint32)
     order = np.argsort(to, kind="stable")
@@ -94,30 +100,41 @@ def _send(docs: list[tuple], bits: int) -> pd.DataFrame:
     for f in range(1 << bits):
         own = order[cuts[f] : cuts[f + 1]]
         if len(own):
-            counts = np.bincount(owner[own], minlength=len(docs)).astype(np.uint32)
-            rows.append((f, block, 0, np.uint32(len(docs)).tobytes() + counts.tobytes() + _packed(grams[own])))
+            counts = np.bincount(owner[own], minlength=len(first)).astype(np.uint32)
+            rows.append((f, block, 0, head + np.uint32(len(first)).tobytes() + counts.tobytes() + _packed(grams[own])))
     return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
 
 
-def _open(body: bytes) -> tuple[np.ndarray, int]:
-    n = int(np.frombuffer(body, np.uint32, 1)[0])
-    return np.frombuffer(body, np.uint32, n, 4), 4 + 4 * n
+def _open(body: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers at a place, after their count, and where they end."""
+    n = int(np.frombuffer(body, np.uint32, 1, at)[0])
+    return np.frombuffer(body, np.uint32, n, at + 4), at + 4 + 4 * n
+
+
+def _open_sent(body: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each different set of a block the documents that hold it and its n-grams in this fragment; where these begin."""
+    m = int(np.frombuffer(body, np.uint32, 1)[0])
+    counts, at = _open(body, 4 + 8 * m)
+    times = np.ones(len(counts), np.int64)
+    times[np.frombuffer(body, np.uint32, m, 4)] = np.frombuffer(body, np.uint32, m, 4 + 4 * m)
+    return times, counts, at
 
 
 def _count_fragment(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """In how many documents each n-gram of a fragment is; those of two or more go back to their blocks."""
     first = int(pdf.fragment.iloc[0]) >> (bits - 8)
     out = [(r.block, -1, r.body) for r in pdf.itertuples() if r.kind == 1]
-    sent = [(r.block, *_open(r.body), r.body) for r in pdf.itertuples() if r.kind == 0]
+    sent = [(r.block, *_open_sent(r.body), r.body) for r in pdf.itertuples() if r.kind == 0]
     if sent:
-        grams = np.concatenate([_unpacked(body, at, (len(body) - at) // 5, first) for _, _, at, body in sent])
+        grams = np.concatenate([_unpacked(body, at, (len(body) - at) // 5, first) for *_, at, body in sent])
+        held = np.concatenate([np.repeat(times, counts) for _, times, counts, _, _ in sent])
         order = np.argsort(grams)
         ordered = grams[order]
         group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         df = np.empty(len(grams), np.uint16)  # it only orders n-grams: all above are alike
-        df[order] = np.minimum(np.bincount(group), 65535)[group]
+        df[order] = np.minimum(np.bincount(group, held[order]), 65535)[group]
         at = 0
-        for block, counts, _, _ in sent:
+        for block, _, counts, _, _ in sent:
             n = int(counts.sum())
             own, number = grams[at : at + n], df[at : at + n]
             keep = number >= 2
@@ -129,12 +146,13 @@ def _count_fragment(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
 
 
 def _gather_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The documents of a block. Of those that could link: the n-grams that others hold too, cut into
-    fragments, and those that are in the prefix by (number of documents, hash)."""
+    """The documents of a block. For one document of each set that could link: the n-grams that others
+    hold too, cut into fragments, and those that are in the prefix by (number of documents, hash)."""
     table = next(r.body for r in pdf.itertuples() if r.first < 0)
     n = int(np.frombuffer(table, np.uint32, 1)[0])
     ids, absent = np.frombuffer(table, np.int64, n, 4), np.frombuffer(table, np.uint8, n, 4 + 8 * n)
-    sizes, at = np.frombuffer(table, np.uint32, n, 4 + 9 * n).astype(np.int64), 4 + 13 * n
+    sizes, which = np.frombuffer(table, np.uint32, n, 4 + 9 * n).astype(np.int64), np.frombuffer(table, np.uint32, n, 4 + 13 * n)
+    at, different = 4 + 17 * n, int(which.max()) + 1
     grams, dfs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
     for r in pdf.itertuples():
         if r.first >= 0:
@@ -142,20 +160,22 @@ def _gather_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
             m = int(counts.sum())
             grams.append(_unpacked(r.body, begin, m, r.first))
             dfs.append(np.frombuffer(r.body, np.uint16, m, begin + 5 * m))
-            owners.append(np.repeat(np.arange(n), counts))
+            owners.append(np.repeat(np.arange(different), counts))
     gram, df, owner = np.concatenate(grams), np.concatenate(dfs), np.concatenate(owners)
-    shared = np.bincount(owner, minlength=n)
-    able = (100 * shared >= percent * sizes) & (sizes > 0) & (absent == 0)
+    shared = np.bincount(owner, minlength=different)
+    able = (100 * shared[which] >= percent * sizes) & (sizes > 0) & (absent == 0)
+    by_id = np.flatnonzero(able)[np.argsort(ids[able], kind="stable")]
+    speaks = set(by_id[np.unique(which[by_id], return_index=True)[1]].tolist())  # the smallest doc_id of each set
     order = np.lexsort((gram, df, owner))
     gram, df, cuts = gram[order], df[order], np.concatenate([[0], np.cumsum(shared)]).tolist()
     rows = []
     for i in range(n):
         doc, size, name = (None if absent[i] else int(ids[i])), int(sizes[i]), table[at + 16 * i : at + 16 * i + 16]
-        if able[i]:
-            own = gram[cuts[i] : cuts[i + 1]]
+        if i in speaks:
+            own = gram[cuts[which[i]] : cuts[which[i] + 1]]
             prefix = int(size - -(-percent * size // 100) + 1 - (size - len(own)))
             ordered = np.sort(own)
-            weight = float(df[cuts[i] : cuts[i + 1]].sum(dtype=np.int64)) / size
+            weight = float(df[cuts[which[i]] : cuts[which[i] + 1]].sum(dtype=np.int64)) / size
             rows.append((doc, size, name, len(own), weight, own[:prefix], *np.split(ordered, np.searchsorted(ordered, _EDGES))))
         else:
             rows.append((doc, size, name, None, None, None, *[None] * OVERLAP_FRAGMENTS))
@@ -168,8 +188,8 @@ DOCS = "doc_id long, n long, class binary, shared long, weight double, prefix ar
 
 
 def able_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Every document with its set size and the name of its set; for those that could link to another,
-    the n-grams that others hold too, in fragments, and the prefix of the global order."""
+    """Every document with its set size and the name of its set; for those that could link to another, one
+    of each set in a block, the n-grams that others hold too, in fragments, and the prefix of the global order."""
     bits = _bits(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
