@@ -82,13 +82,14 @@ class WordIds(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.parts: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         if m := _PLAIN.fullmatch(text):
             letters, marks = m.groups()
-            ids = self._part(letters.lower()) + (self._part(marks) if marks else b"")
+            low = letters.lower()  # a word of its own, which is remembered once for all its forms
+            ids = self._part(self, low.encode(), low) + (self._part(self.marks, marks.encode(), marks) if marks else b"")
         else:
             ids = _little(array("I", self.library.encode(text, add_special_tokens=False).ids))
         self[word] = ids
@@ -96,17 +97,17 @@ class WordIds(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.parts.clear()
+        self.marks.clear()
 
-    def _part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
+    def _part(self, known: dict[bytes, bytes], key: bytes, part: str) -> bytes:
+        if (ids := known.get(key)) is None:
             tokens = self.model.tokenize(part if part.isascii() else _shown(part))
-            self.parts[part] = ids = _little(array("I", [t.id for t in tokens]))
+            known[key] = ids = _little(array("I", [t.id for t in tokens]))
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit identifiers; bytes.split() cuts at ASCII white space alone."""
-        if len(self) + len(self.parts) > CACHE_WORDS:
+        if len(self) + len(self.marks) > CACHE_WORDS:
             self.forget()
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
