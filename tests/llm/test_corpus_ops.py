@@ -187,6 +187,22 @@ def test_nearest_cases(spark):
     assert nearest.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("groups", [0, 400])
+def test_nearest_recall_over_many_ranges(spark, groups):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    if groups:
+        x = 0.1 * x + rng.normal(size=(groups, 64))[np.arange(6000) % groups]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    unit, found = x / np.linalg.norm(x, axis=1)[:, None], 0
+    got = from_spark(nearest.nearest(table, F.col("vec_id") % 60 == 0, range_size=64))  # 94 ranges
+    for q in range(0, 6000, 60):
+        score = unit @ unit[q]
+        score[q] = -2
+        found += len(set(got.vec_id[got.query_id == q]) & set(np.argsort(-score)[:5].tolist()))
+    assert len(got) == 500 and found >= 0.9 * 500
+
+
 def test_hilbert_order_steps_by_one():
     side, n = 4, 3
     cells = np.stack(np.meshgrid(*[np.arange(side)] * n, indexing="ij"), -1).reshape(-1, n)

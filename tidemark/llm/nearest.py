@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Orders, projected dimensions and bits of each, and vectors (expected) in a range of keys. A query
-#: meets its own range and the two beside it in every order.
+#: meets its own range and at least the two beside it in every order.
 CURVES, DIMENSIONS, BITS, RANGE = 8, 8, 6, 4096
+#: The recall that the neighbouring ranges are chosen for, and the queries (expected) that measure it.
+RECALL, SAMPLE = 0.95, 200
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -67,14 +69,55 @@ def _usable(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, good) & F.exists(v, lambda x: x != 0)
 
 
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest finite scores of each row, and of what ties with the last."""
+    most = min(k, score.shape[1])
+    edge = np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most]
+    return np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+
+
+def _reach(keyed: DataFrame, cuts: list[np.ndarray], k: int) -> int:
+    """How many ranges on either side hold RECALL of the true neighbours of a sample of the queries, at least one."""
+    asking = keyed.where("asks")
+    chance = min(1.0, SAMPLE / max(1, asking.count()))
+    place = F.pmod(F.xxhash64("entry", F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
+    rows = asking.where(place < chance).select("entry", "v", "keys").limit(4 * SAMPLE).toPandas()
+    if not len(rows):
+        return 1
+    at = lambda keys: np.stack([np.searchsorted(cut, keys[:, c], "right") for c, cut in enumerate(cuts)], 1)
+    groups = [(size, part.entry.to_numpy(), np.stack(part.v.to_numpy()), at(np.stack(part["keys"].to_numpy()))) for size, part in rows.groupby(rows.v.map(len))]
+    sent = keyed.sparkSession.sparkContext.broadcast(groups)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sizes = b.v.map(len)
+            for size, names, q, own in sent.value:
+                part = b[sizes == size]
+                if not len(part):
+                    continue
+                x = np.stack(part.v.to_numpy())
+                score = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+                score[names[:, None] == part.entry.to_numpy()] = -np.inf
+                i, j = _best(score, k)
+                away = np.abs(own[i] - at(np.stack(part["keys"].to_numpy()))[j]).min(axis=1)
+                yield pd.DataFrame({"entry": names[i], "other": part.entry.to_numpy()[j], "score": score[i, j], "away": away})
+
+    found = keyed.select("entry", "v", "keys").mapInPandas(compare, "entry long, other long, score double, away int")
+    rank = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "other"))
+    away = np.sort([r.away for r in found.withColumn("n", rank).where(F.col("n") <= k).select("away").collect()])
+    return max(1, int(away[int(np.ceil(RECALL * len(away))) - 1])) if len(away) else 1
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "vec_id", vector: str = "embedding", range_size: int = RANGE, seed: int = 13) -> DataFrame:
     """The k nearest rows by cosine of each row that ``queries`` selects, among all other rows.
 
     Returns query_id, rank, vec_id and score, nearest first and ties to the smaller identifier; the
     score is the cosine of the original vectors in double precision. Every usable vector is indexed. Equal
     vectors are one entry that keeps its k + 1 smallest identifiers, so a vector of many copies neither
-    fills a range nor hides its neighbours. Where several ranges exist the search is approximate:
-    its recall falls as the table grows past CURVES * 3 * range_size vectors without structure.
+    fills a range nor hides its neighbours. Up to CURVES * 3 ranges every query meets every vector, as
+    this costs no more than the orders. Beyond it, the neighbours of some queries among all vectors tell how
+    many ranges beside its own a query must meet for a recall of RECALL; where this costs as much
+    as meeting every vector, every query does.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an
     identifier, take no part; vectors meet only those of their own length. Repeated rows are rows. Further columns
@@ -99,24 +142,36 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "
     asked = asking.select("entry").distinct().withColumn("asks", F.lit(True))
     keyed = entries.join(asked, "entry", "left").withColumn("asks", F.coalesce("asks", F.lit(False))).mapInPandas(key, "entry long, v array<double>, asks boolean, keys array<long>").checkpoint()
     ranges = max(1, -(-keyed.count() // range_size))
-    cuts = [[]] * CURVES
-    if ranges > 1:
+    cuts, reach = [], 0
+    if ranges > CURVES * 3:
         columns = keyed.select(*[F.col("keys")[c].alias(f"k{c}") for c in range(CURVES)])
         cuts = columns.approxQuantile(columns.columns, [i / ranges for i in range(1, ranges)], 0.1 / ranges)
-    sent = spark.sparkContext.broadcast([np.unique(np.array(c, np.int64)) for c in cuts])
+        cuts = [np.unique(np.array(c, np.int64)) for c in cuts]
+        reach = _reach(keyed, cuts, k)
+    whole = CURVES * (2 * reach + 1) >= ranges or not cuts
+    sent = spark.sparkContext.broadcast(cuts)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            keys = np.stack(b["keys"].to_numpy())
-            asks = b.asks.to_numpy(bool)
-            for c, cut in enumerate(sent.value):
-                own = np.searchsorted(cut, keys[:, c], "right")
-                for shift in (0, -1, 1):
-                    to = own + shift
-                    there = (to >= 0) & (to <= len(cut)) & (asks | (shift == 0))
-                    yield pd.DataFrame({"curve": np.full(there.sum(), c, np.int32), "range": to[there].astype(np.int32), "entry": b.entry.to_numpy()[there], "v": b.v.to_numpy()[there], "asks": asks[there], "held": np.full(there.sum(), shift == 0)})
+            asks, names = b.asks.to_numpy(bool), b.entry.to_numpy()
+            if whole:  # one part for each range, dealt by identifier
+                own = ((names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+                places = [(0, own, to, (own == to) | asks) for to in range(ranges)]
+            else:
+                keys = np.stack(b["keys"].to_numpy())
+                places = []
+                for c, cut in enumerate(sent.value):
+                    own = np.searchsorted(cut, keys[:, c], "right")
+                    for shift in range(-reach, reach + 1):
+                        to = own + shift
+                        places.append((c, own, to, (to >= 0) & (to <= len(cut)) & (asks | (shift == 0))))
+            for c, own, to, there in places:
+                to = np.broadcast_to(to, len(b))
+                if not there.any():
+                    continue
+                yield pd.DataFrame({"curve": np.full(there.sum(), c, np.int32), "range": to[there].astype(np.int32), "entry": names[there], "v": b.v.to_numpy()[there], "asks": asks[there], "held": (own == to)[there]})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -131,9 +186,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "
                 q = np.stack(some.v.to_numpy())
                 score = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / x_norm
                 score[some.entry.to_numpy()[:, None] == names] = -np.inf
-                most = min(k, len(names))
-                edge = np.partition(score, len(names) - most, axis=1)[:, len(names) - most]
-                i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+                i, j = _best(score, k)
                 out.append(pd.DataFrame({"entry": some.entry.to_numpy()[i], "other": names[j], "score": score[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"entry": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})
 
