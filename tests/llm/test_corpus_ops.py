@@ -104,6 +104,19 @@ def test_jaccard_edges(spark):
     assert jaccard.join_components(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("doc", [None, 7])
+def test_equal_blocks_of_a_partition(spark, doc, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(loss_difference, "BLOCK_DOCS", 4)
+    table = docs(spark, [(doc, "a b c d e f")] * 14 + [(8, "a b c d e f"), (9, "g")]).coalesce(1)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(table).collect()]
+    low = 8 if doc is None else 7
+    assert sorted(got, key=str) == sorted([(doc, 2, None if doc is None else 7)] * 14 + [(8, 2, low), (9, 1, 9)], key=str)
+    losses = loss_difference.loss_differences(table, spark.createDataFrame([(9,)], "doc_id long")).collect()
+    same = [r for r in losses if r.doc_id != 9]
+    assert len(losses) == 16 and len({(r.n_tokens, round(r.loss_target, 6), round(r.loss_background, 6)) for r in same}) == 1
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100), (200, 300), (300, 200), (400, 399)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

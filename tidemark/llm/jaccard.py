@@ -71,9 +71,10 @@ def _unpacked(body: bytes, at: int, n: int, first: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _send(docs: list[tuple], bits: int) -> pd.DataFrame:
+def _send(docs: list[tuple], bits: int, number: int) -> pd.DataFrame:
     """A block's n-grams by fragment, and its table of documents, which travels with one of them.
 
+    ``number`` counts the blocks of a task, so that blocks of equal tables have names of their own.
     Documents of equal sets send their n-grams once, with their number, so a block adds one entry to
     an n-gram for each different set that holds it. From here on an n-gram is the first 48 bits of
     its hash. A set's size is that of the 64-bit hashes; shorter ones may only let an n-gram pass as
@@ -92,7 +93,7 @@ def _send(docs: list[tuple], bits: int) -> pd.DataFrame:
     table = np.uint32(len(docs)).tobytes() + ids.tobytes() + absent.tobytes() + sizes.tobytes() + which.tobytes() + b"".join(names)
     many = np.flatnonzero(times > 1)
     head = np.array([len(many), *many, *times[many]], np.uint32).tobytes()
-    block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId()) >> 1
+    block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
     to = (grams >> (GRAM_BITS - bits)).astype(np.uint32)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange((1 << bits) + 1))
@@ -193,17 +194,17 @@ def able_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     bits = _bits(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, n = [], 0
+        block, n, number = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.doc_id, batch.text, strict=True):
                 grams = shingles(text, size)
                 block.append((None if doc is None else int(doc), grams))
                 n += len(grams)
                 if n >= BLOCK_GRAMS or len(block) >= BLOCK_DOCS:
-                    yield _send(block, bits)
-                    block, n = [], 0
+                    yield _send(block, bits, number)
+                    block, n, number = [], 0, number + 1
         if block:
-            yield _send(block, bits)
+            yield _send(block, bits, number)
 
     sent = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(send, "fragment int, block long, kind int, body binary")
     counted = sent.groupBy("fragment").applyInPandas(lambda pdf: _count_fragment(pdf, bits), "block long, first int, body binary")

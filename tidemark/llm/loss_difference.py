@@ -152,16 +152,16 @@ def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(flagged, known, fragments))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        held, n, blocks = [], 0, 0
         for doc, flag, own in _read(batches, known):
             number = shared.value.number(own)
             pairs, counts = np.unique(np.concatenate([[1], number]) << 32 | np.concatenate([number, [2]]), return_counts=True)
             held.append((doc, flag, len(own) + 1, pairs, counts))
             if (n := n + len(own)) >= BLOCK_WORDS or len(held) >= BLOCK_DOCS:
-                yield _send(held, fragments)
-                held, n = [], 0
+                yield _send(held, fragments, blocks)
+                held, n, blocks = [], 0, blocks + 1
         if held:
-            yield _send(held, fragments)
+            yield _send(held, fragments, blocks)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         sent = [(r.block, *_open(r.body)) for r in pdf.itertuples()]
@@ -203,14 +203,14 @@ def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
     return scored.groupBy("block").applyInPandas(gather, "doc_id long, target boolean, n_tokens long, loss_target double, loss_background double, difference double")
 
 
-def _send(held: list[tuple], fragments: int) -> pd.DataFrame:
-    """A block's bigrams by fragment, and its table of documents, which travels with one of them."""
+def _send(held: list[tuple], fragments: int, number: int) -> pd.DataFrame:
+    """A block's bigrams by fragment, and its table of documents, which travels with one of them; ``number`` counts the blocks of a task."""
     n = len(held)
     ids, absent = np.array([h[0] or 0 for h in held], np.int64), np.array([h[0] is None for h in held], bool)
     flag, sizes = np.array([h[1] for h in held], bool), np.array([h[2] for h in held], np.int64)
     table = np.array([n], np.int64).tobytes() + ids.tobytes() + sizes.tobytes() + absent.tobytes() + flag.tobytes()
     pairs, counts = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-    content = xxhash.xxh3_64_intdigest(pairs.tobytes(), seed=TaskContext.get().partitionId())
+    content = xxhash.xxh3_64_intdigest(pairs.tobytes(), seed=TaskContext.get().partitionId() << 32 | number)
     block = xxhash.xxh3_64_intdigest(table, seed=content) >> 1
     owner = np.repeat(np.arange(n), [len(h[3]) for h in held])
     mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
