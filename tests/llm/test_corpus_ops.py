@@ -258,3 +258,18 @@ def test_loss_differences(spark):
         assert abs(r.difference - (r.loss_target - r.loss_background)) < 1e-9
     assert loss_difference.loss_differences(docs(spark, []), target).count() == 0
     assert loss_difference.loss_differences(docs(spark, [(1, "a b")]), target.limit(0)).count() == 1
+
+
+def test_loss_differences_know_every_word(spark):
+    every = (f"v{i}" for i in range(10**6))
+    crowd = [w for w, _ in zip((w for w in every if loss_difference.words(w)[0] >> np.uint64(58) == 0), range(1200), strict=False)]  # one of 64 ranges of hashes
+    table = [(i, " ".join(crowd[:1100])) for i in range(4)] + [(i, " ".join(crowd[1100:])) for i in range(4, 8)]
+    got = {r.doc_id: r for r in loss_difference.loss_differences(docs(spark, table), spark.createDataFrame([(i,) for i in range(4, 8)], "doc_id long")).collect()}
+    for i, r in got.items():
+        n, other = (100, 1100) if i >= 4 else (1100, 100)
+        mine, theirs = (4 * n + 4 + 1202), (4 * other + 4 + 1202)  # of smoothed unigrams: all words, end marks and the vocabulary
+        bigram = 0.7 * 3 / 3
+        # the other model knows only how a document begins and, of this one's tokens, the end mark
+        want = [-(n * np.log(bigram + 0.3 * 5 / mine) + np.log(bigram + 0.3 * 5 / mine)), -(np.log(0.3 / theirs) + (n - 1) * np.log(1 / theirs) + np.log(5 / theirs))]
+        both = (r.loss_target, r.loss_background) if i >= 4 else (r.loss_background, r.loss_target)
+        assert np.allclose(both, np.array(want) / (n + 1), atol=1e-9)

@@ -11,16 +11,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The shared vocabulary: the most frequent words of each of RANGES ranges of word hashes. Other
-#: words are one unknown word. It bounds what is broadcast: 65,536 words and their two counts.
-RANGES, WORDS_OF_RANGE = 64, 1024
 #: Weight of the bigram estimate against the unigram one.
 BIGRAM = 0.7
 #: Target documents whose identifiers are broadcast; beyond it they are joined.
 BROADCAST_TARGETS = 1_000_000
 BLOCK_WORDS, BLOCK_DOCS = 1_500_000, 4000
 
-BLOBS = "fragment int, block long, body binary"
+#: What begins and ends a document, beside the hashes of its words.
+MARKS = np.array([1, 2], np.uint64)
+#: Kinds of rows: counts of a block, and its documents.
+COUNTS, DOCUMENTS = 0, 1
+#: Bytes of a bigram's key within its fragment.
+KEY_BYTES = 6
 
 
 def words(text: str | None) -> np.ndarray:
@@ -57,90 +59,130 @@ def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
 
 
-class Vocabulary:
-    """Word hashes in order with their counts in both models; number 0 is the unknown word, 1 begins and 2 ends a document."""
+def _grams(names: np.ndarray, stream: np.ndarray, sizes: np.ndarray, fragments: int) -> tuple[np.ndarray, ...]:
+    """The bigrams of a block of documents, whose words and marks are ``stream`` as places in ``names``.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: np.ndarray, docs: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        #: counts[m, w]: how often word w is in model m (0: target, 1: background).
-        self.counts = np.concatenate([[total - counts.sum(axis=0), docs, docs], counts[order]]).T.astype(np.float64)
+    Returns each distinct bigram's key, in the order of fragments, with the places of its words, and of each
+    bigram of the stream its place among them.
+    """
+    inside = np.ones(len(stream) - 1, bool)
+    inside[np.cumsum(sizes + 1)[:-1] - 1] = False  # from the end of a document to the next begin
+    distinct, back = np.unique(stream[:-1][inside] * len(names) + stream[1:][inside], return_inverse=True)
+    before, word = distinct // len(names), distinct % len(names)
+    keys = names[before] * np.uint64(0x9E3779B97F4A7C15) + names[word]
+    keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    keys ^= keys >> np.uint64(31)
+    order = np.argsort(_fragment(keys, fragments), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], before[order], word[order], place[back]
+
+
+def _two(places: np.ndarray, flags: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n places occurs in the target and in the background."""
+    return np.stack([np.bincount(places[flags], minlength=n), np.bincount(places[~flags], minlength=n)], 1)
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def _send(held: list[tuple], fragments: int, number: int) -> pd.DataFrame:
+    """A block's words and bigrams by fragment, with their counts in both models, and its documents, which travel
+    with one of them; ``number`` counts the blocks of a task."""
+    n = len(held)
+    ids, absent = np.array([h[0] or 0 for h in held], np.int64), np.array([h[0] is None for h in held], bool)
+    flag, sizes = np.array([h[1] for h in held], bool), np.array([len(h[2]) + 1 for h in held], np.int64)
+    names, stream = np.unique(np.concatenate([x for h in held for x in (MARKS[:1], h[2], MARKS[1:])]), return_inverse=True)
+    grams, _, _, place = _grams(names, stream, sizes, fragments)
+    words_, pairs = _two(stream, np.repeat(flag, sizes + 1), len(names)), _two(place, np.repeat(flag, sizes), len(grams))
+    table = np.array([n, len(names)], np.int64).tobytes() + ids.tobytes() + sizes.tobytes() + names.tobytes() + absent.tobytes() + flag.tobytes()
+    table += stream.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32).tobytes()
+    block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
+    rows = [(block % fragments, block, DOCUMENTS, table)]
+    cuts = [np.searchsorted(_fragment(x, fragments), np.arange(fragments + 1)) for x in (names, grams)]
+    for f in range(fragments):
+        (a, b), (c, d) = (x[f : f + 2] for x in cuts)
+        one, two = _narrow(words_[a:b]), _narrow(pairs[c:d])
+        parts = names[a:b], one, grams[c:d].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], two
+        # Also where nothing is sent: each fragment answers with its totals.
+        rows.append((f, block, COUNTS, np.array([b - a, one.itemsize, d - c, two.itemsize], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)))
+    return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 3, 0)
 
-    def loss(self, model: int, before: np.ndarray, word: np.ndarray, pair: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Minus the log probability of each bigram; ``own`` is what a document itself adds to the counts of its model."""
-        counts = self.counts[model]
-        emitted = counts.sum() - counts[1]  # the begin mark is never predicted
-        unigram = (counts[word] + 1) / (emitted + len(counts) - 1)
-        context = counts[before] - own
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums the counts of a fragment's words and bigrams over all blocks and returns to each block those of its own."""
+    f = int(pdf.fragment.iloc[0])
+    out = [(f, r.block, DOCUMENTS, r.body) for r in pdf.itertuples() if r.kind == DOCUMENTS]
+    blocks = [r.block for r in pdf.itertuples() if r.kind == COUNTS]
+    bodies = [r.body for r in pdf.itertuples() if r.kind == COUNTS]
+    held: tuple[tuple[list, list], ...] = ([], []), ([], [])  # keys and counts of words, and of bigrams
+    for x in bodies:
+        n, wide, m, wide_m = (int(i) for i in np.frombuffer(x, np.int64, 4))
+        held[0][0].append(np.frombuffer(x, np.uint64, n, 32))
+        held[0][1].append(np.frombuffer(x, f"u{wide}", 2 * n, at := 32 + 8 * n).reshape(-1, 2))
+        keys = np.zeros((m, 8), np.uint8)
+        keys[:, :KEY_BYTES] = np.frombuffer(x, np.uint8, KEY_BYTES * m, at := at + 2 * n * wide).reshape(-1, KEY_BYTES)
+        held[1][0].append(keys.view(np.uint64).ravel())
+        held[1][1].append(np.frombuffer(x, f"u{wide_m}", 2 * m, at + KEY_BYTES * m).reshape(-1, 2))
+    sums, totals = [], np.zeros(3, np.int64)
+    for kind, (keys, counts) in enumerate(held):
+        if not bodies:
+            break
+        own, back = np.unique(np.concatenate(keys), return_inverse=True)
+        every = np.concatenate(counts)
+        both = np.stack([np.bincount(back, weights=every[:, m], minlength=len(own)).astype(np.int64) for m in (0, 1)], 1)
+        sums.append(np.split(both[back], np.cumsum([len(k) for k in keys])[:-1]))
+        if kind == 0:  # distinct words and, for both models, what is ever predicted: all but the begin mark
+            totals = np.array([len(own), *both[own != MARKS[0]].sum(axis=0)], np.int64)
+    for block, one, two in zip(blocks, *(sums or ([], [])), strict=True):
+        one, two = _narrow(one), _narrow(two)
+        out.append((f, block, COUNTS, np.array([len(one), one.itemsize, len(two), two.itemsize, *totals], np.int64).tobytes() + one.tobytes() + two.tobytes()))
+    return pd.DataFrame(out, columns=["fragment", "block", "kind", "body"])
+
+
+def _gather(pdf: pd.DataFrame, fragments: int) -> pd.DataFrame:
+    """The losses of a block's documents, from the counts of its words and bigrams in all documents."""
+    table = next(b for b, k in zip(pdf.body, pdf.kind, strict=True) if k == DOCUMENTS)
+    n, different = (int(x) for x in np.frombuffer(table, np.int64, 2))
+    ids, sizes = np.frombuffer(table, np.int64, n, 16), np.frombuffer(table, np.int64, n, 16 + 8 * n)
+    at = 16 + 16 * n
+    names, at = np.frombuffer(table, np.uint64, different, at), at + 8 * different
+    absent, flag = np.frombuffer(table, bool, n, at), np.frombuffer(table, bool, n, at + n)
+    stream = np.frombuffer(table, np.uint16 if different <= 1 << 16 else np.uint32, -1, at + 2 * n).astype(np.int64)
+    grams, before, word, place = _grams(names, stream, sizes, fragments)
+    one, two, totals = [], [], np.zeros(3, np.int64)
+    for r in pdf[pdf.kind == COUNTS].sort_values("fragment").itertuples():
+        m, wide, k, wide_k, *more = (int(x) for x in np.frombuffer(r.body, np.int64, 7))
+        totals += more
+        one.append(np.frombuffer(r.body, f"u{wide}", 2 * m, 56).reshape(-1, 2))
+        two.append(np.frombuffer(r.body, f"u{wide_k}", 2 * k, 56 + 2 * m * wide).reshape(-1, 2))
+    unigrams, bigrams = np.concatenate(one).astype(np.float64), np.concatenate(two).astype(np.float64)
+    mine, own = np.unique(np.repeat(np.arange(n), sizes) * len(grams) + place, return_counts=True)
+    owner, gram = mine // len(grams), mine % len(grams)
+    both = []
+    for m in (0, 1):
+        taken = np.where(flag[owner] == (m == 0), own, 0)
+        unigram = (unigrams[word[gram], m] + 1) / (totals[1 + m] + totals[0])
+        context = unigrams[before[gram], m] - taken
         seen = np.where(context > 0, BIGRAM, 0.0)
-        return -np.log(seen * (pair - own) / np.maximum(context, 1) + (1 - seen) * unigram)
-
-
-def vocabulary(docs: DataFrame, known, fragments: int) -> Vocabulary:
-    """Counts all words of all documents: packed by hash range in each task, summed, the most frequent kept."""
-    fine = RANGES * max(1, -(-fragments // RANGES))  # each range of the vocabulary is whole fragments
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        n, totals = 0, np.zeros(4, np.int64)
-
-        def flush() -> pd.DataFrame:
-            both = [np.concatenate([np.zeros(0, np.uint64), *held[m]]) for m in (True, False)]
-            own, back = np.unique(np.concatenate(both), return_inverse=True)
-            counts = np.stack([np.bincount(back[: len(both[0])], minlength=len(own)), np.bincount(back[len(both[0]) :], minlength=len(own))], 1).astype(np.uint32)
-            cuts = np.searchsorted(_fragment(own, fine), np.arange(fine + 1))
-            held[True].clear(), held[False].clear()
-            return pd.DataFrame([(f, 0, own[cuts[f] : cuts[f + 1]].tobytes() + counts[cuts[f] : cuts[f + 1]].tobytes()) for f in range(fine) if cuts[f] < cuts[f + 1]], columns=["fragment", "block", "body"])
-
-        for _, flag, own in _read(batches, known):
-            held[flag].append(own)
-            totals += np.array([len(own), 1, 0, 0] if flag else [0, 0, len(own), 1])
-            if (n := n + len(own)) >= BLOCK_WORDS * 2:
-                yield flush()
-                n = 0
-        yield flush()
-        yield pd.DataFrame({"fragment": [TaskContext.get().partitionId() % fine], "block": [1], "body": [totals.tobytes()]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        totals = sum((np.frombuffer(b, np.int64) for b in pdf.body[pdf.block == 1]), np.zeros(4, np.int64))
-        sent = [np.frombuffer(b, np.uint64, len(b) // 16) for b in pdf.body[pdf.block == 0]]
-        counts = [np.frombuffer(b, np.uint32, -1, len(b) // 2).reshape(-1, 2) for b in pdf.body[pdf.block == 0]]
-        own, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *sent]), return_inverse=True)
-        rows = np.concatenate([np.zeros((0, 2), np.uint32), *counts])
-        both = np.stack([np.bincount(back, weights=rows[:, m], minlength=len(own)).astype(np.int64) for m in (0, 1)], 1)
-        return most(int(pdf.fragment.iloc[0]) * RANGES // fine, own, both, totals)
-
-    def most(range_: int, own: np.ndarray, both: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
-        top = np.lexsort((own, -both.sum(axis=1)))[:WORDS_OF_RANGE]
-        return pd.DataFrame({"range": [range_], "words": [own[top].tobytes()], "counts": [both[top].tobytes()], "totals": [totals.tobytes()]})
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf.words])
-        both = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in pdf.counts])
-        return most(int(pdf.range.iloc[0]), own, both, sum(np.frombuffer(b, np.int64) for b in pdf.totals))
-
-    schema = "range int, words binary, counts binary, totals binary"
-    chosen = docs.mapInPandas(count, BLOBS).groupBy("fragment").applyInPandas(add, schema).groupBy("range").applyInPandas(choose, schema).collect()  # RANGES rows at most
-    totals = sum((np.frombuffer(r.totals, np.int64) for r in chosen), np.zeros(4, np.int64))
-    hashes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.words, np.uint64) for r in chosen]])
-    counts = np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(r.counts, np.int64).reshape(-1, 2) for r in chosen]])
-    return Vocabulary(hashes, counts, totals[[0, 2]], totals[[1, 3]])
+        loss = -np.log(seen * (bigrams[gram, m] - taken) / np.maximum(context, 1) + (1 - seen) * unigram)
+        both.append(np.bincount(owner, weights=loss * own, minlength=n) / sizes)
+    doc = pd.array(ids, "Int64")
+    doc[absent] = pd.NA
+    return pd.DataFrame({"doc_id": doc, "target": flag, "n_tokens": sizes, "loss_target": both[0], "loss_background": both[1], "difference": both[0] - both[1]})
 
 
 def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Scores documents (doc_id, text) by target loss less background loss per token; lower is nearer to the target.
 
     ``target`` has the doc_id of the documents that train the target model; all others train the
-    background model. Both are bigram models interpolated with unigrams, over one vocabulary and with one
-    smoothing, from the counts of all documents. A document's own bigrams are taken out of the counts that
-    score it. Bigram counts and scores are made by hash fragment: a fragment gets packed arrays of
-    its bigrams from every block of documents, and returns sums of losses for each document.
+    background model. Both are bigram models interpolated with unigrams, over the vocabulary of all documents
+    and with one smoothing, from the counts of all documents. A document's own bigrams are taken out of the counts
+    that score it. Counts are made by hash fragment: a fragment gets packed arrays of the distinct words and
+    bigrams of every block of documents, and returns to each block the counts of its own. A word is its 64-bit hash, a
+    bigram 48 bits of one beside its fragment.
 
     Returns doc_id, target, n_tokens (words and the end mark), loss_target, loss_background and
     difference, all per token. Null and empty texts are the end mark alone; a null doc_id is
@@ -149,90 +191,20 @@ def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     fragments = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flagged, known = _flags(docs, target)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(flagged, known, fragments))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n, blocks = [], 0, 0
+        held, n, number = [], 0, 0
         for doc, flag, own in _read(batches, known):
-            number = shared.value.number(own)
-            pairs, counts = np.unique(np.concatenate([[1], number]) << 32 | np.concatenate([number, [2]]), return_counts=True)
-            held.append((doc, flag, len(own) + 1, pairs, counts))
+            held.append((doc, flag, own))
             if (n := n + len(own)) >= BLOCK_WORDS or len(held) >= BLOCK_DOCS:
-                yield _send(held, fragments, blocks)
-                held, n, blocks = [], 0, blocks + 1
+                yield _send(held, fragments, number)
+                held, n, number = [], 0, number + 1
         if held:
-            yield _send(held, fragments, blocks)
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = [(r.block, *_open(r.body)) for r in pdf.itertuples()]
-        pairs, counts = (np.concatenate([s[i] for s in sent]) for i in (3, 4))
-        sizes = np.concatenate([s[2] for s in sent])
-        flags = np.repeat(np.concatenate([s[1] for s in sent]), sizes)
-        distinct, back = np.unique(pairs, return_inverse=True)
-        before, word = distinct >> 32, distinct & 0xFFFFFFFF
-        model = []
-        for m, mine in ((0, flags), (1, ~flags)):
-            pair = np.bincount(back, weights=np.where(mine, counts, 0), minlength=len(distinct))
-            model.append(shared.value.loss(m, before[back], word[back], pair[back], np.where(mine, counts, 0)) * counts)
-        out, owner = [], np.repeat(np.arange(len(sizes)), sizes)
-        sums = [np.bincount(owner, weights=x, minlength=len(sizes)).astype(np.float32) for x in model]
-        at = 0
-        for block, flag, *_ in sent:
-            out.append((block, np.concatenate([s[at : at + len(flag)] for s in sums]).tobytes()))
-            at += len(flag)
-        return pd.DataFrame(out, columns=["block", "body"]).assign(kind=0)
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = next(b for b, k in zip(pdf.body, pdf.kind, strict=True) if k == 1)
-        n = int(np.frombuffer(table, np.int64, 1)[0])
-        ids, sizes = np.frombuffer(table, np.int64, n, 8), np.frombuffer(table, np.int64, n, 8 + 8 * n)
-        absent, flag = np.frombuffer(table, bool, n, 8 + 16 * n), np.frombuffer(table, bool, n, 8 + 17 * n)
-        parts = np.array(sorted(b for b, k in zip(pdf.body, pdf.kind, strict=True) if k == 0), object)
-        both = sum((np.frombuffer(b, np.float32).astype(np.float64) for b in parts), np.zeros(2 * n)).reshape(2, n) / sizes
-        doc = pd.array(ids, "Int64")
-        doc[absent] = pd.NA
-        return pd.DataFrame({"doc_id": doc, "target": flag, "n_tokens": sizes, "loss_target": both[0], "loss_background": both[1], "difference": both[0] - both[1]})
-
-    def by_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
-        tables = pdf[pdf.kind == 1][["block", "body", "kind"]]
-        rest = pdf[pdf.kind == 0]
-        return pd.concat([tables, score(rest)]) if len(rest) else tables
-
-    sent = flagged.mapInPandas(send, "fragment int, block long, kind int, body binary")
-    scored = sent.groupBy("fragment").applyInPandas(by_fragment, "block long, body binary, kind int")
-    return scored.groupBy("block").applyInPandas(gather, "doc_id long, target boolean, n_tokens long, loss_target double, loss_background double, difference double")
-
-
-def _send(held: list[tuple], fragments: int, number: int) -> pd.DataFrame:
-    """A block's bigrams by fragment, and its table of documents, which travels with one of them; ``number`` counts the blocks of a task."""
-    n = len(held)
-    ids, absent = np.array([h[0] or 0 for h in held], np.int64), np.array([h[0] is None for h in held], bool)
-    flag, sizes = np.array([h[1] for h in held], bool), np.array([h[2] for h in held], np.int64)
-    table = np.array([n], np.int64).tobytes() + ids.tobytes() + sizes.tobytes() + absent.tobytes() + flag.tobytes()
-    pairs, counts = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-    content = xxhash.xxh3_64_intdigest(pairs.tobytes(), seed=TaskContext.get().partitionId() << 32 | number)
-    block = xxhash.xxh3_64_intdigest(table, seed=content) >> 1
-    owner = np.repeat(np.arange(n), [len(h[3]) for h in held])
-    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    to = _fragment(mixed ^ (mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9), fragments)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(fragments + 1))
-    rows = [(block % fragments, block, 1, table)]
-    for f in range(fragments):
-        own = order[cuts[f] : cuts[f + 1]]
-        if len(own):
-            each = np.bincount(owner[own], minlength=n).astype(np.uint32)
-            packed = (pairs[own] >> 32).astype(np.uint32), (pairs[own] & 0xFFFFFFFF).astype(np.uint32), counts[own].astype(np.uint32)
-            rows.append((f, block, 0, np.array([n], np.int64).tobytes() + flag.tobytes() + each.tobytes() + b"".join(x.tobytes() for x in packed)))
-    return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
-
+            yield _send(held, fragments, number)
 
-def _open(body: bytes) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    flag, each = np.frombuffer(body, bool, n, 8), np.frombuffer(body, np.uint32, n, 8 + n)
-    m, at = int(each.sum()), 8 + 5 * n
-    before, word, counts = (np.frombuffer(body, np.uint32, m, at + 4 * m * i) for i in range(3))
-    return flag, each, before.astype(np.int64) << 32 | word, counts.astype(np.int64)
+    rows = "fragment int, block long, kind int, body binary"
+    added = flagged.mapInPandas(send, rows).groupBy("fragment").applyInPandas(_add, rows)
+    return added.groupBy("block").applyInPandas(lambda pdf: _gather(pdf, fragments), "doc_id long, target boolean, n_tokens long, loss_target double, loss_background double, difference double")
 
 
 def quality_target(labels: DataFrame, quality: Column | None = None) -> DataFrame:
