@@ -147,6 +147,17 @@ def test_contamination_cases(spark, block):
     assert decontaminate.find_contamination(docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [10**7, 20])
+def test_contamination_of_odd_rows(spark, block):
+    table = [(None, "a b c"), (None, "x y z"), (5, "a b c"), (5, "x y z w"), (5, "a b c"), (6, None), (7, "d e f g, a B c")]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(("a b c", "d e f g", "d e f g h", "b c x", None))], "item_id long, text string")
+    found = decontaminate.find_contamination(docs(spark, table).repartition(2), bench, block_bytes=block).collect()
+    got = [(r.doc_id, r.n_words, r.n_hit, [tuple(s) for s in r.spans], list(r["items"])) for r in found]
+    hit = (3, 3, [(0, 3)], ["0"])
+    want = [(None, *hit), (None, 3, 0, [], []), (5, *hit), (5, 4, 0, [], []), (5, *hit), (6, 0, 0, [], []), (7, 7, 7, [(0, 7)], ["0", "1"])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_contamination_of_a_whole_table(spark, sf_dir):
     read = lambda t, k: [(r[k], r.text) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()]
     want = brute.contamination(read("documents", "doc_id"), read("benchmark", "item_id"))

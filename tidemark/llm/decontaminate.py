@@ -133,17 +133,24 @@ class Windows:
             self.by_size[size] = np.array(own, np.int64), [sorted(of[w]) for w in own]
 
 
-def scan_shard(ids: list, texts: list[list[bytes]], windows: Windows) -> pd.DataFrame:
+def scan_shard(ids: list, texts: list[list[bytes]], earlier: list[tuple], windows: Windows) -> pd.DataFrame:
     """One row for each document of a shard; its FM-index is built over the runs of benchmark words
-    that are long enough to hold a window, since no window has another word."""
+    that are long enough to hold a window, since no window has another word.
+
+    ``earlier`` has the spans and items that windows of other blocks gave each document; they count on.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 0 after each document
     whole = np.zeros(int(bounds[-1]) + 1, np.int64)
     get = windows.vocabulary.get
     flat = np.fromiter(map(get, chain.from_iterable(texts), repeat(0)), np.int64, int(sizes.sum()))
     whole[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat
-    items: list[set[str]] = [set() for _ in texts]
+    items: list[set[str]] = [set(own) for _, own in earlier]
     mark = np.zeros(len(whole) + 1, np.int64)
+    for d, (own, _) in enumerate(earlier):
+        for s in own:
+            mark[bounds[d] + s["start"]] += 1
+            mark[bounds[d] + s["end"]] -= 1
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (whole > 0).astype(np.int8), [0]])))
     begin, end = edges[::2], edges[1::2]
     long = end - begin >= min(windows.by_size, default=1)
@@ -172,55 +179,57 @@ def scan_shard(ids: list, texts: list[list[bytes]], windows: Windows) -> pd.Data
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Where documents (doc_id, text) hold windows of benchmark items (item_id, text).
 
-    Returns doc_id, n_words, n_hit (words inside an occurrence of a window), spans (maximal runs of
-    such words, as word numbers, end exclusive: what a removal would take) and items. The size of
-    the benchmark is read first; its windows go to the executors in blocks of about ``block_bytes``
-    of text, a pass over the documents for each, and the spans of all passes are merged by document.
+    Returns a row for each row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a window),
+    spans (maximal runs of such words, as word numbers, end exclusive: what a removal would take) and items.
+    The size of the benchmark is read first. Its windows are sent in blocks of about ``block_bytes``
+    of text, one after another: a pass adds what its block finds to the rows of the pass before,
+    which lie in the checkpoint folder, and its block is taken back before the next is sent. So the result is the
+    same for any number of blocks, and one block at a time is in memory.
 
     Null and empty texts have no words; items without words have no windows; repeated items count
-    once; a null item_id is the text ``null``; doc_id names a document, so with several blocks rows that repeat it are
-    one document. Further columns are left out; an empty benchmark leaves every n_hit at 0.
+    once; a null item_id is the text ``null``; rows with a null or repeated doc_id are each judged by their own
+    text. Further columns are left out; an empty benchmark leaves every n_hit at 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
-    passes = []
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     for block in range(blocks):
         sent = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect()], window))
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, texts, n = [], [], 0
-            for batch in batches:
-                for doc, text in zip(batch.doc_id, batch.text, strict=True):
-                    ids.append(None if doc is None else int(doc))
-                    texts.append(words(text))
-                    if (n := n + len(texts[-1])) >= SHARD_WORDS:
-                        yield scan_shard(ids, texts, sent.value)
-                        ids, texts, n = [], [], 0
-            if ids:
-                yield scan_shard(ids, texts, sent.value)
-
-        passes.append(docs.mapInPandas(scan, FOUND))
-    if blocks == 1:
-        return passes[0]
-    together = passes[0]
-    for more in passes[1:]:
-        together = together.unionByName(more)
-    merged = together.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = merged.withColumn("spans", _union_of("all"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
-
-
-def _union_of(spans: str) -> F.Column:
-    """Sorted spans with those that touch or overlap made one."""
-
-    def step(out: F.Column, s: F.Column) -> F.Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]), joined).otherwise(F.concat(out, F.array(s)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+        last = block == blocks - 1
+        rows = rows.mapInPandas(_pass(sent, last), FOUND if last else f"text string, {FOUND}")
+        if not last:
+            rows = rows.checkpoint().withColumn("doc_id", F.col("doc_id").cast("string"))
+            sent.unpersist()
+    return rows
+
+
+def _pass(sent, last: bool):
+    """A pass over documents with one block of windows; all but the last hand on the texts."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        n = 0
+
+        def shard() -> pd.DataFrame:
+            ids, raw, texts, earlier = zip(*held, strict=True)
+            found = scan_shard(list(ids), list(texts), list(earlier), sent.value)
+            if not last:
+                found.insert(0, "text", pd.Series(raw, dtype=object))
+            return found
+
+        for batch in batches:
+            spans = batch.spans if "spans" in batch else repeat(())
+            items = batch["items"] if "items" in batch else repeat(())
+            for doc, text, own, named in zip(batch.doc_id, batch.text, spans, items):  # noqa: B905  repeat() has no end
+                split = words(text)
+                held.append((None if doc is None else int(doc), text, split, (own, named)))
+                if (n := n + len(split)) >= SHARD_WORDS:
+                    yield shard()
+                    held, n = [], 0
+        if held:
+            yield shard()
+
+    return scan
