@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, OPEN_BINS = 4096, 256
-#: Partitions whose last open bins are packed again together; with OPEN_BINS it bounds a group.
+CAPACITY, OPEN_BINS = 4096, 64
+#: Tasks whose last open bins go to one second packer; with OPEN_BINS it bounds a group.
 JOINED = 16
 #: Distinct words that a task remembers.
 CACHE_WORDS = 200_000
@@ -65,12 +65,16 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"([{_LATIN}]+)([.,;:!?]*)")
 
 
+#: Texts that tell, when a file is loaded, whether its identifiers may be made word by word, and Latin words by its model alone.
+PROBES = ("Hello World", "ÀÉÎÕÜ ßtraße, ÿñ;", "the  end. of!? a\n\nline\tAND more...", "a b:c :d x,y", "don't stop ISN'T 12 3.5%", "Ω λόγος 日本語 🎉 é", "aaaaaaaaaaaa Zzzz!!! ?!?!", "naïve Curaçao. Œuvre", "word " * 20)
+
+
 class WordIds(dict):
-    """The identifiers of a text by its words: no token of the file's splitter reaches across white space.
+    """The identifiers of a text by its words, if no token of the file's splitter reaches across white space.
 
     Words are remembered. A new one that is Latin letters and marks goes to the file's model in
-    lower case, letters and marks apart, as the file's own steps would hand them over; others go
-    through these steps.
+    lower case, letters and marks apart, as the steps of some files would hand them over; others go
+    through the file's own steps. PROBES show whether a file allows both; whole texts or words go to the library where it doesn't.
     """
 
     def __init__(self, path: str):
@@ -83,15 +87,25 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.marks: dict[bytes, bytes] = {}
+        self.by_model = self.by_words = True
+        own = [self._whole(p) for p in PROBES]
+        if [self.encode(p) for p in PROBES] != own:
+            self.forget()
+            self.by_model = False
+            self.by_words = [self.encode(p) for p in PROBES] == own
+        self.forget()
+
+    def _whole(self, text: str) -> bytes:
+        return _little(array("I", self.library.encode(text, add_special_tokens=False).ids))
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if m := _PLAIN.fullmatch(text):
+        if self.by_model and (m := _PLAIN.fullmatch(text)):
             letters, marks = m.groups()
             low = letters.lower()  # a word of its own, which is remembered once for all its forms
             ids = self._part(self, low.encode(), low) + (self._part(self.marks, marks.encode(), marks) if marks else b"")
         else:
-            ids = _little(array("I", self.library.encode(text, add_special_tokens=False).ids))
+            ids = self._whole(text)
         self[word] = ids
         return ids
 
@@ -107,6 +121,8 @@ class WordIds(dict):
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit identifiers; bytes.split() cuts at ASCII white space alone."""
+        if not self.by_words:
+            return self._whole(text or "")
         if len(self) + len(self.marks) > CACHE_WORDS:
             self.forget()
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
@@ -140,9 +156,9 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 1, c
     """Documents (doc_id, text) as pieces in sequences of at most ``capacity`` tokens.
 
     A document is its identifiers and ``end_id``; only longer ones are cut, into full pieces and a
-    rest. Each task packs its pieces in the order it reads them. The bins still open at its end, at
-    most ``open_bins``, are opened again: their pieces, from JOINED tasks together, are packed from
-    the longest on by the same rule. Nothing is dropped and every other sequence stays as it was.
+    rest. Each task packs its pieces in the order it reads them. The pieces of the bins still open at its end,
+    at most ``open_bins``, go on to a second packer, which takes those of JOINED tasks in the order in which they came,
+    by the same rule and with as many open bins. Nothing is dropped and every other sequence stays as it was.
 
     The first packing is written to the checkpoint folder, as rows of numbers, since both parts
     of the result read it. Null and empty texts are one piece of the end alone; a null doc_id stays null;
@@ -175,8 +191,8 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int = 1, c
         yield _frame(last)
 
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True]).reset_index(drop=True)
-        bins, base = OpenBins(capacity, len(pdf) or 1), (1 << 62) + (int(pdf["group"].iloc[0]) << 32)
+        pdf = pdf.sort_values(["sequence_id", "offset"]).reset_index(drop=True)
+        bins, base = OpenBins(capacity, open_bins), (1 << 62) + (int(pdf["group"].iloc[0]) << 32)
         placed = [bins.add(int(n)) for n in pdf.length]
         pdf["sequence_id"], pdf["offset"] = [base + b for b, _ in placed], [o for _, o in placed]
         return pdf.assign(closed=True).drop(columns="group")
