@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import from_spark, from_sql, rows
 from tests.llm import brute
@@ -31,11 +32,25 @@ def test_chat_cases(spark):
     ann = got[1, 0, "ann"]
     assert ann.text == "<|system|>\nbe kind\n<|assistant|>\nhi < |bob|>\n<|user name=bob|>\n\n<|user name=unknown|>\nwho\n"
     assert [ann.text[s.start : s.end] for s in ann.spans] == ["hi < |bob|>"] and (ann.n_turns, ann.n_train) == (4, 1)
-    assert got[1, 1, "ann"].n_train == 2 and [got[1, 1, "ann"].text[s.start : s.end] for s in got[1, 1, "ann"].spans] == ["bye", "bye"]
+    late = got[1, 1, "ann"]
+    assert late.text == "<|system|>\nbe kind\n<|assistant|>\nbye\n<|assistant|>\nbye\n"
+    assert (late.n_turns, late.n_train) == (2, 2) and [late.text[s.start : s.end] for s in late.spans] == ["bye", "bye"]
     assert got[1, 0, "bob"].n_train == 1 and got[3, 0, None].spans == []
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
 
 
+def test_chat_pieces(spark, tmp_path):
+    """Turns without a number, of one number, and one turn many times over; also against the SQL."""
+    said = [(1, None, "ann", f"n{i % 40}") for i in range(700)] + [(1, 3, "bob", "same")] * 600 + [(1, 0, "system", "s"), (2, 0, "system", "one"), (2, 0, "system", "two"), (2, 9, "cat", "x"), (2, 900, "cat", "y"), (None, 5, None, None), (None, 700, "dog", "<|")]
+    turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = from_spark(queries.op1_chat(spark, str(tmp_path)))
+    assert got.n_turns.max() <= 256 and got[(got.conv_id == 1) & (got.participant == "ann")].n_turns.sum() == 1301
+    assert got[(got.conv_id == 2) & (got.part == 3)].text.tolist() == ["<|system|>\none\n<|system|>\ntwo\n<|assistant|>\ny\n"]
+    sql = queries.oracle_sql()["op1_chat"].replace("FROM conversations", f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert rows(got) == rows(from_sql(sql, "/root/testdata/sf0.001"))
+
+
 def test_token_counts_equal_the_library(spark, sf_dir):
     import public_tokenizers
     import sentencepiece
@@ -78,6 +93,64 @@ def test_packing(spark, sf_dir):
     assert packing.pack(docs(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def plain_packing(sizes, capacity, most):
+    """(bin, offset) of each size by the rule, bins held in a list."""
+    open_bins, out, made = [], [], 0
+    for size in sizes:
+        fits = [x for x in open_bins if x[0] >= size]
+        if fits:
+            best = min(x[0] for x in fits)
+            own = [x for x in fits if x[0] == best][-1]
+            open_bins.remove(own)
+        else:
+            if len(open_bins) == most:
+                least = min(x[0] for x in open_bins)
+                open_bins.remove([x for x in open_bins if x[0] == least][-1])
+            own, made = (capacity, made), made + 1
+        out.append((own[1], capacity - own[0]))
+        if own[0] > size:
+            open_bins.append((own[0] - size, own[1]))
+    return out, {x[1] for x in open_bins}
+
+
+def test_packing_follows_the_rule(spark):
+    """More than 2,000 sequences of one task, each where a plain version of the rule puts it."""
+    import public_tokenizers
+
+    rng = random.Random(8)
+    sizes = [min(4096, int(rng.paretovariate(0.9) * 60)) for _ in range(32_000)]
+    lengths = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n int")
+    table = lengths.coalesce(1).sortWithinPartitions("doc_id").select("doc_id", F.repeat(F.lit("the "), F.col("n") - 1).alias("text"))
+    got = from_spark(packing.pack(table, public_tokenizers.path("word_bpe_49k.json")))
+    got = got.astype({c: "int64" for c in got.columns}).set_index("doc_id").sort_index()
+    assert got.length.tolist() == sizes
+    want, still = plain_packing(sizes, 4096, packing.OPEN_BINS)
+    closed = [i for i, (b, _) in enumerate(want) if b not in still]
+    assert list(zip(got.sequence_id[closed], got.offset[closed], strict=True)) == [want[i] for i in closed]
+    rest = sorted((i for i, (b, _) in enumerate(want) if b in still), key=lambda i: want[i])
+    again, _ = plain_packing([sizes[i] for i in rest], 4096, packing.OPEN_BINS)
+    assert list(zip(got.sequence_id[rest] - (1 << 62), got.offset[rest], strict=True)) == again
+    assert len({b for b, _ in want}) > 2000 and len(rest) < 0.1 * len(sizes)
+
+
+def test_packing_with_other_files(spark):
+    """Files for which the fast ways do not hold are seen by the probes."""
+    import os
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Hello World, don't   stop.\n\nÀ l'été 12 日本"
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".json")):
+        path = f"{folder}/{name}"
+        try:
+            library = Tokenizer.from_file(path)
+        except Exception:  # other kinds of files
+            continue
+        assert packing.WordIds(path).encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), name
+
+
 def test_packing_comes_near_the_least(spark, sf_dir):
     got = from_spark(queries.op8_packing(spark, sf_dir))
     assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 4096 + 1

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers that share one output row; it bounds what a group holds.
+#: Turn numbers that share a part, and turns of a part that share a piece; it bounds what a group holds.
 PART_TURNS = 256
+#: Repeats of a turn that one array counts.
+_CHUNK = 4096
 
 
 def _heading(speaker: Column, participant: Column, context: list[str]) -> Column:
@@ -29,13 +31,16 @@ def rotate_perspectives(
     """Each conversation once for each of its participants, who speaks as the assistant there.
 
     The others become named users; speakers in ``context`` keep their own heading and are nobody's
-    perspective. Returns conversation, part, participant, n_turns, n_train, text and spans: the loss
+    perspective. Returns conversation, part, piece, participant, n_turns, n_train, text and spans: the loss
     covers text[start:end] (code points) of each span, that is the participant's own words.
 
-    A row holds the turns of one part, ``floor(order / part_turns)``, so a dialogue of any length is
-    spread over many rows and tasks. Turns are in the order of (order, speaker, text).
+    A row holds at most ``part_turns`` turns: those of one part, ``floor(order / part_turns)``, and where a
+    part has more (turns without a number, or of one number), of one piece of it by position. So a
+    dialogue of any length is spread over many rows. Turns are in the order of (order, speaker, text). The
+    context turns that open a dialogue, as far as its first piece has them, are
+    repeated at the head of all its other rows, where they are neither counted nor trained on.
 
-    Nulls: a null conversation is a conversation of its own; a null order makes part -1; a null
+    Nulls: a null conversation is a conversation of its own; a null order makes part -1, which comes first; a null
     speaker is named ``unknown``; a null text is empty. A dialogue without participants gives rows
     whose participant is null. ``<|`` inside a speaker or a text becomes ``< |``. Repeated rows are
     repeated turns; they are counted before the shuffle and repeated when rendered. Further columns
@@ -50,24 +55,27 @@ def rotate_perspectives(
         safe(text, "").alias("_text"),
     )
     people = rows.where(~F.col("_speaker").isin(list(context))).select(F.col("_c").alias("_k"), F.col("_speaker").alias("participant")).distinct()
-    counted = rows.groupBy("_c", "_part", "_order", "_speaker", "_text").agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    parts = counted.groupBy("_c", "_part").agg(
-        F.sort_array(F.collect_list(F.struct("_order", "_speaker", "_text", "_n"))).alias("_turns")
+    counted = rows.groupBy("_c", "_part", "_order", "_speaker", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_n", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / _CHUNK)), lambda i: F.least(F.lit(_CHUNK), F.col("_n") - i * _CHUNK).cast("int"))))
+    each = counted.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    nth = F.row_number().over(Window.partitionBy("_c", "_part").orderBy("_order", "_speaker", "_text"))
+    parts = (
+        each.withColumn("_piece", F.floor((nth - 1) / part_turns))
+        .groupBy("_c", "_part", "_piece")
+        .agg(F.sort_array(F.collect_list(F.struct("_order", "_speaker", "_text"))).alias("_turns"))
     )
-    seen = parts.join(people, F.col("_c").eqNullSafe(F.col("_k")), "left")
-    lines = F.flatten(
-        F.transform(
-            "_turns",
-            lambda t: F.array_repeat(
-                F.struct(
-                    _heading(t["_speaker"], F.col("participant"), list(context)).alias("head"),
-                    t["_text"].alias("body"),
-                    F.coalesce(t["_speaker"] == F.col("participant"), F.lit(False)).alias("on"),
-                ),
-                t["_n"],
-            ),
-        )
+    other = F.array_position(F.transform("_turns", lambda t: t["_speaker"].isin(list(context))), False).cast("int")
+    opening = F.slice("_turns", F.lit(1), F.when(other > 0, other - 1).otherwise(F.size("_turns")))
+    heads = parts.groupBy("_c").agg(F.min(F.struct("_part", "_piece", opening.alias("turns"))).alias("_first")).select(F.col("_c").alias("_h"), "_first")
+    seen = parts.join(heads, F.col("_c").eqNullSafe(F.col("_h")), "left").join(people, F.col("_c").eqNullSafe(F.col("_k")), "left")
+    begins = (F.col("_part") == F.col("_first._part")) & (F.col("_piece") == F.col("_first._piece"))
+    again = F.when(begins, F.slice("_turns", 1, 0)).otherwise(F.col("_first.turns"))
+    line = lambda t: F.struct(
+        _heading(t["_speaker"], F.col("participant"), list(context)).alias("head"),
+        t["_text"].alias("body"),
+        F.coalesce(t["_speaker"] == F.col("participant"), F.lit(False)).alias("on"),
     )
+    lines = F.transform(F.concat(again, F.col("_turns")), line)
     size = lambda s: F.length(s["head"]).cast("long") + F.length(s["body"]).cast("long") + 1
 
     def step(acc: Column, s: Column) -> Column:
@@ -79,8 +87,9 @@ def rotate_perspectives(
     return seen.withColumn("_lines", lines).select(
         F.col("_c").alias(conversation),
         F.col("_part").alias("part"),
+        F.col("_piece").cast("long").alias("piece"),
         "participant",
-        F.size("_lines").cast("long").alias("n_turns"),
+        F.size("_turns").cast("long").alias("n_turns"),
         F.size(F.filter("_lines", lambda s: s["on"])).cast("long").alias("n_train"),
         F.array_join(F.transform("_lines", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "").alias("text"),
         F.aggregate("_lines", zero, step, lambda acc: acc["spans"]).alias("spans"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,14 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """The session's own folder for checkpoints, another only where none is named, as in tests; and
-    smaller batches of texts for Python workers, unless the session has chosen so itself."""
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    """The session's own folder for checkpoints, and smaller batches of texts for Python workers, unless
+    the session has chosen so itself. Where no folder is named, a local session gets a new one of its
+    own; a cluster is refused, since its machines share no folder that could be guessed."""
+    context = spark.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) == 10000:  # Spark's default
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -46,22 +51,31 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH t AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS part, turn,
-         replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
-  FROM conversations),
+  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, speaker, body) - 1) // 256 AS BIGINT) AS piece
+  FROM (SELECT conv_id, CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS part, turn,
+               replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
+        FROM conversations)),
 people AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
+pieces AS (SELECT conv_id, part, piece, min({'part': part, 'piece': piece}) OVER (PARTITION BY conv_id) AS begins FROM (SELECT DISTINCT conv_id, part, piece FROM t)),
+opening AS (
+  SELECT conv_id, turn, speaker, body FROM t
+  WHERE (conv_id, part, piece) IN (SELECT (conv_id, begins.part, begins.piece) FROM pieces)
+  QUALIFY bool_and(speaker = 'system') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING)),
+said AS (
+  SELECT conv_id, part, piece, 1 AS own_part, turn, speaker, body FROM t UNION ALL
+  SELECT p.conv_id, p.part, p.piece, 0, o.turn, o.speaker, o.body FROM pieces p JOIN opening o ON p.conv_id IS NOT DISTINCT FROM o.conv_id WHERE {'part': part, 'piece': piece} <> begins),
 lines AS (
   SELECT t.*, p.participant, coalesce(speaker = participant, false) AS own,
          CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = participant THEN '<|assistant|>' || chr(10)
               ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
-  FROM t LEFT JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM said t LEFT JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, row_number() OVER w AS i, coalesce(sum(length(head) + length(body) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS b
-  FROM lines WINDOW w AS (PARTITION BY conv_id, part, participant ORDER BY turn NULLS FIRST, speaker, body))
-SELECT conv_id, part, participant, count(*) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_train,
+  FROM lines WINDOW w AS (PARTITION BY conv_id, part, piece, participant ORDER BY own_part, turn NULLS FIRST, speaker, body))
+SELECT conv_id, part, piece, participant, CAST(count(*) FILTER (WHERE own_part = 1) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_train,
        string_agg(head || body || chr(10), '' ORDER BY i) AS text,
        coalesce(string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(b + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE own), '') AS spans
-FROM placed GROUP BY conv_id, part, participant
+FROM placed GROUP BY conv_id, part, piece, participant
 """
 
 
