@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Subwords are runs of so many bytes of a word and the spaces beside it; they hash to BUCKETS rows.
 SIZES, BUCKETS, DIMENSIONS, EPOCHS = (2, 3, 4), 1 << 16, 16, 6
-#: Labelled rows that train and calibrate, and at most how many of each language (expected numbers).
-EXAMPLES, PER_LANGUAGE = 2400, 600
-#: The part of the calibration rows that may score below the threshold of rejection, and its highest
-#: value, so that a text in two languages stays.
-REJECTED, SURE = 0.001, 0.35
+#: Labelled rows that train and calibrate, at most how many of each language, and rows of one step of descent.
+EXAMPLES, PER_LANGUAGE, BATCH = 2400, 600, 16
+#: The part of the calibration texts that may be rejected.
+REJECTED = 0.001
+#: Every how many examples one more is made that is in no language, its length at most, and code points that it may be written in.
+COUNTER, MADE = 2, 8192
+SCRIPTS = [(0x61, 0x7B), (0x61, 0x7B), (0xE0, 0x100), (0x3B1, 0x3CA), (0x430, 0x450), (0x5D0, 0x5EB), (0x905, 0x93A), (0x3041, 0x3097), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)]
 UNKNOWN = "und"
 PIECE = 1 << 18
 
@@ -67,14 +69,14 @@ def _with_last(parts: Iterator[bytes]) -> list[tuple[bytes, bool]]:
 
 
 class Model:
-    """A score of each language for each bucket: embeddings and softmax weights multiplied out."""
+    """A score of each language, and of none, for each bucket: embeddings and softmax weights multiplied out."""
 
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
         self.languages, self.weights, self.bias, self.temperature, self.threshold = languages, np.ascontiguousarray(weights.T.astype(np.float32)), bias, temperature, threshold
 
     def means(self, texts: list[str | None]) -> np.ndarray:
         """The averaged scores of each text, by buffers of about PIECE bytes."""
-        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        sums, counts = np.zeros((len(texts), len(self.weights))), np.zeros(len(texts))
         held: list[tuple[int, bytes, bool]] = []
         size = 0
         for i, text in enumerate(texts):
@@ -104,12 +106,16 @@ class Model:
             full = n > 0
             own = bucket[places]
             counts[owner[full]] += n[full]
-            for k in range(len(self.languages)):
+            for k in range(len(self.weights)):
                 if full.any():
                     sums[owner[full], k] += np.add.reduceat(self.weights[k][own], cut[full], dtype=np.float64)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        return _softmax((self.means(texts) + self.bias) / self.temperature)
+        """Of each language; what is left to 1 is the probability that it is none."""
+        return _softmax((self.means(texts) + self.bias) / self.temperature)[:, : len(self.languages)]
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return self.probabilities(texts).max(axis=1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -117,75 +123,119 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
-    """Trains on four fifths of (language, buckets, counts) and calibrates on the rest.
-
-    The temperature gives the lowest log loss there; the threshold is the score below which
-    REJECTED of those rows fall, SURE at most.
+def counter_example(text: str, rng: np.random.Generator) -> str:
+    """A text in no language with the spaces of a given one: its letters exchanged by a random alphabet, as in a
+    language of other sounds, dealt anew, or replaced by random letters of one script."""
+    chars = np.array(list(text[:MADE].lower()) or [" "])
+    letters = np.array([c.isalpha() for c in chars])
+    own, back = np.unique(chars[letters], return_inverse=True)
+    kind = rng.random()
+    if kind < 0.6:
+        other = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+        to = own.copy()
+        plain = np.isin(own, other)
+        to[plain] = rng.permutation(other)[: plain.sum()]
+        chars[letters] = to[back]
+    elif kind < 0.8:
+        chars[letters] = rng.permutation(chars[letters])
+    else:
+        low, high = SCRIPTS[rng.integers(len(SCRIPTS))]
+        chars[letters] = [chr(c) for c in rng.integers(low, high, letters.sum())]
+    return "".join(chars)
+
+
+def _batch(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of some rows, and the share of each in each row."""
+    own, back = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
+    share = np.zeros((len(rows), len(own)))
+    share[np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows]), back] = np.concatenate([c / c.sum() for _, c in rows])
+    return own, share
+
+
+def fit(examples: list[tuple[str, str]], seed: int = 7) -> Model:
+    """Trains on four fifths of (language, text) and calibrates on the rest.
+
+    A last class of the softmax has made texts that are in no language, so a score is the probability of a
+    language against all others and against none. The temperature gives the lowest log loss on the
+    rows held back. The threshold is the score below which REJECTED of the real ones among them fall; they count
+    once as they are and once with another appended, so that texts in two languages stay.
     """
-    languages = sorted({lang for lang, _, _ in examples})
-    if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    languages = sorted({lang for lang, _ in examples})
     rng, index = np.random.default_rng(seed), {lang: k for k, lang in enumerate(languages)}
-    examples = [examples[i] for i in rng.permutation(len(examples)) if len(examples[i][1])]
-    held = examples[: len(examples) // 5]
-    train = examples[len(held) :] or examples
+    examples = [e for e in (examples[i] for i in rng.permutation(len(examples))) if _LETTER.search(e[1])]
+    if not examples:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    known = [(index[lang], text) for lang, text in examples]
+    held, train = known[: len(known) // 5], known[len(known) // 5 :]
+
+    def rows(part: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        made = [(len(languages), counter_example(text, rng)) for _, text in part[::COUNTER]]
+        return [(k, *features(text)) for k, text in [*part, *made]]
+
     embedding = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)) / DIMENSIONS
-    softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
-    steps, done = EPOCHS * len(train), 0
+    softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages) + 1)), np.zeros(len(languages) + 1)
+    train = [r for r in rows(train) if len(r[1])]
+    train = [train[i] for i in rng.permutation(len(train))]
+    batches = [(_batch([r[1:] for r in part]), np.array([r[0] for r in part])) for part in (train[i : i + BATCH] for i in range(0, len(train), BATCH))]
+    steps, done = EPOCHS * len(batches), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(train)):
-            lang, buckets, counts = train[i]
+        for i in rng.permutation(len(batches)):
+            (own, share), truth = batches[i]
             rate = 1.0 * (1 - done / steps) + 0.01
             done += 1
-            share = counts / counts.sum()
-            mean = share @ embedding[buckets]
-            error = _softmax((mean @ softmax + bias)[None])[0]
-            error[index[lang]] -= 1
-            back = softmax @ error
-            softmax -= rate * np.outer(mean, error)
-            bias -= 0.1 * rate * error
-            embedding[buckets] -= rate * 20 * share[:, None] * back
+            mean = share @ embedding[own]
+            error = _softmax(mean @ softmax + bias)
+            error[np.arange(len(truth)), truth] -= 1
+            back = error @ softmax.T
+            softmax -= rate * (mean.T @ error)
+            bias -= 0.1 * rate * error.sum(axis=0)
+            embedding[own] -= rate * 20 * (share.T @ back)
     weights = embedding @ softmax
     model = Model(languages, weights, bias)
-    if held:
-        logits = np.stack([(c / c.sum()) @ weights[b] + bias for _, b, c in held])
-        truth = np.array([index[lang] for lang, _, _ in held])
-        loss = {t: -np.log(_softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
+    kept = [r for r in rows(held) if len(r[1])]
+    if kept:
+        logits = np.stack([(c / c.sum()) @ weights[b] + bias for _, b, c in kept])
+        truth = np.array([k for k, _, _ in kept])
+        loss = {t: -np.log(_softmax(logits / t)[np.arange(len(kept)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
         model.temperature = float(min(loss, key=loss.get))
-        model.threshold = min(SURE, float(np.quantile(_softmax(logits / model.temperature).max(axis=1), REJECTED)))
+        real = [text for _, text in held]
+        mixed = [a + " " + b for a, b in zip(real, real[1:], strict=False)]
+        sure = np.sort(model.scores([*real, *mixed]))
+        model.threshold = float(sure[int(REJECTED * len(sure))])
     return model
 
 
-def train(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits a model on a sample of the labelled rows of (doc_id, text, lang), chosen by a hash of doc_id.
+def sample(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+    """(lang, text) of the labelled rows of (text, lang) with the lowest hashes, a number of different texts of each language.
 
-    The sample expects ``per_language`` rows of a language and ``examples`` in all; its texts are
-    read whole, and what comes to the driver is their bucket counts.
+    The number is ``per_language`` at most, and ``examples`` over the number of languages, but at least one; no
+    language is left out. Hashes and counts of all rows decide which; equal texts are one. So what comes
+    to the driver is bounded by these parameters, whatever repeats.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    each = min(per_language, max(1, examples // max(1, len(counts))) * 2)
-    chance = F.lit(0.0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(chance)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(1 << 30)
+    spark = docs.sparkSession
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit(3)).alias("place"))
+    first = labelled.groupBy("lang", "place").agg(F.lit(1).alias("one"))
+    most = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    few = first.withColumn("n", most).where(F.col("n") <= per_language).select("lang", "place", "n").toPandas()
+    each = max(1, min(per_language, examples // max(1, few.lang.nunique())))
+    cuts = few[few.n <= each].groupby("lang").place.max()
+    if not len(cuts):
+        return []
+    edges = spark.createDataFrame([(k, int(v)) for k, v in cuts.items()], "lang string, edge long")
+    rows = labelled.join(edges, "lang").where(F.col("place") <= F.col("edge")).groupBy("lang", "place").agg(F.first("text").alias("text")).collect()
+    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.place))]
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [features(t) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "lang": batch.lang, "buckets": [b.astype(np.int32) for b, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
 
-    rows = labelled.where(place < chance).select("doc_id", "lang", "text").mapInPandas(extract, "doc_id long, lang string, buckets array<int>, counts array<int>").toPandas()
-    rows = rows.sort_values(["doc_id", "lang"])
-    return fit([(r.lang, np.asarray(r.buckets, np.int64), np.asarray(r.counts, np.int64)) for r in rows.itertuples()])
+def train(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LANGUAGE) -> Model:
+    """Fits a model on a bounded :func:`sample` of the labelled rows of (text, lang); its texts are read whole."""
+    return fit(sample(docs, examples, per_language))
 
 
 def predictor(model: Model, spark) -> "callable":
     """A column function text -> struct(lang, score, rejected).
 
     A null text, or one without any letter, is ``und`` with score 0 and rejected. Others get the
-    most probable learned language and its calibrated probability, and are rejected below the
+    most probable learned language and its calibrated probability, and are rejected where it doesn't reach the
     model's threshold. Without learned languages everything is ``und``.
     """
     sent = spark.sparkContext.broadcast(model)
