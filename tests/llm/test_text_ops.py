@@ -183,6 +183,62 @@ def test_language_cases(spark, sf_dir):
     assert cases.select(language.predictor(none, spark)("text").alias("p")).where("p.lang <> 'und'").count() == 0
 
 
+def test_features_equal_a_plain_version():
+    """Subwords counted by slices, and averages by a loop."""
+    text = "Où  the Ñandú-theory, 12 ab\nx"
+    data = b" " + bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()) + b" "
+    want = {}
+    for size in language.SIZES:
+        for i in range(len(data) - size + 1):
+            part = data[i : i + size]
+            if b" " in part[1:-1] or part == b"  ":
+                continue
+            key = part[0]
+            for b in part[1:]:
+                key = (key * 0x01000193 + b) & 0xFFFFFFFF
+            bucket = (((key ^ (size * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF) >> 16
+            want[bucket] = want.get(bucket, 0) + 1
+    own, counts = language.features(text)
+    assert dict(zip(own.tolist(), counts.tolist(), strict=True)) == want
+    weights = np.random.default_rng(1).normal(size=(language.BUCKETS, 3)).astype(np.float32)
+    model = language.Model(["a", "b"], weights, np.array([0.1, 0.2, 0.3]), 1.5)
+    mean = sum(n * weights[b].astype(float) for b, n in want.items()) / sum(want.values())
+    score = np.exp((mean + model.bias) / 1.5)
+    assert np.allclose(model.means([text, None, text * 2])[0], mean) and np.allclose(model.probabilities([text])[0], (score / score.sum())[:2])
+
+
+def test_language_rejects_what_it_never_learned(spark, sf_dir):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    model = language.train(table.where("lang <> 'de'"))
+    rng = np.random.default_rng(9)
+    of = lambda lang: [r.text for r in table.where(F.col("lang") == lang).orderBy("doc_id").limit(80).collect()]
+    rejected = lambda texts: np.mean(model.scores(texts) < model.threshold)
+    known = of("en") + of("fr")
+    assert model.languages == ["en", "es", "fr"]
+    assert rejected(of("de")) > 0.9 and rejected([language.counter_example(t, rng) for t in known]) > 0.95
+    assert rejected(["Привет как дела мой друг и все такое", "日本語の文章です", "xkq zzqj qqq wvx jjq"]) == 1
+    assert rejected(known) < 0.02 and rejected([a + " " + b for a, b in zip(of("en"), of("fr"), strict=False)]) < 0.05
+
+
+def test_language_sample_is_bounded(spark):
+    many = spark.range(3000).selectExpr("21 AS doc_id", "'the same text' AS text", "'en' AS lang")
+    langs = spark.range(600).selectExpr("id AS doc_id", "concat('text of its own ', id) AS text", "concat('l', id) AS lang")
+    rows_ = language.sample(many.unionByName(langs).unionByName(langs), 1200, 5)
+    assert len(rows_) == 601 and len({lang for lang, _ in rows_}) == 601
+    few = language.sample(spark.range(500).selectExpr("id AS doc_id", "concat('t ', id) AS text", "'en' AS lang"), 1200, 40)
+    assert len(few) == 40
+    assert language.train(langs.limit(40)).languages
+
+
+def test_language_of_odd_rows(spark, tmp_path):
+    table = docs(spark, [(None, "the and of"), (7, "the and of"), (7, "the and of"), (8, None)])
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = from_spark(queries.op3_language(spark, str(tmp_path)))
+    assert len(got) == 4 and set(got.lang_pred) <= {"en", "und"}
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op3_language(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_secrets_keep_the_base(spark, sf_dir):
     got = from_spark(queries.op5_secrets(spark, sf_dir)).set_index("doc_id")
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
@@ -197,6 +253,68 @@ def test_base_patterns(text):
     assert [f"{k}:{s}:{e}" for s, e, k in secrets.base_spans(text)] == brute.base_spans(text)
 
 
+def values_of_unknown_kinds():
+    random.seed(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    r = lambda n, a=letters: "".join(random.choice(a) for _ in range(n))
+    kinds = [lambda: "ghp_" + r(36), lambda: "sk_live_" + r(24), lambda: r(64, letters + "+/"), lambda: f"postgres://svc:{r(16)}@db.example.com:5432/app", lambda: f"xoxb-{r(12, '0123456789')}-{r(24)}", lambda: r(32, "0123456789ABCDEF")]
+    return [[k() for _ in range(40)] for k in kinds]
+
+
+HARMLESS = ["mail6.example.com", "4736962573099581", "97.51.17.173", "https://www.example.com/path/to/page.html", "internationalization", "2024-01-01T00:00:00", "user_order_detail_window", "+49-171-1234567", "v1.2.3-beta.4", "1234-5678-9012-3456", "john.smith@mail.example.org"]
+
+
+def test_network_finds_kinds_that_no_pattern_knows(spark):
+    """Trained on the findings of the fixed patterns in the documents; none of these kinds is among them."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    network = secrets.train(docs_)
+    assert network.recall >= secrets.RECALL and network.precision >= 0.97
+    hit = lambda v: [s for s in secrets.scan_text(f"so the value {v} is given", network) if s[2] == "model"] != []
+    for values in values_of_unknown_kinds():
+        assert np.mean([bool(secrets.base_spans(v)) or hit(v) for v in values]) >= 0.8
+    assert [v for v in HARMLESS if hit(v)] == []
+    spans = docs_.select(F.explode(secrets.scanner(network, spark)("text")).alias("s")).groupBy("s.kind").count().collect()
+    assert {r["kind"]: r["count"] for r in spans}.get("model", 0) <= 5  # of 10,000 documents whose only secrets the patterns know
+
+
+def test_network_equals_a_plain_version():
+    """The forward pass by loops over places, and the gradients by small differences."""
+    rng = np.random.default_rng(2)
+    network, x, y = secrets.Network(), rng.integers(0, 2 * secrets.N_CLASSES, (3, 20)), np.array([1.0, 0.0, 1.0])
+    network.bias += rng.normal(0, 0.1, secrets.FILTERS).astype(np.float32)
+    for name in ("embedding", "kernel", "bias", "out", "out_bias"):
+        setattr(network, name, getattr(network, name).astype(np.float64))
+
+    def plain(row):
+        z = [np.maximum(sum(network.embedding[row[i + j]] @ network.kernel[j * secrets.EMBEDDING : (j + 1) * secrets.EMBEDDING] for j in range(secrets.WIDTH)) + network.bias, 0) for i in range(len(row) - secrets.WIDTH + 1)]
+        return 1 / (1 + np.exp(-(np.concatenate([np.max(z, axis=0), np.mean(z, axis=0)]) @ network.out + network.out_bias[0])))
+
+    assert np.allclose(network.score(x), [plain(r) for r in x])
+    loss = lambda: -np.mean(y * np.log(network.score(x)) + (1 - y) * np.log(1 - network.score(x)))
+    network.embedding[0] = 0
+    grads = network._gradients(x, y, np.ones(3))
+    for values, grad in zip((network.embedding, network.kernel, network.bias, network.out, network.out_bias), grads, strict=True):
+        for at in [tuple(rng.integers(0, d) for d in values.shape) for _ in range(8)]:
+            if values is network.embedding:
+                at = (int(x[0, int(rng.integers(20))]) or 1, at[1])
+            before, values[at] = values[at], values[at] + 1e-5
+            up = loss()
+            values[at] = before - 1e-5
+            assert abs((up - loss()) / 2e-5 - grad[at]) < 1e-4
+            values[at] = before
+
+
+def test_secrets_of_odd_rows(spark, tmp_path):
+    long = "z1" * 400  # longer than one view
+    table = docs(spark, [(1, f"a {long} b"), (1, f"a {long} b"), (None, None), (2, "")])
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = from_spark(queries.op5_secrets(spark, str(tmp_path)))
+    assert sorted(got.n_hex.tolist()) == [0, 0, 0, 0] and len(got) == 4
+    assert len(secrets.views("", long, "")) > 10
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op5_secrets(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_network_learns_and_redacts(spark):
     random.seed(5)
     hexes = lambda n: "".join(random.choice("0123456789abcdef") for _ in range(n))
