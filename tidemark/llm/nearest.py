@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Orders, projected dimensions and bits of each, and vectors (expected) in a range of keys. A query
-#: meets its own range and at least the two beside it in every order.
-CURVES, DIMENSIONS, BITS, RANGE = 8, 8, 6, 4096
-#: The recall that the neighbouring ranges are chosen for, and the queries (expected) that measure it.
-RECALL, SAMPLE = 0.95, 200
+#: Orders at most, projected dimensions and bits of each.
+CURVES, DIMENSIONS, BITS = 8, 8, 6
+#: Vectors (expected) in a range of keys: a sixteenth of the table between these bounds, more where there would be too many ranges.
+LEAST, RANGE, MOST_RANGES = 64, 4096, 1 << 14
+#: Keys read for each cut, queries (expected) whose true neighbours are measured, and the recall that the windows are chosen for.
+PER_CUT, SAMPLE, RECALL = 16, 200, 0.95
+#: Bits after a place on a curve that part vectors of one cell.
+_PART = 15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -76,16 +79,30 @@ def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((score >= edge[:, None]) & (score > -np.inf))
 
 
-def _reach(keyed: DataFrame, cuts: list[np.ndarray], k: int) -> int:
-    """How many ranges on either side hold RECALL of the true neighbours of a sample of the queries, at least one."""
+def _ranges(keys: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(cut, keys[:, c], "right") for c, cut in enumerate(cuts)], 1)
+
+
+def _cuts(keyed: DataFrame, n: int, ranges: int) -> list[np.ndarray]:
+    """Keys that cut each order into ranges of about equal numbers, from about PER_CUT * ranges rows chosen by a hash."""
+    chance = min(1.0, PER_CUT * ranges / max(1, n))
+    place = F.pmod(F.xxhash64("entry", F.lit(7)), F.lit(1 << 30)) / F.lit(1 << 30)
+    keys = np.array([r["keys"] for r in keyed.where(place < chance).select("keys").collect()], np.int64).reshape(-1, CURVES)
+    at = (np.arange(1, ranges) * len(keys)) // max(1, ranges)
+    return [np.unique(np.sort(keys[:, c])[at]) if len(keys) else np.zeros(0, np.int64) for c in range(CURVES)]
+
+
+def _plan(keyed: DataFrame, cuts: list[np.ndarray], k: int) -> tuple[int, int]:
+    """How many orders to use, and how many ranges on either side in each, so that RECALL of the true neighbours of a
+    sample of the queries are met with the least work."""
     asking = keyed.where("asks")
     chance = min(1.0, SAMPLE / max(1, asking.count()))
     place = F.pmod(F.xxhash64("entry", F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
     rows = asking.where(place < chance).select("entry", "v", "keys").limit(4 * SAMPLE).toPandas()
-    if not len(rows):
-        return 1
-    at = lambda keys: np.stack([np.searchsorted(cut, keys[:, c], "right") for c, cut in enumerate(cuts)], 1)
-    groups = [(size, part.entry.to_numpy(), np.stack(part.v.to_numpy()), at(np.stack(part["keys"].to_numpy()))) for size, part in rows.groupby(rows.v.map(len))]
+    ranges = max(len(c) for c in cuts) + 1
+    if not len(rows) or ranges == 1:
+        return 1, ranges - 1
+    groups = [(size, part.entry.to_numpy(), np.stack(part.v.to_numpy()), _ranges(np.stack(part["keys"].to_numpy()), cuts)) for size, part in rows.groupby(rows.v.map(len))]
     sent = keyed.sparkSession.sparkContext.broadcast(groups)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,25 +116,33 @@ def _reach(keyed: DataFrame, cuts: list[np.ndarray], k: int) -> int:
                 score = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
                 score[names[:, None] == part.entry.to_numpy()] = -np.inf
                 i, j = _best(score, k)
-                away = np.abs(own[i] - at(np.stack(part["keys"].to_numpy()))[j]).min(axis=1)
-                yield pd.DataFrame({"entry": names[i], "other": part.entry.to_numpy()[j], "score": score[i, j], "away": away})
+                away = np.abs(own[i] - _ranges(np.stack(part["keys"].to_numpy()), cuts)[j])
+                yield pd.DataFrame({"entry": names[i], "other": part.entry.to_numpy()[j], "score": score[i, j], "away": list(away)})
 
-    found = keyed.select("entry", "v", "keys").mapInPandas(compare, "entry long, other long, score double, away int")
+    found = keyed.select("entry", "v", "keys").mapInPandas(compare, "entry long, other long, score double, away array<long>")
     rank = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "other"))
-    away = np.sort([r.away for r in found.withColumn("n", rank).where(F.col("n") <= k).select("away").collect()])
-    return max(1, int(away[int(np.ceil(RECALL * len(away))) - 1])) if len(away) else 1
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "vec_id", vector: str = "embedding", range_size: int = RANGE, seed: int = 13) -> DataFrame:
+    away = np.array([r.away for r in found.withColumn("n", rank).where(F.col("n") <= k).select("away").collect()], np.int64).reshape(-1, CURVES)
+    if not len(away):
+        return 1, ranges - 1
+    plans = []
+    for curves in range(1, CURVES + 1):
+        nearest_way = np.sort(away[:, :curves].min(axis=1))
+        reach = int(nearest_way[int(np.ceil(RECALL * len(nearest_way))) - 1])
+        plans.append((curves * min(2 * reach + 1, ranges), curves, reach))
+    _, curves, reach = min(plans)
+    return curves, reach
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "vec_id", vector: str = "embedding", range_size: int | None = None, seed: int = 13) -> DataFrame:
     """The k nearest rows by cosine of each row that ``queries`` selects, among all other rows.
 
     Returns query_id, rank, vec_id and score, nearest first and ties to the smaller identifier; the
-    score is the cosine of the original vectors in double precision. Every usable vector is indexed. Equal
-    vectors are one entry that keeps its k + 1 smallest identifiers, so a vector of many copies neither
-    fills a range nor hides its neighbours. Up to CURVES * 3 ranges every query meets every vector, as
-    this costs no more than the orders. Beyond it, the neighbours of some queries among all vectors tell how
-    many ranges beside its own a query must meet for a recall of RECALL; where this costs as much
-    as meeting every vector, every query does.
+    score is the cosine of the original vectors in double precision. Every usable vector is indexed: it has a key on each of
+    several shifted Hilbert orders, which are cut into ranges. A query meets its own range and as many
+    beside it, in as many of the orders, as a recall of RECALL needs on a sample of queries whose true neighbours
+    are found by brute force. Where vectors have no structure that an order could follow, this is
+    one order and all of its ranges. Equal vectors are one entry that keeps its k + 1 smallest identifiers, so a vector of
+    many copies neither fills a range nor hides its neighbours.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an
     identifier, take no part; vectors meet only those of their own length. Repeated rows are rows. Further columns
@@ -136,19 +161,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "
             if len(b):
                 sizes = b.v.map(len)
                 for _, part in b.groupby(sizes):
-                    own = _keys(np.stack(part.v.to_numpy()), seed)
+                    own = _keys(np.stack(part.v.to_numpy()), seed) << _PART
+                    own |= ((part.entry.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PART)).astype(np.int64)[:, None]
                     yield pd.DataFrame({"entry": part.entry.to_numpy(), "v": part.v.to_numpy(), "asks": part.asks.to_numpy(), "keys": list(own)})
 
     asked = asking.select("entry").distinct().withColumn("asks", F.lit(True))
     keyed = entries.join(asked, "entry", "left").withColumn("asks", F.coalesce("asks", F.lit(False))).mapInPandas(key, "entry long, v array<double>, asks boolean, keys array<long>").checkpoint()
-    ranges = max(1, -(-keyed.count() // range_size))
-    cuts, reach = [], 0
-    if ranges > CURVES * 3:
-        columns = keyed.select(*[F.col("keys")[c].alias(f"k{c}") for c in range(CURVES)])
-        cuts = columns.approxQuantile(columns.columns, [i / ranges for i in range(1, ranges)], 0.1 / ranges)
-        cuts = [np.unique(np.array(c, np.int64)) for c in cuts]
-        reach = _reach(keyed, cuts, k)
-    whole = CURVES * (2 * reach + 1) >= ranges or not cuts
+    n = keyed.count()
+    size = range_size or max(LEAST, min(RANGE, n // 16), n // MOST_RANGES)
+    cuts = _cuts(keyed, n, max(1, -(-n // size)))
+    curves, reach = _plan(keyed, cuts, k)
     sent = spark.sparkContext.broadcast(cuts)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,22 +178,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "
             if not len(b):
                 continue
             asks, names = b.asks.to_numpy(bool), b.entry.to_numpy()
-            if whole:  # one part for each range, dealt by identifier
-                own = ((names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-                places = [(0, own, to, (own == to) | asks) for to in range(ranges)]
-            else:
-                keys = np.stack(b["keys"].to_numpy())
-                places = []
-                for c, cut in enumerate(sent.value):
-                    own = np.searchsorted(cut, keys[:, c], "right")
-                    for shift in range(-reach, reach + 1):
-                        to = own + shift
-                        places.append((c, own, to, (to >= 0) & (to <= len(cut)) & (asks | (shift == 0))))
-            for c, own, to, there in places:
-                to = np.broadcast_to(to, len(b))
-                if not there.any():
-                    continue
-                yield pd.DataFrame({"curve": np.full(there.sum(), c, np.int32), "range": to[there].astype(np.int32), "entry": names[there], "v": b.v.to_numpy()[there], "asks": asks[there], "held": (own == to)[there]})
+            ranges = _ranges(np.stack(b["keys"].to_numpy()), sent.value)
+            for c in range(curves):
+                own, most = ranges[:, c], len(sent.value[c])
+                for shift in range(-min(reach, most), min(reach, most) + 1):
+                    to = own + shift
+                    there = (to >= 0) & (to <= most) & (asks | (shift == 0))
+                    if there.any():
+                        yield pd.DataFrame({"curve": np.full(there.sum(), c, np.int32), "range": to[there].astype(np.int32), "entry": names[there], "v": b.v.to_numpy()[there], "asks": asks[there], "held": np.full(there.sum(), shift == 0)})
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -185,16 +199,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, identifier: str = "
                 some = asks.iloc[at : at + 256]
                 q = np.stack(some.v.to_numpy())
                 score = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / x_norm
-                score[some.entry.to_numpy()[:, None] == names] = -np.inf
+                i, j = np.nonzero(some.entry.to_numpy()[:, None] == names)  # a query's own entry has its copies
+                out.append(pd.DataFrame({"entry": some.entry.to_numpy()[i], "other": names[j], "score": score[i, j]}))
+                score[i, j] = -np.inf
                 i, j = _best(score, k)
                 out.append(pd.DataFrame({"entry": some.entry.to_numpy()[i], "other": names[j], "score": score[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"entry": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     near = keyed.mapInPandas(deal, "curve int, range int, entry long, v array<double>, asks boolean, held boolean").groupBy("curve", "range").applyInPandas(meet, "entry long, other long, score double")
     near = near.groupBy("entry", "other").agg(F.max("score").alias("score"))
-    # An entry's own copies are its nearest, at the cosine of the vector with itself.
-    own = asked.select("entry", F.col("entry").alias("other"), F.lit(1.0).alias("score"))
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score"), "other"))).where(F.col("n") <= k).drop("n").unionByName(own)
+    rank = F.row_number().over(Window.partitionBy("entry").orderBy(F.col("other") != F.col("entry"), F.desc("score"), "other"))
+    best = near.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")  # itself and k others
     found = asking.join(best, "entry").join(owners.toDF("other", "member"), "other").where("member <> id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "member"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", F.col("member").alias("vec_id"), "score")
