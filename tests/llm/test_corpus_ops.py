@@ -34,6 +34,7 @@ def test_suffixes(spark, sf_dir):
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_cases(spark, seed, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK_TILES", (200_000, 40, 7)[seed])  # copies within a block, and over several
+    monkeypatch.setattr(suffixes, "RUN_TILES", (100_000, 9, 60)[seed])
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abcé ") for _ in range(rng.randint(150, 420))) for _ in range(6)]
     texts = ["".join(rng.choice([rng.choice(passages)[rng.randint(0, 90) :], "".join(rng.choice("xyz") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 6))) for _ in range(60)]
@@ -49,6 +50,18 @@ def test_suffix_cases(spark, seed, monkeypatch):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
+def test_suffixes_of_long_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENT", 5000)
+    monkeypatch.setattr(suffixes, "BLOCK_TILES", 50)
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = own(700)
+    texts = [own(30_000) + shared + own(20_000), own(4900) + shared + own(300)] + [own(900)] * 0 + ["x" + shared[:199], "y" + shared[100:350]]
+    table = [*enumerate(texts), *[(7, same := own(600))] * 20, (None, same)]
+    got = {(r.doc_id, r.n_bytes, tuple(map(tuple, r.spans))) for r in suffixes.remove_repeats(docs(spark, table).coalesce(1)).collect()}
+    assert got == {(0, 50_700, ((30_000, 30_700),)), (1, 5900, ((4900, 5600),)), (2, 200, ()), (3, 251, ((1, 251),)), (7, 600, ((0, 600),)), (None, 600, ((0, 600),))}
+
+
 def test_suffixes_of_empty_table(spark):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
 
@@ -208,15 +221,22 @@ def test_nearest_cases(spark):
     assert got[2050] == [1000, 1001, 1002, 1003, 1004] and set(got) == {*range(50, 300, 50), *range(1000, 1400, 50), 2050}
     few = nearest.nearest(table.where("vec_id IN (50, 51)"), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(50, 1, 51)]
+    # the score is measured, also that of copies; ties across ranges go to the smaller identifier
+    x = {r[0]: np.array(r[1], float) for r in rows if r[0] and r[1] and None not in r[1]}
+    for r in near.collect():
+        q, v = x[r.query_id], x[r.vec_id]
+        assert abs(r.score - q @ v / np.linalg.norm(q) / np.linalg.norm(v)) < 1e-12
     assert nearest.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 @pytest.mark.parametrize("groups", [0, 400])
-def test_nearest_recall_over_many_ranges(spark, groups):
+def test_nearest_recall_over_many_ranges(spark, groups, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(6000, 64))
     if groups:
         x = 0.1 * x + rng.normal(size=(groups, 64))[np.arange(6000) % groups]
+    plans, choose = [], nearest._plan
+    monkeypatch.setattr(nearest, "_plan", lambda *a: plans.append(choose(*a)) or plans[-1])
     table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     unit, found = x / np.linalg.norm(x, axis=1)[:, None], 0
     got = from_spark(nearest.nearest(table, F.col("vec_id") % 60 == 0, range_size=64))  # 94 ranges
@@ -225,6 +245,16 @@ def test_nearest_recall_over_many_ranges(spark, groups):
         score[q] = -2
         found += len(set(got.vec_id[got.query_id == q]) & set(np.argsort(-score)[:5].tolist()))
     assert len(got) == 500 and found >= 0.9 * 500
+    ((curves, reach),) = plans
+    assert curves * min(2 * reach + 1, 94) <= (40 if groups else 94)  # vectors that have neighbours meet less than half
+
+
+def test_nearest_of_one_cell(spark):
+    """Vectors that no curve tells apart still spread over ranges."""
+    rng = np.random.default_rng(5)
+    x = np.ones(16) + 1e-6 * rng.normal(size=(2000, 16))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    assert nearest.nearest(table, F.col("vec_id") % 100 == 0, range_size=50).count() == 100
 
 
 def test_hilbert_order_steps_by_one():
@@ -235,45 +265,72 @@ def test_hilbert_order_steps_by_one():
     assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_loss_differences(spark):
+def plain_losses(table, good):
+    """(doc_id, text) to rows (doc_id, tokens, target loss, background loss), counted with Counter."""
     import math
     from collections import Counter
 
-    rng = random.Random(6)
-    table = [(i, " ".join(words(rng, rng.randint(0, 40), 12 if i % 3 else 30)).replace("w1", "W1")) for i in range(60)] + [(60, ""), (61, None), (62, "w1 w1 w1"), (62, "w1 w1 w1")]
-    target = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(999,), (None,), (3,)], "doc_id long")
-    got = loss_difference.loss_differences(docs(spark, table), target).collect()
-    good = set(range(0, 60, 3))
-    seqs = [(i, ["<s>", *(t or "").lower().split(), "</s>"]) for i, t in table]
+    seqs = [(i, ["<s>", *(t or "").encode().lower().split(), "</s>"]) for i, t in table]
     uni, bi = (Counter(), Counter()), (Counter(), Counter())
     for i, s in seqs:
         m = 0 if i in good else 1
         uni[m].update(s)
         bi[m].update(zip(s, s[1:], strict=False))
     vocabulary = {w for u in uni for w in u} - {"<s>", "</s>"}
-    want = {}
+    emitted, out = [sum(u.values()) - u["<s>"] for u in uni], []
     for i, s in seqs:
         own, loss = Counter(zip(s, s[1:], strict=False)), []
         for m in (0, 1):
-            emitted, total = sum(uni[m].values()) - uni[m]["<s>"], 0.0
+            total = 0.0
             for a, b in zip(s, s[1:], strict=False):
                 mine = own[a, b] if (i in good) == (m == 0) else 0
-                one, context = (uni[m][b] + 1) / (emitted + len(vocabulary) + 2), uni[m][a] - mine
+                one, context = (uni[m][b] + 1) / (emitted[m] + len(vocabulary) + 2), uni[m][a] - mine
                 total -= math.log(0.7 * (bi[m][a, b] - mine) / context + 0.3 * one if context > 0 else one)
             loss.append(total / (len(s) - 1))
-        want[i] = (len(s) - 1, *loss)
-    assert len(got) == len(table)
-    for r in got:
-        assert r.target == (r.doc_id in good) and r.n_tokens == want[r.doc_id][0]
-        assert np.allclose((r.loss_target, r.loss_background), want[r.doc_id][1:], atol=1e-5)
-        assert abs(r.difference - (r.loss_target - r.loss_background)) < 1e-9
+        out.append((i, len(s) - 1, *loss))
+    return out
+
+
+def same_losses(got, want, good):
+    order = lambda r: (r[0] is None, r[0] or 0, *map(lambda x: round(x, 6), r[1:]))
+    mine = sorted([(r.doc_id, r.n_tokens, r.loss_target, r.loss_background) for r in got], key=order)
+    want = sorted(want, key=order)
+    assert [r[:2] for r in mine] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in mine], [r[2:] for r in want], atol=1e-6)
+    assert all(r.target == (r.doc_id in good) and abs(r.difference - (r.loss_target - r.loss_background)) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("block", [5000, 7])
+def test_loss_differences(spark, block, monkeypatch):
+    monkeypatch.setattr(loss_difference, "BLOCK_DOCS", block)
+    rng = random.Random(6)
+    table = [(i, " ".join(words(rng, rng.randint(0, 40), 12 if i % 3 else 30)).replace("w1", "W1")) for i in range(60)] + [(60, ""), (61, None), (62, "w1 w1 w1"), (62, "w1 w1 w1"), (None, "w2 w3"), (63, "é w4 É " * 20_000)]
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(999,), (None,), (3,)], "doc_id long")
+    good = set(range(0, 60, 3))
+    same_losses(loss_difference.loss_differences(docs(spark, table), target).collect(), plain_losses(table, good), good)
     assert loss_difference.loss_differences(docs(spark, []), target).count() == 0
     assert loss_difference.loss_differences(docs(spark, [(1, "a b")]), target.limit(0)).count() == 1
 
 
+def test_loss_differences_of_a_whole_table(spark, sf_dir):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    same_losses(queries.op4_loss_difference(spark, sf_dir).collect(), plain_losses(table, good), good)
+
+
+def test_packed_numbers_come_back():
+    from tidemark.llm import packed
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 1000):
+        x = rng.integers(0, 1 << 62, n, np.uint64) >> rng.integers(0, 60, n).astype(np.uint64)
+        assert (packed.numbers(packed.planes(x)) == x).all() and (packed.from_steps(packed.ascending(np.sort(x))) == np.sort(x)).all()
+        assert packed.unpress(packed.press(x, b"", b"ab")) == [x.tobytes(), b"", b"ab"]
+
+
 def test_loss_differences_know_every_word(spark):
     every = (f"v{i}" for i in range(10**6))
-    crowd = [w for w, _ in zip((w for w in every if loss_difference.words(w)[0] >> np.uint64(58) == 0), range(1200), strict=False)]  # one of 64 ranges of hashes
+    crowd = [w for w, _ in zip((w for w in every if loss_difference.words(w)[0] >> np.uint64(loss_difference.HASH_BITS - 6) == 0), range(1200), strict=False)]  # one of 64 ranges of hashes
     table = [(i, " ".join(crowd[:1100])) for i in range(4)] + [(i, " ".join(crowd[1100:])) for i in range(4, 8)]
     got = {r.doc_id: r for r in loss_difference.loss_differences(docs(spark, table), spark.createDataFrame([(i,) for i in range(4, 8)], "doc_id long")).collect()}
     for i, r in got.items():

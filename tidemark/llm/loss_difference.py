@@ -11,24 +11,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import ascending, fragments_for, from_steps, numbers, planes, press, unpress
+
 #: Weight of the bigram estimate against the unigram one.
 BIGRAM = 0.7
 #: Target documents whose identifiers are broadcast; beyond it they are joined.
 BROADCAST_TARGETS = 1_000_000
-BLOCK_WORDS, BLOCK_DOCS = 1_500_000, 4000
+BLOCK_WORDS, BLOCK_DOCS = 2_500_000, 5000
 
-#: What begins and ends a document, beside the hashes of its words.
+#: Bits of the hash that is a word or a bigram; what begins and ends a document, beside the words.
+HASH_BITS = 55
 MARKS = np.array([1, 2], np.uint64)
 #: Kinds of rows: counts of a block, and its documents.
 COUNTS, DOCUMENTS = 0, 1
-#: Bytes of a bigram's key within its fragment.
-KEY_BYTES = 6
 
 
 def words(text: str | None) -> np.ndarray:
     """Hashes of the words of a text: runs of anything but ASCII white space, A-Z in lower case."""
     own = (text or "").encode().lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)) >> np.uint64(64 - HASH_BITS)
 
 
 def _flags(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, object]:
@@ -55,14 +56,16 @@ def _read(batches: Iterator[pd.DataFrame], known) -> Iterator[tuple[int | None,
             yield doc, bool(flag), words(text)
 
 
-def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
-    return (((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
+def _cuts(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    """Where in sorted hashes each fragment begins, and the last ends: fragments are equal ranges of hashes."""
+    of = ((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(fragments)) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(fragments + 1, dtype=np.uint64))
 
 
-def _grams(names: np.ndarray, stream: np.ndarray, sizes: np.ndarray, fragments: int) -> tuple[np.ndarray, ...]:
+def _grams(names: np.ndarray, stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """The bigrams of a block of documents, whose words and marks are ``stream`` as places in ``names``.
 
-    Returns each distinct bigram's key, in the order of fragments, with the places of its words, and of each
+    Returns each distinct bigram's hash, ascending, with the places of its words, and of each
     bigram of the stream its place among them.
     """
     inside = np.ones(len(stream) - 1, bool)
@@ -72,20 +75,21 @@ def _grams(names: np.ndarray, stream: np.ndarray, sizes: np.ndarray, fragments:
     keys = names[before] * np.uint64(0x9E3779B97F4A7C15) + names[word]
     keys = (keys ^ (keys >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     keys = (keys ^ (keys >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    keys ^= keys >> np.uint64(31)
-    order = np.argsort(_fragment(keys, fragments), kind="stable")
+    keys = (keys ^ (keys >> np.uint64(31))) >> np.uint64(64 - HASH_BITS)
+    order = np.argsort(keys, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return keys[order], before[order], word[order], place[back]
 
 
-def _two(places: np.ndarray, flags: np.ndarray, n: int) -> np.ndarray:
+def _two(places: np.ndarray, flags: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each of n places occurs in the target and in the background."""
-    return np.stack([np.bincount(places[flags], minlength=n), np.bincount(places[~flags], minlength=n)], 1)
+    return np.bincount(places[flags], minlength=n), np.bincount(places[~flags], minlength=n)
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+def _by_use(counts: np.ndarray) -> np.ndarray:
+    """The order of a block's words by their number in it, so that the frequent ones have small numbers."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
 
 
 def _send(held: list[tuple], fragments: int, number: int) -> pd.DataFrame:
@@ -95,19 +99,21 @@ def _send(held: list[tuple], fragments: int, number: int) -> pd.DataFrame:
     ids, absent = np.array([h[0] or 0 for h in held], np.int64), np.array([h[0] is None for h in held], bool)
     flag, sizes = np.array([h[1] for h in held], bool), np.array([len(h[2]) + 1 for h in held], np.int64)
     names, stream = np.unique(np.concatenate([x for h in held for x in (MARKS[:1], h[2], MARKS[1:])]), return_inverse=True)
-    grams, _, _, place = _grams(names, stream, sizes, fragments)
-    words_, pairs = _two(stream, np.repeat(flag, sizes + 1), len(names)), _two(place, np.repeat(flag, sizes), len(grams))
-    table = np.array([n, len(names)], np.int64).tobytes() + ids.tobytes() + sizes.tobytes() + names.tobytes() + absent.tobytes() + flag.tobytes()
-    table += stream.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32).tobytes()
+    grams, _, _, place = _grams(names, stream, sizes)
+    one, two = _two(stream, np.repeat(flag, sizes + 1), len(names)), _two(place, np.repeat(flag, sizes), len(grams))
+    every = one[0] + one[1]
+    rank = np.empty(len(names), np.int64)
+    rank[_by_use(every)] = np.arange(len(names))
+    table = press(ids, absent, flag, planes(sizes), planes(every), planes(rank[stream]))
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
     rows = [(block % fragments, block, DOCUMENTS, table)]
-    cuts = [np.searchsorted(_fragment(x, fragments), np.arange(fragments + 1)) for x in (names, grams)]
-    for f in range(fragments):
-        (a, b), (c, d) = (x[f : f + 2] for x in cuts)
-        one, two = _narrow(words_[a:b]), _narrow(pairs[c:d])
-        parts = names[a:b], one, grams[c:d].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], two
-        # Also where nothing is sent: each fragment answers with its totals.
-        rows.append((f, block, COUNTS, np.array([b - a, one.itemsize, d - c, two.itemsize], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)))
+    cuts = [_cuts(x, fragments).tolist() for x in (names, grams)]
+    for f in range(fragments):  # also where nothing is sent: each fragment answers with its totals
+        parts = []
+        for keys, counts, cut in ((names, one, cuts[0]), (grams, two, cuts[1])):
+            own = slice(cut[f], cut[f + 1])
+            parts += [ascending(keys[own]), planes(counts[0][own]), planes(counts[1][own])]
+        rows.append((f, block, COUNTS, press(*parts)))
     return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
 
 
@@ -116,58 +122,52 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     f = int(pdf.fragment.iloc[0])
     out = [(f, r.block, DOCUMENTS, r.body) for r in pdf.itertuples() if r.kind == DOCUMENTS]
     blocks = [r.block for r in pdf.itertuples() if r.kind == COUNTS]
-    bodies = [r.body for r in pdf.itertuples() if r.kind == COUNTS]
-    held: tuple[tuple[list, list], ...] = ([], []), ([], [])  # keys and counts of words, and of bigrams
-    for x in bodies:
-        n, wide, m, wide_m = (int(i) for i in np.frombuffer(x, np.int64, 4))
-        held[0][0].append(np.frombuffer(x, np.uint64, n, 32))
-        held[0][1].append(np.frombuffer(x, f"u{wide}", 2 * n, at := 32 + 8 * n).reshape(-1, 2))
-        keys = np.zeros((m, 8), np.uint8)
-        keys[:, :KEY_BYTES] = np.frombuffer(x, np.uint8, KEY_BYTES * m, at := at + 2 * n * wide).reshape(-1, KEY_BYTES)
-        held[1][0].append(keys.view(np.uint64).ravel())
-        held[1][1].append(np.frombuffer(x, f"u{wide_m}", 2 * m, at + KEY_BYTES * m).reshape(-1, 2))
-    sums, totals = [], np.zeros(3, np.int64)
-    for kind, (keys, counts) in enumerate(held):
+    bodies = [unpress(r.body) for r in pdf.itertuples() if r.kind == COUNTS]
+    answers: list[list[bytes]] = [[b[0]] for b in bodies]  # the words themselves go back, too
+    totals = np.zeros(3, np.int64)
+    for kind in (0, 1):
         if not bodies:
             break
+        keys = [from_steps(b[3 * kind]) for b in bodies]
         own, back = np.unique(np.concatenate(keys), return_inverse=True)
-        every = np.concatenate(counts)
-        both = np.stack([np.bincount(back, weights=every[:, m], minlength=len(own)).astype(np.int64) for m in (0, 1)], 1)
-        sums.append(np.split(both[back], np.cumsum([len(k) for k in keys])[:-1]))
-        if kind == 0:  # distinct words and, for both models, what is ever predicted: all but the begin mark
-            totals = np.array([len(own), *both[own != MARKS[0]].sum(axis=0)], np.int64)
-    for block, one, two in zip(blocks, *(sums or ([], [])), strict=True):
-        one, two = _narrow(one), _narrow(two)
-        out.append((f, block, COUNTS, np.array([len(one), one.itemsize, len(two), two.itemsize, *totals], np.int64).tobytes() + one.tobytes() + two.tobytes()))
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        for m in (1, 2):
+            every = np.concatenate([numbers(b[3 * kind + m]) for b in bodies]).astype(np.int64)
+            both = np.bincount(back, weights=every, minlength=len(own)).astype(np.int64)
+            for answer, part in zip(answers, np.split(both[back], ends), strict=True):
+                answer.append(planes(part))
+            if kind == 0:  # distinct words and, for both models, what is ever predicted: all but the begin mark
+                totals[0], totals[m] = len(own), both[own != MARKS[0]].sum()
+    out += [(f, block, COUNTS, press(totals, *answer)) for block, answer in zip(blocks, answers, strict=True)]
     return pd.DataFrame(out, columns=["fragment", "block", "kind", "body"])
 
 
-def _gather(pdf: pd.DataFrame, fragments: int) -> pd.DataFrame:
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     """The losses of a block's documents, from the counts of its words and bigrams in all documents."""
     table = next(b for b, k in zip(pdf.body, pdf.kind, strict=True) if k == DOCUMENTS)
-    n, different = (int(x) for x in np.frombuffer(table, np.int64, 2))
-    ids, sizes = np.frombuffer(table, np.int64, n, 16), np.frombuffer(table, np.int64, n, 16 + 8 * n)
-    at = 16 + 16 * n
-    names, at = np.frombuffer(table, np.uint64, different, at), at + 8 * different
-    absent, flag = np.frombuffer(table, bool, n, at), np.frombuffer(table, bool, n, at + n)
-    stream = np.frombuffer(table, np.uint16 if different <= 1 << 16 else np.uint32, -1, at + 2 * n).astype(np.int64)
-    grams, before, word, place = _grams(names, stream, sizes, fragments)
-    one, two, totals = [], [], np.zeros(3, np.int64)
-    for r in pdf[pdf.kind == COUNTS].sort_values("fragment").itertuples():
-        m, wide, k, wide_k, *more = (int(x) for x in np.frombuffer(r.body, np.int64, 7))
-        totals += more
-        one.append(np.frombuffer(r.body, f"u{wide}", 2 * m, 56).reshape(-1, 2))
-        two.append(np.frombuffer(r.body, f"u{wide_k}", 2 * k, 56 + 2 * m * wide).reshape(-1, 2))
-    unigrams, bigrams = np.concatenate(one).astype(np.float64), np.concatenate(two).astype(np.float64)
+    ids, absent, flag, sizes, every, stream = unpress(table)
+    ids, absent, flag, sizes = np.frombuffer(ids, np.int64), np.frombuffer(absent, bool), np.frombuffer(flag, bool), numbers(sizes).astype(np.int64)
+    n, totals = len(ids), np.zeros(3, np.int64)
+    names, counts = [], ([], [], [], [])
+    for body in pdf[pdf.kind == COUNTS].sort_values("fragment").body:
+        more, own, *four = unpress(body)
+        totals += np.frombuffer(more, np.int64)
+        names.append(from_steps(own))
+        for all_, part in zip(counts, four, strict=True):
+            all_.append(numbers(part))
+    counts = [np.concatenate(c).astype(np.float64) for c in counts]
+    unigrams, bigrams = counts[:2], counts[2:]
+    stream = _by_use(numbers(every))[numbers(stream).astype(np.int64)]
+    grams, before, word, place = _grams(np.concatenate(names), stream, sizes)
     mine, own = np.unique(np.repeat(np.arange(n), sizes) * len(grams) + place, return_counts=True)
     owner, gram = mine // len(grams), mine % len(grams)
     both = []
     for m in (0, 1):
         taken = np.where(flag[owner] == (m == 0), own, 0)
-        unigram = (unigrams[word[gram], m] + 1) / (totals[1 + m] + totals[0])
-        context = unigrams[before[gram], m] - taken
+        unigram = (unigrams[m][word[gram]] + 1) / (totals[1 + m] + totals[0])
+        context = unigrams[m][before[gram]] - taken
         seen = np.where(context > 0, BIGRAM, 0.0)
-        loss = -np.log(seen * (bigrams[gram, m] - taken) / np.maximum(context, 1) + (1 - seen) * unigram)
+        loss = -np.log(seen * (bigrams[m][gram] - taken) / np.maximum(context, 1) + (1 - seen) * unigram)
         both.append(np.bincount(owner, weights=loss * own, minlength=n) / sizes)
     doc = pd.array(ids, "Int64")
     doc[absent] = pd.NA
@@ -181,15 +181,15 @@ def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
     background model. Both are bigram models interpolated with unigrams, over the vocabulary of all documents
     and with one smoothing, from the counts of all documents. A document's own bigrams are taken out of the counts
     that score it. Counts are made by hash fragment: a fragment gets packed arrays of the distinct words and
-    bigrams of every block of documents, and returns to each block the counts of its own. A word is its 64-bit hash, a
-    bigram 48 bits of one beside its fragment.
+    bigrams of every block of documents, and returns to each block the counts of its own. Words and bigrams are
+    hashes of HASH_BITS bits; their number of fragments follows the size of the texts.
 
     Returns doc_id, target, n_tokens (words and the end mark), loss_target, loss_background and
     difference, all per token. Null and empty texts are the end mark alone; a null doc_id is
     background; a doc_id that repeats is scored for each row; further columns are left out;
     an empty table gives no rows.
     """
-    fragments = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fragments = fragments_for(docs)
     flagged, known = _flags(docs, target)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +204,7 @@ def loss_differences(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     rows = "fragment int, block long, kind int, body binary"
     added = flagged.mapInPandas(send, rows).groupBy("fragment").applyInPandas(_add, rows)
-    return added.groupBy("block").applyInPandas(lambda pdf: _gather(pdf, fragments), "doc_id long, target boolean, n_tokens long, loss_target double, loss_background double, difference double")
+    return added.groupBy("block").applyInPandas(_gather, "doc_id long, target boolean, n_tokens long, loss_target double, loss_background double, difference double")
 
 
 def quality_target(labels: DataFrame, quality: Column | None = None) -> DataFrame:
