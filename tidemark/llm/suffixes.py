@@ -3,9 +3,9 @@
 A window is a string of ``LENGTH`` bytes. Each window picks an anchor, the leftmost least-hashed
 64-byte string in it; equal windows pick theirs at the same place. The windows of one anchor in a row
 are a tile, and the tile's text is all that decides them. Only anchors that occur more than once can
-have repeated windows; where all their tiles are equal nothing is left to sort. The others' tiles
-are suffixes (from the anchor on) and reversed prefixes (before it): tasks sort and front-code them,
-and the merge of these runs gives the common prefixes that decide every window.
+have repeated windows, so the others' tiles go no further. Every other tile is a suffix (from the
+anchor on) and a reversed prefix (before it): tasks sort and front-code them, exchange these runs, and
+the merge gives the common prefixes that decide every window.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from numpy.lib.recfunctions import repack_fields
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import ascending, fragments_for, from_steps, numbers, planes, press, unpress
+
 LENGTH, ANCHOR = 200, 64
-#: Tiles sent at once, tiles sorted into one run, and windows of a text that are tiled at once.
+#: Tiles asked about at once, tiles sorted into one run, and windows of a text that are tiled at once.
 BLOCK_TILES, RUN_TILES, SEGMENT = 200_000, 100_000, 1 << 22
 _PLACE = 23  # bits of a place within a segment; the rest of the key is hash
 
-#: times: 1 or 2 (or more) tiles like it in its block; 0 for a known repeat, which is only passed on.
-_TILE = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("key", "<i8"), ("start", "<u4"), ("before", "u1"), ("windows", "u1"), ("times", "u1")])
+_TILE = np.dtype([("anchor", "<u8"), ("start", "<u4"), ("before", "u1"), ("windows", "u1")])
 _BYTES = np.random.default_rng(3).integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
@@ -52,7 +55,7 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def tiles(data: bytes) -> np.ndarray:
-    """The tiles of a text: start of the first window, bytes before the anchor, number of windows, hashes."""
+    """The tiles of a text: hash of the anchor, start of the first window, bytes before the anchor, number of windows."""
     out = []
     span = LENGTH - ANCHOR + 1
     for at in range(0, max(0, len(data) - LENGTH + 1), SEGMENT):
@@ -64,66 +67,104 @@ def tiles(data: bytes) -> np.ndarray:
         count = np.diff(np.append(first, len(place)))
         own = np.zeros(len(first), _TILE)
         own["anchor"], own["start"], own["before"], own["windows"] = h[place[first]], first + at, place[first] - first, count
-        digest = xxhash.xxh3_64_intdigest
-        own["text"] = [digest(part[s : s + n + LENGTH - 1]) for s, n in zip(first.tolist(), count.tolist(), strict=True)]
         out.append(own)
     return np.concatenate(out) if out else np.zeros(0, _TILE)
 
 
-def _fold(own: np.ndarray) -> np.ndarray:
-    """The tiles of a block, where of those alike in anchor and text the first stands for all: the
-    others are known repeats. So an anchor's fragment gets one tile of each text from a block, however
-    many copies the block has. Tiles of rows that repeat each other (one key) stay once."""
-    own = own[np.lexsort((own["start"], own["key"], own["text"], own["anchor"]))]
-    new = np.concatenate([[True], (own["anchor"][1:] != own["anchor"][:-1]) | (own["text"][1:] != own["text"][:-1])])
-    same = ~new & np.concatenate([[False], (own["key"][1:] == own["key"][:-1]) & (own["start"][1:] == own["start"][:-1])])
-    group = np.cumsum(new) - 1
-    own["times"] = np.where(new, np.minimum(np.bincount(group), 2)[group], 0)
-    return own[~same]
+def _cuts(hashes: np.ndarray, fragments: int) -> list[int]:
+    """Where in sorted hashes each fragment begins, and the last ends: fragments are equal ranges of hashes."""
+    return np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64)).tolist()
+
 
+#: Kinds of rows: anchors of a block, and the tiles that have them.
+ANCHORS, TILES = 0, 1
 
-def _shares(by: np.ndarray, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
-    to = ((_mix(by.astype(np.uint64)) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(fragments + 1))
+
+def _ask(held: list[tuple[int, int, np.ndarray]], fragments: int, number: int) -> pd.DataFrame:
+    """The distinct anchors of a block by fragment, and whether the block has them more than once; and its tiles, which
+    travel with one of the fragments. ``number`` counts the blocks of a task."""
+    own = np.concatenate([t for *_, t in held])
+    anchors, which, times = np.unique(own["anchor"], return_inverse=True, return_counts=True)
+    lengths = np.array([len(t) for *_, t in held], np.int64)
+    keys = np.array([h[:2] for h in held], np.int64)
+    table = press(keys, planes(lengths), planes(own["start"]), own["before"], own["windows"], planes(which))
+    block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
+    rows, cuts = [(block % fragments, block, TILES, table)], _cuts(anchors, fragments)
     for f in range(fragments):
-        if cuts[f] < cuts[f + 1]:
-            yield f, order[cuts[f] : cuts[f + 1]]
+        part = slice(cuts[f], cuts[f + 1])
+        if part.start < part.stop:
+            rows.append((f, block, ANCHORS, press(ascending(anchors[part]), times[part] > 1)))
+    return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which anchors of a fragment more than one tile has, answered to every block that asked."""
+    f = int(pdf.fragment.iloc[0])
+    out = [(f, r.block, TILES, r.body) for r in pdf.itertuples() if r.kind == TILES]
+    asked = [(r.block, *unpress(r.body)) for r in pdf.itertuples() if r.kind == ANCHORS]
+    if asked:
+        keys = [from_steps(a) for _, a, _ in asked]
+        own, back = np.unique(np.concatenate(keys), return_inverse=True)
+        many = np.bincount(back, weights=1 + np.concatenate([np.frombuffer(m, bool) for *_, m in asked]))[back] > 1
+        for (block, *_), part in zip(asked, np.split(many, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            out.append((f, block, ANCHORS, press(np.array([len(part)], np.int64), np.packbits(part))))
+    return pd.DataFrame(out, columns=["fragment", "block", "kind", "body"])
+
+
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each row of a block its tiles whose anchors others have, too."""
+    table = next(b for b, k in zip(pdf.body, pdf.kind, strict=True) if k == TILES)
+    keys, lengths, start, before, windows, which = unpress(table)
+    keys = np.frombuffer(keys, np.int64).reshape(-1, 2)
+    many = [np.zeros(0, bool)]
+    for body in pdf[pdf.kind == ANCHORS].sort_values("fragment").body:
+        n, bits = unpress(body)
+        many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(np.frombuffer(n, np.int64)[0])).astype(bool))
+    wanted = np.concatenate(many)[numbers(which).astype(np.int64)]
+    start, before, windows = numbers(start), np.frombuffer(before, np.uint8), np.frombuffer(windows, np.uint8)
+    cuts = np.concatenate([[0], np.cumsum(numbers(lengths).astype(np.int64))]).tolist()
+    out = []
+    for i, (key, other) in enumerate(keys.tolist()):
+        at = np.flatnonzero(wanted[cuts[i] : cuts[i + 1]]) + cuts[i]
+        if len(at):
+            out.append((key, other, press(planes(start[at]), before[at], windows[at])))
+    return pd.DataFrame(out, columns=["key", "key2", "asked"])
 
 
-#: kind 0: windows that are repeats; kind 1: a tile whose text must be sorted among others of its anchor.
-_ROWS = "kind int, key long, start long, windows int, before int, anchor long, single boolean"
+def _sorted(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings, and the prefix that each shares with the one before it."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    shared, last = np.zeros(len(strings), np.int64), b""
+    for i, j in enumerate(order):
+        shared[i] = common(last, s := strings[j], 0)
+        last = s
+    return np.array(order, np.int64), shared
+
+
+def _classes(order: np.ndarray, shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each string, equal for equal strings, from the prefixes that sorted ones share."""
+    own = sizes[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (shared[1:] == own[1:]) & (own[1:] == own[:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(~same)
+    return out
 
 
-def _compare_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For the tiles of a fragment: repeated texts, and one tile of each text of anchors with several."""
-    own = np.concatenate([np.frombuffer(b, _TILE) for b in pdf.body])
-    known, own = own[own["times"] == 0], own[own["times"] > 0]
-    own = own[np.lexsort((own["start"], own["key"], own["text"], own["anchor"]))]
-    begin = np.arange(len(own)) == 0
-    anchor_new, text_new, same = begin.copy(), begin.copy(), ~begin
-    anchor_new[1:] |= own["anchor"][1:] != own["anchor"][:-1]
-    text_new[1:] |= anchor_new[1:] | (own["text"][1:] != own["text"][:-1])
-    same[1:] &= ~text_new[1:] & (own["key"][1:] == own["key"][:-1]) & (own["start"][1:] == own["start"][:-1])
-    text_id, anchor_id = np.cumsum(text_new) - 1, np.cumsum(anchor_new) - 1
-    times = np.bincount(text_id, own["times"])[text_id]
-    kinds = np.bincount(anchor_id[text_new])[anchor_id]
-    repeated, asked = np.concatenate([known, own[(times > 1) & ~same]]), own[text_new & (kinds > 1)]
-    single = times[text_new & (kinds > 1)] == 1
-    both = np.concatenate([repeated, asked])
-    return pd.DataFrame({"kind": np.repeat([0, 1], [len(repeated), len(asked)]).astype(np.int32), "key": both["key"], "start": both["start"].astype(np.int64), "windows": both["windows"].astype(np.int32), "before": both["before"].astype(np.int32), "anchor": both["anchor"].astype(np.int64), "single": np.concatenate([np.zeros(len(repeated), bool), single])})
+def _thinned(order: np.ndarray, shared: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the strings, still sorted, with the prefix that each shares with the one now before it."""
+    at = np.flatnonzero(keep[order])
+    if not len(at):
+        return order[at], shared[at]
+    less = np.minimum.reduceat(shared[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
+    less[0] = 0
+    return order[at], less
 
 
 def front_code(strings: list[bytes]) -> tuple[list[int], np.ndarray, bytes]:
     """The order of the strings, the prefix that each shares with the one before it, and what is left of each, joined."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    shared, rest, last = np.zeros(len(strings), np.uint16), [], b""
-    for i, j in enumerate(order):
-        s = strings[j]
-        shared[i] = n = common(last, s, 0)
-        rest.append(s[n:])
-        last = s
-    return order, shared, b"".join(rest)
+    order, shared = _sorted(strings)
+    return order.tolist(), shared.astype(np.uint16), b"".join(strings[j][n:] for j, n in zip(order.tolist(), shared.tolist(), strict=True))
 
 
 def common(x: bytes, y: bytes, at: int) -> int:
@@ -193,54 +234,87 @@ def _run(shared: np.ndarray, sizes: np.ndarray, rest: bytes, first: int, order:
         yield last, n, first + j
 
 
-_ASKED = np.dtype([("anchor", "<i8"), ("key", "<i8"), ("start", "<i8"), ("before", "<u2"), ("windows", "<u2"), ("single", "?")])
+_ASKED = np.dtype([("anchor", "<u8"), ("key", "<i8"), ("key2", "<i8"), ("start", "<u4"), ("before", "<u2"), ("windows", "<u2"), ("single", "?")])
+_SPANS = ["key", "key2", "start", "windows"]
+_KNOWN = np.dtype([(n, _ASKED[n]) for n in _SPANS])
 
 
 def _write_runs(rows: list[tuple], fragments: int) -> pd.DataFrame:
-    """Sorted and front-coded runs of (suffix, reversed prefix, tile), one pair of runs for each fragment."""
-    about = np.array([r[2] for r in rows], _ASKED)
+    """Sorted and front-coded runs of (suffix, reversed prefix, tile), one pair of runs for each fragment.
+
+    Of tiles that a run shows to be equal on both sides the first goes on, marked as a repeat; the others are
+    known repeats, which are only passed on.
+    """
+    about = np.array([(*r[2], True) for r in rows], _ASKED)
+    both = []
+    for side in (0, 1):
+        strings = [r[side] for r in rows]
+        order, shared = _sorted(strings)
+        both.append((strings, order, shared, _classes(order, shared, np.array([len(x) for x in strings]))))
+    _, first, back, times = np.unique(both[0][3] * (len(rows) + 1) + both[1][3], return_index=True, return_inverse=True, return_counts=True)
+    keep, about["single"] = np.zeros(len(rows), bool), times[back] == 1
+    keep[first] = True
+    passed = np.unique(repack_fields(about[~about["single"]][_SPANS]))
+    of = ((about["anchor"] >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+    coded = [(strings, *_thinned(order, shared, keep)) for strings, order, shared, _ in both]
     out = []
-    for f, own in _shares(about["anchor"], fragments):
-        body = [np.array([len(own)], np.uint32).tobytes(), about[own].tobytes()]
-        for side in (0, 1):
-            strings = [rows[i][side] for i in own.tolist()]
-            order, shared, rest = front_code(strings)
-            sizes = np.array([len(strings[j]) for j in order], np.uint16)
-            body += [np.array(order, np.uint32).tobytes(), shared.tobytes(), sizes.tobytes(), np.array([len(rest)], np.uint32).tobytes(), rest]
-        out.append((f, b"".join(body)))
+    for f in np.unique(of).tolist():
+        mine = keep & (of == f)
+        labels = np.cumsum(mine) - 1
+        parts = [about[mine]]
+        for strings, order, shared in coded:
+            order, shared = _thinned(order, shared, mine)
+            sizes = np.array([len(strings[j]) for j in order.tolist()], np.int64)
+            parts += [planes(labels[order]), planes(shared), planes(sizes), b"".join(strings[j][n:] for j, n in zip(order.tolist(), shared.tolist(), strict=True))]
+        out.append((int(f), press(*parts, passed)))
+        passed = passed[:0]
     return pd.DataFrame(out, columns=["fragment", "body"])
 
 
 def _merge_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
     """The repeated windows of the tiles of a fragment, from the merged runs of both sides."""
-    about, runs, first = [], ([], []), 0
+    about, runs, first, found = [], ([], []), 0, []
     for body in pdf.body:
-        n = int(np.frombuffer(body, np.uint32, 1)[0])
-        at = 4 + n * _ASKED.itemsize
-        about.append(np.frombuffer(body, _ASKED, n, 4))
+        tiles_, *coded, passed = unpress(body)
+        about.append(np.frombuffer(tiles_, _ASKED))
+        found.append(_spans(np.frombuffer(passed, _KNOWN)))
         for side in (0, 1):
-            order, at = np.frombuffer(body, np.uint32, n, at), at + 4 * n
-            shared, at = np.frombuffer(body, np.uint16, n, at), at + 2 * n
-            sizes, at = np.frombuffer(body, np.uint16, n, at), at + 2 * n
-            size, at = int(np.frombuffer(body, np.uint32, 1, at)[0]), at + 4
-            runs[side].append(_run(shared, sizes, body[at : at + size], first, order))
-            at += size
-        first += n
+            order, shared, sizes, rest = coded[4 * side : 4 * side + 4]
+            runs[side].append(_run(numbers(shared), numbers(sizes), rest, first, numbers(order)))
+        first += len(about[-1])
     own = np.concatenate(about)
-    suffixes, prefixes = (np.array(list(LoserTree(r)), np.int64).reshape(-1, 2) for r in runs)
+    (suffix, right), (prefix, left) = (np.array(list(LoserTree(r)), np.int64).reshape(-1, 2).T for r in runs)
+    before, windows = own["before"].astype(np.int64), own["windows"].astype(np.int64)
+    classes = _classes(suffix, right, windows + LENGTH - 1 - before) * (len(own) + 1) + _classes(prefix, left, before + 8)
+    _, one, back, times = np.unique(classes, return_index=True, return_inverse=True, return_counts=True)
+    found.append(_spans(own[(times[back] > 1) & own["single"]]))
+    # What is left are tiles of which there is one, beside others with the same anchor.
+    keep, open_ = np.zeros(len(own), bool), own["single"] & (times[back] == 1)
+    keep[one] = True
+    _, anchor, kinds = np.unique(own["anchor"], return_inverse=True, return_counts=True)
+    asks = np.bincount(anchor, open_) > 0
+    keep &= asks[anchor] & (np.bincount(anchor, keep) > 1)[anchor]
+    suffix, right = _thinned(suffix, right, keep)
+    prefix, left = _thinned(prefix, left, keep)
+    own["single"] = open_
     out: list[tuple] = []
     rank_of = np.empty(len(own), np.int64)
     # Both orders hold an anchor's tiles together: a suffix begins with the anchor, a prefix with its hash.
-    begin = np.flatnonzero(np.concatenate([[True], own["anchor"][prefixes[1:, 0]] != own["anchor"][prefixes[:-1, 0]]])) if len(own) else []
-    left = {int(own["anchor"][prefixes[b, 0]]): (b, e) for b, e in zip(begin, [*begin[1:], len(own)], strict=True)}
-    anchors = own["anchor"][suffixes[:, 0]]
-    begin = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(own) else []
-    for b, e in zip(begin, [*begin[1:], len(own)], strict=True):
-        lo, hi = left[int(anchors[b])]
-        rank_of[prefixes[lo:hi, 0]] = np.arange(hi - lo)
-        members = suffixes[b:e, 0]
-        out += _decide(own[members], suffixes[b:e, 1], rank_of[members], np.maximum(prefixes[lo:hi, 1] - 8, 0))
-    return pd.DataFrame(out, columns=["key", "start", "windows"]).astype({"key": "int64", "start": "int64", "windows": "int32"})
+    bounds = lambda order: np.concatenate([np.flatnonzero(np.diff(anchor[order], prepend=-1)), [len(order)]]).tolist()
+    edges = bounds(prefix)
+    side = {int(anchor[prefix[b]]): (b, e) for b, e in zip(edges, edges[1:], strict=False)}
+    edges = bounds(suffix)
+    for b, e in zip(edges, edges[1:], strict=False):
+        lo, hi = side[int(anchor[suffix[b]])]
+        rank_of[prefix[lo:hi]] = np.arange(hi - lo)
+        members = suffix[b:e]
+        out += _decide(own[members], right[b:e], rank_of[members], np.maximum(left[lo:hi] - 8, 0))
+    found.append(pd.DataFrame(out, columns=_SPANS).astype({"windows": "int32"} | dict.fromkeys(_SPANS[:3], "int64")))
+    return pd.concat(found)
+
+
+def _spans(tiles_: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({n: tiles_[n].astype(np.int32 if n == "windows" else np.int64) for n in _SPANS})
 
 
 def _decide(tile: np.ndarray, right: np.ndarray, rank: np.ndarray, left: np.ndarray) -> list[tuple]:
@@ -257,7 +331,7 @@ def _decide(tile: np.ndarray, right: np.ndarray, rank: np.ndarray, left: np.ndar
         left_id[place] = np.cumsum(left < r)
         _, back, times = np.unique(right_id * (m + 1) + left_id, return_inverse=True, return_counts=True)
         hit = (times[back] > 1) & tile["single"] & (tile["before"] >= r) & (tile["before"].astype(np.int64) - tile["windows"] < r)
-        out += [(int(t["key"]), int(t["start"]) + int(t["before"]) - r, 1) for t in tile[hit]]
+        out += [(int(t["key"]), int(t["key2"]), int(t["start"]) + int(t["before"]) - r, 1) for t in tile[hit]]
     if m > 12:
         return out
     for x in range(m):
@@ -271,57 +345,52 @@ def _decide(tile: np.ndarray, right: np.ndarray, rank: np.ndarray, left: np.ndar
                 n_right, n_left = int(right[a + 1 : b + 1].min()), int(left[c + 1 : d + 1].min())
                 lo, hi = max(low, LENGTH - n_right), min(high, n_left)
                 if lo <= hi:
-                    out.append((int(tile["key"][x]), int(tile["start"][x]) + high - hi, hi - lo + 1))
+                    out.append((int(tile["key"][x]), int(tile["key2"][x]), int(tile["start"][x]) + high - hi, hi - lo + 1))
     return out
 
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """Texts (key, text) to rows (key, start, windows): windows at start, start + 1, ... that start elsewhere too.
+    """Texts (key, key2, text) to rows (key, key2, start, windows): windows at start, start + 1, ... that start elsewhere too.
 
-    key names a row; rows of one key hold one text.
+    The two keys name a row; rows of equal keys hold one text.
     """
-    spark = keyed.sparkSession
-    fragments = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fragments = fragments_for(keyed)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        held, n, number = [], 0, 0
         for batch in batches:
-            for key, text in zip(batch.key, batch.text, strict=True):
+            for key, other, text in zip(batch.key, batch.key2, batch.text, strict=True):
                 own = tiles((text or "").encode())
-                own["key"] = key
-                held.append(own)
+                if len(own):
+                    held.append((key, other, own))
                 if (n := n + len(own)) >= BLOCK_TILES:
-                    yield block(held)
-                    held, n = [], 0
-        if n:
-            yield block(held)
-
-    def block(held: list[np.ndarray]) -> pd.DataFrame:
-        own = _fold(np.concatenate(held))
-        by = np.where(own["times"] > 0, own["anchor"], own["key"].astype(np.uint64) + own["start"])  # known repeats go anywhere
-        return pd.DataFrame([(f, own[at].tobytes()) for f, at in _shares(by, fragments)], columns=["fragment", "body"])
+                    yield _ask(held, fragments, number)
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield _ask(held, fragments, number)
 
-    found = keyed.select("key", "text").mapInPandas(send, "fragment int, body binary").groupBy("fragment").applyInPandas(_compare_tiles, _ROWS).checkpoint()
-    asked = found.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "before", "windows", "single")).alias("asked"))
+    rows = "fragment int, block long, kind int, body binary"
+    counted = keyed.select("key", "key2", "text").mapInPandas(send, rows).groupBy("fragment").applyInPandas(_count, rows)
+    asked = counted.groupBy("block").applyInPandas(_answer, "key long, key2 long, asked binary").groupBy("key", "key2").agg(F.first("asked").alias("asked"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for key, text, wanted in zip(batch.key, batch.text, batch.asked, strict=True):
+            for key, other, text, wanted in zip(batch.key, batch.key2, batch.text, batch.asked, strict=True):
                 data = text.encode()
-                for t in wanted:
-                    at = t["start"] + t["before"]
-                    prefix = (t["anchor"] & (1 << 64) - 1).to_bytes(8, "big") + data[t["start"] : at][::-1]
-                    held.append((data[at : t["start"] + t["windows"] + LENGTH - 1], prefix, (t["anchor"], key, t["start"], t["before"], t["windows"], t["single"])))
+                start, before, windows = unpress(wanted)
+                for s, r, n in zip(numbers(start).tolist(), before, windows, strict=True):
+                    anchor = digest(data[s + r : s + r + ANCHOR])
+                    held.append((data[s + r : s + n + LENGTH - 1], anchor.to_bytes(8, "big") + data[s : s + r][::-1], (anchor, key, other, s, r, n)))
                 if len(held) >= RUN_TILES:
                     yield _write_runs(held, fragments)
                     held = []
         if held:
             yield _write_runs(held, fragments)
 
-    runs = keyed.join(asked, "key").mapInPandas(cut, "fragment int, body binary")
-    merged = runs.groupBy("fragment").applyInPandas(_merge_fragment, "key long, start long, windows int")
-    return found.where("kind = 0").select("key", "start", "windows").unionByName(merged)
+    runs = keyed.join(asked, ["key", "key2"]).mapInPandas(cut, "fragment int, body binary")
+    return runs.groupBy("fragment").applyInPandas(_merge_fragment, "key long, key2 long, start long, windows int")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -333,9 +402,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     other are documents of their own and so remove each other; a null doc_id stays null; further columns are left
     out; an empty table gives no rows.
     """
-    # Rows alike in both columns share a key; each of them still counts, and loses the same bytes.
-    keyed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    cover = repeated_windows(keyed).groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("cover"))
+    # Rows alike in both columns share their keys, 128 bits of hashes; each of them still counts, and loses the same bytes.
+    keys = F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("key2")
+    keyed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", *keys)
+    cover = repeated_windows(keyed).groupBy("key", "key2").agg(F.collect_set(F.struct("start", "windows")).alias("cover"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -353,4 +423,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((None if doc is None else int(doc), len(data), [{"start": s, "end": e} for s, e in gone], kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"], dtype=object).astype({"doc_id": "Int64", "n_bytes": "int64"})
 
-    return keyed.join(cover, "key", "left").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return keyed.join(cover, ["key", "key2"], "left").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
