@@ -106,6 +106,43 @@ def test_jaccard_cases(spark, seed, monkeypatch):
     assert len({c for _, c in want.values()}) < len(texts) - 20
 
 
+@pytest.mark.parametrize("bits", [-20, 8])
+def test_jaccard_with_few_counted_bits(spark, bits, monkeypatch):
+    """Where n-grams that differ are counted as one, only more pass; also a long text, and repeats over several blocks."""
+    monkeypatch.setattr(jaccard, "SPARE_BITS", bits)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 20)
+    rng = random.Random(4)
+    long = words(rng, 30_000, 10**6)
+    texts = [t for n in (30, 31, 41, 60) for t in family(rng, words(rng, n), 12, 5)] + [" ".join(long), " ".join([*long[:29_000], "x"]), " ".join(long[:20_000])]
+    common = words(rng, 40)
+    texts += [" ".join([*words(rng, n), *common]) for n in range(1, 25)]  # one passage in texts of many lengths
+    table = list(enumerate(texts))
+    rows = docs(spark, table)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(rows.unionByName(rows)).collect()}
+    assert got == brute.linked_components(table)
+
+
+def test_order_of_the_fragments():
+    """The fragments of a set, one after another, are its shared n-grams in the global order."""
+    pdf_of = lambda docs_: jaccard._send(docs_, 5, 3, 64, 0)
+    import types
+
+    jaccard.TaskContext, kept = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)), jaccard.TaskContext
+    try:
+        a, b, c = "a b c d e f g h", "a b c d e f g h i", "b c d e f g h"
+        sent = pdf_of([(i, t) for i, t in enumerate([a, b, c, *[b] * 4])])
+    finally:
+        jaccard.TaskContext = kept
+    counted = [jaccard._count_fragment(part) for _, part in sent.groupby("fragment")]
+    got = jaccard._gather_block(__import__("pandas").concat(counted), 5, 64, 75).set_index("doc_id")
+    grams = lambda t: jaccard.shingles(t).view(np.int64).tolist()
+    df = {g: sum(g in grams(t) for t in (a, b, c, b, b, b, b)) for g in grams(b)}
+    row = got.loc[1]
+    assert [len(row[p]) for p in jaccard.PARTS] == [0, 0, 5, 0, 0]
+    assert [g for p in jaccard.PARTS for g in row[p]] == sorted(df, key=lambda g: (df[g], np.int64(g).view(np.uint64)))
+    assert row["shared"] == 5 and row["prefix"] == 5 - 4 + 1
+
+
 def test_jaccard_of_a_whole_table(spark, sf_dir):
     table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_jaccard(spark, sf_dir).collect()} == brute.linked_components(table)

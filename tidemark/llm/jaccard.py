@@ -1,9 +1,11 @@
 """Exact Jaccard join of documents on word n-grams, by vertical partitioning.
 
-The global order of n-grams is their number of documents, then their hash. It is cut twice: into
-many fragments to count documents of each n-gram, and again to count the partial overlaps of
-candidate pairs, which are summed per pair. A fragment gets packed arrays, one row for each block of
-documents, so no n-gram is a row of its own until a document is known to be able to link at all.
+The global order of n-grams is their number of documents, then their 64-bit hash. It is cut into fragments:
+a document's n-grams are kept in that order, and the partial overlaps of a candidate pair are
+counted by fragment and summed. Before, the numbers of documents are counted over ranges of hashes, which get
+packed arrays, one row for each block of documents, so no n-gram is a row of its own until a document is known to
+be able to link at all. There an n-gram is only the leading bits of its hash: n-grams that share them
+count as one, so a number may be too large, which lets more pass than needed, but never too small.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .packed import ascending, fragments_for, from_steps, numbers, planes, press, range_cuts, text_bytes, unpress
 
 SHINGLE, PERCENT = 5, 75
-#: N-grams and documents of one block; partial overlaps are counted in so many fragments.
-BLOCK_GRAMS, BLOCK_DOCS, OVERLAP_FRAGMENTS = 600_000, 4000, 4
-GRAM_BITS = 48
-_EDGES = np.array([(i << GRAM_BITS) // OVERLAP_FRAGMENTS for i in range(1, OVERLAP_FRAGMENTS)], np.int64)
+#: N-grams and documents of one block.
+BLOCK_GRAMS, BLOCK_DOCS = 600_000, 4000
+#: Where the global order is cut: at the first n-gram of so many documents. Numbers above MOST are alike.
+CUTS, MOST = (3, 5, 17, 257), 65535
+#: Bits of a hash that are counted beyond those that number the bytes of all texts.
+SPARE_BITS = 8
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -55,165 +60,119 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
-def _bits(fragments: int) -> int:
-    """Leading bits that name a fragment; at least eight, so an n-gram goes there without its first byte."""
-    return max(8, (fragments - 1).bit_length())
-
-
-def _packed(grams: np.ndarray) -> bytes:
-    return np.ascontiguousarray(grams, "<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpacked(body: bytes, at: int, n: int, first: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(body, np.uint8, 5 * n, at).reshape(-1, 5)
-    out[:, 5] = first
-    return out.view("<i8").ravel()
-
-
-def _send(docs: list[tuple], bits: int, number: int) -> pd.DataFrame:
-    """A block's n-grams by fragment, and its table of documents, which travels with one of them.
-
-    ``number`` counts the blocks of a task, so that blocks of equal tables have names of their own.
-    Documents of equal sets send their n-grams once, with their number, so a block adds one entry to
-    an n-gram for each different set that holds it. From here on an n-gram is the first 48 bits of
-    its hash. A set's size is that of the 64-bit hashes; shorter ones may only let an n-gram pass as
-    shared that is not, or count two of one pair as one, once in some 10^9 pairs of usual documents.
-    """
-    sizes = np.array([len(g) for _, g in docs], np.uint32)
-    names = [xxhash.xxh3_128_digest(g.tobytes()) for _, g in docs]
+def _sets(texts: list[str], size: int) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
+    """For each text the number of its set; the different sets, and their names."""
+    known: dict[str, int] = {}
     place: dict[bytes, int] = {}
-    which = np.array([place.setdefault(x, len(place)) for x in names], np.uint32)
-    first, times = np.unique(which, return_index=True, return_counts=True)[1:]
-    whole = np.concatenate([docs[i][1] for i in first])
-    grams = (whole >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(first)), sizes[first])
-    ids = np.array([0 if d is None else d for d, _ in docs], np.int64)
-    absent = np.array([d is None for d, _ in docs], np.uint8)
-    table = np.uint32(len(docs)).tobytes() + ids.tobytes() + absent.tobytes() + sizes.tobytes() + which.tobytes() + b"".join(names)
-    many = np.flatnonzero(times > 1)
-    head = np.array([len(many), *many, *times[many]], np.uint32).tobytes()
+    sets: list[np.ndarray] = []
+    which = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if (k := known.get(text)) is None:
+            grams = shingles(text, size)
+            k = known[text] = place.setdefault(xxhash.xxh3_128_digest(grams.tobytes()), len(sets))
+            if k == len(sets):
+                sets.append(grams)
+        which[i] = k
+    return which, sets, list(place)
+
+
+def _send(docs: list[tuple], size: int, fragments: int, bits: int, number: int) -> pd.DataFrame:
+    """A block's n-grams by fragment, with their number of documents in it, and the block itself, which travels
+    with one of them. ``number`` counts the blocks of a task, so that equal blocks have names of their own."""
+    ids, absent = np.array([0 if d is None else d for d, _ in docs], np.int64), np.array([d is None for d, _ in docs], bool)
+    texts = [(t or "") for _, t in docs]
+    which, sets, _ = _sets(texts, size)
+    raw = [t.encode() for t in texts]
+    table = press(ids, absent, planes(np.array([len(t) for t in raw], np.int64)), b"".join(raw))
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
-    to = (grams >> (GRAM_BITS - bits)).astype(np.uint32)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange((1 << bits) + 1))
-    rows = [(block % (1 << bits), block, 1, table)]
-    for f in range(1 << bits):
-        own = order[cuts[f] : cuts[f + 1]]
-        if len(own):
-            counts = np.bincount(owner[own], minlength=len(first)).astype(np.uint32)
-            rows.append((f, block, 0, head + np.uint32(len(first)).tobytes() + counts.tobytes() + _packed(grams[own])))
+    keys, back = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_inverse=True)
+    times = np.bincount(which, minlength=len(sets))
+    held = np.bincount(back, np.repeat(times, [len(g) for g in sets]), len(keys)).astype(np.int64)
+    rows, cuts = [(block % fragments, block, 1, table)], range_cuts(keys, bits, fragments)
+    for f in range(fragments):
+        own = slice(cuts[f], cuts[f + 1])
+        if own.start < own.stop:
+            rows.append((f, block, 0, press(ascending(keys[own]), planes(held[own]))))
     return pd.DataFrame(rows, columns=["fragment", "block", "kind", "body"])
 
 
-def _open(body: bytes, at: int = 0) -> tuple[np.ndarray, int]:
-    """The numbers at a place, after their count, and where they end."""
-    n = int(np.frombuffer(body, np.uint32, 1, at)[0])
-    return np.frombuffer(body, np.uint32, n, at + 4), at + 4 + 4 * n
-
-
-def _open_sent(body: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each different set of a block the documents that hold it and its n-grams in this fragment; where these begin."""
-    m = int(np.frombuffer(body, np.uint32, 1)[0])
-    counts, at = _open(body, 4 + 8 * m)
-    times = np.ones(len(counts), np.int64)
-    times[np.frombuffer(body, np.uint32, m, 4)] = np.frombuffer(body, np.uint32, m, 4 + 4 * m)
-    return times, counts, at
+def _count_fragment(pdf: pd.DataFrame) -> pd.DataFrame:
+    """In how many documents each n-gram of a fragment is, answered to every block that has it."""
+    f = int(pdf.fragment.iloc[0])
+    out = [(f, r.block, 1, r.body) for r in pdf.itertuples() if r.kind == 1]
+    sent = [(r.block, *unpress(r.body)) for r in pdf.itertuples() if r.kind == 0]
+    if sent:
+        keys = [from_steps(k) for _, k, _ in sent]
+        own, back = np.unique(np.concatenate(keys), return_inverse=True)
+        held = np.bincount(back, np.concatenate([numbers(h) for *_, h in sent]), len(own)).astype(np.int64)
+        held = np.minimum(held, MOST)[back]
+        for (block, *_), part in zip(sent, np.split(held, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            out.append((f, block, 0, press(planes(part))))
+    return pd.DataFrame(out, columns=["fragment", "block", "kind", "body"])
 
 
-def _count_fragment(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """In how many documents each n-gram of a fragment is; those of two or more go back to their blocks."""
-    first = int(pdf.fragment.iloc[0]) >> (bits - 8)
-    out = [(r.block, -1, r.body) for r in pdf.itertuples() if r.kind == 1]
-    sent = [(r.block, *_open_sent(r.body), r.body) for r in pdf.itertuples() if r.kind == 0]
-    if sent:
-        grams = np.concatenate([_unpacked(body, at, (len(body) - at) // 5, first) for *_, at, body in sent])
-        held = np.concatenate([np.repeat(times, counts) for _, times, counts, _, _ in sent])
-        order = np.argsort(grams)
-        ordered = grams[order]
-        group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        df = np.empty(len(grams), np.uint16)  # it only orders n-grams: all above are alike
-        df[order] = np.minimum(np.bincount(group, held[order]), 65535)[group]
-        at = 0
-        for block, _, counts, _, _ in sent:
-            n = int(counts.sum())
-            own, number = grams[at : at + n], df[at : at + n]
-            keep = number >= 2
-            if keep.any():
-                kept = np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts)).astype(np.uint32)
-                out.append((block, first, np.uint32(len(counts)).tobytes() + kept.tobytes() + _packed(own[keep]) + number[keep].tobytes()))
-            at += n
-    return pd.DataFrame(out, columns=["block", "first", "body"])
-
-
-def _gather_block(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _gather_block(pdf: pd.DataFrame, size: int, bits: int, percent: int) -> pd.DataFrame:
     """The documents of a block. For one document of each set that could link: the n-grams that others
-    hold too, cut into fragments, and those that are in the prefix by (number of documents, hash)."""
-    table = next(r.body for r in pdf.itertuples() if r.first < 0)
-    n = int(np.frombuffer(table, np.uint32, 1)[0])
-    ids, absent = np.frombuffer(table, np.int64, n, 4), np.frombuffer(table, np.uint8, n, 4 + 8 * n)
-    sizes, which = np.frombuffer(table, np.uint32, n, 4 + 9 * n).astype(np.int64), np.frombuffer(table, np.uint32, n, 4 + 13 * n)
-    at, different = 4 + 17 * n, int(which.max()) + 1
-    grams, dfs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
-    for r in pdf.itertuples():
-        if r.first >= 0:
-            counts, begin = _open(r.body)
-            m = int(counts.sum())
-            grams.append(_unpacked(r.body, begin, m, r.first))
-            dfs.append(np.frombuffer(r.body, np.uint16, m, begin + 5 * m))
-            owners.append(np.repeat(np.arange(different), counts))
-    gram, df, owner = np.concatenate(grams), np.concatenate(dfs), np.concatenate(owners)
-    shared = np.bincount(owner, minlength=different)
-    able = (100 * shared[which] >= percent * sizes) & (sizes > 0) & (absent == 0)
+    hold too, in the global order and cut into its fragments, and how many of them are the prefix."""
+    ids, absent, lengths, raw = unpress(next(b for b, k in zip(pdf.body, pdf.kind, strict=True) if k == 1))
+    ids, absent = np.frombuffer(ids, np.int64), np.frombuffer(absent, bool)
+    ends = np.concatenate([[0], np.cumsum(numbers(lengths).astype(np.int64))]).tolist()
+    which, sets, names = _sets([raw[b:e].decode() for b, e in zip(ends, ends[1:], strict=False)], size)
+    sizes = np.array([len(g) for g in sets], np.int64)
+    gram, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, back = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
+    counted = [numbers(unpress(b)[0]) for b in pdf[pdf.kind == 0].sort_values("fragment").body]
+    df = (np.concatenate(counted) if counted else np.zeros(0, np.uint64))[back].astype(np.int64)
+    gram, df, owner = gram[df > 1], df[df > 1], owner[df > 1]
+    shared = np.bincount(owner, minlength=len(sets))
+    able = (100 * shared >= percent * sizes)[which] & (sizes[which] > 0) & ~absent
     by_id = np.flatnonzero(able)[np.argsort(ids[able], kind="stable")]
     speaks = set(by_id[np.unique(which[by_id], return_index=True)[1]].tolist())  # the smallest doc_id of each set
     order = np.lexsort((gram, df, owner))
-    gram, df, cuts = gram[order], df[order], np.concatenate([[0], np.cumsum(shared)]).tolist()
+    gram, df, cuts = gram[order].view(np.int64), df[order], np.concatenate([[0], np.cumsum(shared)]).tolist()
     rows = []
-    for i in range(n):
-        doc, size, name = (None if absent[i] else int(ids[i])), int(sizes[i]), table[at + 16 * i : at + 16 * i + 16]
+    for i, k in enumerate(which.tolist()):
+        doc, n = (None if absent[i] else int(ids[i])), int(sizes[k])
         if i in speaks:
-            own = gram[cuts[which[i]] : cuts[which[i] + 1]]
-            prefix = int(size - -(-percent * size // 100) + 1 - (size - len(own)))
-            ordered = np.sort(own)
-            weight = float(df[cuts[which[i]] : cuts[which[i] + 1]].sum(dtype=np.int64)) / size
-            rows.append((doc, size, name, len(own), weight, own[:prefix], *np.split(ordered, np.searchsorted(ordered, _EDGES))))
+            own, many = gram[cuts[k] : cuts[k + 1]], df[cuts[k] : cuts[k + 1]]
+            prefix = n - -(-percent * n // 100) + 1 - (n - len(own))
+            rows.append((doc, n, names[k], len(own), float(many.sum()) / n, prefix, *np.split(own, np.searchsorted(many, CUTS))))
         else:
-            rows.append((doc, size, name, None, None, None, *[None] * OVERLAP_FRAGMENTS))
+            rows.append((doc, n, names[k], None, None, None, *[None] * len(PARTS)))
     out = pd.DataFrame(rows, columns=["doc_id", "n", "class", "shared", "weight", "prefix", *PARTS], dtype=object)
-    return out.astype({"doc_id": "Int64", "n": "int64", "shared": "Int64", "weight": "Float64"})
+    return out.astype({"doc_id": "Int64", "n": "int64", "shared": "Int64", "weight": "Float64", "prefix": "Int64"})
 
 
-PARTS = [f"part{f}" for f in range(OVERLAP_FRAGMENTS)]
-DOCS = "doc_id long, n long, class binary, shared long, weight double, prefix array<long>, " + ", ".join(f"{p} array<long>" for p in PARTS)
+PARTS = [f"part{f}" for f in range(len(CUTS) + 1)]
+DOCS = "doc_id long, n long, class binary, shared long, weight double, prefix long, " + ", ".join(f"{p} array<long>" for p in PARTS)
 
 
 def able_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Every document with its set size and the name of its set; for those that could link to another, one
-    of each set in a block, the n-grams that others hold too, in fragments, and the prefix of the global order."""
-    bits = _bits(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of each set in a block, the n-grams that others hold too, in fragments of the global order, and the length of the prefix."""
+    total = text_bytes(docs)
+    fragments, bits = fragments_for(docs, total), min(64, max(32, total.bit_length() + SPARE_BITS))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, n, number = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.doc_id, batch.text, strict=True):
-                grams = shingles(text, size)
-                block.append((None if doc is None else int(doc), grams))
-                n += len(grams)
+                block.append((None if doc is None else int(doc), text))
+                n += len(text or "") // 6 + 1
                 if n >= BLOCK_GRAMS or len(block) >= BLOCK_DOCS:
-                    yield _send(block, bits, number)
+                    yield _send(block, size, fragments, bits, number)
                     block, n, number = [], 0, number + 1
         if block:
-            yield _send(block, bits, number)
+            yield _send(block, size, fragments, bits, number)
 
-    sent = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(send, "fragment int, block long, kind int, body binary")
-    counted = sent.groupBy("fragment").applyInPandas(lambda pdf: _count_fragment(pdf, bits), "block long, first int, body binary")
-    return counted.groupBy("block").applyInPandas(lambda pdf: _gather_block(pdf, percent), DOCS)
+    rows = "fragment int, block long, kind int, body binary"
+    sent = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(send, rows)
+    return sent.groupBy("fragment").applyInPandas(_count_fragment, rows).groupBy("block").applyInPandas(lambda pdf: _gather_block(pdf, size, bits, percent), DOCS)
 
 
 def _meet(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with a fragment of either set, once for each fragment."""
-    cut = sets.select("node", "n", F.posexplode(F.array(*PARTS)).alias("fragment", "segment"))
+    cut = sets.select("node", "n", F.posexplode(F.array(*PARTS)).alias("fragment", "segment"))  # empty ones as well
     left = cut.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("x"))
     right = cut.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("y"))
     return pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -232,18 +191,21 @@ def _reaches(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 _FACTS = ("node", "n", "shared", "component", "hub", "held")
 
 
-def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _across(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Pairs of rows of one key and different components, columns with _a and _b. For each key only the
-    rows outside of its largest component look for partners."""
+    rows outside of its largest component look for partners, and only among those near enough in size: rows
+    meet by key and class of size, the partner's being the same or one beside, so a key that very many hold is split."""
     sizes = rows.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy(*keys).agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rows = rows.join(mixed, keys).checkpoint()
+    step = F.lit(1.005 * 100 / percent)  # a little more than two linked sets can differ by
+    rows = rows.join(mixed, keys).withColumn("length", F.floor(F.log("n") / F.log(step)).cast("int")).checkpoint()
     keyed = [F.col(k).alias(f"key_{k}") for k in keys]
-    a = rows.where("component <> main").select(*keyed, *[F.col(c).alias(f"{c}_a") for c in _FACTS])
-    b = rows.select(*keyed, "main", *[F.col(c).alias(f"{c}_b") for c in _FACTS])
+    a = rows.where("component <> main").select(*keyed, F.col("length").alias("at"), *[F.col(c).alias(f"{c}_a") for c in _FACTS])
+    near = F.explode(F.array(*[F.col("length") + d for d in (-1, 0, 1)])).alias("near")
+    b = rows.select(*keyed, "main", near, *[F.col(c).alias(f"{c}_b") for c in _FACTS])
     once = (F.col("component_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     same = [a[f"key_{k}"] == b[f"key_{k}"] for k in keys]
-    return a.join(b, reduce(and_, same) & once & (F.col("component_a") != F.col("component_b"))).select(*[F.col(f"{c}_{x}") for x in "ab" for c in _FACTS])
+    return a.join(b, reduce(and_, same) & (a["at"] == b["near"]) & once & (F.col("component_a") != F.col("component_b"))).select(*[F.col(f"{c}_{x}") for x in "ab" for c in _FACTS])
 
 
 def _remaining(prefix: DataFrame, sets: DataFrame, known: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
@@ -256,10 +218,10 @@ def _remaining(prefix: DataFrame, sets: DataFrame, known: DataFrame, checked: Da
     facts = sets.select("node", "n", "shared").join(known, "node", "left").join(checked, "node", "left").select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "node").alias("hub"), F.coalesce("held", "shared").alias("held")).checkpoint()
     least = lambda c: F.least(f"{c}_a", f"{c}_b")
     reach = lambda most: _reaches(most, F.col("n_a"), F.col("n_b"), percent)
-    pairs = _across(prefix.select("gram", "node").join(facts, "node"), ["gram"])
+    pairs = _across(prefix.select("gram", "node").join(facts, "node"), ["gram"], percent)
     inside = pairs.where(reach(F.when(F.col("hub_a") == F.col("hub_b"), least("held")).otherwise(least("shared"))))
     other = _meet(checked.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets).select(F.col("a").alias("node"), F.explode(F.array_except("x", "y")).alias("gram"))
-    outside = _across(other.join(facts, "node"), ["hub", "gram"]).groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "held_a", "held_b")])
+    outside = _across(other.join(facts, "node"), ["hub", "gram"], percent).groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "held_a", "held_b")])
     outside = outside.where(reach(least("held") + F.col("k")))
     return inside.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(outside.select("node_a", "node_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -282,7 +244,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     every = able_documents(docs, size, percent).checkpoint()
     able = every.where("prefix IS NOT NULL")
     sets = able.groupBy("class").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "shared", "weight", "prefix", *PARTS)]).checkpoint()
-    prefix = sets.select("node", "n", "shared", "weight", F.explode("prefix").alias("gram"))
+    prefix = sets.select("node", "n", "shared", "weight", F.explode(F.slice(F.concat(*PARTS), F.lit(1), F.col("prefix").cast("int"))).alias("gram"))
 
     held = prefix.groupBy("gram").agg(F.max(F.struct("weight", "node", "n")).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
     near = _reaches(F.least("n", "best.n"), F.col("n"), F.col("best.n"), percent)

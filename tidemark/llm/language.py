@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SIZES, BUCKETS, DIMENSIONS, EPOCHS = (2, 3, 4), 1 << 16, 16, 6
 #: Labelled rows that train and calibrate, at most how many of each language, and rows of one step of descent.
 EXAMPLES, PER_LANGUAGE, BATCH = 2400, 600, 16
+#: Languages whose edges of the sample are broadcast; beyond it they are joined.
+BROADCAST_LANGUAGES = 100_000
 #: The part of the calibration texts that may be rejected.
 REJECTED = 0.001
 #: Every how many examples one more is made that is in no language, its length at most, and code points that it may be written in.
@@ -222,6 +224,7 @@ def sample(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LA
     if not len(cuts):
         return []
     edges = spark.createDataFrame([(k, int(v)) for k, v in cuts.items()], "lang string, edge long")
+    edges = F.broadcast(edges) if len(cuts) <= BROADCAST_LANGUAGES else edges  # a large language would be one task
     rows = labelled.join(edges, "lang").where(F.col("place") <= F.col("edge")).groupBy("lang", "place").agg(F.first("text").alias("text")).collect()
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.place))]
 

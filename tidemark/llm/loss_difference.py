@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packed import ascending, fragments_for, from_steps, numbers, planes, press, unpress
+from .packed import ascending, fragments_for, from_steps, numbers, planes, press, range_cuts, unpress
 
 #: Weight of the bigram estimate against the unigram one.
 BIGRAM = 0.7
@@ -56,12 +56,6 @@ def _read(batches: Iterator[pd.DataFrame], known) -> Iterator[tuple[int | None,
             yield doc, bool(flag), words(text)
 
 
-def _cuts(hashes: np.ndarray, fragments: int) -> np.ndarray:
-    """Where in sorted hashes each fragment begins, and the last ends: fragments are equal ranges of hashes."""
-    of = ((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(fragments)) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(fragments + 1, dtype=np.uint64))
-
-
 def _grams(names: np.ndarray, stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """The bigrams of a block of documents, whose words and marks are ``stream`` as places in ``names``.
 
@@ -107,7 +101,7 @@ def _send(held: list[tuple], fragments: int, number: int) -> pd.DataFrame:
     table = press(ids, absent, flag, planes(sizes), planes(every), planes(rank[stream]))
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
     rows = [(block % fragments, block, DOCUMENTS, table)]
-    cuts = [_cuts(x, fragments).tolist() for x in (names, grams)]
+    cuts = [range_cuts(x, HASH_BITS, fragments) for x in (names, grams)]
     for f in range(fragments):  # also where nothing is sent: each fragment answers with its totals
         parts = []
         for keys, counts, cut in ((names, one, cuts[0]), (grams, two, cuts[1])):

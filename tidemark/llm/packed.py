@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 FRAGMENT_BYTES = 256_000_000
 
 
-def fragments_for(docs: DataFrame, text: str = "text") -> int:
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def fragments_for(docs: DataFrame, total: int | None = None) -> int:
     """So many fragments that none has the numbers of more than about FRAGMENT_BYTES of text, and twice the
     session's shuffle partitions at least."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = text_bytes(docs) if total is None else total
     return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
 
 
+def range_cuts(hashes: np.ndarray, bits: int, fragments: int) -> list[int]:
+    """Where in sorted hashes of so many bits each fragment begins, and the last ends: fragments are equal ranges of hashes."""
+    of = ((hashes >> np.uint64(bits - 32)) * np.uint64(fragments)) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(fragments + 1, dtype=np.uint64)).tolist()
+
+
 def press(*parts: np.ndarray | bytes) -> bytes:
     """Arrays and bytes, each compressed with its length in front."""
     body = b"".join(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in parts)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import ascending, fragments_for, from_steps, numbers, planes, press, unpress
+from .packed import ascending, fragments_for, from_steps, numbers, planes, press, range_cuts, unpress
 
 LENGTH, ANCHOR = 200, 64
 #: Tiles asked about at once, tiles sorted into one run, and windows of a text that are tiled at once.
@@ -71,11 +71,6 @@ def tiles(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _TILE)
 
 
-def _cuts(hashes: np.ndarray, fragments: int) -> list[int]:
-    """Where in sorted hashes each fragment begins, and the last ends: fragments are equal ranges of hashes."""
-    return np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64)).tolist()
-
-
 #: Kinds of rows: anchors of a block, and the tiles that have them.
 ANCHORS, TILES = 0, 1
 
@@ -89,7 +84,7 @@ def _ask(held: list[tuple[int, int, np.ndarray]], fragments: int, number: int) -
     keys = np.array([h[:2] for h in held], np.int64)
     table = press(keys, planes(lengths), planes(own["start"]), own["before"], own["windows"], planes(which))
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
-    rows, cuts = [(block % fragments, block, TILES, table)], _cuts(anchors, fragments)
+    rows, cuts = [(block % fragments, block, TILES, table)], range_cuts(anchors, 64, fragments)
     for f in range(fragments):
         part = slice(cuts[f], cuts[f + 1])
         if part.start < part.stop:
