@@ -143,7 +143,7 @@ _COMMON = "mid, uid, is_new, vc, ch, ar"
 
 def all_queries() -> dict[str, str]:
     click, buy = ("SELECT user_id id, event_id, ts FROM events WHERE event_type = '%s'" % t for t in ("click", "purchase"))
-    few = "(SELECT c_custkey id, c_name FROM customer WHERE c_custkey % 3 = 0)", "(SELECT s_suppkey id, s_name FROM supplier)"
+    few = "(SELECT c_custkey id, c_name FROM customer)", "(SELECT s_suppkey * 31 id, s_name FROM supplier)"
     demo = lambda how: f"SELECT a.id id_l, c_name, b.id id_r, s_name FROM {few[0]} a {how} JOIN {few[1]} b ON a.id = b.id"
     coupon = "id, CAST(k % 7 AS VARCHAR) coupon_id, uid user_id"
     return {

@@ -71,8 +71,8 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
 
 def _demo(how: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        a = A.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id_l"), "c_name")
-        b = A.table(s, d, "supplier").select(F.col("s_suppkey").alias("id_r"), "s_name")
+        a = A.table(s, d, "customer").select(F.col("c_custkey").alias("id_l"), "c_name")
+        b = A.table(s, d, "supplier").select((F.col("s_suppkey") * 31).alias("id_r"), "s_name")
         return a.join(b, F.col("id_l") == F.col("id_r"), how)
 
     return run
