@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import LOG
 
 
+def from_json_once(value: str, schema: T.StructType, options: dict[str, str] | None = None) -> Column:
+    """A parsed message as the only row of a generator: filters on its fields stay above it, so each message is parsed once."""
+    return F.explode(F.array(F.from_json(value, schema, options or {})))
+
+
 def parse_logs(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Messages that are JSON objects, parsed, and all others as they came."""
-    whole = F.coalesce(F.trim(F.col(value)), F.lit(""))
-    good = whole.startswith("{") & F.try_parse_json(whole).isNotNull()
-    return raw.where(good).withColumn("log", F.from_json(value, LOG)), raw.where(~good)
+    names = raw.columns
+    parsed = raw.withColumn("log", from_json_once(value, T.StructType([*LOG.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"}))
+    # Where a field has another type, too, Spark says that the record is corrupt; then only the text itself can tell.
+    valid = F.col("log").isNotNull() & (F.col("log._bad").isNull() | F.try_parse_json(value).isNotNull())
+    good = F.coalesce(F.ltrim(F.col(value)), F.lit("")).startswith("{") & valid
+    return parsed.where(good), parsed.where(~good).select(*names)
 
 
 def split_logs(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -21,7 +30,7 @@ def split_logs(parsed: DataFrame) -> dict[str, DataFrame]:
     Start and page logs lose ``err``; pages also lose displays and actions, which become rows
     with the log's common part, page and time.
     """
-    log = parsed.select("log.*")
+    log = parsed.select("log.*").drop("_bad")
     start, page = log.where("start IS NOT NULL"), log.where("start IS NULL")
     acts = F.coalesce("actions", "action")
     return {
@@ -36,9 +45,10 @@ def split_logs(parsed: DataFrame) -> dict[str, DataFrame]:
 def route_dimensions(changes: DataFrame, config: DataFrame) -> DataFrame:
     """Inserts and updates of configured tables with their sink table, key and the columns to keep.
 
-    The configuration is a handful of rows by its nature, one for a source table. Tables without one, and deletes, are dropped.
+    The configuration is one row for a source table; Spark broadcasts it where it knows it to be small. Tables without one, and
+    deletes, are dropped.
     """
-    known = F.broadcast(config.select("source_table", "sink_table", "sink_columns", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk")))
+    known = config.select("source_table", "sink_table", "sink_columns", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk"))
     wanted = F.split("sink_columns", ",")
     rows = changes.where(F.col("type").isin("insert", "update", "bootstrap-insert")).join(known, changes["table"] == F.col("source_table"))
     kept = F.map_filter("data", lambda k, _: F.array_contains(wanted, k))

@@ -16,8 +16,10 @@ def arrivals(details: DataFrame, seconds: int = 3) -> DataFrame:
 
     ``row_op`` orders the deliveries of a line.
     """
-    later = details.withColumn("split_total_amount", (money("split_total_amount") + 1).cast("decimal(18,2)").cast("string"))
-    return details.withColumn("row_op", F.lit(0)).unionByName(later.withColumn("row_op", F.lit(seconds)))
+    later = (money("split_total_amount") + 1).cast("decimal(18,2)").cast("string")
+    delivery = lambda op, amount: F.struct(F.lit(op).alias("row_op"), amount.alias("split_total_amount"))
+    both = details.withColumn("_d", F.explode(F.array(delivery(0, F.col("split_total_amount")), delivery(seconds, later))))
+    return both.select(*[F.col("_d.split_total_amount") if c == "split_total_amount" else F.col(c) for c in details.columns], "_d.row_op")
 
 
 def keep_first(rows: DataFrame, key: str = "id") -> DataFrame:

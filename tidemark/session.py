@@ -8,12 +8,14 @@ from pyspark.sql import SparkSession
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution with skewed-join splitting, and the RocksDB state store for streams.
 
-    Nothing here sizes partitions: adaptive execution merges and splits them by what was written.
+    Facts read single keys of the maps that change data comes in; with inlined projections the optimizer replaces such
+    a lookup by the value itself where an adapter has built the map. Nothing here sizes partitions: adaptive execution merges and splits them by what was written.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.optimizer.collapseProjectAlwaysInline": "true",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
     }

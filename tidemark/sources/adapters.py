@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import stamp
 from ..schemas import CONFIG, DICTIONARY
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows of text whose size the planner knows."""
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return spark.createDataFrame(pa.table({f.name: pa.array(list(c), pa.string()) for f, c in zip(schema, columns, strict=True)}))
+
+
 def _text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -141,7 +149,7 @@ def dimension_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routes(spark: SparkSession) -> DataFrame:
     rows = [("nation", "dim_base_province", "id,name", "id", None), ("customer", "dim_user_info", "id,name,parent_id", None, None)]
-    return spark.createDataFrame(rows, CONFIG)
+    return local_table(spark, rows, CONFIG)
 
 
 #: Codes and names of the dictionary that the adapters use.
@@ -155,7 +163,7 @@ DICTIONARY_ROWS = [
 
 
 def base_dic(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DICTIONARY_ROWS, DICTIONARY)
+    return local_table(spark, DICTIONARY_ROWS, DICTIONARY)
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
