@@ -7,12 +7,13 @@ from tests.compare import from_spark
 from tidemark.functions.scalars import latest_of, snake_to_camel, to_millis
 from tidemark.functions.tokens import register_splitter
 from tidemark.operators.enrich import enrich
+from tidemark.operators.enrich import lookup as enrich_by_dictionary
 from tidemark.operators.joins import interval_join, window_join
 from tidemark.operators.route import parse_logs, route_dimensions, split_logs
-from tidemark.operators.upsert import latest_per_key, read_upserts, upsert_parquet
+from tidemark.operators.upsert import compact_upserts, latest_per_key, read_upserts, upsert_parquet
 from tidemark.plans import facts, serving, trade
 from tidemark.schemas import CDC, CONFIG, DICTIONARY
-from tidemark.sources.connectors import config_from_changes, create_dimension, demo_lines, to_messages
+from tidemark.sources.connectors import Lookup, as_texts, config_from_changes, create_dimension, demo_lines, jdbc_sink, jdbc_table, to_messages
 
 
 def change(table, kind, data, old=None, ts="1704067200", database="shop"):
@@ -105,21 +106,54 @@ def test_config_changes(spark):
 
 
 def test_created_dimension_and_upserts(spark, tmp_path):
-    create_dimension(spark, "dim_test", "id,name,id", None, f"{tmp_path}/dim")
+    create_dimension(spark, "dim_test", "id,name,id", None, "TBLPROPERTIES ('made' = 'yes')", f"{tmp_path}/dim")
+    assert spark.sql("SHOW TBLPROPERTIES dim_test ('made')").first().value == "yes"
+    for broken in (("dim_x", " , "), ("", "id")):
+        with pytest.raises(ValueError):
+            create_dimension(spark, *broken)
     assert spark.table("dim_test").columns == ["id", "name"]
     make = lambda rows: spark.createDataFrame(rows, "k string, v string, t int")
     upsert_parquet(spark, make([("a", "1", 1), ("a", "2", 2), ("b", None, 1)]), f"{tmp_path}/u", ["k"], ["t"], 0)
     upsert_parquet(spark, make([("b", "9", 2), ("a", "old", 1)]), f"{tmp_path}/u", ["k"], ["t"], 1)
     upsert_parquet(spark, make([("b", "9", 2), ("a", "old", 1)]), f"{tmp_path}/u", ["k"], ["t"], 1)
     assert {r.k: r.v for r in read_upserts(spark, f"{tmp_path}/u", ["k"], ["t"]).collect()} == {"a": "2", "b": "9"}
+    compact_upserts(spark, f"{tmp_path}/u", ["k"], ["t"])
+    upsert_parquet(spark, make([("b", "8", 3)]), f"{tmp_path}/u", ["k"], ["t"], 2)
+    read = read_upserts(spark, f"{tmp_path}/u", ["k"], ["t"])
+    assert {r.k: r.v for r in read.collect()} == {"a": "2", "b": "8"}
+    assert {f.split("/kind=")[1].split("/part")[0] for f in read.inputFiles()} >= {"base/batch=1", "batch/batch=2"}
     assert latest_per_key(make([]), ["k"], ["t"]).count() == 0
 
 
+def test_database_lookup_and_sink(spark):
+    url = "jdbc:derby:memory:shop;create=true"
+    make = lambda rows: spark.createDataFrame(rows, "dic_code string, dic_name string, n int, extra array<string>")
+    jdbc_sink(make([("1", "one", 1, ["x"]), ("2", "two", 2, [])]), url, "DIC", ["dic_code", "dic_name", "n"])
+    now = [0.0]
+    lookup_table = Lookup(lambda: jdbc_table(spark, url, "DIC"), 3600, lambda: now[0])
+    assert sorted(r[0] for r in lookup_table().collect()) == ["1", "2"] and lookup_table().columns == ["dic_code", "dic_name", "n"]
+    jdbc_sink(make([("3", "three", 3, None)]), url, "DIC", ["dic_code", "dic_name", "n"])
+    assert lookup_table().count() == 2
+    now[0] = 3600.0
+    assert lookup_table().count() == 3
+    jdbc_sink(make([("4", "four", 4, None)]), url, "DIC", ["dic_code", "dic_name", "n"])
+    lookup_table.forget()
+    assert lookup_table().count() == 4
+    parts = jdbc_table(spark, url, "DIC", ("n", 1, 5, 2))
+    assert parts.rdd.getNumPartitions() == 2 and parts.count() == 4
+    rows = spark.createDataFrame([("1", "a"), ("9", "b")], "code string, v string")
+    assert [(r.v, r.name) for r in enrich_by_dictionary(rows, lookup_table(), "code", "name").collect()] == [("a", "one")]
+    lookup_table.forget()
+
+
 def test_time_joins(spark):
     rows = lambda xs: demo_lines(spark.createDataFrame([(x,) for x in xs], "value string"))
     a, b = rows(["1,a,100", "1,b,107", "2,c,100"]), rows(["1,x,105", "1,y,106", "1,z,94", "2,w,95", "bad"])
     near = interval_join(a, b, "id", "ts", 5).select("name_l", "name_r")
     assert sorted(map(tuple, near.collect())) == [("a", "x"), ("b", "x"), ("b", "y"), ("c", "w")]
+    for how in ("left", "right", "full_outer"):
+        slow = a.toDF("i", "n", "t").join(b.toDF("id", "name", "ts"), F.expr("i = id AND ts BETWEEN t - INTERVAL 5 SECONDS AND t + INTERVAL 5 SECONDS"), how).select("n", "name")
+        assert sorted(map(tuple, interval_join(a, b, "id", "ts", 5, how).select("name_l", "name_r").collect()), key=str) == sorted(map(tuple, slow.collect()), key=str)
     same = window_join(a, b, "id", "ts", "5 seconds").select("name_l", "name_r")
     assert sorted(map(tuple, same.collect())) == [("b", "x"), ("b", "y")]
 
@@ -149,6 +183,8 @@ def test_messages_and_names(spark):
     rows = spark.createDataFrame([("1", None)], "id string, v string")
     got = to_messages(rows, ["id"]).first()
     assert json.loads(got.key) == {"id": "1"} and json.loads(got.value) == {"id": "1", "v": None}
+    records = spark.createDataFrame([(bytearray(b"k"), bytearray("é".encode())), (None, None)], "key binary, value binary")
+    assert [tuple(r) for r in as_texts(records).collect()] == [("é", "k"), ("", None)]
     assert snake_to_camel("TM_NAME") == "tmName"
     assert spark.sql("SELECT '2024-01-01' a").select(to_millis(F.col("a")).alias("x")).first().x == 1704067200000
 

@@ -67,6 +67,61 @@ def test_windows_equal_batch(spark, page_files, tmp_path):
     assert sorted(map(tuple, got.select("stt", "ch", "n", "people").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row behind the watermark is in no window; one within it still counts. Rows are held against the watermark of two batches before."""
+    base = datetime(2024, 1, 1)
+    for i, seconds in enumerate(([0, 30], [29], [5, 28], [60])):
+        spark.createDataFrame([(base + timedelta(seconds=x),) for x in seconds], "rt timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    rows = spark.readStream.schema("rt timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = gather(spark, runners.windowed(rows, "rt", [], [F.count(F.lit(1)).alias("n")]), tmp_path)
+    assert sorted((r.stt.minute * 60 + r.stt.second, r.n) for r in got.collect()) == [(0, 1), (20, 2), (30, 1)]
+
+
+def test_first_delivery_on_a_stream(spark, tmp_path):
+    from tidemark.streaming.joins import first_per_key
+
+    rows = [("a", 1, datetime(2024, 1, 1, 0, 0, 1)), ("b", 1, datetime(2024, 1, 1, 0, 0, 2))], [("a", 2, datetime(2024, 1, 1, 0, 0, 3))]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "id string, v int, et timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema("id string, v int, et timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    assert sorted((r.id, r.v) for r in gather(spark, first_per_key(source, "id"), tmp_path).collect()) == [("a", 1), ("b", 1)]
+
+
+def test_socket_lines_and_console(spark, tmp_path):
+    """Lines of a socket as id, name and time; each batch is shown."""
+    import socket
+    import threading
+
+    from tidemark.sources.connectors import demo_lines, socket_stream, text_stream
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        while True:
+            try:
+                client, _ = server.accept()
+            except OSError:
+                return
+            client.sendall(b"1,ann,100\n2,bob,107\n")
+
+    threading.Thread(target=serve, daemon=True).start()
+    rows = demo_lines(socket_stream(spark, "127.0.0.1", server.getsockname()[1]))
+    query = rows.writeStream.format("memory").queryName("socket_lines").option("checkpointLocation", f"{tmp_path}/s").start()
+    try:
+        for _ in range(60):
+            got = sorted((r.id, r.name) for r in spark.table("socket_lines").collect())
+            if len(got) == 2:
+                break
+            query.awaitTermination(0.5)
+        assert got == [(1, "ann"), (2, "bob")]
+    finally:
+        query.stop()
+        server.close()
+    spark.createDataFrame([("3,cat,5",)], "value string").write.text(f"{tmp_path}/lines")
+    query = runners.console(demo_lines(text_stream(spark, f"{tmp_path}/lines")), f"{tmp_path}/c")
+    assert sum(p.numInputRows for p in query.recentProgress) == 1  # what it shows is on the JVM's own output
+
+
 def test_log_fan_out(spark, sf_dir, tmp_path):
     A.raw_log(spark, sf_dir).select("value").repartition(2).write.text(f"{tmp_path}/in")
     runners.fan_out_logs(spark.readStream.text(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
@@ -78,7 +133,9 @@ def test_routed_tables(spark, sf_dir, tmp_path):
     changes = A.dimension_changes(spark, sf_dir)
     changes.write.json(f"{tmp_path}/in")
     rows = spark.readStream.schema(changes.schema).json(f"{tmp_path}/in")
-    runners.route_to_tables(rows, lambda: A.routes(spark), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    told = []
+    runners.route_to_tables(rows, lambda: A.routes(spark), f"{tmp_path}/out", f"{tmp_path}/checkpoint", told.append)
+    assert sorted(told) == ["dim_base_province", "dim_user_info"]
     got = {t: read_upserts(spark, f"{tmp_path}/out/{t}", ["pk"], ["ts"]).count() for t in ("dim_base_province", "dim_user_info")}
     want = {r.sink_table: r.n for r in route_dimensions(changes, A.routes(spark)).groupBy("sink_table").agg(F.countDistinct("pk").alias("n")).collect()}
     assert got == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -27,10 +27,6 @@ def time_of(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit(STAMP)).cast("timestamp_ntz")
 
 
-def from_millis(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
-
-
 def seconds_time(ms: Column) -> Column:
     """Whole seconds of a count of milliseconds, as a time."""
     return F.timestamp_seconds(F.floor(ms / 1000))
@@ -60,11 +56,26 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0).cast("long")
 
 
+def instant(text: Column) -> Column:
+    """A time of text with any number of fraction digits; what is no time comes before all others."""
+    return F.coalesce(F.try_to_timestamp(text), F.lit("0001-01-01").cast("timestamp"))
+
+
 def latest_of(a: Column, b: Column) -> Column:
     """The later of two times in text, compared as times whatever their fraction digits."""
-    return F.when(F.try_to_timestamp(a) >= F.coalesce(F.try_to_timestamp(b), F.lit("0001-01-01").cast("timestamp")), a).otherwise(b)
+    return F.when(instant(a) >= instant(b), a).otherwise(b)
 
 
 def snake_to_camel(name: str) -> str:
     first, *rest = name.lower().split("_")
     return first + "".join(w.capitalize() for w in rest)
+
+
+def as_beans(rows: DataFrame) -> DataFrame:
+    """The same rows with names in camel case, as services want them."""
+    return rows.toDF(*[snake_to_camel(c) for c in rows.columns])
+
+
+def stamped(rows: DataFrame, as_of_ms: int) -> DataFrame:
+    """Rows with ``ts``, the wall clock in ms at which they were made; it is a parameter, so that a run can be repeated."""
+    return rows.withColumn("ts", F.lit(as_of_ms).cast("long"))

@@ -9,19 +9,26 @@ from pyspark.sql import functions as F
 def interval_join(left: DataFrame, right: DataFrame, key: str, time: str, seconds: int = 5, how: str = "inner") -> DataFrame:
     """Pairs of one key whose times differ by at most ``seconds``. Columns get the suffixes _l and _r.
 
-    Rows of a batch meet by (key, slice of time), the right side in the three slices that can reach,
-    so a key with many rows spreads over its slices. Streams join by key and range, which bounds their state.
+    Rows of a batch meet by (key, slice of time), one side in the three slices that can reach,
+    so a key with many rows spreads over its slices; what an outer join adds are the rows of a side that none of the other meets, found in the
+    same way. Streams join by key and range, which bounds their state.
     """
     a = left.select(*[F.col(c).alias(f"{c}_l") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns])
     span = F.expr(f"INTERVAL {seconds} SECONDS")
     near = (F.col(f"{time}_r") >= F.col(f"{time}_l") - span) & (F.col(f"{time}_r") <= F.col(f"{time}_l") + span)
     same = F.col(f"{key}_l") == F.col(f"{key}_r")
-    if left.isStreaming or right.isStreaming or how != "inner" or seconds <= 0:
+    if left.isStreaming or right.isStreaming or seconds <= 0:
         return a.join(b, same & near, how)
-    a = a.withColumn("_s", _slice(f"{time}_l", seconds))
-    b = b.withColumn("_t", F.explode(F.array(*[_slice(f"{time}_r", seconds) + i for i in (-1, 0, 1)])))
-    return a.join(b, same & (F.col("_s") == F.col("_t")) & near, how).drop("_s", "_t")
+    once = lambda rows, x: rows.withColumn("_s", _slice(f"{time}_{x}", seconds))
+    thrice = lambda rows, x: rows.withColumn("_t", F.explode(F.array(*[_slice(f"{time}_{x}", seconds) + i for i in (-1, 0, 1)])))
+    meets = same & (F.col("_s") == F.col("_t")) & near
+    out = once(a, "l").join(thrice(b, "r"), meets).drop("_s", "_t")
+    if how in ("left", "left_outer", "full", "full_outer", "outer"):
+        out = out.unionByName(once(a, "l").join(thrice(b, "r"), meets, "left_anti").drop("_s"), allowMissingColumns=True)
+    if how in ("right", "right_outer", "full", "full_outer", "outer"):
+        out = out.unionByName(once(b, "r").join(thrice(a, "l"), meets, "left_anti").drop("_s"), allowMissingColumns=True)
+    return out
 
 
 def _slice(time: str, seconds: int) -> Column:

@@ -14,13 +14,34 @@ def latest_per_key(rows: DataFrame, keys: list[str], version: list[str]) -> Data
 
 
 def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], version: list[str], batch_id: int) -> None:
-    """Writes a batch's latest rows as the version directory ``batch=<id>``; a repeated batch overwrites itself.
+    """Writes a batch's latest rows as the directory ``kind=batch/batch=<id>``; a repeated batch overwrites itself.
 
-    :func:`read_upserts` gives the table. Old versions are removed by writing a compacted copy elsewhere.
+    :func:`read_upserts` gives the table, and :func:`compact_upserts` keeps it from rereading every version.
     """
-    latest_per_key(batch, keys, version).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    latest_per_key(batch, keys, version).write.mode("overwrite").parquet(f"{path}/kind=batch/batch={batch_id}")
+
+
+def compact_upserts(spark: SparkSession, path: str, keys: list[str], version: list[str]) -> None:
+    """Writes what all batches so far leave as ``kind=base/batch=<the last of them>``; from then on they are not read.
+
+    A compaction that is run again replaces itself. What it replaces may be removed when no reader uses it any more.
+    """
+    rows = _unread(spark, path)
+    last = rows.agg(F.max("batch")).first()[0]
+    _latest(rows, keys, version).write.mode("overwrite").parquet(f"{path}/kind=base/batch={last}")
+
+
+def _unread(spark: SparkSession, path: str) -> DataFrame:
+    """The last base and the batches after it, by their directories alone."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    base = rows.where("kind = 'base'").agg(F.max("batch")).first()[0]
+    return rows if base is None else rows.where(((F.col("kind") == "base") & (F.col("batch") == base)) | ((F.col("kind") == "batch") & (F.col("batch") > base)))
+
+
+def _latest(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    return latest_per_key(rows.drop("kind"), keys, [*version, "batch"]).drop("batch")
 
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str], version: list[str]) -> DataFrame:
     """The table; of equal versions the later batch wins."""
-    return latest_per_key(spark.read.parquet(path), keys, [*version, "batch"]).drop("batch")
+    return _latest(_unread(spark, path), keys, version)

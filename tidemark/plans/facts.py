@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import day_of
 from ..operators.enrich import lookup
+from ..schemas import strings
 
 
 def changes(db: DataFrame, table: str, kind: str | None = None, database: str | None = None) -> DataFrame:
@@ -69,6 +70,7 @@ def cart_add(db: DataFrame, dic: DataFrame) -> DataFrame:
     return _final(rows, "id user_id sku_id cart_price sku_num sku_name is_checked create_time operate_time is_ordered order_time source_type_id source_type_name source_id")
 
 
+# The names of the columns of the change data and of the topics.
 ORDER = "consignee consignee_tel total_amount order_status user_id payment_way delivery_address order_comment out_trade_no trade_body operate_time expire_time process_status tracking_no parent_order_id province_id activity_reduce_amount coupon_reduce_amount original_total_amount feight_fee feight_fee_reduce refundable_time"
 DETAIL = "id order_id sku_id sku_name order_price sku_num create_time source_id split_total_amount split_activity_amount split_coupon_amount"
 
@@ -87,6 +89,10 @@ def order_pre_process(db: DataFrame, dic: DataFrame) -> DataFrame:
 ORDER_DETAIL = "id order_id user_id sku_id sku_name sku_num order_price province_id activity_id activity_rule_id coupon_id create_time source_id source_type_id source_type_name split_activity_amount split_coupon_amount split_total_amount"
 
 
+#: The topic of order lines: all columns are text.
+DETAIL_TOPIC = strings(*ORDER_DETAIL.split())
+
+
 def order_detail(wide: DataFrame) -> DataFrame:
     return _final(wide.where("type = 'insert'"), ORDER_DETAIL)
 

@@ -146,6 +146,18 @@ def all_queries() -> dict[str, str]:
     few = "(SELECT c_custkey id, c_name FROM customer)", "(SELECT s_suppkey * 31 id, s_name FROM supplier)"
     demo = lambda how: f"SELECT a.id id_l, c_name, b.id id_r, s_name FROM {few[0]} a {how} JOIN {few[1]} b ON a.id = b.id"
     coupon = "id, CAST(k % 7 AS VARCHAR) coupon_id, uid user_id"
+    keyword = query("pages", f"""SELECT {ends('rt', '1 hour')}, 'search' source, keyword, count(*) keyword_count FROM (
+          SELECT rt, unnest(regexp_extract_all(lower(item), '([a-z0-9]+)', 1)) keyword FROM pages WHERE item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword') GROUP BY ALL""")
+    register = query("kv", f"SELECT {ends('ts')}, count(*) register_ct FROM kv WHERE event_type = 'signup' GROUP BY ALL")
+    carts = query("carts", f"""SELECT {ends('strptime(t, ' + S + ')')}, count(*) cart_add_uu_ct FROM (
+          SELECT * FROM (SELECT *, coalesce(operate_time, create_time) t FROM carts) QUALIFY row_number() OVER (PARTITION BY user_id, t[1:10] ORDER BY t, id) = 1) GROUP BY ALL""")
+    coupon_get = query("kv", f"SELECT {coupon}, at_s[1:10] date_id, at_s get_time, ts_s ts FROM kv WHERE event_type = 'click'")
+    favor_add = query("kv", "SELECT id, uid user_id, CAST(k AS VARCHAR) sku_id, at_s[1:10] date_id, at_s create_time, ts_s ts FROM kv WHERE event_type = 'view'")
+    dim_route = """SELECT * FROM (
+          SELECT 'dim_base_province' sink_table, CAST(n_nationkey AS VARCHAR) pk, 'id=' || n_nationkey || ',name=' || n_name "row", CAST(n_nationkey AS BIGINT) k FROM nation UNION ALL
+          SELECT 'dim_user_info', CAST(c_custkey AS VARCHAR), 'id=' || c_custkey || ',name=' || c_name || ',parent_id=' || c_nationkey, c_custkey FROM customer) WHERE k % 4 <> 3""".replace("SELECT * FROM (", 'SELECT sink_table, pk, "row" FROM (', 1)
+    on_day = "CAST(rt AS DATE) = DATE '2024-01-15'"
+    channels = query("pages uv jumps", f"SELECT ch, {_n('uv')} uv, {_n('uj')} uj_ct FROM (SELECT ch, 1 uv, 0 uj FROM uv WHERE {on_day} UNION ALL SELECT ch, 0, 1 FROM jumps WHERE {on_day} UNION ALL SELECT ch, 0, 0 FROM pages WHERE {on_day}) GROUP BY ch")
     return {
         "traffic_page_view_window": traffic("10 seconds", 10_000),
         "traffic_page_view_day": traffic("1 day", 3_600_000),
@@ -155,28 +167,52 @@ def all_queries() -> dict[str, str]:
         "user_jump_detail_wide": query("jumps", "SELECT mid, seq, ts, page_id FROM jumps", 3 * 3_600_000),
         "traffic_home_detail_uv": home_detail("10 seconds"),
         "user_login_window": login("10 seconds"),
-        "user_register_window": query("kv", f"SELECT {ends('ts')}, count(*) register_ct FROM kv WHERE event_type = 'signup' GROUP BY ALL"),
-        "keyword_window": query("pages", f"""SELECT {ends('rt', '1 hour')}, 'search' source, keyword, count(*) keyword_count FROM (
-          SELECT rt, unnest(regexp_extract_all(lower(item), '([a-z0-9]+)', 1)) keyword FROM pages WHERE item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword') GROUP BY ALL"""),
-        "keyword_window_udtf": query("pages", f"""SELECT {ends('rt', '1 hour')}, 'search' source, keyword, count(*) keyword_count FROM (
-          SELECT rt, unnest(regexp_extract_all(lower(item), '([a-z0-9]+)', 1)) keyword FROM pages WHERE item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword') GROUP BY ALL"""),
+        "user_register_window": register,
+        "keyword_window": keyword,
+        "keyword_window_udtf": keyword,
         "stream_visitor_is_new_fix": query("pages", "SELECT mid, seq, ts, is_new FROM pages"),
         "stream_unique_visitor_days": query("uv", "SELECT mid, strftime(rt, '%Y-%m-%d') AS \"day\" FROM uv"),
+        "stream_traffic_window": traffic("10 seconds", 10_000),
+        "stream_home_detail_window": home_detail("10 seconds"),
+        "stream_login_window": login("10 seconds"),
+        "stream_keyword_window": keyword,
+        "stream_register_window": register,
+        "stream_cart_add_window": carts,
+        "stream_order_window": order_window("10 seconds"),
+        "stream_province_window": province("10 seconds"),
+        "stream_full_join": f"SELECT a.id id_l, a.event_id event_id_l, b.id id_r, b.event_id event_id_r FROM ({click}) a FULL OUTER JOIN ({buy}) b ON a.id = b.id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR",
+        "stream_coupon_messages": coupon_get,
+        "stream_detail_messages": query("details", "SELECT * FROM details"),
+        "stream_exactly_once": favor_add,
+        "stream_log_pages": query("raw", f"SELECT {_COMMON}, page_id, last_page_id, item, item_type, during_time, ts FROM raw WHERE {_OK} AND event_type <> 'signup'"),
+        "stream_routed_tables": dim_route,
+        "created_tables": "SELECT * FROM (VALUES ('dim_base_province', 0, 'id'), ('dim_base_province', 1, 'name'), ('dim_user_info', 0, 'id'), ('dim_user_info', 1, 'name'), ('dim_user_info', 2, 'parent_id')) t(sink_table, place, name)",
+        "window_join_short": f"SELECT a.id id_l, CAST(a.event_id AS VARCHAR) name_l, CAST(b.event_id AS VARCHAR) name_r, (epoch_us(a.ts) // 3600000000) * 5 begins FROM ({click}) a JOIN ({buy}) b ON a.id = b.id AND epoch_us(a.ts) // 3600000000 = epoch_us(b.ts) // 3600000000",
+        "gmv_on_day": query("latest", f"SELECT {_d('split_total_amount')} order_amount FROM latest WHERE create_time[1:10] = '1996-01-15'"),
+        "uv_on_day": channels,
+        "channel_chart": f"""SELECT '{{"status":0,"msg":"","data":{{"categories":[' || coalesce(string_agg('"' || ch || '"', ',' ORDER BY uv DESC, ch), '') || '],"series":[{{"name":"visitors","data":[' || coalesce(string_agg(CAST(uv AS VARCHAR), ',' ORDER BY uv DESC, ch), '')
+          || ']}},{{"name":"bounces","data":[' || coalesce(string_agg(CAST(uj_ct AS VARCHAR), ',' ORDER BY uv DESC, ch), '') || ']}}]}}}}' body FROM ({channels})""",
+        "order_window_stamped": f"SELECT *, CAST(1704067200000 AS BIGINT) ts FROM ({order_window('10 seconds')})",
+        "dedup_latest_by_time": query("latest", "SELECT id, split_total_amount, regexp_replace(strftime(TIMESTAMP '2024-01-01 00:00:03' + INTERVAL (length(id) % 10 * 20) MILLISECOND, '%Y-%m-%d %H:%M:%S.%g') || 'Z', '0{1,2}Z$', 'Z') row_op_ts FROM latest"),
+        "province_beans": f'SELECT stt, edt, province_id AS "provinceId", order_ct AS "orderCt", order_amount AS "orderAmount", province_name AS "provinceName" FROM ({province("10 seconds")})',
+        "config_routes": "SELECT n_name source_table, CASE WHEN n_nationkey % 3 = 1 THEN 'dim_new_' ELSE 'dim_' END || n_nationkey sink_table, 'id,name' sink_columns FROM nation WHERE n_nationkey % 3 <> 2",
+        "order_times": f"""SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 * 1000 ms, epoch_us(date_trunc('day', o_orderdate)) // 1000 day_ms, strftime(o_orderdate, {S}) "second",
+          strftime(o_orderdate, {S}) || CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '.04' END "later" FROM orders""",
+        "upsert_payments": query("paid", "SELECT order_detail_id, order_id, CASE WHEN CAST(order_id AS BIGINT) % 2 = 0 THEN '0.00' ELSE split_payment_amount END split_payment_amount FROM paid"),
         "log_split_page": query("raw", f"SELECT {_COMMON}, page_id, last_page_id, item, item_type, during_time, ts FROM raw WHERE {_OK} AND event_type <> 'signup'"),
         "log_split_start": query("raw", f"SELECT {_COMMON}, 'icon' entry, CAST(k AS BIGINT) loading_time, ts FROM raw WHERE {_OK} AND event_type = 'signup'"),
         "log_split_error": query("raw", f"SELECT mid, page_id, CAST(k AS BIGINT) error_code, 'oops' msg, ts FROM raw WHERE {_OK} AND event_type = 'error'"),
         "log_split_display": query("raw", f"SELECT CAST(k + n AS VARCHAR) item, 'sku' item_type, CAST(n + 1 AS BIGINT) \"order\", mid, page_id, ts FROM raw, (VALUES (0), (1)) t(n) WHERE {_OK} AND event_type = 'view'"),
         "log_split_action": query("raw", f"SELECT 'cart_add' action_id, CAST(k AS VARCHAR) item, mid, page_id, ts, ts log_ts FROM raw WHERE {_OK} AND event_type = 'click'"),
         "log_dirty": query("raw", f"SELECT seq, CASE WHEN seq % 97 = 0 THEN 'not json' WHEN seq % 101 = 0 THEN '' ELSE '{{\"common\": {{' END \"value\" FROM raw WHERE NOT ({_OK})"),
-        "coupon_get": query("kv", f"SELECT {coupon}, at_s[1:10] date_id, at_s get_time, ts_s ts FROM kv WHERE event_type = 'click'"),
+        "coupon_get": coupon_get,
         "coupon_order": query("kv", f"SELECT {coupon}, CAST(event_id * 3 AS VARCHAR) order_id, at_s[1:10] date_id, at_s order_time, ts_s ts FROM kv WHERE event_type = 'purchase' AND k < 60"),
         "coupon_pay": query("kv", f"SELECT {coupon}, CAST(event_id * 3 AS VARCHAR) order_id, at_s[1:10] date_id, at_s payment_time, ts_s ts FROM kv WHERE event_type = 'purchase' AND k % 2 = 0"),
-        "favor_add": query("kv", "SELECT id, uid user_id, CAST(k AS VARCHAR) sku_id, at_s[1:10] date_id, at_s create_time, ts_s ts FROM kv WHERE event_type = 'view'"),
+        "favor_add": favor_add,
         "comment": query("kv dic", "SELECT id, uid user_id, CAST(k AS VARCHAR) sku_id, CAST(event_id * 3 AS VARCHAR) order_id, at_s[1:10] date_id, at_s create_time, code appraise_code, label appraise_name, ts_s ts FROM kv JOIN dic ON code = CAST(k % 5 + 1201 AS VARCHAR) WHERE event_type = 'error'"),
         "user_register": query("kv", "SELECT uid user_id, at_s[1:10] date_id, at_s create_time, ts_s ts FROM kv WHERE event_type = 'signup'"),
         "cart_add": query("carts", "SELECT * FROM carts"),
-        "cart_add_uu_window": query("carts", f"""SELECT {ends('strptime(t, ' + S + ')')}, count(*) cart_add_uu_ct FROM (
-          SELECT * FROM (SELECT *, coalesce(operate_time, create_time) t FROM carts) QUALIFY row_number() OVER (PARTITION BY user_id, t[1:10] ORDER BY t, id) = 1) GROUP BY ALL"""),
+        "cart_add_uu_window": carts,
         "order_pre_process": query("wide", 'SELECT id, order_id, sku_id, sku_name, order_price, sku_num, create_time, source_type_id, source_type_name, source_id, split_total_amount, split_activity_amount, split_coupon_amount, consignee, total_amount, order_status, user_id, payment_way, operate_time, province_id, order_detail_activity_id, activity_id, activity_rule_id, order_detail_coupon_id, coupon_id, coupon_use_id, "type" FROM wide'),
         "order_detail": query("details", "SELECT * FROM details"),
         "cancel_detail": query("wide", f"SELECT {', '.join(ORDER_DETAIL.split()).replace('create_time', 'operate_time AS cancel_time')} FROM wide WHERE order_status = '1003'"),
@@ -198,9 +234,7 @@ def all_queries() -> dict[str, str]:
         "dedup_latest": query("latest", "SELECT id, order_id, split_total_amount FROM latest"),
         "gmv_by_day": query("latest", f"SELECT CAST(strftime(strptime(create_time, {S}), '%Y%m%d') AS INT) AS \"day\", {_d('split_total_amount')} order_amount FROM latest GROUP BY ALL"),
         "uv_by_channel": query("pages uv jumps", f"SELECT ch, {_n('uv')} uv, {_n('uj')} uj_ct FROM (SELECT ch, 1 uv, 0 uj FROM uv UNION ALL SELECT ch, 0, 1 FROM jumps UNION ALL SELECT ch, 0, 0 FROM pages) GROUP BY ch"),
-        "dim_route": """SELECT * FROM (
-          SELECT 'dim_base_province' sink_table, CAST(n_nationkey AS VARCHAR) pk, 'id=' || n_nationkey || ',name=' || n_name "row", CAST(n_nationkey AS BIGINT) k FROM nation UNION ALL
-          SELECT 'dim_user_info', CAST(c_custkey AS VARCHAR), 'id=' || c_custkey || ',name=' || c_name || ',parent_id=' || c_nationkey, c_custkey FROM customer) WHERE k % 4 <> 3""".replace("SELECT * FROM (", 'SELECT sink_table, pk, "row" FROM (', 1),
+        "dim_route": dim_route,
         "interval_join": f"SELECT a.id id_l, a.event_id event_id_l, b.event_id event_id_r FROM ({click}) a JOIN ({buy}) b ON a.id = b.id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR",
         "window_join": f"SELECT a.id id_l, a.event_id event_id_l, b.event_id event_id_r, strftime(time_bucket(INTERVAL '1 hour', a.ts), {S}) stt FROM ({click}) a JOIN ({buy}) b ON a.id = b.id AND time_bucket(INTERVAL '1 hour', a.ts) = time_bucket(INTERVAL '1 hour', b.ts)",
         "inner_join": demo("INNER"), "left_join": demo("LEFT"), "right_join": demo("RIGHT"), "full_join": demo("FULL OUTER"),

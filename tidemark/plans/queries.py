@@ -7,15 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scalars import as_beans, latest_of, seconds_time, stamp, stamped, to_millis
 from ..functions.tokens import register_splitter
 from ..operators import state
 from ..operators.joins import interval_join, window_join
 from ..operators.route import as_text, parse_logs, route_dimensions, split_logs
 from ..operators.windows import tumble
 from ..sources import adapters as A
-from ..streaming import processors, runners
-from . import facts, oracle, serving, trade, traffic
+from ..operators.upsert import compact_upserts, read_upserts, upsert_parquet
+from ..schemas import strings
+from ..session import shared_folder
+from ..sources.connectors import config_from_changes, demo_lines
+from . import facts, oracle, serving, streamed, trade, traffic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,19 +92,55 @@ def _keywords_by_function(s: SparkSession, d: str) -> DataFrame:
     return tumble(words, "rt", ["keyword"], [F.count(F.lit(1)).alias("keyword_count")], "1 hour").select("stt", "edt", F.lit("search").alias("source"), "keyword", "keyword_count")
 
 
-def _streamed(run: Callable[[DataFrame], DataFrame]) -> Query:
-    """A stream over the page views as files, run until it has taken them all. Files and state lie in the shared checkpoint folder."""
+def _demo_lines(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """``id,name,seconds`` lines of events, an hour of which is made five seconds."""
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 720)
+    rows = A.table(s, d, "events").where(F.col("event_type") == kind)
+    return demo_lines(rows.select(F.concat_ws(",", "user_id", "event_id", at).alias("value")))
 
-    def query(s: SparkSession, d: str) -> DataFrame:
-        folder = f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or s.sparkContext.getCheckpointDir() or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
-        A.page_log(s, d).withColumn("rt", F.col("rt").cast("timestamp")).drop("k", "event_type").write.parquet(f"{folder}/in")
-        rows = run(s.readStream.schema(s.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"))
-        runners.run_once(rows, f"{folder}/checkpoint", runners.write_batch(f"{folder}/out"))
-        return s.read.option("recursiveFileLookup", "true").schema(rows.schema).parquet(f"{folder}/out")
 
-    return query
+def _short_windows(s: SparkSession, d: str) -> DataFrame:
+    out = window_join(_demo_lines(s, d, "click"), _demo_lines(s, d, "purchase"), "id", "ts", "5 seconds")
+    return out.select("id_l", "name_l", "name_r", F.unix_seconds(F.col("stt").cast("timestamp")).alias("begins"))
 
 
+def _configured(s: SparkSession, d: str) -> DataFrame:
+    """Routes from a log of configuration changes: one for each nation, of which some are changed and some removed again."""
+    key = F.col("n_nationkey")
+    row = lambda sink: F.struct(F.col("n_name").alias("source_table"), sink.alias("sink_table"), F.lit("id,name").alias("sink_columns"))
+    first, second = row(F.concat(F.lit("dim_"), key)), row(F.concat(F.lit("dim_new_"), key))
+    none = F.lit(None).cast(T.StructType([*strings("source_table", "sink_table", "sink_columns").fields]))
+    change = lambda op, before, after: F.to_json(F.struct(F.lit(op).alias("op"), before.alias("before"), after.alias("after")))
+    n = A.table(s, d, "nation")
+    log = n.select(change("r", none, first).alias("value"), key.cast("long").alias("seq"))
+    log = log.unionByName(n.where("n_nationkey % 3 = 1").select(change("u", first, second).alias("value"), (key + 100).cast("long").alias("seq")))
+    log = log.unionByName(n.where("n_nationkey % 3 = 2").select(change("d", first, none).alias("value"), (key + 100).cast("long").alias("seq")))
+    return config_from_changes(log).select("source_table", "sink_table", "sink_columns")
+
+
+def _times(s: SparkSession, d: str) -> DataFrame:
+    """Times in text and in numbers, of each order."""
+    o = A.table(s, d, "orders").select("o_orderkey", stamp("o_orderdate").alias("at"))
+    o = o.withColumns({"ms": to_millis(F.col("at")), "day": F.substring("at", 1, 10)})
+    odd = F.concat("at", F.when(F.col("o_orderkey") % 2 == 0, ".5").otherwise(".04"))
+    return o.select("o_orderkey", "ms", to_millis(F.col("day")).alias("day_ms"), stamp(seconds_time(F.col("ms") + 999)).alias("second"), latest_of(odd, F.concat("at", F.lit(".040"))).alias("later"))
+
+
+def _upserted(s: SparkSession, d: str) -> DataFrame:
+    """Payments of order lines as an upsert table: written twice in batches, the second with new amounts; read as the latest of each key."""
+    folder = f"{shared_folder(s)}/upserts-{uuid.uuid4().hex}"
+    rows = _paid(s, d).select("order_detail_id", "order_id", "split_payment_amount").withColumn("version", F.lit(0))
+    for n in (0, 1):
+        own = rows if n == 0 else rows.where("cast(order_id AS BIGINT) % 2 = 0").withColumns({"split_payment_amount": F.lit("0.00"), "version": F.lit(1)})
+        upsert_parquet(s, own, folder, ["order_detail_id"], ["version"], n)
+        if n == 0:
+            compact_upserts(s, folder, ["order_detail_id"], ["version"])
+    return read_upserts(s, folder, ["order_detail_id"], ["version"]).drop("version")
+
+
+#: The wall clock of queries that write it, and the days of those that serve one.
+AS_OF_MS, DAY, ORDER_DAY = 1_704_067_200_000, 20240115, 19960115
+
 _PRE = "id order_id sku_id sku_name order_price sku_num create_time source_type_id source_type_name source_id split_total_amount split_activity_amount split_coupon_amount consignee total_amount order_status user_id payment_way operate_time province_id order_detail_activity_id activity_id activity_rule_id order_detail_coupon_id coupon_id coupon_use_id type".split()
 
 
@@ -116,8 +157,6 @@ def queries() -> dict[str, Query]:
         "user_register_window": lambda s, d: traffic.register_window(facts.user_register(A.topic_db(s, d))),
         "keyword_window": lambda s, d: traffic.keyword_window(_pages(s, d), "1 hour"),
         "keyword_window_udtf": _keywords_by_function,
-        "stream_visitor_is_new_fix": _streamed(lambda rows: processors.repair_new_visitors(rows).select("mid", "seq", "ts", "is_new")),
-        "stream_unique_visitor_days": _streamed(lambda rows: processors.daily_firsts(rows.where("last_page_id IS NULL"), "mid").select("mid", F.date_format("rt", "yyyy-MM-dd").alias("day"))),
         "log_split_page": lambda s, d: _logs(s, d)["page"].select("common.*", "page.*", "ts"),
         "log_split_start": lambda s, d: _logs(s, d)["start"].select("common.*", "start.*", "ts"),
         "log_split_error": lambda s, d: _logs(s, d)["error"].select("common.mid", "page.page_id", "err.*", "ts"),
@@ -155,7 +194,17 @@ def queries() -> dict[str, Query]:
         "left_join": _demo("left"),
         "right_join": _demo("right"),
         "full_join": _demo("full_outer"),
-    }
+        "window_join_short": _short_windows,
+        "gmv_on_day": lambda s, d: serving.gmv(_provinces(s, d, "1 day"), ORDER_DAY),
+        "uv_on_day": lambda s, d: serving.uv_by_channel(traffic.page_view_window(_pages(s, d)), DAY),
+        "channel_chart": lambda s, d: serving.channel_chart(traffic.page_view_window(_pages(s, d)), DAY),
+        "order_window_stamped": lambda s, d: stamped(trade.order_window(_first(s, d)), AS_OF_MS),
+        "dedup_latest_by_time": lambda s, d: trade.keep_latest_by_time(trade.with_row_time(trade.arrivals(_details(s, d)), AS_OF_MS)).select("id", "split_total_amount", "row_op_ts"),
+        "province_beans": lambda s, d: as_beans(_provinces(s, d)),
+        "config_routes": _configured,
+        "order_times": _times,
+        "upsert_payments": _upserted,
+    } | streamed.queries()
 
 
 def oracle_sql() -> dict[str, str]:

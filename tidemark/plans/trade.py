@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import date_part, money, time_of, total
+from ..functions.scalars import date_part, instant, money, time_of, total
 from ..operators.enrich import enrich
 from ..operators.state import first_of, latest_of_key, unique_and_new
 from ..operators.windows import tumble
@@ -22,6 +22,21 @@ def arrivals(details: DataFrame, seconds: int = 3) -> DataFrame:
     return both.select(*[F.col("_d.split_total_amount") if c == "split_total_amount" else F.col(c) for c in details.columns], "_d.row_op")
 
 
+def with_row_time(rows: DataFrame, as_of_ms: int) -> DataFrame:
+    """``row_op_ts``, the wall clock at which a delivery was made, as text that ends in as many digits as it needs.
+
+    The clock is a parameter, so that a run can be repeated.
+    """
+    ms = F.lit(as_of_ms) + F.col("row_op") * 1000 + F.pmod(F.length("id"), F.lit(10)) * 20
+    text = F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("Z"))
+    return rows.withColumn("row_op_ts", F.regexp_replace(text, "0{1,2}Z$", "Z"))
+
+
+def keep_latest_by_time(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The delivery with the latest ``row_op_ts``, compared as a time whatever its digits; of equal times the later arrival."""
+    return latest_of_key(rows, [key], [F.desc(instant(F.col("row_op_ts"))), F.desc("row_op")])
+
+
 def keep_first(rows: DataFrame, key: str = "id") -> DataFrame:
     """The first delivery of each line; ties by all columns, so the choice is the same every time."""
     return first_of(rows, [key], ["row_op", *sorted(set(rows.columns) - {"row_op", key})])
@@ -38,15 +53,24 @@ def cart_add_window(carts: DataFrame, size: str = "10 seconds") -> DataFrame:
     return tumble(firsts.withColumn("rt", time_of(F.col("at"))), "rt", [], [F.count(F.lit(1)).alias("cart_add_uu_ct")], size)
 
 
+def amounts(details: DataFrame) -> DataFrame:
+    """What an order line adds to its window."""
+    origin = (F.expr("try_cast(sku_num AS DECIMAL(10,0))") * money("order_price")).cast("decimal(24,2)")
+    return details.withColumns({"activity": money("split_activity_amount"), "coupon": money("split_coupon_amount"), "origin": origin})
+
+
+def order_sums() -> list[Column]:
+    return [
+        F.sum("unique_user").alias("order_unique_user_count"), F.sum("new_user").alias("order_new_user_count"),
+        total(F.col("activity")).alias("order_activity_reduce_amount"), total(F.col("coupon")).alias("order_coupon_reduce_amount"),
+        total(F.col("origin")).alias("order_origin_total_amount"),
+    ]
+
+
 def order_window(details: DataFrame, size: str = "10 seconds") -> DataFrame:
     """Buyers of the day, first-time buyers, reductions and the amount before them."""
     rows = unique_and_new(details, "user_id", date_part(F.col("create_time")), ["create_time", "id"]).withColumn("rt", time_of(F.col("create_time")))
-    amount = (F.expr("try_cast(sku_num AS DECIMAL(10,0))") * money("order_price")).cast("decimal(24,2)")
-    return tumble(rows, "rt", [], [
-        F.sum("unique_user").alias("order_unique_user_count"), F.sum("new_user").alias("order_new_user_count"),
-        total(money("split_activity_amount")).alias("order_activity_reduce_amount"), total(money("split_coupon_amount")).alias("order_coupon_reduce_amount"),
-        total(amount).alias("order_origin_total_amount"),
-    ], size)
+    return tumble(amounts(rows), "rt", [], order_sums(), size)
 
 
 def payment_window(payments: DataFrame, size: str = "10 seconds") -> DataFrame:

@@ -33,11 +33,15 @@ def login_window(pages: DataFrame, size: str = "10 seconds") -> DataFrame:
     return tumble(state.logins(pages), "rt", [], [F.sum("back").alias("back_ct"), F.count(F.lit(1)).alias("uu_ct")], size)
 
 
-def keyword_window(pages: DataFrame, size: str = "10 seconds") -> DataFrame:
-    """Search words by window. The words of an item are an exploded array: rows without words go."""
+def keyword_rows(pages: DataFrame) -> DataFrame:
+    """Search words with their time. The words of an item are an exploded array: rows without words go."""
     searched = pages.where("item IS NOT NULL AND last_page_id = 'search' AND item_type = 'keyword'")
-    words = searched.select("rt", F.explode(keywords(F.col("item"))).alias("keyword"))
-    out = tumble(words, "rt", ["keyword"], [F.count(F.lit(1)).alias("keyword_count")], size)
+    return searched.select("rt", F.explode(keywords(F.col("item"))).alias("keyword"))
+
+
+def keyword_window(pages: DataFrame, size: str = "10 seconds") -> DataFrame:
+    """Search words by window."""
+    out = tumble(keyword_rows(pages), "rt", ["keyword"], [F.count(F.lit(1)).alias("keyword_count")], size)
     return out.select("stt", "edt", F.lit("search").alias("source"), "keyword", "keyword_count")
 
 

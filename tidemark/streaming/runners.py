@@ -30,9 +30,17 @@ def run_once(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int],
     return query
 
 
-def write_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Each micro-batch has a directory of its own, so one that is run again replaces itself."""
-    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+def write_batch(path: str, columns: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Each micro-batch has a directory of its own, so one that is run again replaces itself. What isn't among ``columns``,
+    such as a set behind a count, isn't written."""
+    return lambda batch, n: (batch.select(*columns) if columns else batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
+def console(rows: DataFrame, checkpoint: str, name: str = "console", most: int = 20) -> StreamingQuery:
+    """Shows the first rows of each micro-batch on the driver's console, for debugging; takes all there is and ends."""
+    query = rows.writeStream.outputMode("append").format("console").option("numRows", most).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def fan_out_logs(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -48,15 +56,25 @@ def fan_out_logs(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return run_once(raw, checkpoint, write)
 
 
-def route_to_tables(changes: DataFrame, config: Callable[[], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Dimension changes into a table for each route; the routes are read anew for each micro-batch."""
+def route_to_tables(changes: DataFrame, config: Callable[[], DataFrame], path: str, checkpoint: str, changed: Callable[[str], None] | None = None) -> StreamingQuery:
+    """Dimension changes into a table for each route; the routes are read anew for each micro-batch.
+
+    ``changed`` is told the name of each table that a micro-batch has rows for, once they are written, so that a
+    lookup of it can be forgotten.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         routes = config()
         routed = route_dimensions(batch, routes).persist()
-        for r in routes.select("sink_table").distinct().collect():  # the configuration is a handful of rows
+        for r in routes.dropDuplicates(["sink_table"]).collect():  # a row for each table of the warehouse
+            if not r.sink_table or not (r.sink_columns or "").strip(", "):
+                raise ValueError(f"a route without table or columns: {r}")
             own = routed.where(F.col("sink_table") == r.sink_table)
+            if changed and own.isEmpty():
+                continue
             upsert_parquet(batch.sparkSession, own.select("pk", F.to_json("row").alias("row"), "ts"), f"{path}/{r.sink_table}", ["pk"], ["ts"], n)
+            if changed:
+                changed(r.sink_table)
         routed.unpersist()
 
     return run_once(changes, checkpoint, write)
