@@ -128,30 +128,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def counter_example(text: str, rng: np.random.Generator) -> str:
     """A text in no language with the spaces of a given one: its letters exchanged by a random alphabet, as in a
     language of other sounds, dealt anew, or replaced by random letters of one script."""
-    chars = np.array(list(text[:MADE].lower()) or [" "])
-    letters = np.array([c.isalpha() for c in chars])
-    own, back = np.unique(chars[letters], return_inverse=True)
+    codes = np.frombuffer(text[:MADE].lower().encode("utf-32-le"), np.uint32).copy()
+    own, back = np.unique(codes, return_inverse=True)
+    letters = np.array([chr(c).isalpha() for c in own.tolist()], bool)[back]
     kind = rng.random()
     if kind < 0.6:
-        other = np.array(list("abcdefghijklmnopqrstuvwxyz"))
-        to = own.copy()
-        plain = np.isin(own, other)
-        to[plain] = rng.permutation(other)[: plain.sum()]
-        chars[letters] = to[back]
+        plain = (own >= ord("a")) & (own <= ord("z"))
+        own[plain] = ord("a") + rng.permutation(26)[: plain.sum()]
+        codes = own[back]
     elif kind < 0.8:
-        chars[letters] = rng.permutation(chars[letters])
+        codes[letters] = rng.permutation(codes[letters])
     else:
-        low, high = SCRIPTS[rng.integers(len(SCRIPTS))]
-        chars[letters] = [chr(c) for c in rng.integers(low, high, letters.sum())]
-    return "".join(chars)
+        codes[letters] = rng.integers(*SCRIPTS[rng.integers(len(SCRIPTS))], letters.sum())
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _batch(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of some rows, and the share of each in each row."""
-    own, back = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
-    share = np.zeros((len(rows), len(own)))
-    share[np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows]), back] = np.concatenate([c / c.sum() for _, c in rows])
-    return own, share
+class _Batch:
+    """Rows (language, buckets, counts) of one step; the share of each of their buckets in each row is spread out only while it is used."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.truth, self.sizes = np.array([k for k, _, _ in rows]), [len(b) for _, b, _ in rows]
+        self.own, back = np.unique(np.concatenate([b for _, b, _ in rows]), return_inverse=True)
+        self.back, self.part = back.astype(np.int32), np.concatenate([(c / c.sum()).astype(np.float32) for _, _, c in rows])
+
+    def share(self) -> np.ndarray:
+        out = np.zeros((len(self.sizes), len(self.own)), np.float32)
+        out[np.repeat(np.arange(len(self.sizes)), self.sizes), self.back] = self.part
+        return out
 
 
 def fit(examples: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -172,25 +175,27 @@ def fit(examples: list[tuple[str, str]], seed: int = 7) -> Model:
 
     def rows(part: list[tuple[int, str]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         made = [(len(languages), counter_example(text, rng)) for _, text in part[::COUNTER]]
-        return [(k, *features(text)) for k, text in [*part, *made]]
+        return [(k, *(x.astype(np.int32) for x in features(text))) for k, text in [*part, *made]]
 
-    embedding = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)) / DIMENSIONS
-    softmax, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages) + 1)), np.zeros(len(languages) + 1)
+    embedding = (rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
+    softmax = rng.normal(0, 0.1, (DIMENSIONS, len(languages) + 1)).astype(np.float32)
+    bias = np.zeros(len(languages) + 1, np.float32)
     train = [r for r in rows(train) if len(r[1])]
     train = [train[i] for i in rng.permutation(len(train))]
-    batches = [(_batch([r[1:] for r in part]), np.array([r[0] for r in part])) for part in (train[i : i + BATCH] for i in range(0, len(train), BATCH))]
+    batches = [_Batch(train[i : i + BATCH]) for i in range(0, len(train), BATCH)]
+    train.clear()
     steps, done = EPOCHS * len(batches), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(batches)):
-            (own, share), truth = batches[i]
-            rate = 1.0 * (1 - done / steps) + 0.01
+            own, share, truth = batches[i].own, batches[i].share(), batches[i].truth
+            rate = np.float32(1.0 * (1 - done / steps) + 0.01)
             done += 1
             mean = share @ embedding[own]
             error = _softmax(mean @ softmax + bias)
             error[np.arange(len(truth)), truth] -= 1
             back = error @ softmax.T
             softmax -= rate * (mean.T @ error)
-            bias -= 0.1 * rate * error.sum(axis=0)
+            bias -= np.float32(0.1) * rate * error.sum(axis=0)
             embedding[own] -= rate * 20 * (share.T @ back)
     weights = embedding @ softmax
     model = Model(languages, weights, bias)
