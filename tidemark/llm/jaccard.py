@@ -30,7 +30,7 @@ BLOCK_GRAMS, BLOCK_DOCS = 600_000, 4000
 #: Where the global order is cut: at the first n-gram of so many documents. Numbers above MOST are alike.
 CUTS, MOST = (3, 5, 17, 257), 65535
 #: Bits of a hash that are counted beyond those that number the bytes of all texts.
-SPARE_BITS = 8
+SPARE_BITS = 5
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +83,7 @@ def _send(docs: list[tuple], size: int, fragments: int, bits: int, number: int)
     texts = [(t or "") for _, t in docs]
     which, sets, _ = _sets(texts, size)
     raw = [t.encode() for t in texts]
-    table = press(ids, absent, planes(np.array([len(t) for t in raw], np.int64)), b"".join(raw))
+    table = press(ids, absent, planes(np.array([len(t) for t in raw], np.int64)), b"".join(raw), level=3)
     block = xxhash.xxh3_64_intdigest(table, seed=TaskContext.get().partitionId() << 32 | number) >> 1
     keys, back = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_inverse=True)
     times = np.bincount(which, minlength=len(sets))

@@ -28,11 +28,11 @@ def range_cuts(hashes: np.ndarray, bits: int, fragments: int) -> list[int]:
     return np.searchsorted(of, np.arange(fragments + 1, dtype=np.uint64)).tolist()
 
 
-def press(*parts: np.ndarray | bytes) -> bytes:
-    """Arrays and bytes, each compressed with its length in front."""
+def press(*parts: np.ndarray | bytes, level: int = 1) -> bytes:
+    """Arrays and bytes, compressed together, with their lengths in front."""
     body = b"".join(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in parts)
     sizes = np.array([len(parts), *[len(x) if isinstance(x, bytes) else x.nbytes for x in parts]], np.uint32)
-    return sizes.tobytes() + zstandard.compress(body, 1)
+    return sizes.tobytes() + zstandard.compress(body, level)
 
 
 def unpress(body: bytes) -> list[bytes]:
