@@ -1,5 +1,7 @@
 """Each stage on its own input against a plain version, and the whole run."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tests.llm import brute
 
@@ -47,6 +49,20 @@ def test_odd_rows_pass_through(spark, sf_dir):
     assert pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
 
 
+def test_columns_of_other_names_pass_through(spark, sf_dir):
+    """Columns named like those that the stages make, and a text longer than any buffer."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    long = spark.createDataFrame([(10**6, "the thing and the other thing of it " * 20_000, "en", "s", 0)], docs.schema)
+    names = ("p", "spans", "rejected", "component_id", "class", "kept", "label")
+    docs = docs.unionByName(long).withColumns({c: F.lit(c) for c in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns, name
+        rows = got.where("doc_id = 1000000").collect()
+        assert len(rows) == 1 and [rows[0][c] for c in names] == [*names], name
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).where("doc_id = 1000000").count() > 20
+
+
 def test_whole_run(spark, sf_dir):
     rows = pipeline.run(spark, sf_dir).collect()
     assert rows and all(0 < r.length <= 4096 for r in rows)

@@ -66,6 +66,14 @@ def test_token_counts_equal_the_library(spark, sf_dir):
     assert set(got.columns) == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
 
 
+def test_token_counts_of_odd_tables(spark, tmp_path):
+    docs(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op7_token_counts(spark, f"{tmp_path}/none").count() == 0
+    docs(spark, [(None, "a"), (1, "a"), (1, "a"), (2, None), (3, "word " * 5000)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted([tuple(r) for r in queries.op7_token_counts(spark, str(tmp_path)).collect()], key=str)
+    assert [r[:2] for r in got] == [(1, 1), (1, 1), (2, 0), (3, 25_000), (None, 1)] and got[2][2:] == (0, False) and got[3][3] is True
+
+
 def ids_of(texts):
     import public_tokenizers
     from tokenizers import Tokenizer

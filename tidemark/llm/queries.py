@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,14 +19,8 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """The session's own folder for checkpoints, and smaller batches of texts for Python workers, unless
-    the session has chosen so itself. Where no folder is named, a local session gets a new one of its
-    own; a cluster is refused, since its machines share no folder that could be guessed."""
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """The session's folder for checkpoints, and smaller batches of texts for Python workers, unless the session has chosen so itself."""
+    shared_folder(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) == 10000:  # Spark's default
         spark.conf.set(rows, str(BATCH_ROWS))
