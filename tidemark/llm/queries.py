@@ -7,23 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from .batches import own_session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of whole texts that a Python worker gets at a time.
-BATCH_ROWS = 1000
-
-
-def prepare(spark: SparkSession) -> None:
-    """The session's folder for checkpoints, and smaller batches of texts for Python workers, unless the session has chosen so itself."""
-    shared_folder(spark)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(rows)) == 10000:  # Spark's default
-        spark.conf.set(rows, str(BATCH_ROWS))
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session that a query of this package runs in; see :func:`own_session`."""
+    return own_session(spark)
 
 
 def tokenizer_file(name: str) -> Callable[[], str]:
@@ -77,7 +70,7 @@ FROM placed GROUP BY conv_id, part, piece, participant
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counter
 
-    prepare(spark)
+    spark = prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = docs.withColumn("n_tokens", token_counter(tokenizer_file("piece_bpe_32k.model"))("text"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -86,14 +79,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    prepare(spark)
+    spark = prepare(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import remove_repeats
 
-    prepare(spark)
+    spark = prepare(spark)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -101,7 +94,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out, predictor, train
 
-    prepare(spark)
+    spark = prepare(spark)
     docs = table(spark, sf_dir, "documents")
     guess = predictor(train(docs.where(~held_out())), spark)
     told = docs.select("doc_id", held_out().alias("held_out"), guess("text").alias("p"))
@@ -111,14 +104,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .loss_difference import loss_differences, quality_target
 
-    prepare(spark)
+    spark = prepare(spark)
     return loss_differences(table(spark, sf_dir, "documents"), quality_target(table(spark, sf_dir, "labels")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scanner, train
 
-    prepare(spark)
+    spark = prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", scanner(train(docs), spark)("text").alias("spans"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -130,21 +123,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
-    prepare(spark)
+    spark = prepare(spark)
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import join_components
 
-    prepare(spark)
+    spark = prepare(spark)
     return join_components(table(spark, sf_dir, "documents"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
-    prepare(spark)
+    spark = prepare(spark)
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -153,6 +146,43 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    spark = prepare(spark)
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    spark = prepare(spark)
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    spark = prepare(spark)
+    told = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds one after another, in DuckDB's exact integers; a round is an assignment and the means it gives."""
+    nearest = "SELECT v.*, c.k, c.x cx, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT distance FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY v.i ORDER BY distance, c.k) = 1"
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () i, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)"""]
+    parts += [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 k, x FROM v QUALIFY k < {k})"]
+    for i in range(rounds):
+        parts += [f"a{i} AS MATERIALIZED ({nearest.format(i=i)})"]
+        parts += [f"m{i} AS MATERIALIZED (SELECT k, list(m ORDER BY d) x FROM (SELECT k, d, floor(sum(e)::DOUBLE / count(*))::BIGINT m FROM (SELECT k, unnest(x) e, unnest(range(64)) d FROM a{i}) GROUP BY k, d) GROUP BY k)"]
+        parts += [f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.x, c.x) x FROM c{i} c LEFT JOIN m{i} m USING (k))"]
+    parts += [f"a AS MATERIALIZED ({nearest.format(i=rounds)})"]
+    return f"""WITH {', '.join(parts)} SELECT vec_id, CAST(k AS INT) AS "cluster", distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) inertia,
+      sha256(array_to_string(cx, ',')) centroid_sha256 FROM a"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
@@ -165,8 +195,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_jaccard": op9_jaccard,
         "op10_decontaminate": op10_decontaminate,
+        "op11_centroids": op11_centroids,
+        "op12_whitening": op12_whitening,
+        "op13_quality": op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL}
+    return {"op1_chat": OP1_SQL, "op11_centroids": _op11_sql()}
