@@ -33,7 +33,7 @@ def machine(rows: DataFrame, key: str, order: tuple[str, ...], output: StructTyp
         if held.hasTimedOut:
             held.remove()
             return
-        own = pd.concat(list(frames)).sort_values(list(order), kind="stable")
+        own = pd.concat(list(frames), ignore_index=True).sort_values(list(order), kind="stable")  # a key's rows may come in several Arrow batches
         out, after = step(own, held.get if held.exists else None)
         held.update(after)
         if forget_ms:
@@ -182,7 +182,7 @@ def latest_of_key(rows: DataFrame, key: str, version: str, hold_seconds: int = 5
             return
         first = not state.exists
         held = [] if first else [pd.DataFrame([state.get], columns=names)]
-        best = pd.concat([*held, *frames]).sort_values(version, kind="stable").tail(1)  # of equal versions the later arrival
+        best = pd.concat([*held, *frames], ignore_index=True).sort_values(version, kind="stable").tail(1)  # of equal versions the later arrival
         state.update(tuple(best[names].itertuples(index=False, name=None))[0])
         if first:
             state.setTimeoutDuration(hold_seconds * 1000)
