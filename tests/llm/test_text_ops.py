@@ -272,17 +272,37 @@ def values_of_unknown_kinds():
 HARMLESS = ["mail6.example.com", "4736962573099581", "97.51.17.173", "https://www.example.com/path/to/page.html", "internationalization", "2024-01-01T00:00:00", "user_order_detail_window", "+49-171-1234567", "v1.2.3-beta.4", "1234-5678-9012-3456", "john.smith@mail.example.org"]
 
 
-def test_network_finds_kinds_that_no_pattern_knows(spark):
-    """Trained on the findings of the fixed patterns in the documents; none of these kinds is among them."""
-    docs_ = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+def harmless_kinds():
+    """Kinds of values that are no secrets: cards, network addresses, identifiers in groups, bank accounts, words, names."""
+    rng = random.Random(6)
+    digits, hexes = (lambda n: "".join(rng.choice("0123456789") for _ in range(n))), (lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n)))
+    kinds = [lambda: digits(16), lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: "-".join(hexes(n) for n in (8, 4, 4, 4, 12)), lambda: rng.choice(["DE", "GB", "FR"]) + digits(2) + rng.choice(["", "NWBK"]) + digits(16), lambda: rng.choice(["thanonontioniner.", "INTERNATIONALLY:", "Verantwortlichkeit", "getCustomerAddressById", "/usr/local/share/python/modules", "com.example.service.UserController"])]
+    return [[k() for _ in range(60)] for k in kinds]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_network_finds_kinds_that_no_pattern_knows(spark, size):
+    """Trained on the findings of the fixed patterns in the documents, whether these are none, a dozen or many; none of these kinds is among them."""
+    docs_ = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
     network = secrets.train(docs_)
-    assert network.recall >= secrets.RECALL and network.precision >= 0.97
-    hit = lambda v: [s for s in secrets.scan_text(f"so the value {v} is given", network) if s[2] == "model"] != []
+    assert network.recall >= secrets.RECALL and network.precision >= secrets.PRECISION
+    said = ["so the value {} is given", "{}", "see {} and go on", "x = {}\n"]
+    hit = lambda v, i=0: [s for s in secrets.scan_text(said[i % 4].format(v), network) if s[2] == "model"] != []
     for values in values_of_unknown_kinds():
-        assert np.mean([bool(secrets.base_spans(v)) or hit(v) for v in values]) >= 0.8
+        assert np.mean([bool(secrets.base_spans(v)) or hit(v, i) for i, v in enumerate(values)]) >= 0.6
     assert [v for v in HARMLESS if hit(v)] == []
-    spans = docs_.select(F.explode(secrets.scanner(network, spark)("text")).alias("s")).groupBy("s.kind").count().collect()
-    assert {r["kind"]: r["count"] for r in spans}.get("model", 0) <= 5  # of 10,000 documents whose only secrets the patterns know
+    for values in harmless_kinds():
+        assert np.mean([hit(v, i) for i, v in enumerate(values)]) <= 0.05
+    spans = docs_.select("text", F.explode(secrets.scanner(network, spark)("text")).alias("s")).where("s.kind = 'model'").collect()
+    assert len(spans) <= docs_.count() / 2000  # of documents whose only secrets the patterns know
+
+
+def test_without_precision_nothing_is_added():
+    """Labels that nothing can tell apart: no threshold has the precision that is asked for."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2 * secrets.N_CLASSES, (400, 20))
+    network = secrets.Network().fit(x, (rng.random(400) < 0.5).astype(float))
+    assert network.precision < secrets.PRECISION and network.threshold > 1
 
 
 def test_network_equals_a_plain_version():
@@ -334,4 +354,4 @@ def test_network_learns_and_redacts(spark):
     cases = docs(spark, [(1, f"so {hexes(20)} it is"), (2, None), (3, ""), (4, "password=abcdefgh, AKIA" + "Z" * 16), (5, plain())])
     got = {r.doc_id: r for r in cases.select("doc_id", "text", secrets.redact("text", spans("text")).alias("clean"), spans("text").alias("spans")).collect()}
     assert got[4].clean == "[secret], [secret]" and got[2].clean is None and got[3].clean == "" and got[5].clean == got[5].text
-    assert secrets.train(docs(spark, [])) is None
+    assert secrets.train(docs(spark, [])).precision >= secrets.PRECISION  # from made examples alone

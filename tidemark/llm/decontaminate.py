@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ WINDOW = 13
 #: Words of training text in one shard, every how many positions a suffix keeps its place, and
 #: bytes of benchmark text whose windows are searched in one pass.
 SHARD_WORDS, SAMPLED, BLOCK_BYTES = 250_000, 8, 16_000_000
-FOUND = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
+FOUND = "n_words:long,n_hit:long,spans:array<struct<start:int,end:int>>,items:array<string>"
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -133,8 +133,8 @@ class Windows:
             self.by_size[size] = np.array(own, np.int64), [sorted(of[w]) for w in own]
 
 
-def scan_shard(ids: list, texts: list[list[bytes]], earlier: list[tuple], windows: Windows) -> pd.DataFrame:
-    """One row for each document of a shard; its FM-index is built over the runs of benchmark words
+def scan_shard(texts: list[list[bytes]], earlier: list[tuple], windows: Windows) -> list[dict]:
+    """What is found in each document of a shard. Its FM-index is built over the runs of benchmark words
     that are long enough to hold a window, since no window has another word.
 
     ``earlier`` has the spans and items that windows of other blocks gave each document; they count on.
@@ -173,14 +173,16 @@ def scan_shard(ids: list, texts: list[list[bytes]], earlier: list[tuple], window
     for b, e in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True):
         d = int(np.searchsorted(bounds, b, "right")) - 1
         spans[d].append({"start": b - int(bounds[d]), "end": e - int(bounds[d])})
-    return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": sizes, "n_hit": total[bounds[1:] - 1] - total[bounds[:-1]], "spans": spans, "items": [sorted(x) for x in items]})
+    n_hit = total[bounds[1:] - 1] - total[bounds[:-1]]
+    return [{"n_words": n, "n_hit": h, "spans": s, "items": sorted(i)} for n, h, s, i in zip(sizes.tolist(), n_hit.tolist(), spans, items, strict=True)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
     """Where documents (doc_id, text) hold windows of benchmark items (item_id, text).
 
     Returns a row for each row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a window),
-    spans (maximal runs of such words, as word numbers, end exclusive: what a removal would take) and items.
+    spans (maximal runs of such words, as word numbers, end exclusive: what a removal would take) and items. With ``keep``
+    it is ``row``, all columns of the document as they came, and ``found``, the columns named here, so that a filter needs no join.
     The size of the benchmark is read first. Its windows are sent in blocks of about ``block_bytes``
     of text, one after another: a pass adds what its block finds to the rows of the pass before,
     which lie in the checkpoint folder, and its block is taken back before the next is sent. So the result is the
@@ -188,48 +190,47 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Null and empty texts have no words; items without words have no windows; repeated items count
     once; a null item_id is the text ``null``; rows with a null or repeated doc_id are each judged by their own
-    text. Further columns are left out; an empty benchmark leaves every n_hit at 0; an empty table gives no rows.
+    text. Further columns are left out unless ``keep`` asks for them; an empty benchmark leaves every n_hit at 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    rows = docs.select(F.struct(*docs.columns if keep else ("doc_id", "text")).alias("row"), F.lit(None).cast(f"struct<{FOUND}>").alias("found"))
     for block in range(blocks):
         sent = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect()], window))
-        last = block == blocks - 1
-        rows = rows.mapInPandas(_pass(sent, last), FOUND if last else f"text string, {FOUND}")
-        if not last:
-            rows = rows.checkpoint().withColumn("doc_id", F.col("doc_id").cast("string"))
+        rows = rows.mapInArrow(_pass(sent), rows.schema)
+        if block < blocks - 1:
+            rows = rows.checkpoint()
             sent.unpersist()
-    return rows
+    return rows if keep else rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "found.*")
 
 
-def _pass(sent, last: bool):
-    """A pass over documents with one block of windows; all but the last hand on the texts."""
+def _pass(sent):
+    """A pass over documents with one block of windows; each row goes on as it came, with what is found so far."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Array] = []
+        texts: list[list[bytes]] = []
+        earlier: list[tuple] = []
         n = 0
 
-        def shard() -> pd.DataFrame:
-            ids, raw, texts, earlier = zip(*held, strict=True)
-            found = scan_shard(list(ids), list(texts), list(earlier), sent.value)
-            if not last:
-                found.insert(0, "text", pd.Series(raw, dtype=object))
-            return found
+        def shard() -> pa.RecordBatch:
+            found = pa.array(scan_shard(texts, earlier, sent.value), kind)
+            return pa.record_batch([pa.concat_arrays(kept), found], ["row", "found"])
 
         for batch in batches:
-            spans = batch.spans if "spans" in batch else repeat(())
-            items = batch["items"] if "items" in batch else repeat(())
-            for doc, text, own, named in zip(batch.doc_id, batch.text, spans, items):  # noqa: B905  repeat() has no end
-                split = words(text)
-                held.append((None if doc is None else int(doc), text, split, (own, named)))
-                if (n := n + len(split)) >= SHARD_WORDS:
+            row, kind, begin = batch.column(0), batch.column(1).type, 0
+            for i, (text, before) in enumerate(zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                texts.append(words(text))
+                earlier.append((before["spans"], before["items"]) if before else ((), ()))
+                if (n := n + len(texts[-1])) >= SHARD_WORDS:
+                    kept.append(row.slice(begin, i + 1 - begin))
                     yield shard()
-                    held, n = [], 0
-        if held:
+                    kept, texts, earlier, n, begin = [], [], [], 0, i + 1
+            kept.append(row.slice(begin))
+        if texts:
             yield shard()
 
     return scan
