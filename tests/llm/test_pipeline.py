@@ -49,6 +49,19 @@ def test_odd_rows_pass_through(spark, sf_dir):
     assert pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text(spark, sf_dir):
+    """A contaminated row without an id goes, and of several texts of an id the choice is the same every time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    odd = [(None, f"some words {item}", "en", "s", 1), (None, "plain words of no item at all", "en", "s", 2), (-9, f"{item} again", "en", "s", 3), (-9, "other words of the same identifier", "en", "s", 4)]
+    stages = dict(pipeline.STAGES)
+    clean = stages["decontamination"](spark, spark.createDataFrame(odd, docs.schema), sf_dir).collect()
+    assert sorted(r.n_chars for r in clean) == [2, 4]
+    many = [(7, f"text number {i} of one and the same document", "en", "s", i) for i in range(40)]
+    first = {tuple(stages["near_duplicates"](spark, spark.createDataFrame(many, docs.schema).repartition(n), sf_dir).collect()[0]) for n in (1, 3, 7)}
+    assert len(first) == 1
+
+
 def test_columns_of_other_names_pass_through(spark, sf_dir):
     """Columns named like those that the stages make, and a text longer than any buffer."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)

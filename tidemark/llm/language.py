@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SIZES, BUCKETS, DIMENSIONS, EPOCHS = (2, 3, 4), 1 << 16, 16, 6
 #: Labelled rows that train and calibrate, at most how many of each language, and rows of one step of descent.
 EXAMPLES, PER_LANGUAGE, BATCH = 2400, 600, 16
+#: Characters of a text that trains; of a longer one it is a passage.
+CHARACTERS = 20_000
 #: Languages whose edges of the sample are broadcast; beyond it they are joined.
 BROADCAST_LANGUAGES = 100_000
 #: The part of the calibration texts that may be rejected.
@@ -212,12 +214,13 @@ def fit(examples: list[tuple[str, str]], seed: int = 7) -> Model:
     return model
 
 
-def sample(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LANGUAGE, characters: int = CHARACTERS) -> list[tuple[str, str]]:
     """(lang, text) of the labelled rows of (text, lang) with the lowest hashes, a number of different texts of each language.
 
     The number is ``per_language`` at most, and ``examples`` over the number of languages, but at least one; no
-    language is left out. Hashes and counts of all rows decide which; equal texts are one. So what comes
-    to the driver is bounded by these parameters, whatever repeats.
+    language is left out. Hashes and counts of all rows decide which; equal texts are one. Of a text longer than ``characters``
+    it is a passage of that length at a place that its hash picks. So what comes to the driver is bounded by these parameters, whatever
+    repeats and however long texts are.
     """
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit(3)).alias("place"))
@@ -230,12 +233,14 @@ def sample(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LA
         return []
     edges = spark.createDataFrame([(k, int(v)) for k, v in cuts.items()], "lang string, edge long")
     edges = F.broadcast(edges) if len(cuts) <= BROADCAST_LANGUAGES else edges  # a large language would be one task
-    rows = labelled.join(edges, "lang").where(F.col("place") <= F.col("edge")).groupBy("lang", "place").agg(F.first("text").alias("text")).collect()
+    spare = F.greatest(F.length("text") - characters, F.lit(0))
+    passage = F.substring(F.col("text"), F.pmod(F.col("place"), spare + 1).cast("int") + 1, F.lit(characters))
+    rows = labelled.join(edges, "lang").where(F.col("place") <= F.col("edge")).groupBy("lang", "place").agg(F.first(passage).alias("text")).collect()
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.place))]
 
 
 def train(docs: DataFrame, examples: int = EXAMPLES, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits a model on a bounded :func:`sample` of the labelled rows of (text, lang); its texts are read whole."""
+    """Fits a model on a bounded :func:`sample` of the labelled rows of (text, lang); of longer texts a passage is read."""
     return fit(sample(docs, examples, per_language))
 
 
