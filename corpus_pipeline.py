@@ -36,11 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id can't be told from each other and are kept as they are.
     """
     docs = in_own_session(docs)
-    first = join_components(docs).where("component_id = doc_id").select("doc_id").distinct()
+    first = join_components(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    kept = docs.join(first.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    several = first.where("n > 1")
+    if several.isEmpty():
+        return kept.select(docs.columns)
     rest = sorted(c for c in docs.columns if c not in ("doc_id", "text"))
     by = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256), *rest)
-    once = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(by)).where("_nth = 1")
-    return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    once = docs.join(several, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(by)).where("_nth = 1")
+    return kept.unionByName(once.drop("_nth")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
