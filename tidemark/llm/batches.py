@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..session import shared_folder
 #: Rows of whole texts that a Python worker gets at a time.
 BATCH_ROWS = 1000
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_OWN: WeakKeyDictionary[SparkSession, SparkSession] = WeakKeyDictionary()
 
 
 def own_session(spark: SparkSession) -> SparkSession:
@@ -20,7 +23,8 @@ def own_session(spark: SparkSession) -> SparkSession:
     shared_folder(spark)
     if int(spark.conf.get(ROWS)) <= BATCH_ROWS:
         return spark
-    own = spark.newSession()
+    if (own := _OWN.get(spark)) is None:  # one for each, since every session has Python workers of its own
+        own = _OWN[spark] = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
             own.conf.set(key, value)
