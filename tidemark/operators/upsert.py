@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,12 @@ def latest_per_key(rows: DataFrame, keys: list[str], version: list[str]) -> Data
     return rows.groupBy(*keys).agg(top).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
 
 
-def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], version: list[str], batch_id: int) -> None:
-    """Writes a batch's latest rows as the directory ``kind=batch/batch=<id>``; a repeated batch overwrites itself.
+def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, keys: list[str], version: list[str], batch_id: int, *by: str) -> None:
+    """Writes a batch's latest rows as the directory ``kind=batch/batch=<id>``, in folders by the columns ``by``; a repeated batch overwrites itself.
 
     :func:`read_upserts` gives the table, and :func:`compact_upserts` keeps it from rereading every version.
     """
-    latest_per_key(batch, keys, version).write.mode("overwrite").parquet(f"{path}/kind=batch/batch={batch_id}")
+    latest_per_key(batch, keys, version).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/kind=batch/batch={batch_id}")
 
 
 def compact_upserts(spark: SparkSession, path: str, keys: list[str], version: list[str]) -> None:
@@ -42,6 +42,7 @@ def _latest(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     return latest_per_key(rows.drop("kind"), keys, [*version, "batch"]).drop("batch")
 
 
-def read_upserts(spark: SparkSession, path: str, keys: list[str], version: list[str]) -> DataFrame:
-    """The table; of equal versions the later batch wins."""
-    return _latest(_unread(spark, path), keys, version)
+def read_upserts(spark: SparkSession, path: str, keys: list[str], version: list[str], only: Column | None = None) -> DataFrame:
+    """The table, or its rows that ``only`` holds for; of equal versions the later batch wins."""
+    rows = _unread(spark, path)
+    return _latest(rows if only is None else rows.where(only), keys, version)

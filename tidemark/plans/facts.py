@@ -93,8 +93,8 @@ ORDER_DETAIL = "id order_id user_id sku_id sku_name sku_num order_price province
 DETAIL_TOPIC = strings(*ORDER_DETAIL.split())
 
 
-def order_detail(wide: DataFrame) -> DataFrame:
-    return _final(wide.where("type = 'insert'"), ORDER_DETAIL)
+def order_detail(wide: DataFrame, *more: str) -> DataFrame:
+    return _final(wide.where("type = 'insert'"), " ".join([ORDER_DETAIL, *more]))
 
 
 def cancel_detail(wide: DataFrame) -> DataFrame:

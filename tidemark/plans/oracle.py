@@ -186,7 +186,26 @@ def all_queries() -> dict[str, str]:
         "stream_exactly_once": favor_add,
         "stream_log_pages": query("raw", f"SELECT {_COMMON}, page_id, last_page_id, item, item_type, during_time, ts FROM raw WHERE {_OK} AND event_type <> 'signup'"),
         "stream_routed_tables": dim_route,
-        "created_tables": "SELECT * FROM (VALUES ('dim_base_province', 0, 'id'), ('dim_base_province', 1, 'name'), ('dim_user_info', 0, 'id'), ('dim_user_info', 1, 'name'), ('dim_user_info', 2, 'parent_id')) t(sink_table, place, name)",
+        "created_tables": """SELECT 'dim_region_' || n_regionkey sink_table, CASE WHEN n_regionkey % 2 = 0 THEN 'id,name' ELSE 'name,region' END "columns", CASE WHEN n_regionkey % 2 = 0 THEN n_nationkey || '|' || n_name ELSE n_name || '|' || n_regionkey END "row" FROM nation""",
+        "stream_user_spu_window": user_spu("10 seconds"),
+        "stream_refund_window": refund_window("10 seconds"),
+        "stream_order_chain": order_window("10 seconds"),
+        "stream_expiring_firsts": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 ms, row_number() OVER w n, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w >= 6 * 3600000, true) quiet FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+          f AS (SELECT *, ms told, true again FROM e WHERE n = 1 UNION ALL
+                SELECT e.*, CASE WHEN e.ms - f.told >= 24 * 3600000 THEN e.ms ELSE f.told END, e.ms - f.told >= 24 * 3600000 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+          SELECT event_id seq, CAST(quiet AS BIGINT) quiet, CAST(again AS BIGINT) again FROM f WHERE quiet OR again""",
+        "stream_latest_held": query("details", f"""SELECT id, CAST(CAST(split_total_amount AS DECIMAL(18,2)) + 1 AS VARCHAR) split_total_amount, epoch_us(strptime(create_time, {S})) // 1000 + 5000 held_ms FROM details UNION ALL
+          SELECT id, CAST(CAST(split_total_amount AS DECIMAL(18,2)) + 2 AS VARCHAR), epoch_us(strptime(create_time, {S})) // 1000 + 14000 FROM details WHERE length(id) % 3 = 0"""),
+        "stream_retracting_join": query("ln", """SELECT d.id, d.order_id, a.activity_id, c.coupon_id FROM ln d LEFT JOIN (SELECT id, CAST(l_partkey % 10 AS VARCHAR) activity_id FROM ln WHERE l_discount > 0.05) a ON a.id = d.id
+          LEFT JOIN (SELECT id, CAST(l_suppkey % 13 AS VARCHAR) coupon_id FROM ln WHERE l_tax > 0.04) c ON c.id = d.id"""),
+        "stream_config_change": "SELECT CASE WHEN c_custkey % 2 = 1 AND n_nationkey % 3 = 1 THEN 'dim_new_' ELSE 'dim_' END || n_nationkey sink_table, CAST(c_custkey AS VARCHAR) pk FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0 OR n_nationkey % 3 <> 2",
+        "stream_group_offsets": "SELECT reader, CAST(event_id AS VARCHAR) \"value\" FROM events, (VALUES ('stopping'), ('steady')) t(reader)",
+        "stream_committed_topic": favor_add,
+        "stream_bounce_pattern": query("jumps", "SELECT mid, seq, ts FROM jumps", 3 * 3_600_000),
+        "stream_funnel": """WITH e AS (SELECT *, epoch_us(ts) // 1000 ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events),
+          n AS (SELECT *, min(CASE WHEN event_type = 'click' THEN n END) OVER w c, min(CASE WHEN event_type = 'purchase' THEN n END) OVER w p FROM e WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+          SELECT CAST(v.user_id AS VARCHAR) mid, v.event_id "view", c.event_id click, p.event_id purchase FROM n v JOIN n c ON c.user_id = v.user_id AND c.n = v.c JOIN n p ON p.user_id = v.user_id AND p.n = c.p
+          WHERE v.event_type = 'view' AND p.ms - v.ms < 10 * 86400000""",
         "window_join_short": f"SELECT a.id id_l, CAST(a.event_id AS VARCHAR) name_l, CAST(b.event_id AS VARCHAR) name_r, (epoch_us(a.ts) // 3600000000) * 5 begins FROM ({click}) a JOIN ({buy}) b ON a.id = b.id AND epoch_us(a.ts) // 3600000000 = epoch_us(b.ts) // 3600000000",
         "gmv_on_day": query("latest", f"SELECT {_d('split_total_amount')} order_amount FROM latest WHERE create_time[1:10] = '1996-01-15'"),
         "uv_on_day": channels,

@@ -6,19 +6,26 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import stamp, time_of, total
+from ..functions.scalars import stamp, time_of
+from ..operators.bitmaps import counted
 from ..operators.enrich import enrich
 from ..operators.route import as_text
-from ..operators.upsert import read_upserts
+from ..operators.upsert import read_upserts, upsert_parquet
+from ..schemas import CDC, CONFIG_CHANGE, strings
 from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources.connectors import change_stream, create_dimension, parse, text_stream, to_messages
-from ..streaming import processors, runners
+from ..sources.topics import append_rows, register, take_snapshot
+from ..streaming import joins, processors, runners
+from ..streaming.changelog import changelog_join, read_folded, write_folded
 from ..streaming.joins import first_per_key
+from ..streaming.keyed import process
+from ..streaming.logics import Firsts, LatestHeld
+from ..streaming.patterns import Step, match
 from . import facts, trade
 from .traffic import CHANNEL, keyword_rows
 
@@ -174,17 +181,197 @@ def order_window(s: SparkSession, d: str) -> DataFrame:
     return _windows(topics, "buyers", flags.schema, [], trade.order_sums())
 
 
+def _numbered(topics: Topics, rows: DataFrame, name: str) -> DataFrame:
+    """Rows with the number of their order, as a topic that has its last row."""
+    rows = rows.withColumns({"rt": time_of(F.col("create_time")).cast("timestamp"), "number": F.col("order_id").cast("long")})
+    topics.put(name, rows)
+    topics.end(name, rows.schema, rt=LAST)
+    return topics.read(name, rows.schema)
+
+
+def _order_counts(topics: Topics, rows: DataFrame, name: str, keys: list[str], count: str, amount: bool, late: str) -> DataFrame:
+    """Windows of numbered rows with the orders in them: bitmaps are the state, and counts are made of what the job wrote."""
+    sums = [F.sum(trade.money("split_total_amount")).alias("amount")] if amount else []
+    parts = topics.run(runners.windowed_bitmaps(_numbered(topics, rows, name), "rt", keys, "number", sums, late=late), f"{name}-bitmaps")
+    return _ends(counted(parts, ["stt", "edt", *keys], count, *([F.sum("amount").cast("double").alias("order_amount")] if amount else [])))
+
+
 def province_window(s: SparkSession, d: str) -> DataFrame:
-    """Times only grow here, so nothing is waited for. The set behind the count is not written."""
+    """Times only grow here, so nothing is waited for."""
     topics = Topics(s)
-    rows = trade.keep_latest(_details(s, d)).dropna(subset=["user_id", "source_type_name"]).withColumn("rt", time_of(F.col("create_time")).cast("timestamp"))
-    topics.put("latest", rows)
-    sums = [F.collect_set("order_id").alias("orders"), runners.distinct_count("order_id").alias("order_ct"), total(trade.money("split_total_amount")).alias("order_amount")]
-    out = _windows(topics, "latest", rows.schema, ["province_id"], sums, late="0 seconds", columns=["stt", "edt", "province_id", "order_ct", "order_amount"])
+    rows = trade.keep_latest(_details(s, d)).dropna(subset=["user_id", "source_type_name"])
+    out = _order_counts(topics, rows, "latest", ["province_id"], "order_ct", True, "0 seconds")
     named = enrich(out, A.dimensions(s, d)["province"], "province_id", {"name": "province_name"})
     return named.withColumn("province_name", F.coalesce("province_name", F.lit("")))
 
 
+def user_spu_window(s: SparkSession, d: str) -> DataFrame:
+    topics, dims = Topics(s), A.dimensions(s, d)
+    rows = enrich(trade.keep_first(_details(s, d)), dims["sku"], "sku_id", {"spu_id": "spu_id", "tm_id": "trademark_id", "category3_id": "category3_id"})
+    out = _order_counts(topics, rows, "goods", ["user_id", "trademark_id", "spu_id", "category3_id"], "order_ct", True, "2 seconds")
+    return trade.name_goods(enrich(out, dims["spu"], "spu_id", {"spu_name": "spu_name"}), dims)
+
+
+def refund_window(s: SparkSession, d: str) -> DataFrame:
+    topics, dims = Topics(s), A.dimensions(s, d)
+    rows = enrich(facts.order_refund(A.topic_db(s, d), A.base_dic(s)), dims["sku"], "sku_id", {"tm_id": "trademark_id", "category3_id": "category3_id"})
+    return trade.name_goods(_order_counts(topics, rows, "refunds", ["trademark_id", "category3_id", "user_id"], "refund_ct", False, "2 seconds"), dims)
+
+
+def order_chain(s: SparkSession, d: str) -> DataFrame:
+    """From changes to the window of orders in one query: no topic between the joins, the buyers' flags and the window."""
+    topics = Topics(s)
+    kinds = ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")
+    topics.put("db", A.topic_db(s, d).where(F.col("table").isin(*kinds)))
+    last = int(LAST.timestamp())
+    ends = [("shop", k, "insert", {"id": f"{END}{n}", "order_id": f"{END}{n}", "order_detail_id": f"{END}{n}", "source_type": "2401", "user_id": END}, None, str(last + 1000 * n)) for n in (0, 1) for k in kinds]
+    topics.put("db", s.createDataFrame(ends, CDC))
+    out = topics.run(joins.order_windows(topics.read("db", CDC), A.base_dic(s)), "windows")
+    return _ends(out.where(F.col("stt") < F.lit(LAST)))
+
+
+def _clicks(topics: Topics, d: str, name: str = "events", *columns: Column) -> DataFrame:
+    """Events with their time in ms, as a topic that has its last row."""
+    rows = A.table(topics.spark, d, "events").select(F.col("user_id").cast("string").alias("mid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), "event_type", "value", F.col("ts").cast("timestamp").alias("rt"), *columns)
+    topics.put(name, rows)
+    return topics.read(name, rows.schema, mid=END, ts=int(LAST.timestamp() * 1000), seq=-1, event_type="end", value=0.0, rt=LAST)
+
+
+#: Hours without any event after which a user's next one is told, and hours for which a told one silences others.
+QUIET_HOURS, AGAIN_HOURS = 6, 24
+
+
+def expiring_firsts(s: SparkSession, d: str) -> DataFrame:
+    """A user's events after a silence, and the first of a day's length: one state variable lives from its last read, one from its last write."""
+    topics = Topics(s)
+    output = T.StructType([T.StructField(c, T.LongType()) for c in ("seq", "quiet", "again")])
+    logic = Firsts(QUIET_HOURS * 3_600_000, AGAIN_HOURS * 3_600_000, ("seq",))
+    return topics.run(process(_clicks(topics, d), "mid", ["ts", "seq"], output, logic, "rt"), "firsts").where("seq >= 0")
+
+
+#: Seconds for which a delivery waits for later ones of its line.
+HOLD_SECONDS = 5
+
+
+def latest_held(s: SparkSession, d: str) -> DataFrame:
+    """The latest delivery of each line once it has waited; every third line is delivered a third time, when the first two are gone."""
+    topics = Topics(s)
+    lines = _details(s, d).select("id", "split_total_amount", "row_op", F.unix_millis(time_of(F.col("create_time")).cast("timestamp")).alias("begin"))
+    third = lines.where("row_op > 0 AND length(id) % 3 = 0").withColumns({"row_op": F.lit(9), "split_total_amount": (trade.money("split_total_amount") + 1).cast("decimal(18,2)").cast("string")})
+    rows = lines.unionByName(third).select("id", "split_total_amount", F.col("row_op").cast("double").alias("row_op"), (F.col("begin") + F.col("row_op") * 1000).cast("long").alias("ms"))
+    rows = rows.withColumn("rt", F.timestamp_millis("ms"))
+    topics.put("deliveries", rows)
+    stream = topics.read("deliveries", rows.schema, id=END, split_total_amount="0", row_op=0.0, ms=int(LAST.timestamp() * 1000), rt=LAST)
+    output = T.StructType([*strings("id", "split_total_amount").fields, T.StructField("held_ms", T.LongType())])
+    return topics.run(process(stream, "id", ["ms", "row_op", "split_total_amount"], output, LatestHeld(HOLD_SECONDS * 1000, "row_op", ("id", "split_total_amount")), "rt"), "latest")
+
+
+def retracting_join(s: SparkSession, d: str) -> DataFrame:
+    """Lines with activity and coupon, each in three micro-batches that do not fit to each other: rows go out with nulls and are taken back."""
+    topics = Topics(s)
+    db, parts = A.topic_db(s, d), {}
+    for kind, columns in (("order_detail", {"id": "id", "order_id": "order_id"}), ("order_detail_activity", {"id": "order_detail_id", "activity_id": "activity_id"}), ("order_detail_coupon", {"id": "order_detail_id", "coupon_id": "coupon_id"})):
+        rows = facts.changes(db, kind).select(*[F.col("data")[old].alias(new) for new, old in columns.items()])
+        rows.withColumn("_part", F.pmod(F.xxhash64("id", F.lit(kind)), F.lit(3))).repartition(3, "_part").write.partitionBy("_part").parquet(f"{topics.folder}/{kind}")
+        parts[kind] = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{topics.folder}/{kind}/*")
+    lines, activity, coupon = parts.values()
+    changes = changelog_join(changelog_join(lines, activity, ["id"]), coupon, ["id"])
+    folder = f"{topics.folder}/changes"
+    runners.run_once(changes, f"{folder}-state", write_folded(folder))
+    return read_folded(s, folder, changes.schema)
+
+
+def _change(op: str, before: Column, after: Column) -> Column:
+    return F.to_json(F.struct(F.lit(op).alias("op"), before.alias("before"), after.alias("after"))).alias("value")
+
+
+def config_change(s: SparkSession, d: str) -> DataFrame:
+    """Routes from a snapshot and then a log: customers of the first half are routed as the snapshot says, those of the second as the log has changed it."""
+    register(s)
+    topics = Topics(s)
+    log, snapshot, routes, data = (f"{topics.folder}/{x}" for x in ("log", "snapshot", "routes", "data"))
+    key, nations = F.col("n_nationkey"), A.table(s, d, "nation")
+    row = lambda sink: F.struct(F.col("n_name").alias("source_table"), sink.alias("sink_table"), F.lit("id,name").alias("sink_columns"))
+    first, second = row(F.concat(F.lit("dim_"), key)), row(F.concat(F.lit("dim_new_"), key))
+    none = F.lit(None).cast(T.StructType([*strings("source_table", "sink_table", "sink_columns").fields]))
+    take_snapshot(nations.select(first.alias("r")).select("r.*"), log, snapshot)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        changes = batch.select(F.from_json("value", CONFIG_CHANGE).alias("m"), (F.when(F.col("partition") < 0, 0).otherwise(F.col("offset") + 1)).alias("version"))
+        rows = changes.select(F.coalesce("m.after.source_table", "m.before.source_table").alias("source_table"), "m.op", "m.after.sink_table", "m.after.sink_columns", "version")
+        upsert_parquet(s, rows, routes, ["source_table"], ["version"], n)
+
+    def configure() -> None:
+        runners.run_once(s.readStream.format("snapshot_log").option("path", log).option("snapshot", snapshot).load(), f"{routes}-state", keep)
+
+    def config() -> DataFrame:
+        return read_upserts(s, routes, ["source_table"], ["version"]).where("op <> 'd'").select("source_table", "sink_table", "sink_columns", F.lit(None).cast("string").alias("sink_pk"))
+
+    people = A.table(s, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    data_row = F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("name"), F.col("c_name"))
+    changes = people.select(F.lit("shop").alias("database"), F.col("n_name").alias("table"), F.lit("insert").alias("type"), data_row.alias("data"), F.lit(None).cast("map<string,string>").alias("old"), F.lit("1").alias("ts"), (F.col("c_custkey") % 2).alias("half"))
+    stream = lambda: s.readStream.schema(CDC).parquet(f"{data}/*")
+    for half in (0, 1):
+        if half:
+            append_rows(nations.where("n_nationkey % 3 = 1").select(_change("u", first, second)), log, "config", 0)
+            append_rows(nations.where("n_nationkey % 3 = 2").select(_change("d", first, none)), log, "config", 1)
+        configure()
+        changes.where(F.col("half") == half).drop("half").write.parquet(f"{data}/{half}")
+        runners.route_to_tables(stream(), config, f"{topics.folder}/dims", f"{topics.folder}/dims-state")
+    return read_upserts(s, f"{topics.folder}/dims", ["sink_table", "pk"], ["ts"]).select("sink_table", "pk")
+
+
+def group_offsets(s: SparkSession, d: str) -> DataFrame:
+    """Two groups read one topic. One of them ends after half of it and goes on with a new checkpoint: the group knows where it was."""
+    register(s)
+    topics = Topics(s)
+    topic = f"{topics.folder}/topic"
+    events = A.table(s, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))
+
+    def read(group: str, run: int) -> None:
+        rows = s.readStream.format("topic").option("path", topic).option("group", group).load()
+        runners.run_group(rows.select(F.lit(group).alias("reader"), "value"), f"{topics.folder}/{group}-{run}", runners.write_batch(f"{topics.folder}/out/{group}-{run}"), topic, group)
+
+    half = F.col("value").cast("long") % 2 == 0
+    append_rows(events.where(half), topic, "events", 0, 4)
+    read("stopping", 0)
+    append_rows(events.where(~half), topic, "events", 1, 4)
+    read("stopping", 1)
+    read("steady", 0)
+    return s.read.option("recursiveFileLookup", "true").schema("reader string, value string").parquet(f"{topics.folder}/out")
+
+
+def committed_topic(s: SparkSession, d: str) -> DataFrame:
+    """Favors through a sink whose batches are seen as a whole: the job runs again with a lost checkpoint, and nothing is there twice."""
+    register(s)
+    topics = Topics(s)
+    rows = facts.favor_add(A.topic_db(s, d))
+    topics.put("favors", rows)
+    topic = f"{topics.folder}/topic"
+    for run in range(2):
+        messages = to_messages(topics.read("favors", rows.schema), ["id"])
+        query = messages.writeStream.format("topic").option("path", topic).option("writer", "favors").option("partitions", "3").option("checkpointLocation", f"{topics.folder}/sink-{run}").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return topics.run(parse(s.readStream.format("topic").option("path", topic).load(), rows.schema), "read")
+
+
+def bounce_pattern(s: SparkSession, d: str) -> DataFrame:
+    """Bounces as a pattern: two entries next to each other within three hours, or one that the time ran out on; the first row of either."""
+    topics = Topics(s)
+    name, schema = _pages(topics, d)
+    rows = topics.read(name, schema).withColumn("entry", F.col("last_page_id").isNull())
+    found = match(rows, "mid", [Step("entry", times=2, next=True)], 3 * 3_600_000, "rt", timeouts=True)
+    return topics.run(found.select("mid", F.col("taken")[0].alias("seq"), F.col("began").alias("ts")), "bounces")
+
+
+def funnel(s: SparkSession, d: str) -> DataFrame:
+    """A view, the next click after it and the next purchase after that, within ten days of the view; other events are passed over."""
+    topics = Topics(s)
+    rows = _clicks(topics, d).withColumns({k: F.col("event_type") == k for k in ("view", "click", "purchase")})
+    found = match(rows, "mid", [Step("view"), Step("click"), Step("purchase")], 10 * 86_400_000, "rt")
+    return topics.run(found.select("mid", *[F.col("taken")[i].alias(c) for i, c in enumerate(("view", "click", "purchase"))]), "funnel")
+
+
 def full_join(s: SparkSession, d: str) -> DataFrame:
     """Clicks and purchases of a user within an hour of each other, and those without a partner once none can follow."""
     topics = Topics(s)
@@ -236,23 +423,33 @@ def routed_tables(s: SparkSession, d: str) -> DataFrame:
     topics = Topics(s)
     changes = change_stream(topics.messages("changes", A.dimension_changes(s, d)))
     runners.route_to_tables(changes, lambda: A.routes(s), f"{topics.folder}/dims", f"{topics.folder}/dims-state")
-    out = None
-    for name in ("dim_base_province", "dim_user_info"):
-        rows = read_upserts(s, f"{topics.folder}/dims/{name}", ["pk"], ["ts"])
-        rows = rows.select(F.lit(name).alias("sink_table"), "pk", as_text(F.from_json("row", "map<string,string>")).alias("row"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    tables = [runners.read_routed(s, f"{topics.folder}/dims", name).select(F.lit(name).alias("sink_table"), "pk", as_text(F.from_json("row", "map<string,string>")).alias("row")) for name in ("dim_base_province", "dim_user_info")]
+    return tables[0].unionByName(tables[1])
 
 
 def created_tables(s: SparkSession, d: str) -> DataFrame:
-    """Tables of the routes, made from their configuration, by their columns."""
+    """A table for each region, made from its route, with its nations written into it by its columns and read again.
+
+    The tables are in a catalog database of their own, which goes when they are written; their files stay in the shared folder.
+    """
     topics, out = Topics(s), None
-    for r in A.routes(s).collect():  # a row for each route
-        name = f"{r.sink_table}_{uuid.uuid4().hex[:8]}"
-        create_dimension(s, name, r.sink_columns, r.sink_pk, r.sink_extend, f"{topics.folder}/{name}")
-        own = s.createDataFrame([(r.sink_table, i, c) for i, c in enumerate(s.table(name).columns)], "sink_table string, place int, name string")
-        s.sql(f"DROP TABLE `{name}`")
-        out = own if out is None else out.unionByName(own)
+    regions, nations = A.table(s, d, "region"), A.table(s, d, "nation")
+    columns = F.when(F.col("r_regionkey") % 2 == 0, "id,name").otherwise("name,region")
+    routes = regions.select("r_regionkey", F.concat(F.lit("dim_region_"), "r_regionkey").alias("sink_table"), columns.alias("sink_columns"), F.when(F.col("r_regionkey") % 2 == 1, "name").alias("sink_pk"))
+    database = f"routes_{uuid.uuid4().hex[:12]}"
+    s.sql(f"CREATE DATABASE {database} LOCATION '{topics.folder}/{database}'")
+    try:
+        for r in routes.collect():  # a row for each table of the warehouse
+            place = f"{topics.folder}/{r.sink_table}"
+            create_dimension(s, r.sink_table, r.sink_columns, r.sink_pk, None, place, database)
+            rows = nations.where(F.col("n_regionkey") == r.r_regionkey).select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))
+            names = s.table(f"{database}.{r.sink_table}").columns
+            rows.select(*names).write.mode("append").insertInto(f"{database}.{r.sink_table}")
+            own = s.read.schema(T.StructType([*strings(*names).fields])).parquet(place)
+            own = own.select(F.lit(r.sink_table).alias("sink_table"), F.lit(",".join(names)).alias("columns"), F.concat_ws("|", *names).alias("row"))
+            out = own if out is None else out.unionByName(own)
+    finally:
+        s.sql(f"DROP DATABASE {database} CASCADE")
     return out
 
 
@@ -262,4 +459,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_login_window": login_window, "stream_keyword_window": keyword_window, "stream_register_window": register_window, "stream_cart_add_window": cart_add_window,
         "stream_order_window": order_window, "stream_province_window": province_window, "stream_full_join": full_join, "stream_coupon_messages": coupon_messages,
         "stream_detail_messages": detail_messages, "stream_exactly_once": exactly_once, "stream_log_pages": log_pages, "stream_routed_tables": routed_tables, "created_tables": created_tables,
+        "stream_user_spu_window": user_spu_window, "stream_refund_window": refund_window, "stream_order_chain": order_chain, "stream_expiring_firsts": expiring_firsts, "stream_latest_held": latest_held,
+        "stream_retracting_join": retracting_join, "stream_config_change": config_change, "stream_group_offsets": group_offsets, "stream_committed_topic": committed_topic,
+        "stream_bounce_pattern": bounce_pattern, "stream_funnel": funnel,
     }

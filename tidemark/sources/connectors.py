@@ -106,7 +106,7 @@ def jdbc_sink(batch: DataFrame, url: str, table: str, columns: list[str], batch_
     batch.select(*columns).write.format("jdbc").mode("append").options(url=url, dbtable=table, batchsize=batch_rows, **options).save()
 
 
-def create_dimension(spark: SparkSession, table: str, columns: str, key: str | None = None, extend: str | None = None, location: str | None = None) -> None:
+def create_dimension(spark: SparkSession, table: str, columns: str, key: str | None = None, extend: str | None = None, location: str | None = None, database: str | None = None) -> None:
     """Creates a configured table of text columns where it is missing; the key, ``id`` by default, comes first.
 
     ``extend`` is what the configuration adds to the statement, such as ``TBLPROPERTIES (...)``. A route without a
@@ -116,4 +116,4 @@ def create_dimension(spark: SparkSession, table: str, columns: str, key: str | N
     if not table or not (columns or "").strip(", "):
         raise ValueError(f"a route without table or columns: {table!r}, {columns!r}")
     names = [key, *[c.strip() for c in columns.split(",") if c.strip() and c.strip() != key]]
-    spark.sql(f"CREATE TABLE IF NOT EXISTS `{table}` ({', '.join(f'`{n}` STRING' for n in names)}) USING parquet" + (f" LOCATION '{location}'" if location else "") + (f" {extend}" if extend else ""))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {f"`{database}`." if database else ""}`{table}` ({', '.join(f'`{n}` STRING' for n in names)}) USING parquet" + (f" LOCATION '{location}'" if location else "") + (f" {extend}" if extend else ""))

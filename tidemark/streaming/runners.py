@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.bitmaps import bitmap, bucket
 from ..operators.route import parse_logs, route_dimensions, split_logs
-from ..operators.upsert import upsert_parquet
+from ..operators.upsert import read_upserts, upsert_parquet
+from ..sources.topics import commit_group
 
 
 def windowed(rows: DataFrame, time: str, keys: list[str], aggregates: list[Column], size: str = "10 seconds", late: str = "2 seconds") -> DataFrame:
@@ -18,9 +21,13 @@ def windowed(rows: DataFrame, time: str, keys: list[str], aggregates: list[Colum
     return grouped.select(F.col("w.start").alias("stt"), F.col("w.end").alias("edt"), *[c for c in grouped.columns if c != "w"])
 
 
-def distinct_count(column: str) -> Column:
-    """A count of distinct values that streams accept."""
-    return F.size(F.collect_set(column)).cast("long")
+def windowed_bitmaps(rows: DataFrame, time: str, keys: list[str], number: str, aggregates: list[Column], size: str = "10 seconds", late: str = "2 seconds") -> DataFrame:
+    """A tumbling aggregate with distinct counts whose state is bounded: for each window, key and bucket of ``number`` a bitmap of a fixed size.
+
+    ``operators.bitmaps.counted`` makes counts of it, of a window or of all windows of a day.
+    """
+    marked = rows.withColumn("bucket", bucket(F.col(number)))
+    return windowed(marked, time, [*keys, "bucket"], [bitmap(F.col(number)).alias("bitmap"), *aggregates], size, late)
 
 
 def run_once(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -57,24 +64,34 @@ def fan_out_logs(raw: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def route_to_tables(changes: DataFrame, config: Callable[[], DataFrame], path: str, checkpoint: str, changed: Callable[[str], None] | None = None) -> StreamingQuery:
-    """Dimension changes into a table for each route; the routes are read anew for each micro-batch.
+    """Dimension changes into a table for each route, as one partitioned upsert table (see :func:`read_routed`); the routes are read anew for each micro-batch.
 
-    ``changed`` is told the name of each table that a micro-batch has rows for, once they are written, so that a
-    lookup of it can be forgotten.
+    A micro-batch is written once, whatever the number of routes. ``changed`` is told the name of each table that it has rows
+    for, once they are written, so that a lookup of it can be forgotten.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         routes = config()
-        routed = route_dimensions(batch, routes).persist()
-        for r in routes.dropDuplicates(["sink_table"]).collect():  # a row for each table of the warehouse
-            if not r.sink_table or not (r.sink_columns or "").strip(", "):
-                raise ValueError(f"a route without table or columns: {r}")
-            own = routed.where(F.col("sink_table") == r.sink_table)
-            if changed and own.isEmpty():
-                continue
-            upsert_parquet(batch.sparkSession, own.select("pk", F.to_json("row").alias("row"), "ts"), f"{path}/{r.sink_table}", ["pk"], ["ts"], n)
-            if changed:
-                changed(r.sink_table)
-        routed.unpersist()
+        wrong = routes.where("coalesce(trim(sink_table), '') = '' OR coalesce(trim(BOTH ', ' FROM sink_columns), '') = ''").first()
+        if wrong:
+            raise ValueError(f"a route without table or columns: {wrong}")
+        routed = route_dimensions(batch, routes).select("sink_table", "pk", F.to_json("row").alias("row"), "ts")
+        upsert_parquet(batch.sparkSession, routed, path, ["sink_table", "pk"], ["ts"], n, "sink_table")
+        for r in (batch.sparkSession.read.parquet(f"{path}/kind=batch/batch={n}").select("sink_table").distinct().collect() if changed else ()):  # names of tables
+            changed(r.sink_table)
 
     return run_once(changes, checkpoint, write)
+
+
+def read_routed(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One table of :func:`route_to_tables`; only its folders are read."""
+    return read_upserts(spark, path, ["sink_table", "pk"], ["ts"], F.col("sink_table") == table).drop("sink_table")
+
+
+def run_group(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], topic: str, group: str) -> StreamingQuery:
+    """Runs once as a consumer group. Spark tells a source of a batch when it plans the next one, so the last is told here."""
+    query = run_once(rows, checkpoint, write)
+    for source in json.loads(query.lastProgress.json)["sources"] if query.lastProgress else ():
+        if source["endOffset"]:
+            commit_group(topic, group, source["endOffset"])
+    return query
