@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import state
+from tidemark.operators.bitmaps import counted
 from tidemark.operators.route import route_dimensions
-from tidemark.operators.upsert import read_upserts
 from tidemark.sources import adapters as A
 from tidemark.streaming import processors, runners
 
@@ -61,8 +61,9 @@ def test_daily_firsts_equal_batch(spark, page_files, tmp_path):
 
 
 def test_windows_equal_batch(spark, page_files, tmp_path):
-    sums = [F.count(F.lit(1)).alias("n"), runners.distinct_count("mid").alias("people")]
-    got = gather(spark, runners.windowed(stream(spark, page_files), "rt", ["ch"], sums, "1 hour"), tmp_path)
+    rows = stream(spark, page_files).where("mid <> 'end' OR ts > 0").withColumn("number", F.coalesce(F.col("mid").try_cast("long"), F.lit(-1)))
+    parts = gather(spark, runners.windowed_bitmaps(rows, "rt", ["ch"], "number", [F.count(F.lit(1)).alias("n")], "1 hour"), tmp_path)
+    got = counted(parts, ["stt", "edt", "ch"], "people", F.sum("n").alias("n"))
     want = page_files[2].groupBy(F.window("rt", "1 hour").alias("w"), "ch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mid").alias("people")).select("w.start", "ch", "n", "people")
     assert sorted(map(tuple, got.select("stt", "ch", "n", "people").collect())) == sorted(map(tuple, want.collect()))
 
@@ -136,7 +137,7 @@ def test_routed_tables(spark, sf_dir, tmp_path):
     told = []
     runners.route_to_tables(rows, lambda: A.routes(spark), f"{tmp_path}/out", f"{tmp_path}/checkpoint", told.append)
     assert sorted(told) == ["dim_base_province", "dim_user_info"]
-    got = {t: read_upserts(spark, f"{tmp_path}/out/{t}", ["pk"], ["ts"]).count() for t in ("dim_base_province", "dim_user_info")}
+    got = {t: runners.read_routed(spark, f"{tmp_path}/out", t).count() for t in ("dim_base_province", "dim_user_info")}
     want = {r.sink_table: r.n for r in route_dimensions(changes, A.routes(spark)).groupBy("sink_table").agg(F.countDistinct("pk").alias("n")).collect()}
     assert got == want
 

@@ -63,10 +63,10 @@ def cart_add(db: DataFrame, dic: DataFrame) -> DataFrame:
     """New cart rows, and what was added where a row's number grew."""
     now, was = F.expr("try_cast(data['sku_num'] AS INT)"), F.expr("try_cast(old['sku_num'] AS INT)")
     rows = changes(db, "cart_info", database="shop").where((F.col("type") == "insert") | ((F.col("type") == "update") & (now > was)))
-    added = F.when(F.col("type") == "insert", F.col("data")["sku_num"]).otherwise((now - was).cast("string"))
-    rows = rows.withColumn("data", F.map_concat(F.map_filter("data", lambda k, _: k != "sku_num"), F.create_map(F.lit("sku_num"), added)))
     names = "id user_id sku_id cart_price sku_num sku_name is_checked create_time operate_time is_ordered order_time source_id"
-    rows = lookup(take(rows, *names.split(), source_type_id="source_type"), dic, "source_type_id", "source_type_name")
+    rows = take(rows, *names.split(), source_type_id="source_type")
+    grown = F.expr("CAST(try_cast(sku_num AS INT) - try_cast(old['sku_num'] AS INT) AS STRING)")
+    rows = lookup(rows.withColumn("sku_num", F.when(F.col("type") == "insert", F.col("sku_num")).otherwise(grown)), dic, "source_type_id", "source_type_name")
     return _final(rows, "id user_id sku_id cart_price sku_num sku_name is_checked create_time operate_time is_ordered order_time source_type_id source_type_name source_id")
 
 
@@ -76,13 +76,25 @@ DETAIL = "id order_id sku_id sku_name order_price sku_num create_time source_id
 
 
 def order_pre_process(db: DataFrame, dic: DataFrame) -> DataFrame:
-    """Order lines with their order, activity, coupon and source: the wide row that orders and cancellations come from."""
-    detail = take(changes(db, "order_detail", "insert", "shop"), *DETAIL.split(), source_type_id="source_type").drop("type", "old", "ts")
+    """Order lines with their order, activity, coupon and source: the wide row that orders and cancellations come from.
+
+    Lines, activities and coupons are read in one pass and meet by the line's id in one shuffle; several partners of a
+    line give several rows, as in left joins. The id is the key of its table, so it is not null.
+    """
+    d, kind = F.col("data"), F.col("table")
+    parts = {
+        "order_detail": {**{n: n for n in DETAIL.split()}, "source_type_id": "source_type"},
+        "order_detail_activity": {"order_detail_activity_id": "id", "activity_id": "activity_id", "activity_rule_id": "activity_rule_id"},
+        "order_detail_coupon": {"order_detail_coupon_id": "id", "coupon_id": "coupon_id", "coupon_use_id": "coupon_use_id"},
+    }
+    lines = db.where(kind.isin(*parts) & (F.col("type") == "insert") & (F.col("database") == "shop"))
+    key = F.when(kind == "order_detail", d["id"]).otherwise(d["order_detail_id"])
+    each = lines.select(key.alias("_line"), *[F.when(kind == t, F.struct(*[d[old].alias(new) for new, old in names.items()])).alias(t) for t, names in parts.items()])
+    met = each.groupBy("_line").agg(*[F.collect_list(t).alias(t) for t in parts])
+    met = met.select(F.explode("order_detail").alias("l"), "order_detail_activity", "order_detail_coupon").select("l", F.explode_outer("order_detail_activity").alias("a"), "order_detail_coupon").select("l", "a", F.explode_outer("order_detail_coupon").alias("c"))
+    detail = met.select("l.*", "a.*", "c.*")
     order = take(changes(db, "order_info", database="shop").where(F.col("type").isin("insert", "update")), *ORDER.split(), _order="id").drop("ts")
-    activity = take(changes(db, "order_detail_activity", "insert", "shop"), "activity_id", "activity_rule_id", order_detail_activity_id="id", _a="order_detail_id").drop("type", "old", "ts")
-    coupon = take(changes(db, "order_detail_coupon", "insert", "shop"), "coupon_id", "coupon_use_id", order_detail_coupon_id="id", _c="order_detail_id").drop("type", "old", "ts")
     wide = lookup(detail, dic, "source_type_id", "source_type_name").join(order, F.col("order_id") == F.col("_order"))
-    wide = wide.join(activity, F.col("id") == F.col("_a"), "left").join(coupon, F.col("id") == F.col("_c"), "left")
     return wide.select(*"id order_id sku_id sku_name order_price sku_num create_time source_type_id source_type_name source_id split_total_amount split_activity_amount split_coupon_amount".split(), *ORDER.split(), "order_detail_activity_id", "activity_id", "activity_rule_id", "order_detail_coupon_id", "coupon_id", "coupon_use_id", "type", "old")
 
 

@@ -158,6 +158,8 @@ def all_queries() -> dict[str, str]:
           SELECT 'dim_user_info', CAST(c_custkey AS VARCHAR), 'id=' || c_custkey || ',name=' || c_name || ',parent_id=' || c_nationkey, c_custkey FROM customer) WHERE k % 4 <> 3""".replace("SELECT * FROM (", 'SELECT sink_table, pk, "row" FROM (', 1)
     on_day = "CAST(rt AS DATE) = DATE '2024-01-15'"
     channels = query("pages uv jumps", f"SELECT ch, {_n('uv')} uv, {_n('uj')} uj_ct FROM (SELECT ch, 1 uv, 0 uj FROM uv WHERE {on_day} UNION ALL SELECT ch, 0, 1 FROM jumps WHERE {on_day} UNION ALL SELECT ch, 0, 0 FROM pages WHERE {on_day}) GROUP BY ch")
+    dictionary = """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) w FROM part), d AS (SELECT DISTINCT unnest([w, substring(w, 2, 2), CASE WHEN length(w) < 3 THEN w ELSE right(w, 3) END]) word FROM w)
+      SELECT p_partkey, word, i - 1 AS "start" FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) i FROM part) p JOIN d ON substring(p_name, i, length(word)) = word AND word <> ''"""
     return {
         "traffic_page_view_window": traffic("10 seconds", 10_000),
         "traffic_page_view_day": traffic("1 day", 3_600_000),
@@ -218,6 +220,11 @@ def all_queries() -> dict[str, str]:
         "order_times": f"""SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 * 1000 ms, epoch_us(date_trunc('day', o_orderdate)) // 1000 day_ms, strftime(o_orderdate, {S}) "second",
           strftime(o_orderdate, {S}) || CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '.04' END "later" FROM orders""",
         "upsert_payments": query("paid", "SELECT order_detail_id, order_id, CASE WHEN CAST(order_id AS BIGINT) % 2 = 0 THEN '0.00' ELSE split_payment_amount END split_payment_amount FROM paid"),
+        "distinct_by_bitmap": query("latest", "SELECT create_time[1:10] \"day\", province_id, count(DISTINCT order_id) order_ct, count(DISTINCT user_id) user_ct FROM latest GROUP BY ALL"),
+        "as_of_province": """SELECT o_orderkey, CAST(n_nationkey AS BIGINT) province, n_name || CASE WHEN n_nationkey % 2 = 0 AND o_orderdate >= TIMESTAMP '1998-06-01' THEN ' III'
+            WHEN o_orderdate >= TIMESTAMP '1996-01-01' + INTERVAL (n_nationkey) DAY THEN ' II' ELSE '' END province_name
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE NOT (n_nationkey % 5 = 4 AND o_orderdate >= TIMESTAMP '2000-01-01')""",
+        "dictionary_words": dictionary, "dictionary_words_joined": dictionary,
         "log_split_page": query("raw", f"SELECT {_COMMON}, page_id, last_page_id, item, item_type, during_time, ts FROM raw WHERE {_OK} AND event_type <> 'signup'"),
         "log_split_start": query("raw", f"SELECT {_COMMON}, 'icon' entry, CAST(k AS BIGINT) loading_time, ts FROM raw WHERE {_OK} AND event_type = 'signup'"),
         "log_split_error": query("raw", f"SELECT mid, page_id, CAST(k AS BIGINT) error_code, 'oops' msg, ts FROM raw WHERE {_OK} AND event_type = 'error'"),

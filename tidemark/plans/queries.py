@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import as_beans, latest_of, seconds_time, stamp, stamped, to_millis
+from ..functions.dictionary import dictionary_words
+from ..functions.scalars import as_beans, latest_of, seconds_time, stamp, stamped, time_of, to_millis
 from ..functions.tokens import register_splitter
 from ..operators import state
+from ..operators.bitmaps import bitmaps, counted, merged, number_ids
 from ..operators.joins import interval_join, window_join
 from ..operators.route import as_text, parse_logs, route_dimensions, split_logs
 from ..operators.windows import tumble
+from ..operators.versions import as_of, versions
 from ..sources import adapters as A
 from ..operators.upsert import compact_upserts, read_upserts, upsert_parquet
 from ..schemas import strings
@@ -38,7 +41,7 @@ def _db(fact: Callable[..., DataFrame], dic: bool = False) -> Query:
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
-    return facts.order_pre_process(A.topic_db(s, d), A.base_dic(s))
+    return facts.order_pre_process(A.order_changes(s, d), A.base_dic(s))
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
@@ -138,6 +141,37 @@ def _upserted(s: SparkSession, d: str) -> DataFrame:
     return read_upserts(s, folder, ["order_detail_id"], ["version"]).drop("version")
 
 
+def _distinct_days(s: SparkSession, d: str) -> DataFrame:
+    """Orders and buyers of a day and province from the bitmaps of its ten-second windows, without their rows."""
+    rows = _latest(s, d).withColumns({"rt": time_of(F.col("create_time")), "number": F.col("order_id").cast("long")})
+    people = number_ids(A.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("buyer")), "buyer").withColumnRenamed("number", "person")
+    rows = rows.join(people, F.col("user_id") == F.col("buyer"))
+    ids = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in (("order_ct", "number"), ("user_ct", "person"))]))
+    rows = rows.select(F.window("rt", "10 seconds").alias("w"), "province_id", ids.alias("of")).select("w", "province_id", "of.*")
+    days = merged(bitmaps(rows, ["w", "province_id", "kind"], "id"), [F.date_format("w.start", "yyyy-MM-dd").alias("day"), "province_id", "kind"])
+    found = counted(days, ["day", "province_id", "kind"], "n")
+    return found.groupBy("day", "province_id").pivot("kind", ["order_ct", "user_ct"]).agg(F.first("n"))
+
+
+def _named_in_time(s: SparkSession, d: str) -> DataFrame:
+    """Orders with the name that their province had then: all are renamed once, even ones twice, and some end."""
+    n = A.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    change = lambda rows, when, suffix, gone=False: rows.select("id", F.concat("n_name", F.lit(suffix)).alias("province_name"), when.alias("at"), F.lit(gone).alias("gone"))
+    log = change(n, at("1990-01-01"), "").unionByName(change(n, at("1996-01-01") + F.make_dt_interval(F.col("id")), " II"))
+    log = log.unionByName(change(n.where("id % 2 = 0"), at("1998-06-01"), " III")).unionByName(change(n.where("id % 5 = 4"), at("2000-01-01"), "", True))
+    orders = A.table(s, d, "orders").join(A.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("long").alias("province"), F.col("o_orderdate").cast("timestamp_ntz").alias("ordered"))
+    return as_of(orders, versions(log, "id", "at", deleted="gone"), "province", "ordered", "id", ["province_name"]).select("o_orderkey", "province", "province_name")
+
+
+def _dictionary(s: SparkSession, d: str, sent_bytes: int) -> DataFrame:
+    """Words of goods' names, and the middle and the end of each, wherever they stand in a name."""
+    part = A.table(s, d, "part")
+    word = part.select(F.explode(F.split("p_name", " ")).alias("w"))
+    words = word.select(F.explode(F.array("w", F.substring("w", 2, 2), F.substring("w", -3, 3))).alias("word"))
+    return dictionary_words(part.select("p_partkey", "p_name"), words, "p_name", sent_bytes=sent_bytes).select("p_partkey", "word", F.col("start").cast("long").alias("start"))
+
+
 #: The wall clock of queries that write it, and the days of those that serve one.
 AS_OF_MS, DAY, ORDER_DAY = 1_704_067_200_000, 20240115, 19960115
 
@@ -204,6 +238,10 @@ def queries() -> dict[str, Query]:
         "config_routes": _configured,
         "order_times": _times,
         "upsert_payments": _upserted,
+        "distinct_by_bitmap": _distinct_days,
+        "as_of_province": _named_in_time,
+        "dictionary_words": lambda s, d: _dictionary(s, d, 16_000_000),
+        "dictionary_words_joined": lambda s, d: _dictionary(s, d, 0),
     } | streamed.queries()
 
 

@@ -164,7 +164,7 @@ def cart_add_window(s: SparkSession, d: str) -> DataFrame:
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
-    return trade.arrivals(facts.order_detail(facts.order_pre_process(A.topic_db(s, d), A.base_dic(s))))
+    return trade.arrivals(facts.order_detail(facts.order_pre_process(A.order_changes(s, d), A.base_dic(s))))
 
 
 def order_window(s: SparkSession, d: str) -> DataFrame:
@@ -222,7 +222,7 @@ def order_chain(s: SparkSession, d: str) -> DataFrame:
     """From changes to the window of orders in one query: no topic between the joins, the buyers' flags and the window."""
     topics = Topics(s)
     kinds = ("order_detail", "order_info", "order_detail_activity", "order_detail_coupon")
-    topics.put("db", A.topic_db(s, d).where(F.col("table").isin(*kinds)))
+    topics.put("db", A.order_changes(s, d))
     last = int(LAST.timestamp())
     ends = [("shop", k, "insert", {"id": f"{END}{n}", "order_id": f"{END}{n}", "order_detail_id": f"{END}{n}", "source_type": "2401", "user_id": END}, None, str(last + 1000 * n)) for n in (0, 1) for k in kinds]
     topics.put("db", s.createDataFrame(ends, CDC))
@@ -404,7 +404,7 @@ def coupon_messages(s: SparkSession, d: str) -> DataFrame:
 def detail_messages(s: SparkSession, d: str) -> DataFrame:
     """Order lines written as messages and read again as the typed table of that topic."""
     topics = Topics(s)
-    lines = facts.order_detail(facts.order_pre_process(A.topic_db(s, d), A.base_dic(s)))
+    lines = facts.order_detail(facts.order_pre_process(A.order_changes(s, d), A.base_dic(s)))
     return topics.run(parse(topics.messages("lines", lines), facts.DETAIL_TOPIC), "typed")
 
 

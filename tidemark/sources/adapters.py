@@ -77,10 +77,10 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.coalesce(broken, F.to_json(message)).alias("value"), "seq")
 
 
-def _changes(rows: DataFrame, name: str, kind: str | Column, data: dict[str, Column], old: Column | None = None, time: str = "at") -> DataFrame:
+def _changes(rows: DataFrame, name: str | Column, kind: str | Column, data: dict[str, Column], old: Column | None = None, time: str = "at") -> DataFrame:
     pairs = [x for k, v in data.items() for x in (F.lit(k), v)]
     return rows.select(
-        F.lit("shop").alias("database"), F.lit(name).alias("table"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
+        F.lit("shop").alias("database"), (F.lit(name) if isinstance(name, str) else name).alias("table"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
         F.create_map(*pairs).alias("data"), (old if old is not None else F.lit(None)).cast("map<string,string>").alias("old"),
         _text(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("ts"),
     )
@@ -98,30 +98,57 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("at", F.col("o_orderdate"))
 
 
+def _number(c: str) -> Column:
+    return _text(F.col(c).cast("long"))
+
+
+#: What a line has besides its own change, and when.
+LINE_PARTS = {"order_detail": "true", "order_detail_activity": "l_discount > 0.05", "order_detail_coupon": "l_tax > 0.04"}
+
+
+def _line_changes(lines: DataFrame, name: str | Column) -> DataFrame:
+    """Changes of lines, their activities or their coupons, as the column ``kind`` says."""
+    detail, at = F.col("kind") == "order_detail", stamp("at")
+    kind = F.when(detail, "").when(F.col("kind") == "order_detail_activity", "a").otherwise("c")
+    return _changes(lines, name, "insert", {
+        "id": F.concat(kind, "id"), "order_id": _text("l_orderkey"), "sku_id": _text("l_partkey"), "order_detail_id": F.when(~detail, F.col("id")), "create_time": at,
+        "sku_name": F.when(detail, F.concat(F.lit("sku "), _text("l_partkey"))), "order_price": F.when(detail, _text("price")), "sku_num": F.when(detail, _number("l_quantity")),
+        "source_type": F.when(detail, _text(F.col("l_linenumber") % 5 + 2401)), "source_id": F.when(detail, _text("l_suppkey")), "split_total_amount": F.when(detail, _text((F.col("price") * F.col("l_quantity").cast("int")).cast("decimal(18,2)"))),
+        "split_activity_amount": F.when(detail & F.expr(LINE_PARTS["order_detail_activity"]), _money("l_discount")), "split_coupon_amount": F.when(detail & F.expr(LINE_PARTS["order_detail_coupon"]), _money("l_tax")),
+        "activity_id": F.when(~detail, _text(F.col("l_partkey") % 10)), "activity_rule_id": F.when(~detail, _text(F.col("l_suppkey") % 7)),
+        "coupon_id": F.when(~detail, _text(F.col("l_suppkey") % 13)), "coupon_use_id": F.when(~detail, _text(F.col("l_orderkey") % 1000))})
+
+
+def _order_states(orders: DataFrame) -> DataFrame:
+    """All states of an order from one row of it."""
+    at, changed = stamp("at"), F.col("o_orderstatus") != "O"
+    status = F.when(F.col("o_orderstatus") == "O", "1001").when(F.col("o_orderstatus") == "F", "1002").otherwise("1003")
+    state = lambda kind, code: F.struct(kind.alias("type"), code.alias("status"))
+    later = [F.when(F.expr(when), state(F.lit("update"), F.lit(code))) for when, code in (("o_orderkey % 2 = 0", "1005"), ("o_orderkey % 3 = 1", "1006"))]
+    states = orders.withColumn("state", F.explode(F.array_compact(F.array(state(F.when(changed, "update").otherwise("insert"), status), *later))))
+    data = {"id": _text("o_orderkey"), "user_id": _text("o_custkey"), "province_id": _text("c_nationkey"), "total_amount": _money("o_totalprice"), "create_time": at, "operate_time": at, "consignee": F.concat(F.lit("user "), _text("o_custkey")), "payment_way": F.col("o_orderpriority"), "order_status": F.col("state.status")}
+    return _changes(states, "order_info", F.col("state.type"), data, F.when(F.col("state.type") == "update", F.create_map(F.lit("order_status"), F.lit("1001"))))
+
+
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`topic_db` has of orders and their lines, as a topic of its own: lines, activities and coupons come from one pass."""
+    kinds = F.array_compact(F.array(*[F.when(F.expr(when), name) for name, when in LINE_PARTS.items()]))
+    return _line_changes(_lines(spark, sf_dir).withColumn("kind", F.explode(kinds)), F.col("kind")).unionByName(_order_states(_orders(spark, sf_dir)))
+
+
 def topic_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change data of all tables of the shop. A filter on ``table`` leaves only its own branch in the plan."""
     lines, orders, events = _lines(spark, sf_dir), _orders(spark, sf_dir), table(spark, sf_dir, "events")
-    at, old_status = stamp("at"), F.create_map(F.lit("order_status"), F.lit("1001"))
-    status = F.when(F.col("o_orderstatus") == "O", "1001").when(F.col("o_orderstatus") == "F", "1002").otherwise("1003")
-    changed = F.col("o_orderstatus") != "O"
-    order = {"id": _text("o_orderkey"), "user_id": _text("o_custkey"), "province_id": _text("c_nationkey"), "total_amount": _money("o_totalprice"), "create_time": at, "operate_time": at, "consignee": F.concat(F.lit("user "), _text("o_custkey")), "payment_way": F.col("o_orderpriority")}
+    at, number = stamp("at"), _number
     own = {"id": F.col("id"), "order_id": _text("l_orderkey"), "sku_id": _text("l_partkey")}
     refunds = lines.where("l_returnflag = 'R'")
     e = events.withColumns({"at": F.col("ts"), "k": F.regexp_extract("props", "[0-9]+", 0).cast("int")})
     user = {"id": _text("event_id"), "user_id": _text("user_id")}
     coupon = user | {"coupon_id": _text(F.col("k") % 7)}
     cart = lines.withColumn("was", F.lag("l_quantity").over(Window.partitionBy("o_custkey", "l_partkey").orderBy("at", "id", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")))
-    number = lambda c: _text(F.col(c).cast("long"))
     parts = [
-        _changes(lines, "order_detail", "insert", own | {
-            "sku_name": F.concat(F.lit("sku "), _text("l_partkey")), "order_price": _text("price"), "sku_num": number("l_quantity"), "create_time": at,
-            "source_type": _text(F.col("l_linenumber") % 5 + 2401), "source_id": _text("l_suppkey"), "split_total_amount": _text((F.col("price") * F.col("l_quantity").cast("int")).cast("decimal(18,2)")),
-            "split_activity_amount": F.when(F.col("l_discount") > 0.05, _money("l_discount")), "split_coupon_amount": F.when(F.col("l_tax") > 0.04, _money("l_tax"))}),
-        _changes(orders, "order_info", F.when(changed, "update").otherwise("insert"), order | {"order_status": status}, F.when(changed, old_status)),
-        _changes(orders.where("o_orderkey % 2 = 0"), "order_info", "update", order | {"order_status": F.lit("1005")}, old_status),
-        _changes(orders.where("o_orderkey % 3 = 1"), "order_info", "update", order | {"order_status": F.lit("1006")}, old_status),
-        _changes(lines.where("l_discount > 0.05"), "order_detail_activity", "insert", {"id": F.concat(F.lit("a"), "id"), "order_id": _text("l_orderkey"), "order_detail_id": F.col("id"), "activity_id": _text(F.col("l_partkey") % 10), "activity_rule_id": _text(F.col("l_suppkey") % 7), "sku_id": _text("l_partkey"), "create_time": at}),
-        _changes(lines.where("l_tax > 0.04"), "order_detail_coupon", "insert", {"id": F.concat(F.lit("c"), "id"), "order_id": _text("l_orderkey"), "order_detail_id": F.col("id"), "coupon_id": _text(F.col("l_suppkey") % 13), "coupon_use_id": _text(F.col("l_orderkey") % 1000), "sku_id": _text("l_partkey"), "create_time": at}),
+        *[_line_changes(lines.where(when).withColumn("kind", F.lit(name)), name) for name, when in LINE_PARTS.items()],
+        _order_states(orders),
         _changes(cart, "cart_info", F.when(F.col("was").isNull(), "insert").otherwise("update"), own | {
             "user_id": _text("o_custkey"), "cart_price": _text("price"), "sku_num": number("l_quantity"), "sku_name": F.concat(F.lit("sku "), _text("l_partkey")), "is_checked": F.lit("1"), "create_time": at,
             "operate_time": F.when(F.col("was").isNotNull(), at), "is_ordered": F.lit("0"), "source_type": _text(F.col("l_linenumber") % 5 + 2401), "source_id": _text("l_suppkey")},
