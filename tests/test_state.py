@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -73,3 +74,21 @@ def test_sessions_as_they_were_counted_before(spark):
 def test_unique_visitor_takes_first_of_day(spark):
     got = state.unique_visitors(pages(spark, [("m", 10, E), ("m", 5, E), ("m", 1, N), ("m", 86400, E)]))
     assert sorted(r.seq for r in got.collect()) == [1, 3]
+
+
+def test_days_joined_back_repair_like_windows(spark):
+    rng = random.Random(2)
+    rows = pages(spark, [(rng.choice(["busy", "busy", "busy", "a", None]), rng.randrange(9 * 86400), E, {"is_new": rng.choice("01")}) for _ in range(400)])
+    want = sorted((r.seq, r.is_new) for r in state.repair_new_visitors(rows).collect())
+    assert sorted((r.seq, r.is_new) for r in state.repair_by(rows, state.first_days(rows)).collect()) == want
+
+
+def test_flags_of_a_busy_user(spark):
+    rng = random.Random(4)
+    rows = pages(spark, [(rng.choice(["busy"] * 8 + ["a", None]), rng.randrange(9 * 86400), E) for _ in range(500)])
+    got = {r.seq: (r.unique_user, r.new_user) for r in state.unique_and_new(rows, "mid", F.to_date("rt"), ["ts", "seq"]).collect()}
+    days, people, want = set(), set(), {}
+    for r in sorted(rows.collect(), key=lambda r: (r.ts, r.seq)):
+        want[r.seq] = (int((r.mid, r.rt.date()) not in days), int(r.mid not in people))
+        days.add((r.mid, r.rt.date())), people.add(r.mid)
+    assert got == want

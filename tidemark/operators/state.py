@@ -16,6 +16,24 @@ def repair_new_visitors(pages: DataFrame) -> DataFrame:
     return pages.withColumn("is_new", F.when((F.col("is_new") == "1") & (day != since), "0").otherwise(F.col("is_new")))
 
 
+def first_days(pages: DataFrame) -> DataFrame:
+    """(mid, since): the day since when each visitor is known, by a minimum that is combined before the shuffle."""
+    first = F.min(F.struct("ts", "seq", "is_new", F.to_date("rt").alias("day")))
+    return pages.groupBy("mid").agg(first.alias("f")).select("mid", F.when(F.col("f.is_new") == "1", F.col("f.day")).otherwise(F.date_sub("f.day", 1)).alias("since"))
+
+
+def repair_by(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """As :func:`repair_new_visitors`, by a join with ``known`` (see :func:`first_days`), which a warehouse keeps as a table.
+
+    No visitor's rows meet in one task: Spark broadcasts the days where they are few and splits a busy visitor otherwise. With
+    days made of the same pages they are read twice, so the window form is the shorter way where no visitor is that busy.
+    """
+    since = known.select(F.col("mid").alias("_mid"), F.col("since").alias("_since"))
+    told = pages.join(since, F.col("mid").eqNullSafe(F.col("_mid")), "left")
+    repaired = F.when((F.col("is_new") == "1") & (F.to_date("rt") != F.col("_since")), "0").otherwise(F.col("is_new"))
+    return told.withColumn("is_new", repaired).drop("_mid", "_since")
+
+
 def first_of(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """The first row of each key. Spark limits the groups before the shuffle, so a hot key sends few rows."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
@@ -70,8 +88,18 @@ def logins(pages: DataFrame, away_days: int = 8) -> DataFrame:
     return firsts.withColumn("back", flag(gap >= away_days))
 
 
+#: Parts over which the rows of a user that are no day's first are spread while first days are looked for.
+SALTS = 1024
+
+
 def unique_and_new(rows: DataFrame, user: str, day: Column, order: list[str | Column]) -> DataFrame:
-    """Flags on every row: the user's first of the day, and the first ever."""
+    """Flags on every row: the user's first of the day, and the first ever.
+
+    First come the firsts of (user, day), so a busy user spreads over their days; then only these, a row for each day, meet by user, while
+    all other rows go anywhere.
+    """
     daily = F.row_number().over(Window.partitionBy(user, "_day").orderBy(*order))
-    ever = F.row_number().over(Window.partitionBy(user).orderBy("_day", *order))
-    return rows.withColumn("_day", day).withColumns({"unique_user": flag(daily == 1), "new_user": flag(ever == 1)}).drop("_day")
+    told = rows.withColumn("_day", day).withColumn("_daily", daily)
+    told = told.withColumn("_salt", F.when(F.col("_daily") == 1, 0).otherwise(1 + F.pmod(F.xxhash64("_day", "_daily"), F.lit(SALTS))))
+    ever = F.row_number().over(Window.partitionBy(user, "_salt").orderBy("_day"))
+    return told.withColumns({"unique_user": flag(F.col("_daily") == 1), "new_user": flag((F.col("_salt") == 0) & (ever == 1))}).drop("_day", "_daily", "_salt")

@@ -164,6 +164,7 @@ def all_queries() -> dict[str, str]:
         "traffic_page_view_window": traffic("10 seconds", 10_000),
         "traffic_page_view_day": traffic("1 day", 3_600_000),
         "visitor_is_new_fix": query("pages", "SELECT mid, seq, ts, is_new FROM pages"),
+        "visitor_is_new_joined": query("pages", "SELECT mid, seq, ts, is_new FROM pages"),
         "unique_visitor_detail": query("uv", "SELECT mid, seq, ts, page_id, vc, ch, ar, is_new FROM uv"),
         "user_jump_detail": query("jumps", "SELECT mid, seq, ts, page_id FROM jumps"),
         "user_jump_detail_wide": query("jumps", "SELECT mid, seq, ts, page_id FROM jumps", 3 * 3_600_000),

@@ -183,6 +183,7 @@ def queries() -> dict[str, Query]:
         "traffic_page_view_window": lambda s, d: traffic.page_view_window(_pages(s, d)),
         "traffic_page_view_day": lambda s, d: traffic.page_view_window(_pages(s, d), "1 day", 3600),
         "visitor_is_new_fix": lambda s, d: _pages(s, d).select("mid", "seq", "ts", "is_new"),
+        "visitor_is_new_joined": lambda s, d: state.repair_by(A.page_log(s, d), state.first_days(A.page_log(s, d))).select("mid", "seq", "ts", "is_new"),
         "unique_visitor_detail": lambda s, d: state.unique_visitors(_pages(s, d)).select("mid", "seq", "ts", "page_id", "vc", "ch", "ar", "is_new"),
         "user_jump_detail": lambda s, d: state.bounces(_pages(s, d)).select("mid", "seq", "ts", "page_id"),
         "user_jump_detail_wide": lambda s, d: state.bounces(_pages(s, d), 3 * 3600).select("mid", "seq", "ts", "page_id"),
