@@ -51,6 +51,21 @@ def test_chat_pieces(spark, tmp_path):
     assert rows(got) == rows(from_sql(sql, "/root/testdata/sf0.001"))
 
 
+def test_chat_history(spark, tmp_path):
+    """The turns before a part stand at its head, at most 32, and nobody is trained on them; also against the SQL."""
+    said = [(1, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(600)] + [(2, 255, "cat", f"x{i}") for i in range(50)] + [(2, 256, "dog", "y"), (3, 240, "ann", "gone"), (3, 900, "ann", "far"), (None, 250, "eve", None), (None, 260, "eve", "z")]
+    turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = from_spark(queries.op1_chat(spark, str(tmp_path)))
+    row = got[(got.conv_id == 1) & (got.part == 1) & (got.participant == "ann")].iloc[0]
+    assert row.text.startswith("<|user name=bob|>\nt224\n<|assistant|>\nt225\n") and row.n_turns == 256 and row.n_train == 128
+    assert row.text[int(row.spans.split(":")[0]) :].startswith("t257")
+    assert got[(got.conv_id == 2) & (got.part == 1) & (got.participant == "dog")].text.iloc[0].count("<|user name=cat|>") == 32
+    assert got[(got.conv_id == 3) & (got.part == 3)].text.tolist() == ["<|assistant|>\nfar\n"]
+    sql = queries.oracle_sql()["op1_chat"].replace("FROM conversations", f"FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert rows(got) == rows(from_sql(sql, "/root/testdata/sf0.001"))
+
+
 def test_token_counts_equal_the_library(spark, sf_dir):
     import public_tokenizers
     import sentencepiece

@@ -50,17 +50,19 @@ opening AS (
   WHERE (conv_id, part, piece) IN (SELECT (conv_id, begins.part, begins.piece) FROM pieces)
   QUALIFY bool_and(speaker = 'system') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING)),
 said AS (
-  SELECT conv_id, part, piece, 1 AS own_part, turn, speaker, body FROM t UNION ALL
+  SELECT conv_id, part, piece, 2 AS own_part, turn, speaker, body FROM t UNION ALL
+  SELECT p.conv_id, p.part, 0, 1, h.turn, h.speaker, h.body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn DESC, speaker DESC, body DESC) AS back FROM t WHERE turn - 256 * part >= 224) h
+    JOIN pieces p ON p.conv_id IS NOT DISTINCT FROM h.conv_id AND p.part = h.part + 1 AND p.piece = 0 WHERE back <= 32 UNION ALL
   SELECT p.conv_id, p.part, p.piece, 0, o.turn, o.speaker, o.body FROM pieces p JOIN opening o ON p.conv_id IS NOT DISTINCT FROM o.conv_id WHERE {'part': part, 'piece': piece} <> begins),
 lines AS (
-  SELECT t.*, p.participant, coalesce(speaker = participant, false) AS own,
+  SELECT t.*, p.participant, own_part = 2 AND coalesce(speaker = participant, false) AS own,
          CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = participant THEN '<|assistant|>' || chr(10)
               ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
   FROM said t LEFT JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, row_number() OVER w AS i, coalesce(sum(length(head) + length(body) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS b
   FROM lines WINDOW w AS (PARTITION BY conv_id, part, piece, participant ORDER BY own_part, turn NULLS FIRST, speaker, body))
-SELECT conv_id, part, piece, participant, CAST(count(*) FILTER (WHERE own_part = 1) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_train,
+SELECT conv_id, part, piece, participant, CAST(count(*) FILTER (WHERE own_part = 2) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_train,
        string_agg(head || body || chr(10), '' ORDER BY i) AS text,
        coalesce(string_agg(CAST(CAST(b AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(b + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE own), '') AS spans
 FROM placed GROUP BY conv_id, part, piece, participant
