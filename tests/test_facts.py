@@ -35,6 +35,21 @@ def test_cart_rows_are_what_was_added(spark):
     assert {r.id: r.sku_num for r in facts.cart_add(db, dic).collect()} == {"1": "3", "2": "2"}
 
 
+def test_lines_meet_their_partners_as_in_left_joins(spark):
+    """None, several, of lines without an id, of no line, and of another database."""
+    dic = spark.createDataFrame([("2401", "query", "24")], DICTIONARY)
+    line = lambda i, order="o": change("order_detail", "insert", {"id": i, "order_id": order, "source_type": "2401"})
+    activity = lambda i, of, database="shop": change("order_detail_activity", "insert", {"id": i, "order_detail_id": of, "activity_id": f"x{i}"}, database=database)
+    coupon = lambda i, of: change("order_detail_coupon", "insert", {"id": i, "order_detail_id": of, "coupon_id": f"c{i}"})
+    db = spark.createDataFrame([
+        line("1"), line("2"), line("3"), line(None), line(None), line("4", "none"), activity("a", "1"), activity("b", "1"), activity("c", None), activity("d", "9"), activity("e", "3", "other"),
+        coupon("p", "1"), coupon("q", "1"), coupon("r", "2"), change("order_info", "insert", {"id": "o", "user_id": "u"}), change("order_info", "update", {"id": "o", "user_id": "u"}, {"order_status": "1"}),
+    ], CDC)
+    got = [(r.id, r.activity_id, r.coupon_id, r.type) for r in facts.order_pre_process(db, dic).collect()]
+    each = [("1", a, c) for a in ("xa", "xb") for c in ("cp", "cq")] + [("2", None, "cr"), ("3", None, None), (None, None, None), (None, None, None)]
+    assert sorted(got, key=str) == sorted([(*r, t) for r in each for t in ("insert", "update")], key=str)
+
+
 def test_coupon_order_needs_the_transition(spark):
     db = spark.createDataFrame([
         change("coupon_use", "update", {"id": "1", "coupon_status": "1402", "using_time": "2024-01-01 10:00:00"}, {"coupon_status": "1401"}),

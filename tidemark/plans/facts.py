@@ -79,7 +79,7 @@ def order_pre_process(db: DataFrame, dic: DataFrame) -> DataFrame:
     """Order lines with their order, activity, coupon and source: the wide row that orders and cancellations come from.
 
     Lines, activities and coupons are read in one pass and meet by the line's id in one shuffle; several partners of a
-    line give several rows, as in left joins. The id is the key of its table, so it is not null.
+    line give several rows, as in left joins.
     """
     d, kind = F.col("data"), F.col("table")
     parts = {
@@ -90,7 +90,9 @@ def order_pre_process(db: DataFrame, dic: DataFrame) -> DataFrame:
     lines = db.where(kind.isin(*parts) & (F.col("type") == "insert") & (F.col("database") == "shop"))
     key = F.when(kind == "order_detail", d["id"]).otherwise(d["order_detail_id"])
     each = lines.select(key.alias("_line"), *[F.when(kind == t, F.struct(*[d[old].alias(new) for new, old in names.items()])).alias(t) for t, names in parts.items()])
-    met = each.groupBy("_line").agg(*[F.collect_list(t).alias(t) for t in parts])
+    # A line without an id has no partners; such lines are spread, and partners that name no line go.
+    each = each.where("_line IS NOT NULL OR order_detail IS NOT NULL").withColumn("_apart", F.when(F.col("_line").isNull(), F.pmod(F.xxhash64("order_detail"), F.lit(1024))))
+    met = each.groupBy("_line", "_apart").agg(*[F.collect_list(t).alias(t) for t in parts])
     met = met.select(F.explode("order_detail").alias("l"), "order_detail_activity", "order_detail_coupon").select("l", F.explode_outer("order_detail_activity").alias("a"), "order_detail_coupon").select("l", "a", F.explode_outer("order_detail_coupon").alias("c"))
     detail = met.select("l.*", "a.*", "c.*")
     order = take(changes(db, "order_info", database="shop").where(F.col("type").isin("insert", "update")), *ORDER.split(), _order="id").drop("ts")
