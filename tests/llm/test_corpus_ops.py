@@ -177,8 +177,9 @@ def contaminated(df):
     return {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [10**7, 60])
-def test_contamination_cases(spark, block):
+@pytest.mark.parametrize(("block", "whole"), [(10**7, 10**7), (60, 10**7), (60, 120)])
+def test_contamination_cases(spark, block, whole):
+    """One block, several in one pass, and several passes."""
     rng = random.Random(2)
     items = [(i, " ".join(words(rng, n, 40))) for i, n in enumerate((30, 14, 13, 12, 5))] + [(8, None), (9, "..."), (10, "")]
     texts = []
@@ -191,17 +192,17 @@ def test_contamination_cases(spark, block):
         texts.append(" ".join([*parts, " ".join(words(rng, rng.randint(0, 9)))]))
     table = [*enumerate([*texts, "", None, items[0][1] * 3])]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    got = contaminated(decontaminate.find_contamination(docs(spark, table).repartition(2), bench, block_bytes=block))
+    got = contaminated(decontaminate.find_contamination(docs(spark, table).repartition(2), bench, block_bytes=block, pass_bytes=whole))
     assert got == brute.contamination(table, items)
     assert all(v[1:] == (0, []) for v in contaminated(decontaminate.find_contamination(docs(spark, table), bench.limit(0))).values())
     assert decontaminate.find_contamination(docs(spark, []), bench).count() == 0
 
 
-@pytest.mark.parametrize("block", [10**7, 20])
-def test_contamination_of_odd_rows(spark, block):
+@pytest.mark.parametrize(("block", "whole"), [(10**7, 10**7), (20, 10**7), (20, 20)])
+def test_contamination_of_odd_rows(spark, block, whole):
     table = [(None, "a b c"), (None, "x y z"), (5, "a b c"), (5, "x y z w"), (5, "a b c"), (6, None), (7, "d e f g, a B c")]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(("a b c", "d e f g", "d e f g h", "b c x", None))], "item_id long, text string")
-    found = decontaminate.find_contamination(docs(spark, table).repartition(2), bench, block_bytes=block).collect()
+    found = decontaminate.find_contamination(docs(spark, table).repartition(2), bench, block_bytes=block, pass_bytes=whole).collect()
     got = [(r.doc_id, r.n_words, r.n_hit, [tuple(s) for s in r.spans], list(r["items"])) for r in found]
     hit = (3, 3, [(0, 3)], ["0"])
     want = [(None, *hit), (None, 3, 0, [], []), (5, *hit), (5, 4, 0, [], []), (5, *hit), (6, 0, 0, [], []), (7, 7, 7, [(0, 7)], ["0", "1"])]
@@ -224,7 +225,9 @@ def test_fm_index_finds_all():
     index = decontaminate.FMIndex(text)
     for size in (1, 2, 3, 5):
         patterns = np.unique(rng.integers(1, 5, (30, size)), axis=0)
-        which, places = index.search(patterns)
+        ranges, low, high = index.search(patterns.ravel(), np.arange(len(patterns)) * size, size)
+        number, places = index.located(low, high)
+        which = ranges[number]
         want = [(p, k) for p, x in enumerate(patterns) for k in range(len(text) - size + 1) if (text[k : k + size] == x).all()]
         assert sorted(zip(which.tolist(), places.tolist(), strict=True)) == want
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Words of training text in one shard, every how many positions a suffix keeps its place, and
-#: bytes of benchmark text whose windows are searched in one pass.
-SHARD_WORDS, SAMPLED, BLOCK_BYTES = 250_000, 8, 16_000_000
+#: Words of training text in one shard, every how many positions a suffix keeps its place, and bytes of benchmark text whose windows
+#: are sent together, and that one pass over the documents searches.
+SHARD_WORDS, SAMPLED, BLOCK_BYTES, PASS_BYTES = 250_000, 8, 16_000_000, 64_000_000
+#: Windows whose search goes on side by side.
+SIDE = 500_000
 FOUND = "n_words:long,n_hit:long,spans:array<struct<start:int,end:int>>,items:array<string>"
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -70,12 +73,11 @@ class FMIndex:
         kept = ((np.arange(n) - np.maximum.accumulate(begin)) % sampled == 0)[order]
         self.kept, self.index, self.places = kept, np.cumsum(kept) - 1, order[kept]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of patterns of one length: which occur, and the place of each occurrence."""
-        which = np.arange(len(patterns))
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
-        for j in reversed(range(patterns.shape[1])):
-            c = patterns[which, j]
+    def search(self, sequence: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows of ``size`` symbols that begin at places of a sequence: which occur, and where in the order of suffixes."""
+        which, low, high = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.full(len(starts), self.n)
+        for j in reversed(range(size)):
+            c = sequence[starts[which] + j].astype(np.int64)
             inside = c < len(self.first) - 1
             which, low, high, c = which[inside], low[inside], high[inside], c[inside]
             low, high = self.first[c] + self.tree.rank(c, low), self.first[c] + self.tree.rank(c, high)
@@ -83,9 +85,13 @@ class FMIndex:
             which, low, high = which[alive], low[alive], high[alive]
             if not len(which):
                 break
+        return which, low, high
+
+    def located(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the suffixes of each range, with the number of the range."""
         sizes = high - low
         rows = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) + np.arange(sizes.sum())
-        return np.repeat(which, sizes), self._locate(rows)
+        return np.repeat(np.arange(len(low)), sizes), self._locate(rows)
 
     def _locate(self, rows: np.ndarray) -> np.ndarray:
         """Steps back from each suffix to one that keeps its place; a run's first always does."""
@@ -118,54 +124,73 @@ def _suffix_order(sequence: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items as word numbers, and the items of each."""
+    """A block of benchmark items as one sequence of word numbers, and where windows of each size begin, with their item: some twelve bytes a word."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.names: list[str] = []
+        numbers, begins = array("i"), defaultdict(list)
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                of[tuple(ids[i : i + window])].add(item)
-        self.by_size: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(w) for w in of}):
-            own = [w for w in of if len(w) == size]
-            self.by_size[size] = np.array(own, np.int64), [sorted(of[w]) for w in own]
+            if ids:
+                begins[min(len(ids), window)].append((len(numbers), max(1, len(ids) - window + 1), len(self.names)))
+                self.names.append(item)
+                numbers.extend(ids)
+        self.sequence = np.array(numbers, np.int32)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, own in sorted(begins.items()):
+            starts = np.concatenate([np.arange(b, b + n, dtype=np.int32) for b, n, _ in own])
+            self.by_size[size] = starts, np.repeat(np.array([i for *_, i in own], np.int32), [n for _, n, _ in own])
+
 
+def _find(index: FMIndex, windows: Windows, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Occurrences of the windows of each size: their size, the range that each belongs to, its place, and the (range, item) pairs.
 
-def scan_shard(texts: list[list[bytes]], earlier: list[tuple], windows: Windows) -> list[dict]:
-    """What is found in each document of a shard. Its FM-index is built over the runs of benchmark words
+    Equal windows have equal ranges, so each is located once.
+    """
+    for size, (starts, owner) in windows.by_size.items():
+        found = [index.search(windows.sequence, starts[i : i + SIDE], size) for i in range(0, len(starts), SIDE)]
+        which = np.concatenate([w + i * SIDE for i, (w, *_) in enumerate(found)])
+        low, high = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        if not len(which):
+            continue
+        ranges, of = np.unique(low * (index.n + 1) + high, return_inverse=True)
+        number, places = index.located(ranges // (index.n + 1), ranges % (index.n + 1))
+        yield size, number, at[places], np.unique(np.stack([of, owner[which]], 1), axis=0)
+
+
+def scan_shard(texts: list[list[bytes]], earlier: list[tuple], blocks: list[Windows]) -> list[dict]:
+    """What is found in each document of a shard. For each block an FM-index is built over the runs of its words
     that are long enough to hold a window, since no window has another word.
 
-    ``earlier`` has the spans and items that windows of other blocks gave each document; they count on.
+    ``earlier`` has the spans and items that windows of other passes gave each document; they count on.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes + 1)])  # a 0 after each document
-    whole = np.zeros(int(bounds[-1]) + 1, np.int64)
-    get = windows.vocabulary.get
-    flat = np.fromiter(map(get, chain.from_iterable(texts), repeat(0)), np.int64, int(sizes.sum()))
-    whole[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat
     items: list[set[str]] = [set(own) for _, own in earlier]
-    mark = np.zeros(len(whole) + 1, np.int64)
+    mark = np.zeros(int(bounds[-1]) + 2, np.int64)
     for d, (own, _) in enumerate(earlier):
         for s in own:
             mark[bounds[d] + s["start"]] += 1
             mark[bounds[d] + s["end"]] -= 1
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (whole > 0).astype(np.int8), [0]])))
-    begin, end = edges[::2], edges[1::2]
-    long = end - begin >= min(windows.by_size, default=1)
-    begin, length = begin[long], (end - begin)[long] + 1
-    if len(begin) and windows.by_size:
+    for windows in blocks:
+        whole = np.zeros(int(bounds[-1]) + 1, np.int64)
+        flat = np.fromiter(map(windows.vocabulary.get, chain.from_iterable(texts), repeat(0)), np.int64, int(sizes.sum()))
+        whole[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (whole > 0).astype(np.int8), [0]])))
+        begin, end = edges[::2], edges[1::2]
+        long = end - begin >= min(windows.by_size, default=1)
+        begin, length = begin[long], (end - begin)[long] + 1
+        if not len(begin) or not windows.by_size:
+            continue
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        index = FMIndex(whole[at])
-        for size, (patterns, owners) in windows.by_size.items():
-            which, places = index.search(patterns)
-            places = at[places]
+        for size, number, places, owners in _find(FMIndex(whole[at]), windows, at):
             np.add.at(mark, places, 1)
             np.add.at(mark, places + size, -1)
+            cut = np.searchsorted(owners[:, 0], np.arange(owners[-1, 0] + 2))
             doc = np.searchsorted(bounds, places, "right") - 1
-            for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-                items[d].update(owners[w])
+            for d, r in np.unique(np.stack([doc, number], 1), axis=0).tolist():
+                items[d].update(windows.names[i] for i in owners[cut[r] : cut[r + 1], 1].tolist())
     hit = np.cumsum(mark) > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -177,16 +202,15 @@ def scan_shard(texts: list[list[bytes]], earlier: list[tuple], windows: Windows)
     return [{"n_words": n, "n_hit": h, "spans": s, "items": sorted(i)} for n, h, s, i in zip(sizes.tolist(), n_hit.tolist(), spans, items, strict=True)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: bool = False, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Where documents (doc_id, text) hold windows of benchmark items (item_id, text).
 
     Returns a row for each row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a window),
     spans (maximal runs of such words, as word numbers, end exclusive: what a removal would take) and items. With ``keep``
     it is ``row``, all columns of the document as they came, and ``found``, the columns named here, so that a filter needs no join.
-    The size of the benchmark is read first. Its windows are sent in blocks of about ``block_bytes``
-    of text, one after another: a pass adds what its block finds to the rows of the pass before,
-    which lie in the checkpoint folder, and its block is taken back before the next is sent. So the result is the
-    same for any number of blocks, and one block at a time is in memory.
+    The size of the benchmark is read first. Its windows are sent in blocks of about ``block_bytes`` of text, which the driver makes one after
+    another, and a pass over the documents searches as many blocks as ``pass_bytes`` hold. Only a benchmark beyond that takes several passes: each adds
+    to the rows of the one before, which lie in the checkpoint folder. The result is the same for any number of blocks and passes.
 
     Null and empty texts have no words; items without words have no windows; repeated items count
     once; a null item_id is the text ``null``; rows with a null or repeated doc_id are each judged by their own
@@ -198,17 +222,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = -(-total // block_bytes) or 1
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     rows = docs.select(F.struct(*docs.columns if keep else ("doc_id", "text")).alias("row"), F.lit(None).cast(f"struct<{FOUND}>").alias("found"))
-    for block in range(blocks):
-        sent = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect()], window))
+    together = max(1, pass_bytes // block_bytes)
+    for first in range(0, blocks, together):
+        sent = [spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in numbered.where(F.col("block") == block).collect()], window)) for block in range(first, min(first + together, blocks))]
         rows = rows.mapInArrow(_pass(sent), rows.schema)
-        if block < blocks - 1:
+        if first + together < blocks:
             rows = rows.checkpoint()
-            sent.unpersist()
+            for s in sent:
+                s.unpersist()
     return rows if keep else rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "found.*")
 
 
 def _pass(sent):
-    """A pass over documents with one block of windows; each row goes on as it came, with what is found so far."""
+    """A pass over documents with some blocks of windows; each row goes on as it came, with what is found so far."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Array] = []
@@ -217,7 +243,7 @@ def _pass(sent):
         n = 0
 
         def shard() -> pa.RecordBatch:
-            found = pa.array(scan_shard(texts, earlier, sent.value), kind)
+            found = pa.array(scan_shard(texts, earlier, [s.value for s in sent]), kind)
             return pa.record_batch([pa.concat_arrays(kept), found], ["row", "found"])
 
         for batch in batches:
