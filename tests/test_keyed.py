@@ -5,7 +5,6 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.streaming import changelog, processors, runners

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
 
@@ -289,14 +290,11 @@ def append_rows(rows: DataFrame, uri: str, writer: str, batch: int, partitions:
 def take_snapshot(rows: DataFrame, uri: str, snapshot: str) -> None:
     """The rows of a table as read messages beside the offsets that the log has now; changes from there on are not in it."""
     ends = Topic(uri).ends()
-    own = f"{snapshot}/"
-    from pyspark.sql import functions as F
-
     message = F.to_json(F.struct(F.lit("r").alias("op"), F.lit(None).cast("string").alias("before"), F.struct(*rows.columns).alias("after")))
     messages = rows.select(message.alias("value"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = TopicWriter({"path": own.rstrip("/")}).write(r for b in batches for r in b.to_pylist())
+        done = TopicWriter({"path": snapshot}).write(r for b in batches for r in b.to_pylist())
         yield pa.record_batch([pa.array([json.dumps(done.files)])], ["files"])
 
     files = [f for r in messages.mapInArrow(write, "files string").collect() for f in json.loads(r.files)]
