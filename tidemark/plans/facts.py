@@ -75,11 +75,11 @@ ORDER = "consignee consignee_tel total_amount order_status user_id payment_way d
 DETAIL = "id order_id sku_id sku_name order_price sku_num create_time source_id split_total_amount split_activity_amount split_coupon_amount"
 
 
-def order_pre_process(db: DataFrame, dic: DataFrame) -> DataFrame:
+def order_pre_process(db: DataFrame, dic: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Order lines with their order, activity, coupon and source: the wide row that orders and cancellations come from.
 
     Lines, activities and coupons are read in one pass and meet by the line's id in one shuffle; several partners of a
-    line give several rows, as in left joins.
+    line give several rows, as in left joins. ``orders`` are the changes of orders where they are a topic apart.
     """
     d, kind = F.col("data"), F.col("table")
     parts = {
@@ -95,7 +95,7 @@ def order_pre_process(db: DataFrame, dic: DataFrame) -> DataFrame:
     met = each.groupBy("_line", "_apart").agg(*[F.collect_list(t).alias(t) for t in parts])
     met = met.select(F.explode("order_detail").alias("l"), "order_detail_activity", "order_detail_coupon").select("l", F.explode_outer("order_detail_activity").alias("a"), "order_detail_coupon").select("l", "a", F.explode_outer("order_detail_coupon").alias("c"))
     detail = met.select("l.*", "a.*", "c.*")
-    order = take(changes(db, "order_info", database="shop").where(F.col("type").isin("insert", "update")), *ORDER.split(), _order="id").drop("ts")
+    order = take(changes(db if orders is None else orders, "order_info", database="shop").where(F.col("type").isin("insert", "update")), *ORDER.split(), _order="id").drop("ts")
     wide = lookup(detail, dic, "source_type_id", "source_type_name").join(order, F.col("order_id") == F.col("_order"))
     return wide.select(*"id order_id sku_id sku_name order_price sku_num create_time source_type_id source_type_name source_id split_total_amount split_activity_amount split_coupon_amount".split(), *ORDER.split(), "order_detail_activity_id", "activity_id", "activity_rule_id", "order_detail_coupon_id", "coupon_id", "coupon_use_id", "type", "old")
 

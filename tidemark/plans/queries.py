@@ -41,7 +41,7 @@ def _db(fact: Callable[..., DataFrame], dic: bool = False) -> Query:
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
-    return facts.order_pre_process(A.order_changes(s, d), A.base_dic(s))
+    return facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d))
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ def _upserted(s: SparkSession, d: str) -> DataFrame:
     folder = f"{shared_folder(s)}/upserts-{uuid.uuid4().hex}"
     rows = _paid(s, d).select("order_detail_id", "order_id", "split_payment_amount").withColumn("version", F.lit(0))
     for n in (0, 1):
-        own = rows if n == 0 else rows.where("cast(order_id AS BIGINT) % 2 = 0").withColumns({"split_payment_amount": F.lit("0.00"), "version": F.lit(1)})
+        own = rows if n == 0 else rows.where("try_cast(order_id AS BIGINT) % 2 = 0").withColumns({"split_payment_amount": F.lit("0.00"), "version": F.lit(1)})
         upsert_parquet(s, own, folder, ["order_detail_id"], ["version"], n)
         if n == 0:
             compact_upserts(s, folder, ["order_detail_id"], ["version"])

@@ -164,7 +164,7 @@ def cart_add_window(s: SparkSession, d: str) -> DataFrame:
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
-    return trade.arrivals(facts.order_detail(facts.order_pre_process(A.order_changes(s, d), A.base_dic(s))))
+    return trade.arrivals(facts.order_detail(facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d))))
 
 
 def order_window(s: SparkSession, d: str) -> DataFrame:
@@ -404,7 +404,7 @@ def coupon_messages(s: SparkSession, d: str) -> DataFrame:
 def detail_messages(s: SparkSession, d: str) -> DataFrame:
     """Order lines written as messages and read again as the typed table of that topic."""
     topics = Topics(s)
-    lines = facts.order_detail(facts.order_pre_process(A.order_changes(s, d), A.base_dic(s)))
+    lines = facts.order_detail(facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d)))
     return topics.run(parse(topics.messages("lines", lines), facts.DETAIL_TOPIC), "typed")
 
 

@@ -130,10 +130,15 @@ def _order_states(orders: DataFrame) -> DataFrame:
     return _changes(states, "order_info", F.col("state.type"), data, F.when(F.col("state.type") == "update", F.create_map(F.lit("order_status"), F.lit("1001"))))
 
 
-def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What :func:`topic_db` has of orders and their lines, as a topic of its own: lines, activities and coupons come from one pass."""
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What :func:`topic_db` has of order lines, their activities and coupons, as a topic of its own that comes from one pass."""
     kinds = F.array_compact(F.array(*[F.when(F.expr(when), name) for name, when in LINE_PARTS.items()]))
-    return _line_changes(_lines(spark, sf_dir).withColumn("kind", F.explode(kinds)), F.col("kind")).unionByName(_order_states(_orders(spark, sf_dir)))
+    return _line_changes(_lines(spark, sf_dir).withColumn("kind", F.explode(kinds)), F.col("kind"))
+
+
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic of lines with that of their orders."""
+    return line_changes(spark, sf_dir).unionByName(_order_states(_orders(spark, sf_dir)))
 
 
 def topic_db(spark: SparkSession, sf_dir: str) -> DataFrame:
