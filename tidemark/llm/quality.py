@@ -105,10 +105,10 @@ def proposals(labelled: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     return each.groupBy("stratum", "at").pivot("rule", names).agg(F.first("cutoff"))
 
 
-def beyond_any(cutoffs: Column | None = None) -> Column:
-    """Whether any signal lies beyond its cutoff; cutoffs are a struct column, or columns named ``cut_<rule>``."""
+def beyond_any(cutoffs: Column | None = None, rules: int | None = None) -> Column:
+    """Whether any signal, or any of the first ``rules``, lies beyond its cutoff; cutoffs are a struct column, or columns named ``cut_<rule>``."""
     out = F.lit(False)
-    for n in signals():
+    for n in [*signals()][:rules]:
         out = out | (F.col(n) > (cutoffs[n] if cutoffs is not None else F.col(f"cut_{n}")))
     return out
 
@@ -118,7 +118,8 @@ def certified(labelled: DataFrame, alpha: float, delta: float, levels: tuple[flo
 
     Levels are tested from the loosest on, with the exact binomial tail of the false rejections among the testing rows, each at delta
     over the number of strata (Bonferroni), until one fails: a fixed sequence needs no further correction. Of those that
-    pass, the one that catches most bad proposing rows is taken, the loosest of equal ones. A stratum where none passes has no row.
+    pass, the one that catches most bad proposing rows is taken, the loosest of equal ones, and of its rules, in their order, only as many
+    as that takes: fewer rules reject no more. A stratum where none passes has no row.
     """
     proposed = proposals(labelled, levels).withColumn("cut", F.struct(*signals()))
     steps = proposed.groupBy(F.col("stratum").alias("s")).agg(F.array_sort(F.collect_list(F.struct("at", "cut"))).alias("steps"))
@@ -126,7 +127,10 @@ def certified(labelled: DataFrame, alpha: float, delta: float, levels: tuple[flo
     hit = beyond_any(F.col("step")["cut"])
     testing = ~F.col("proposes") & F.col("good")
     count = lambda c: F.sum(c.cast("long"))
-    told = tried.groupBy("stratum", F.col("step.at").alias("at")).agg(count(testing).alias("n"), count(testing & hit).alias("k"), count(F.col("proposes") & ~F.col("good") & hit).alias("caught"), F.first("step.cut").alias("cut"))
+    bad = F.col("proposes") & ~F.col("good")
+    by_rules = F.array(*[count(bad & beyond_any(F.col("step")["cut"], j + 1)) for j in range(len(signals()))])
+    told = tried.groupBy("stratum", F.col("step.at").alias("at")).agg(count(testing).alias("n"), count(testing & hit).alias("k"), count(bad & hit).alias("caught"), by_rules.alias("by_rules"), F.first("step.cut").alias("cut"))
+    told = told.withColumn("rules", F.array_position("by_rules", F.col("caught")).cast("int"))  # the first so many catch all
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
@@ -134,12 +138,12 @@ def certified(labelled: DataFrame, alpha: float, delta: float, levels: tuple[flo
 
     told = told.withColumn("p", tail("k", "n")).checkpoint()  # strata times levels
     strata = max(1, told.select("stratum").distinct().count())
-    ladder = told.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("at", "p", "caught", "cut", "n", "k"))).alias("steps"))
+    ladder = told.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("at", "p", "caught", "cut", "n", "k", "rules"))).alias("steps"))
     failed = F.array_min(F.transform(F.filter("steps", lambda s: s["p"] > delta / strata), lambda s: s["at"]))
     passed = F.filter("steps", lambda s: failed.isNull() | (s["at"] < failed))
-    best = F.array_max(F.transform(passed, lambda s: F.struct(s["caught"], (-s["at"]).alias("loose"), s["cut"], s["n"], s["k"], s["p"])))
+    best = F.array_max(F.transform(passed, lambda s: F.struct(s["caught"], (-s["at"]).alias("loose"), s["cut"], s["n"], s["k"], s["p"], s["rules"])))
     chosen = ladder.select("stratum", best.alias("b")).where("b IS NOT NULL AND b.caught > 0")
-    return chosen.select(F.col("stratum").alias("s"), *[F.col(f"b.cut.{n}").alias(f"cut_{n}") for n in signals()], F.col("b.n").alias("tested"), F.col("b.k").alias("rejected_good"), F.col("b.p").alias("p_value"), (-F.col("b.loose")).alias("level"))
+    return chosen.select(F.col("stratum").alias("s"), *[F.when(F.col("b.rules") > j, F.col(f"b.cut.{n}")).otherwise(F.lit(GRID)).alias(f"cut_{n}") for j, n in enumerate(signals())], F.col("b.n").alias("tested"), F.col("b.k").alias("rejected_good"), F.col("b.p").alias("p_value"), (-F.col("b.loose")).alias("level"))
 
 
 def counted(docs: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
