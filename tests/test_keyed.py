@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import types as T
 
+from tidemark.plans.streamed import queries
 from tidemark.streaming import changelog, processors, runners
 from tidemark.streaming.keyed import process
 from tidemark.streaming.logics import Firsts, LatestHeld
@@ -152,3 +153,16 @@ def test_processors_with_small_arrow_batches(spark, tmp_path, size, name):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got[0] == got[1] and got[0]
+
+
+def test_keyed_streams_bring_their_store(spark, tmp_path):
+    """A session that isn't the package's own keeps states elsewhere by default; its setting is as before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, default)
+    try:
+        assert queries()["stream_expiring_firsts"](spark, "/root/testdata/sf0.001").count() > 0
+        assert spark.conf.get(name) == default
+    finally:
+        spark.conf.set(name, own)
