@@ -12,7 +12,9 @@ from tidemark.operators.joins import interval_join, window_join
 from tidemark.operators.route import parse_logs, route_dimensions, split_logs
 from tidemark.operators.upsert import compact_upserts, latest_per_key, read_upserts, upsert_parquet
 from tidemark.plans import facts, serving, trade
+from tidemark.plans.queries import queries
 from tidemark.schemas import CDC, CONFIG, DICTIONARY
+from tidemark.sources import adapters as A
 from tidemark.sources.connectors import Lookup, as_texts, config_from_changes, create_dimension, demo_lines, jdbc_sink, jdbc_table, to_messages
 
 
@@ -209,3 +211,24 @@ def test_dictionary_joins_drop_unknown_codes(spark, sf_dir, name):
     from tidemark.plans.queries import queries
 
     assert not [c for c in from_spark(queries()[name](spark, sf_dir)).columns if c.startswith("_")]
+
+
+def test_lines_of_an_order_are_shuffled_once(spark, sf_dir):
+    """Lines, their partners and their orders meet by the order's number, and deliveries of a line are where it is."""
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+    try:
+        plan = queries()["dedup_first"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sorted(k for k in keys if "cust" not in k) == ["_order", "order_id", "order_id"], keys
+
+
+def test_facts_of_a_keyed_topic_are_those_of_the_other(spark, sf_dir):
+    db, dic = A.topic_db(spark, sf_dir), A.base_dic(spark)
+    keyed = facts.order_pre_process(A.line_changes(spark, sf_dir), dic, db, by_order=True)
+    other = facts.order_pre_process(A.line_changes(spark, sf_dir), dic, db)
+    assert keyed.columns == other.columns
+    text = lambda rows: sorted(str(r) for r in rows.drop("old").collect())
+    assert text(keyed) == text(other)

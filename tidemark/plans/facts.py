@@ -75,27 +75,31 @@ ORDER = "consignee consignee_tel total_amount order_status user_id payment_way d
 DETAIL = "id order_id sku_id sku_name order_price sku_num create_time source_id split_total_amount split_activity_amount split_coupon_amount"
 
 
-def order_pre_process(db: DataFrame, dic: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def order_pre_process(db: DataFrame, dic: DataFrame, orders: DataFrame | None = None, by_order: bool = False) -> DataFrame:
     """Order lines with their order, activity, coupon and source: the wide row that orders and cancellations come from.
 
     Lines, activities and coupons are read in one pass and meet by the line's id in one shuffle; several partners of a
     line give several rows, as in left joins. ``orders`` are the changes of orders where they are a topic apart.
+
+    ``by_order`` says that the topic's rows have a key ``order_id``, that of a partner being its line's, as the shop's are: all of an order
+    then meets by it, so lines that come in that way are not shuffled again.
     """
     d, kind = F.col("data"), F.col("table")
+    order = take(changes(db if orders is None else orders, "order_info", database="shop").where(F.col("type").isin("insert", "update")), *ORDER.split(), _order="id").drop("ts")
     parts = {
-        "order_detail": {**{n: n for n in DETAIL.split()}, "source_type_id": "source_type"},
+        "order_detail": {**{n: n for n in DETAIL.split() if not (by_order and n == "order_id")}, "source_type_id": "source_type"},
         "order_detail_activity": {"order_detail_activity_id": "id", "activity_id": "activity_id", "activity_rule_id": "activity_rule_id"},
         "order_detail_coupon": {"order_detail_coupon_id": "id", "coupon_id": "coupon_id", "coupon_use_id": "coupon_use_id"},
     }
     lines = db.where(kind.isin(*parts) & (F.col("type") == "insert") & (F.col("database") == "shop"))
     key = F.when(kind == "order_detail", d["id"]).otherwise(d["order_detail_id"])
-    each = lines.select(key.alias("_line"), *[F.when(kind == t, F.struct(*[d[old].alias(new) for new, old in names.items()])).alias(t) for t, names in parts.items()])
+    own = ["order_id"] if by_order else []
+    each = lines.select(*own, key.alias("_line"), *[F.when(kind == t, F.struct(*[d[old].alias(new) for new, old in names.items()])).alias(t) for t, names in parts.items()])
     # A line without an id has no partners; such lines are spread, and partners that name no line go.
     each = each.where("_line IS NOT NULL OR order_detail IS NOT NULL").withColumn("_apart", F.when(F.col("_line").isNull(), F.pmod(F.xxhash64("order_detail"), F.lit(1024))))
-    met = each.groupBy("_line", "_apart").agg(*[F.collect_list(t).alias(t) for t in parts])
-    met = met.select(F.explode("order_detail").alias("l"), "order_detail_activity", "order_detail_coupon").select("l", F.explode_outer("order_detail_activity").alias("a"), "order_detail_coupon").select("l", "a", F.explode_outer("order_detail_coupon").alias("c"))
-    detail = met.select("l.*", "a.*", "c.*")
-    order = take(changes(db if orders is None else orders, "order_info", database="shop").where(F.col("type").isin("insert", "update")), *ORDER.split(), _order="id").drop("ts")
+    met = each.groupBy(*own, "_line", "_apart").agg(*[F.collect_list(t).alias(t) for t in parts])
+    met = met.select(*own, F.explode("order_detail").alias("l"), "order_detail_activity", "order_detail_coupon").select(*own, "l", F.explode_outer("order_detail_activity").alias("a"), "order_detail_coupon").select(*own, "l", "a", F.explode_outer("order_detail_coupon").alias("c"))
+    detail = met.select(*own, "l.*", "a.*", "c.*")
     wide = lookup(detail, dic, "source_type_id", "source_type_name").join(order, F.col("order_id") == F.col("_order"))
     return wide.select(*"id order_id sku_id sku_name order_price sku_num create_time source_type_id source_type_name source_id split_total_amount split_activity_amount split_coupon_amount".split(), *ORDER.split(), "order_detail_activity_id", "activity_id", "activity_rule_id", "order_detail_coupon_id", "coupon_id", "coupon_use_id", "type", "old")
 

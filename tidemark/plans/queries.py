@@ -41,7 +41,7 @@ def _db(fact: Callable[..., DataFrame], dic: bool = False) -> Query:
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
-    return facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d))
+    return facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d), by_order=True)
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
@@ -49,11 +49,11 @@ def _details(s: SparkSession, d: str) -> DataFrame:
 
 
 def _first(s: SparkSession, d: str) -> DataFrame:
-    return trade.keep_first(trade.arrivals(_details(s, d)))
+    return trade.keep_first(trade.arrivals(_details(s, d)), *trade.LINE)
 
 
 def _latest(s: SparkSession, d: str) -> DataFrame:
-    return trade.keep_latest(trade.arrivals(_details(s, d)))
+    return trade.keep_latest(trade.arrivals(_details(s, d)), *trade.LINE)
 
 
 def _paid(s: SparkSession, d: str) -> DataFrame:
@@ -234,7 +234,7 @@ def queries() -> dict[str, Query]:
         "uv_on_day": lambda s, d: serving.uv_by_channel(traffic.page_view_window(_pages(s, d)), DAY),
         "channel_chart": lambda s, d: serving.channel_chart(traffic.page_view_window(_pages(s, d)), DAY),
         "order_window_stamped": lambda s, d: stamped(trade.order_window(_first(s, d)), AS_OF_MS),
-        "dedup_latest_by_time": lambda s, d: trade.keep_latest_by_time(trade.with_row_time(trade.arrivals(_details(s, d)), AS_OF_MS)).select("id", "split_total_amount", "row_op_ts"),
+        "dedup_latest_by_time": lambda s, d: trade.keep_latest_by_time(trade.with_row_time(trade.arrivals(_details(s, d)), AS_OF_MS), *trade.LINE).select("id", "split_total_amount", "row_op_ts"),
         "province_beans": lambda s, d: as_beans(_provinces(s, d)),
         "config_routes": _configured,
         "order_times": _times,

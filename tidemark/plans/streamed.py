@@ -164,7 +164,7 @@ def cart_add_window(s: SparkSession, d: str) -> DataFrame:
 
 
 def _details(s: SparkSession, d: str) -> DataFrame:
-    return trade.arrivals(facts.order_detail(facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d))))
+    return trade.arrivals(facts.order_detail(facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d), by_order=True)))
 
 
 def order_window(s: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,7 @@ def _order_counts(topics: Topics, rows: DataFrame, name: str, keys: list[str], c
 def province_window(s: SparkSession, d: str) -> DataFrame:
     """Times only grow here, so nothing is waited for."""
     topics = Topics(s)
-    rows = trade.keep_latest(_details(s, d)).dropna(subset=["user_id", "source_type_name"])
+    rows = trade.keep_latest(_details(s, d), *trade.LINE).dropna(subset=["user_id", "source_type_name"])
     out = _order_counts(topics, rows, "latest", ["province_id"], "order_ct", True, "0 seconds")
     named = enrich(out, A.dimensions(s, d)["province"], "province_id", {"name": "province_name"})
     return named.withColumn("province_name", F.coalesce("province_name", F.lit("")))
@@ -207,7 +207,7 @@ def province_window(s: SparkSession, d: str) -> DataFrame:
 
 def user_spu_window(s: SparkSession, d: str) -> DataFrame:
     topics, dims = Topics(s), A.dimensions(s, d)
-    rows = enrich(trade.keep_first(_details(s, d)), dims["sku"], "sku_id", {"spu_id": "spu_id", "tm_id": "trademark_id", "category3_id": "category3_id"})
+    rows = enrich(trade.keep_first(_details(s, d), *trade.LINE), dims["sku"], "sku_id", {"spu_id": "spu_id", "tm_id": "trademark_id", "category3_id": "category3_id"})
     out = _order_counts(topics, rows, "goods", ["user_id", "trademark_id", "spu_id", "category3_id"], "order_ct", True, "2 seconds")
     return trade.name_goods(enrich(out, dims["spu"], "spu_id", {"spu_name": "spu_name"}), dims)
 
@@ -404,7 +404,7 @@ def coupon_messages(s: SparkSession, d: str) -> DataFrame:
 def detail_messages(s: SparkSession, d: str) -> DataFrame:
     """Order lines written as messages and read again as the typed table of that topic."""
     topics = Topics(s)
-    lines = facts.order_detail(facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d)))
+    lines = facts.order_detail(facts.order_pre_process(A.line_changes(s, d), A.base_dic(s), A.topic_db(s, d), by_order=True))
     return topics.run(parse(topics.messages("lines", lines), facts.DETAIL_TOPIC), "typed")
 
 

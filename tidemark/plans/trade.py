@@ -32,18 +32,27 @@ def with_row_time(rows: DataFrame, as_of_ms: int) -> DataFrame:
     return rows.withColumn("row_op_ts", F.regexp_replace(text, "0{1,2}Z$", "Z"))
 
 
-def keep_latest_by_time(rows: DataFrame, key: str = "id") -> DataFrame:
+def keep_latest_by_time(rows: DataFrame, *key: str) -> DataFrame:
     """The delivery with the latest ``row_op_ts``, compared as a time whatever its digits; of equal times the later arrival."""
-    return latest_of_key(rows, [key], [F.desc(instant(F.col("row_op_ts"))), F.desc("row_op")])
+    return latest_of_key(rows, [*(key or ("id",))], [F.desc(instant(F.col("row_op_ts"))), F.desc("row_op")])
 
 
-def keep_first(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The first delivery of each line; ties by all columns, so the choice is the same every time."""
-    return first_of(rows, [key], ["row_op", *sorted(set(rows.columns) - {"row_op", key})])
+def keep_first(rows: DataFrame, *key: str) -> DataFrame:
+    """The first delivery of each line; ties by all columns, so the choice is the same every time.
+
+    The key is the line's id by default; with :data:`LINE` lines that lie by their order stay where they are.
+    """
+    keys = key or ("id",)
+    return first_of(rows, [*keys], ["row_op", *sorted(set(rows.columns) - {"row_op", *keys})])
+
+
+def keep_latest(rows: DataFrame, *key: str) -> DataFrame:
+    keys = key or ("id",)
+    return latest_of_key(rows, [*keys], [F.desc("row_op"), *[F.desc(c) for c in sorted(set(rows.columns) - {"row_op", *keys})]])
 
 
-def keep_latest(rows: DataFrame, key: str = "id") -> DataFrame:
-    return latest_of_key(rows, [key], [F.desc("row_op"), *[F.desc(c) for c in sorted(set(rows.columns) - {"row_op", key})]])
+#: The key of a line whose id tells its order, as the shop's do.
+LINE = ("order_id", "id")
 
 
 def cart_add_window(carts: DataFrame, size: str = "10 seconds") -> DataFrame:

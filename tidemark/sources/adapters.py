@@ -77,18 +77,19 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.coalesce(broken, F.to_json(message)).alias("value"), "seq")
 
 
-def _changes(rows: DataFrame, name: str | Column, kind: str | Column, data: dict[str, Column], old: Column | None = None, time: str = "at") -> DataFrame:
+def _changes(rows: DataFrame, name: str | Column, kind: str | Column, data: dict[str, Column], old: Column | None = None, time: str = "at", more: tuple[str, ...] = ()) -> DataFrame:
     pairs = [x for k, v in data.items() for x in (F.lit(k), v)]
     return rows.select(
         F.lit("shop").alias("database"), (F.lit(name) if isinstance(name, str) else name).alias("table"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
         F.create_map(*pairs).alias("data"), (old if old is not None else F.lit(None)).cast("map<string,string>").alias("old"),
-        _text(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("ts"),
+        _text(F.unix_timestamp(F.col(time).cast("timestamp"))).alias("ts"), *more,
     )
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("at"))
-    rows = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # They meet by the text that changes carry, so that what groups or joins lines by their order needs no further shuffle.
+    o = table(spark, sf_dir, "orders").select(_text("o_orderkey").alias("order_id"), "o_orderkey", "o_custkey", F.col("o_orderdate").alias("at"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("order_id", _text("l_orderkey")).join(o, "order_id")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rows.withColumns({"id": key, "price": F.col("l_extendedprice").cast("decimal(18,2)")})
 
@@ -106,17 +107,17 @@ def _number(c: str) -> Column:
 LINE_PARTS = {"order_detail": "true", "order_detail_activity": "l_discount > 0.05", "order_detail_coupon": "l_tax > 0.04"}
 
 
-def _line_changes(lines: DataFrame, name: str | Column) -> DataFrame:
+def _line_changes(lines: DataFrame, name: str | Column, *more: str) -> DataFrame:
     """Changes of lines, their activities or their coupons, as the column ``kind`` says."""
     detail, at = F.col("kind") == "order_detail", stamp("at")
     kind = F.when(detail, "").when(F.col("kind") == "order_detail_activity", "a").otherwise("c")
     return _changes(lines, name, "insert", {
-        "id": F.concat(kind, "id"), "order_id": _text("l_orderkey"), "sku_id": _text("l_partkey"), "order_detail_id": F.when(~detail, F.col("id")), "create_time": at,
+        "id": F.concat(kind, "id"), "order_id": F.col("order_id"), "sku_id": _text("l_partkey"), "order_detail_id": F.when(~detail, F.col("id")), "create_time": at,
         "sku_name": F.when(detail, F.concat(F.lit("sku "), _text("l_partkey"))), "order_price": F.when(detail, _text("price")), "sku_num": F.when(detail, _number("l_quantity")),
         "source_type": F.when(detail, _text(F.col("l_linenumber") % 5 + 2401)), "source_id": F.when(detail, _text("l_suppkey")), "split_total_amount": F.when(detail, _text((F.col("price") * F.col("l_quantity").cast("int")).cast("decimal(18,2)"))),
         "split_activity_amount": F.when(detail & F.expr(LINE_PARTS["order_detail_activity"]), _money("l_discount")), "split_coupon_amount": F.when(detail & F.expr(LINE_PARTS["order_detail_coupon"]), _money("l_tax")),
         "activity_id": F.when(~detail, _text(F.col("l_partkey") % 10)), "activity_rule_id": F.when(~detail, _text(F.col("l_suppkey") % 7)),
-        "coupon_id": F.when(~detail, _text(F.col("l_suppkey") % 13)), "coupon_use_id": F.when(~detail, _text(F.col("l_orderkey") % 1000))})
+        "coupon_id": F.when(~detail, _text(F.col("l_suppkey") % 13)), "coupon_use_id": F.when(~detail, _text(F.col("l_orderkey") % 1000))}, more=more)
 
 
 def _order_states(orders: DataFrame) -> DataFrame:
@@ -131,21 +132,24 @@ def _order_states(orders: DataFrame) -> DataFrame:
 
 
 def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What :func:`topic_db` has of order lines, their activities and coupons, as a topic of its own that comes from one pass."""
+    """What :func:`topic_db` has of order lines, their activities and coupons, as a topic of its own that comes from one pass.
+
+    The messages' key, ``order_id``, is a column beside the change: what lies by it stays so, which a value of the map would not tell.
+    """
     kinds = F.array_compact(F.array(*[F.when(F.expr(when), name) for name, when in LINE_PARTS.items()]))
-    return _line_changes(_lines(spark, sf_dir).withColumn("kind", F.explode(kinds)), F.col("kind"))
+    return _line_changes(_lines(spark, sf_dir).withColumn("kind", F.explode(kinds)), F.col("kind"), "order_id")
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topic of lines with that of their orders."""
-    return line_changes(spark, sf_dir).unionByName(_order_states(_orders(spark, sf_dir)))
+    return line_changes(spark, sf_dir).drop("order_id").unionByName(_order_states(_orders(spark, sf_dir)))
 
 
 def topic_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change data of all tables of the shop. A filter on ``table`` leaves only its own branch in the plan."""
     lines, orders, events = _lines(spark, sf_dir), _orders(spark, sf_dir), table(spark, sf_dir, "events")
     at, number = stamp("at"), _number
-    own = {"id": F.col("id"), "order_id": _text("l_orderkey"), "sku_id": _text("l_partkey")}
+    own = {"id": F.col("id"), "order_id": F.col("order_id"), "sku_id": _text("l_partkey")}
     refunds = lines.where("l_returnflag = 'R'")
     e = events.withColumns({"at": F.col("ts"), "k": F.regexp_extract("props", "[0-9]+", 0).cast("int")})
     user = {"id": _text("event_id"), "user_id": _text("user_id")}
