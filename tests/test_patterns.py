@@ -105,6 +105,14 @@ def test_bitmaps_count_like_sets(spark):
     assert whole == {k: len({i for a, _, i in rows if a == k} - {None}) for k in "ab"}
 
 
+def test_bitmaps_of_few_ids_are_small(spark):
+    """Groups of an id or two, far apart: a long for each, not a bitmap of thousands of bytes."""
+    rows = spark.range(400).selectExpr("id div 2 AS k", "id * 1000 - 7 AS number")
+    parts = bitmaps.bitmaps(rows, ["k"], "number")
+    assert dict(parts.dtypes)["bitmap"] == "bigint" and parts.count() == 400
+    assert {r.n for r in bitmaps.counted(parts, ["k"], "n").collect()} == {2}
+
+
 def test_facts_see_the_version_of_their_time(spark):
     """A dictionary that changes twice and ends, a busy key, facts at the very moment of a change, before all and after all."""
     at = lambda s: BASE + timedelta(seconds=s)
