@@ -140,3 +140,14 @@ def test_flushes_by_number_and_age(tmp_path):
     writer.process({"id": 1})
     writer.close(ValueError("x"))
     assert calls[-1] == "rollback"
+
+
+def test_messages_are_compressed(spark):
+    """Messages repeat their names in every row, so a topic of texts takes little of the shared folder."""
+    from tidemark.plans.streamed import Topics
+
+    topics = Topics(spark)
+    rows = topics.messages("m", spark.range(50).selectExpr("cast(id as string) AS some_long_name"))
+    assert spark.sparkContext._jvm.java.io.File(f"{topics.folder}/m").list() is not None
+    assert all(n.endswith(".gz") for n in spark.sparkContext._jvm.java.io.File(f"{topics.folder}/m").list() if n.startswith("part"))
+    assert topics.run(rows, "read").count() == 50

@@ -54,8 +54,8 @@ class Topics:
         return self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
 
     def messages(self, name: str, rows: DataFrame) -> DataFrame:
-        """Rows as JSON messages in text files, read as a stream of texts."""
-        to_messages(rows).select("value").write.text(f"{self.folder}/{name}")
+        """Rows as JSON messages in compressed text files, read as a stream of texts."""
+        to_messages(rows).select("value").write.option("compression", "gzip").text(f"{self.folder}/{name}")
         return text_stream(self.spark, f"{self.folder}/{name}", 1_000_000)
 
     def run(self, rows: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -172,7 +172,8 @@ def order_window(s: SparkSession, d: str) -> DataFrame:
     topics = Topics(s)
     lines = _details(s, d)
     typed = parse(topics.messages("lines", lines), lines.schema).withColumn("et", time_of(F.col("create_time")).cast("timestamp"))
-    once = first_per_key(typed, "id", late="100 days").drop("et")
+    needed = ["id", "user_id", "create_time", "sku_num", "order_price", "split_activity_amount", "split_coupon_amount"]
+    once = first_per_key(typed.select("et", *needed), "id", late="100 days").drop("et")
     topics.run(once, "once")
     own = topics.read("once", once.schema).withColumn("ms", F.unix_millis(time_of(F.col("create_time")).cast("timestamp")))
     flags = processors.unique_and_new(own, "user_id", "ms", ("ms", "id"))
@@ -192,6 +193,7 @@ def _numbered(topics: Topics, rows: DataFrame, name: str) -> DataFrame:
 def _order_counts(topics: Topics, rows: DataFrame, name: str, keys: list[str], count: str, amount: bool, late: str) -> DataFrame:
     """Windows of numbered rows with the orders in them: bitmaps are the state, and counts are made of what the job wrote."""
     sums = [F.sum(trade.money("split_total_amount")).alias("amount")] if amount else []
+    rows = rows.select(*keys, "order_id", "create_time", *(["split_total_amount"] if amount else []))
     parts = topics.run(runners.windowed_bitmaps(_numbered(topics, rows, name), "rt", keys, "number", sums, late=late), f"{name}-bitmaps")
     return _ends(counted(parts, ["stt", "edt", *keys], count, *([F.sum("amount").cast("double").alias("order_amount")] if amount else [])))
 
