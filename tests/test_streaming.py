@@ -200,3 +200,19 @@ def test_order_lines_join_as_a_stream(spark, tmp_path):
     dic = spark.createDataFrame([("2401", "query", "24")], DICTIONARY)
     got = gather(spark, joins.order_pre_process(db, dic).select("id", "user_id", "activity_id", "coupon_id", "source_type_name"), tmp_path)
     assert sorted(tuple(r) for r in got.collect() if not r.id.startswith("end")) == [("1", "u", "x", None, "query"), ("2", "u", None, None, "query")]
+
+
+def test_first_carts_of_days_ask_no_python_worker(spark, tmp_path):
+    """A day's first row comes from an aggregate of Spark's own, whatever the order in which micro-batches bring the rows of a day."""
+    at = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    parts = [[("u", "2", at(1, 9)), ("v", "3", at(1, 5)), (None, "8", at(1, 7))], [("u", "1", at(1, 9)), ("u", "4", at(1, 8)), ("u", "5", at(2, 1))], [("u", "6", at(2, 0)), ("v", "7", None)], [("end", "end", at(20, 0))]]
+    for n, rows in enumerate(parts):
+        frame = spark.createDataFrame(rows, "user_id string, id string, at string")
+        frame.withColumn("rt", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("user_id string, id string, at string, rt timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    firsts = runners.day_firsts(stream, "rt", ["user_id"], ["at", "id"])
+    plan = firsts._jdf.queryExecution().analyzed().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+    runners.run_once(firsts, f"{tmp_path}/state", runners.write_batch(f"{tmp_path}/out"))
+    got = spark.read.option("recursiveFileLookup", "true").schema(firsts.schema).parquet(f"{tmp_path}/out")
+    assert {tuple(r) for r in got.select("user_id", "id", "at").collect()} == {("u", "4", at(1, 8)), ("u", "6", at(2, 0)), ("v", "3", at(1, 5)), (None, "8", at(1, 7))}

@@ -157,8 +157,10 @@ def register_window(s: SparkSession, d: str) -> DataFrame:
 def cart_add_window(s: SparkSession, d: str) -> DataFrame:
     topics = Topics(s)
     carts = facts.cart_add(A.topic_db(s, d), A.base_dic(s)).withColumn("at", F.coalesce("operate_time", "create_time")).select("user_id", "id", "at")
+    carts = carts.withColumn("rt", time_of(F.col("at")).cast("timestamp"))
     topics.put("carts", carts)
-    rows = processors.cart_users(topics.read("carts", carts.schema)).withColumn("rt", time_of(F.col("at")).cast("timestamp"))
+    firsts = runners.day_firsts(topics.read("carts", carts.schema, user_id=END, id=END, rt=LAST), "rt", ["user_id"], ["at", "id"])
+    rows = firsts.select("user_id", "id", "at", time_of(F.col("at")).cast("timestamp").alias("rt"))
     topics.run(rows, "users")
     return _windows(topics, "users", rows.schema, [], [F.count(F.lit(1)).alias("cart_add_uu_ct")])
 
