@@ -370,3 +370,16 @@ def test_network_learns_and_redacts(spark):
     got = {r.doc_id: r for r in cases.select("doc_id", "text", secrets.redact("text", spans("text")).alias("clean"), spans("text").alias("spans")).collect()}
     assert got[4].clean == "[secret], [secret]" and got[2].clean is None and got[3].clean == "" and got[5].clean == got[5].text
     assert secrets.train(docs(spark, [])).precision >= secrets.PRECISION  # from made examples alone
+
+
+def test_network_learns_from_every_document(spark):
+    """All findings and candidates of all documents are examples, and all parts of the training have a share in the network and its threshold."""
+    table = docs(spark, [(i, f"the token=abc{i:05d}def and candidate{i:06d}x") for i in range(4000)])
+    examples = secrets.examples_of(table)
+    assert {r.label: r["count"] for r in examples.groupBy("label").count().collect()} == {0: 4000, 1: 4000}
+    parts = secrets.parts_of(examples, secrets.words_of(examples), 3)
+    assert [r.part for r in parts.select("part").orderBy("part").collect()] == [0, 1, 2]
+    shown = {bytes(v) for r in parts.collect() for v in np.frombuffer(r.x, np.uint8).reshape(-1, secrets.VIEW + 2 * secrets.CONTEXT)}
+    assert all(bytes(v) in shown for r in examples.collect() for v in secrets.views(r.before, r.value, r.after).astype(np.uint8))
+    network = secrets.fit_parts(parts, 3)
+    assert network.examples >= 3 * 4 * secrets.SHOWN and network.recall >= secrets.RECALL

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 # The base patterns and the least lengths of their findings.
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -21,9 +23,13 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?=[A-Za-z+/_.=~:@-]*[0-9])[A-Za-z0-9+/_.=~:@-]{12,}|[A-Za-z0-9+/_.=~:@-]{16,}")
 #: Characters around a candidate, of it in one view, of an embedding, filters and their width.
 CONTEXT, VIEW, EMBEDDING, FILTERS, WIDTH, EPOCHS, BATCH = 16, 48, 8, 32, 5, 10, 64
-#: Documents (expected) whose candidates train the network, candidates of each class at most, findings that it is shown, and the recall
-#: and precision that its threshold must keep on examples held back.
-DOCUMENTS, EXAMPLES, SHOWN, RECALL, PRECISION = 20_000, 1500, 4000, 0.95, 0.98
+#: Different candidates (expected) of a part of the training, findings that a part shows, tasks that train parts, and the recall and
+#: precision that the threshold must keep on examples held back.
+PART, SHOWN, TASKS, RECALL, PRECISION = 3200, 4000, 64, 0.95, 0.98
+#: Scores are counted by their logits, in steps of a hundredth between these bounds.
+LOGIT = 16
+#: Parts at least, so that a small table has the made examples of several, and the first seed.
+LEAST, SEED = 4, 11
 #: Words of made examples where documents have none.
 WORDS = ["the", "value", "name", "station", "given", "house", "water", "report"]
 #: Alphabets in which the values of findings are drawn anew, and marks that join words to names, paths and hosts.
@@ -113,38 +119,71 @@ class Network:
         embedding[0] = 0  # what isn't shown stays nothing
         return [embedding, columns.reshape(-1, WIDTH * EMBEDDING).T @ grad, grad.sum(axis=0), pooled.T @ error, error.sum(keepdims=True)]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
-        """Stochastic gradient descent (Adam) on four fifths; the rest gives the highest threshold that keeps RECALL.
+    @property
+    def parameters(self) -> list[np.ndarray]:
+        return [self.embedding, self.kernel, self.bias, self.out, self.out_bias]
+
+    @parameters.setter
+    def parameters(self, values: list[np.ndarray]) -> None:
+        self.embedding, self.kernel, self.bias, self.out, self.out_bias = (v.astype(np.float32) for v in values)
+
+    def still(self) -> list[np.ndarray]:
+        """The moments of Adam before its first step: the first and then the second of each parameter."""
+        return [np.zeros_like(p) for p in self.parameters * 2]
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, train: np.ndarray, moments: list[np.ndarray], turn: int, rng: np.random.Generator) -> None:
+        """One pass of stochastic gradient descent (Adam) over the rows ``train``, in place; ``turn`` counts from 0 to EPOCHS - 1."""
+        positive, half = (y[train] == 1).sum(), len(self.parameters)
+        rng.shuffle(train)
+        per_turn = -(-len(train) // BATCH)
+        step, steps = turn * per_turn, EPOCHS * per_turn
+        for at in range(0, len(train), BATCH):
+            rows = train[at : at + BATCH]
+            weight = np.where(y[rows] == 1, 0.5 / max(1, positive), 0.5 / max(1, len(train) - positive)) * len(train)
+            step += 1
+            for p, m, v, g in zip(self.parameters, moments[:half], moments[half:], self._gradients(x[rows], y[rows], weight), strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= 0.01 * (1.05 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
+    def counts(self, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        """How many rows of either label there are by step of logit (label, step, n)."""
+        scores = self.score(x).astype(np.float64)
+        logit = np.log(np.maximum(scores, 1e-9)) - np.log(np.maximum(1 - scores, 1e-9))
+        rows = pd.DataFrame({"label": y.astype(np.int32), "step": np.floor(np.clip(logit, -LOGIT, LOGIT) * 100).astype(np.int32)})
+        return rows.groupby(["label", "step"]).size().rename("n").reset_index()
+
+    def settle(self, counts: pd.DataFrame) -> Network:
+        """The highest threshold that keeps RECALL of the findings that ``counts`` (of examples held back) has.
 
         Where that has less than PRECISION there, nothing is ever added: the threshold is out of reach.
         """
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(x))
-        held, train = order[: len(x) // 5], order[len(x) // 5 :]
-        weight = np.where(y == 1, 0.5 / max(1, (y[train] == 1).sum()), 0.5 / max(1, (y[train] == 0).sum())) * len(train)
-        parameters = [self.embedding, self.kernel, self.bias, self.out, self.out_bias]
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
-        step, steps = 0, EPOCHS * -(-len(train) // BATCH)
-        for _ in range(EPOCHS):
-            rng.shuffle(train)
-            for at in range(0, len(train), BATCH):
-                rows = train[at : at + BATCH]
-                step += 1
-                for p, (m, v), g in zip(parameters, moments, self._gradients(x[rows], y[rows], weight[rows]), strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= 0.01 * (1.05 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        scores, truth = self.score(x[held]), y[held] == 1
-        if truth.any():
-            kept = np.sort(scores[truth])
-            self.threshold = float(max(1e-6, kept[int(np.floor((1 - RECALL) * len(kept)))]))
-            self.recall = float((scores[truth] >= self.threshold).mean())
-            self.precision = float(truth[scores >= self.threshold].mean())
+        found = counts[counts.label == 1].groupby("step").n.sum().sort_index(ascending=False)
+        if len(found):
+            step = int(found.index[np.argmax(found.cumsum().to_numpy() >= RECALL * found.sum())])
+            right, all_ = int(found[found.index >= step].sum()), int(counts[counts.step >= step].n.sum())
+            self.threshold = float(1 / (1 + np.exp(-step / 100)) - 1e-7)
+            self.recall, self.precision = right / int(found.sum()), right / all_
             if self.precision < PRECISION:
                 self.threshold = 2.0
-        self.examples = len(x)
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
+        """Fits one part alone, four fifths of its rows; the rest gives the threshold."""
+        rng = np.random.default_rng(seed)
+        held, train = deal(len(x), rng)
+        moments = self.still()
+        for turn in range(EPOCHS):
+            self.epoch(x, y, train, moments, turn, rng)
+        self.examples = len(x)
+        return self.settle(self.counts(x[held], y[held]))
+
+
+def deal(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows that are held back, a fifth, and of those that train."""
+    order = rng.permutation(n)
+    return order[: n // 5], order[n // 5 :]
+
 
 def _word(rng: np.random.Generator, words: list[str], least: int) -> str:
     """Words run together to ``least`` letters or more, in one of the ways that texts write them."""
@@ -224,9 +263,9 @@ def made_other(rng: np.random.Generator, words: list[str]) -> str:
 
 
 def made_examples(found: list[tuple[str, str, str]], other: list[tuple[str, str, str]], words: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Views and labels of SHOWN findings and 3 * SHOWN other candidates, each (before, value, after).
+    """Views and labels of the findings and the other candidates of a part, each (before, value, after), and of made ones: SHOWN and 3 * SHOWN in all.
 
-    About a quarter of either are real ones, each as it stands, where another candidate stood, and with nothing around it. The
+    Every real one is shown as it stands; while they are less than a quarter, they come again where another candidate stood and with nothing around them. The
     rest are made, so that the network learns the same from a table with few findings, or none: neither a keyword nor
     the shape of one kind tells a secret.
     """
@@ -256,25 +295,25 @@ def made_examples(found: list[tuple[str, str, str]], other: list[tuple[str, str,
     for label, pool, make, n in ((1, found, made_secret, SHOWN), (0, other, made_other, 3 * SHOWN)):
         shown = 0
         for turn in range(3):
-            for before, value, after in pool if shown < n // 4 else ():
+            for before, value, after in pool if not turn or shown < n // 4 else ():
                 if turn:
                     before, after = around()
                 rows += [(label, v) for v in views(before, value, after)]
                 shown += 1
-        for _ in range(n - min(shown, n // 4)):
+        for _ in range(max(0, n - shown)):
             before, after = around()
             rows += [(label, v) for v in views(before, make(rng, words), after)]
     return np.stack([v for _, v in rows]), np.array([y for y, _ in rows], np.float64)
 
 
-def examples_of(docs: DataFrame, documents: int = DOCUMENTS, examples: int = EXAMPLES) -> tuple[list[tuple[str, str, str]], ...]:
-    """Values of the findings of the fixed patterns, and candidates that touch none, each with what stands around it.
+EXAMPLE = "label int, before string, value string, after string"
+
+
+def examples_of(docs: DataFrame) -> DataFrame:
+    """Values of the findings of the fixed patterns (label 1), and candidates that touch none (0), each with what stands around it.
 
-    Taken from documents chosen by a hash of (doc_id, text), ``documents`` of them expected; of each class those ``examples``
-    that a hash puts first, equal ones once.
+    Of every document; equal ones once.
     """
-    n = docs.count()
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / F.lit(1 << 30)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -286,27 +325,91 @@ def examples_of(docs: DataFrame, documents: int = DOCUMENTS, examples: int = EXA
                 rows += [(k, text[max(0, s - CONTEXT) : s], text[s:e], text[e : e + CONTEXT]) for k, s, e in own]
             yield pd.DataFrame(rows, columns=["label", "before", "value", "after"]).astype({"label": "int32"})
 
-    rows = docs.where(place < min(1.0, documents / max(1, n))).select("text").mapInPandas(extract, "label int, before string, value string, after string")
-    rows = rows.withColumn("place", F.xxhash64("before", "value", "after")).dropDuplicates(["label", "place"])
-    first = F.row_number().over(Window.partitionBy("label").orderBy("place", "value"))
-    few = rows.withColumn("n", first).where(F.col("n") <= examples).collect()
-    few.sort(key=lambda r: (r.label, r.n))
-    return tuple([(r.before, r.value, r.after) for r in few if r.label == k] for k in (1, 0))
+    return docs.select("text").mapInPandas(extract, EXAMPLE).dropDuplicates()
+
+
+def words_of(examples: DataFrame, n: int = 400) -> list[str]:
+    """The words that are in and around most candidates."""
+    said = F.regexp_extract_all(F.lower(F.concat_ws("|", "before", "value", "after")), F.lit("[a-z]{2,12}"), F.lit(0))
+    top = examples.where("label = 0").select(F.explode(said).alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word")
+    return [r.word for r in top.limit(n).collect()]
 
 
-def words_of(examples: list[tuple[str, str, str]]) -> list[str]:
-    """Words in and around candidates, in order of their first place."""
-    return list(dict.fromkeys(w for example in examples for part in example for w in re.findall("[a-z]{2,12}", part.lower())))
+def parts_of(examples: DataFrame, words: list[str], parts: int) -> DataFrame:
+    """All examples dealt to parts by their hash, with made ones beside them: a row for each part, its views and labels as bytes."""
+    spark = examples.sparkSession
+    place = F.xxhash64("label", "before", "value", "after")
+    dealt = examples.select(F.pmod(place, F.lit(parts)).cast("int").alias("part"), place.alias("place"), "label", "before", "value", "after")
+    every = spark.range(parts).selectExpr("CAST(id AS INT) AS part", "0L AS place", "-1 AS label", "'' AS before", "'' AS value", "'' AS after")  # parts without any
 
+    def make(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, part = rows.sort_values(["place", "value"], kind="stable"), int(rows.part.iloc[0])
+        pools = [list(rows[rows.label == k][["before", "value", "after"]].itertuples(index=False, name=None)) for k in (1, 0)]
+        x, y = made_examples(*pools, words, SEED + part)
+        return pd.DataFrame({"part": [part], "x": [x.astype(np.uint8).tobytes()], "y": [y.astype(np.uint8).tobytes()]})
 
-def train(docs: DataFrame, documents: int = DOCUMENTS, examples: int = EXAMPLES) -> Network:
-    """A network from labelled findings: those of the fixed patterns against all other candidates.
+    return dealt.unionByName(every).groupBy("part").applyInPandas(make, "part int, x binary, y binary").repartition(min(parts, TASKS), "part").checkpoint()
 
-    See :func:`examples_of` for the bounded sample and :func:`made_examples` for what is shown beside it; of both there is as much at
-    every size of the table.
+
+def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A part's views and labels, and which of its rows are held back and which train; the same each time."""
+    x = np.frombuffer(row.x, np.uint8).reshape(-1, VIEW + 2 * CONTEXT).astype(np.int64)
+    return x, np.frombuffer(row.y, np.uint8).astype(np.float64), *deal(len(x), np.random.default_rng(SEED + row.part))
+
+
+def fit_parts(parts: DataFrame, number: int) -> Network:
+    """One network from all parts: each goes over its examples once from the common parameters, these and the moments are averaged, and
+    so on for EPOCHS turns. The threshold comes from the examples that all parts hold back.
+    """
+    network = Network()
+    state = [*network.parameters, *network.still()]
+    shapes, ends = [p.shape for p in state], np.cumsum([p.size for p in state])[:-1]
+    whole = lambda flat: [p.reshape(shape).astype(np.float32) for p, shape in zip(np.split(flat, ends), shapes, strict=True)]
+    flat, half = np.concatenate([p.ravel() for p in state]).astype(np.float64), len(network.parameters)
+
+    def passed(start: np.ndarray, turn: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, first = np.zeros_like(start), None
+            for row in (r for batch in batches for r in batch.sort_values("part").itertuples(index=False)):
+                x, y, _, train = _opened(row)
+                own, values = Network(), whole(start)
+                own.parameters, moments = values[:half], values[half:]
+                own.epoch(x, y, train, moments, turn, np.random.default_rng(1000 * (SEED + row.part) + turn))
+                total += np.concatenate([p.ravel() for p in [*own.parameters, *moments]])
+                first = row.part if first is None else first
+            if first is not None:
+                yield pd.DataFrame({"first": [first], "total": [total.tobytes()]})
+
+        return run
+
+    def held_back(start: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = Network()
+            own.parameters = whole(start)[:half]
+            for row in (r for batch in batches for r in batch.itertuples(index=False)):
+                x, y, held, _ = _opened(row)
+                yield own.counts(x[held], y[held])
+
+        return run
+
+    for turn in range(EPOCHS):
+        sums = parts.mapInPandas(passed(flat, turn), "first int, total binary").collect()  # a row for each of at most TASKS tasks
+        flat = sum(np.frombuffer(r.total) for r in sorted(sums, key=lambda r: r.first)) / number
+    network.parameters = whole(flat)[:half]
+    told = parts.mapInPandas(held_back(flat), "label int, step int, n long").groupBy("label", "step").agg(F.sum("n").alias("n")).collect()
+    network.examples = parts.select(F.sum(F.length("y"))).first()[0]
+    return network.settle(pd.DataFrame([tuple(r) for r in told], columns=["label", "step", "n"]))
+
+
+def train(docs: DataFrame) -> Network:
+    """A network from labelled findings of every document: those of the fixed patterns against all other candidates.
+
+    See :func:`made_examples` for what is shown beside them; parts, of PART candidates each, are as many as the table needs.
     """
-    found, other = examples_of(docs, documents, examples)
-    return Network().fit(*made_examples(found, other, words_of(other)))
+    shared_folder(docs.sparkSession)
+    examples = examples_of(docs).checkpoint()
+    number = max(LEAST, -(-examples.count() // PART))
+    return fit_parts(parts_of(examples, words_of(examples), number), number)
 
 
 def scan_text(text: str | None, network: Network | None) -> list[tuple[int, int, str, float]]:
