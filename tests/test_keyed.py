@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from tidemark.plans.streamed import queries
 from tidemark.streaming import changelog, processors, runners
-from tidemark.streaming.keyed import process
-from tidemark.streaming.logics import Firsts, LatestHeld
+from tidemark.streaming.keyed import InOrder, Timers, Value, process
+from tidemark.streaming.logics import Buyers, Firsts, LatestHeld
 
 BASE = datetime(2024, 1, 1)
 EVENTS = "user string, ms long, id long, v double, kept string, et timestamp"
@@ -166,3 +166,18 @@ def test_keyed_streams_bring_their_store(spark, tmp_path):
         assert spark.conf.get(name) == default
     finally:
         spark.conf.set(name, own)
+
+
+def test_rows_in_order_share_a_timer():
+    """Rows of a key, in whatever order they come, have one timer, and all that the watermark has reached go on when it is woken."""
+    logic = InOrder(Buyers(("id",)), ["id", "ms"], ["ms", "id"])
+    state, timers = {v.name: Value(v, None) for v in logic.variables}, Timers(())
+    for at in (5_000, 3_000, 9_000, 4_000):
+        assert not list(logic.on_row(("u",), {"id": str(at), "ms": at}, at, state, timers))
+    assert timers.due == {3_000}
+    woken = Timers((), 5_000)
+    assert list(logic.on_timer(("u",), 3_000, state, woken)) == [("3000", 1, 1), ("4000", 0, 0), ("5000", 0, 0)]
+    assert woken.due == {9_000}
+    last = Timers((), 90_000)
+    assert list(logic.on_timer(("u",), 9_000, state, last)) == [("9000", 0, 0)]
+    assert not last.due and state["waiting"].value is None

@@ -52,10 +52,13 @@ class Value:
 
 
 class Timers:
-    """Times at which :meth:`Logic.on_timer` is asked for the key; Spark keeps them between micro-batches."""
+    """Times at which :meth:`Logic.on_timer` is asked for the key; Spark keeps them between micro-batches.
 
-    def __init__(self, due: Iterable[int]):
-        self.due, self.before = set(due), set(due)
+    ``reached`` is the time that all rows have come up to, where a timer is due.
+    """
+
+    def __init__(self, due: Iterable[int], reached: int = 0):
+        self.due, self.before, self.reached = set(due), set(due), reached
 
     def at(self, time: int) -> None:
         self.due.add(time)
@@ -80,32 +83,41 @@ class Logic:
 
 class InOrder(Logic):
     """Holds rows back until the watermark has reached them, then hands them to ``inner`` in order: for inputs, such as joins, whose
-    rows come later than their times."""
+    rows come later than their times.
+
+    A key has one timer, for its earliest row; all rows that the watermark has reached by then go on together.
+    """
 
     between_rows = False
 
     def __init__(self, inner: Logic, columns: list[str], order: list[str]):
         self.inner, self.columns, self.order = inner, columns, order
-        self.variables = (*inner.variables, Variable("waiting", "rows array<string>"))
+        self.variables = (*inner.variables, Variable("waiting", "rows array<string>, earliest long"))
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
-        held = state["waiting"].value
+        rows, earliest = state["waiting"].value or ([], None)
         body = json.dumps([row[c] for c in self.columns])
-        state["waiting"].set(at, [*(held[0] if held else ()), body])
-        timers.at(at)
+        if earliest is None or at < earliest:
+            if earliest is not None:
+                timers.cancel(earliest)
+            timers.at(at)
+            earliest = at
+        state["waiting"].set(at, [*rows, body], earliest)
         return ()
 
     def on_timer(self, key: tuple, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
         rows = [SimpleNamespace(**dict(zip(self.columns, json.loads(b), strict=True))) for b in (state["waiting"].value or ([],))[0]]
         rows.sort(key=lambda r: [getattr(r, c) for c in self.order])
-        left = []
+        left, earliest, until = [], None, max(at, timers.reached)
         for r in rows:
-            if (time := getattr(r, self.order[0])) <= at:
+            if (time := getattr(r, self.order[0])) <= until:
                 yield from self.inner.on_row(key, r, time, state, timers)
             else:
+                earliest = time if earliest is None else earliest  # rows are in order
                 left.append(json.dumps([getattr(r, c) for c in self.columns]))
         if left:
-            state["waiting"].set(at, left)
+            state["waiting"].set(at, left, earliest)
+            timers.at(earliest)
         else:
             state["waiting"].clear()
 
@@ -123,10 +135,10 @@ class _Processor(StatefulProcessor):
         # What is pending for a key. Spark wakes a timer even where rows of the same micro-batch have taken it back.
         self.pending = handle.getValueState("pending_timers", "due array<long>") if self.timed else None
 
-    def _open(self) -> tuple[dict[str, Value], Timers]:
+    def _open(self, reached: int = 0) -> tuple[dict[str, Value], Timers]:
         held = {v.name: self.stores[v.name].get() for v in self.logic.variables}
         due = self.pending.get() if self.timed else None
-        return {v.name: Value(v, None if held[v.name] is None else tuple(held[v.name])) for v in self.logic.variables}, Timers(due[0] if due else ())
+        return {v.name: Value(v, None if held[v.name] is None else tuple(held[v.name])) for v in self.logic.variables}, Timers(due[0] if due else (), reached)
 
     def _close(self, state: dict[str, Value], timers: Timers, *woken: int) -> None:
         for name, v in state.items():
@@ -174,7 +186,7 @@ class _Processor(StatefulProcessor):
         yield from map(self.row, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state, timers = self._open()
+        state, timers = self._open(timerValues.getCurrentWatermarkInMs() - 1)  # timers are woken when they lie before the watermark
         fired = expiredTimerInfo.getExpiryTimeInMs()
         out = [*self._fire(key, fired, state, timers)] if fired in timers.due else []
         self._close(state, timers, fired)  # Spark takes out the timer that it has woken
