@@ -232,3 +232,17 @@ def test_facts_of_a_keyed_topic_are_those_of_the_other(spark, sf_dir):
     assert keyed.columns == other.columns
     text = lambda rows: sorted(str(r) for r in rows.drop("old").collect())
     assert text(keyed) == text(other)
+
+
+def test_later_upserts_do_not_make_the_payments_again(spark, sf_dir, monkeypatch):
+    """The second batch has new amounts of what the table holds: it reads the table, not the tables that payments come from."""
+    plans = []
+
+    def seen(s, batch, *rest):
+        plans.append(batch._jdf.queryExecution().optimizedPlan().toString())
+        upsert_parquet(s, batch, *rest)
+
+    monkeypatch.setattr("tidemark.plans.queries.upsert_parquet", seen)
+    rows = queries()["upsert_payments"](spark, sf_dir).collect()
+    assert "l_linenumber" in plans[0] and "l_linenumber" not in plans[1]
+    assert all((r.split_payment_amount == "0.00") == (int(r.order_id) % 2 == 0) for r in rows) and len({int(r.order_id) % 2 for r in rows}) == 2

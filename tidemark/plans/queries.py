@@ -131,14 +131,13 @@ def _times(s: SparkSession, d: str) -> DataFrame:
 
 def _upserted(s: SparkSession, d: str) -> DataFrame:
     """Payments of order lines as an upsert table: written twice in batches, the second with new amounts; read as the latest of each key."""
-    folder = f"{shared_folder(s)}/upserts-{uuid.uuid4().hex}"
+    folder, key, version = f"{shared_folder(s)}/upserts-{uuid.uuid4().hex}", ["order_detail_id"], ["version"]
     rows = _paid(s, d).select("order_detail_id", "order_id", "split_payment_amount").withColumn("version", F.lit(0))
-    for n in (0, 1):
-        own = rows if n == 0 else rows.where("try_cast(order_id AS BIGINT) % 2 = 0").withColumns({"split_payment_amount": F.lit("0.00"), "version": F.lit(1)})
-        upsert_parquet(s, own, folder, ["order_detail_id"], ["version"], n)
-        if n == 0:
-            compact_upserts(s, folder, ["order_detail_id"], ["version"])
-    return read_upserts(s, folder, ["order_detail_id"], ["version"]).drop("version")
+    upsert_parquet(s, rows, folder, key, version, 0)
+    compact_upserts(s, folder, key, version)
+    held = read_upserts(s, folder, key, version)  # new amounts are those of the table, so payments are not made again
+    upsert_parquet(s, held.where("try_cast(order_id AS BIGINT) % 2 = 0").withColumns({"split_payment_amount": F.lit("0.00"), "version": F.lit(1)}), folder, key, version, 1)
+    return read_upserts(s, folder, key, version).drop("version")
 
 
 def _distinct_days(s: SparkSession, d: str) -> DataFrame:
