@@ -246,3 +246,11 @@ def test_later_upserts_do_not_make_the_payments_again(spark, sf_dir, monkeypatch
     rows = queries()["upsert_payments"](spark, sf_dir).collect()
     assert "l_linenumber" in plans[0] and "l_linenumber" not in plans[1]
     assert all((r.split_payment_amount == "0.00") == (int(r.order_id) % 2 == 0) for r in rows) and len({int(r.order_id) % 2 for r in rows}) == 2
+
+
+def test_partitions_of_lines_follow_their_number(spark, sf_dir, monkeypatch):
+    """However few bytes the shuffled lines have, no task gets more of them than it can sort in memory."""
+    monkeypatch.setattr(A, "LINES_PER_PARTITION", 500)
+    n = -(-A.table(spark, sf_dir, "lineitem").count() // 500)
+    assert n > 4 and A.line_changes(spark, sf_dir).rdd.getNumPartitions() == n
+    assert queries()["dedup_latest"](spark, sf_dir).rdd.getNumPartitions() == n

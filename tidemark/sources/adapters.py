@@ -86,10 +86,15 @@ def _changes(rows: DataFrame, name: str | Column, kind: str | Column, data: dict
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Order lines of one partition of their topic. What a task sorts, some 2 KB for each of them, then fits its memory however many there are.
+LINES_PER_PARTITION = 60_000
+
+
+def _lines(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     # They meet by the text that changes carry, so that what groups or joins lines by their order needs no further shuffle.
     o = table(spark, sf_dir, "orders").select(_text("o_orderkey").alias("order_id"), "o_orderkey", "o_custkey", F.col("o_orderdate").alias("at"))
-    rows = table(spark, sf_dir, "lineitem").withColumn("order_id", _text("l_orderkey")).join(o, "order_id")
+    rows = table(spark, sf_dir, "lineitem").withColumn("order_id", _text("l_orderkey"))
+    rows = (rows.repartition(partitions, "order_id") if partitions else rows).join(o, "order_id")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rows.withColumns({"id": key, "price": F.col("l_extendedprice").cast("decimal(18,2)")})
 
@@ -135,9 +140,12 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What :func:`topic_db` has of order lines, their activities and coupons, as a topic of its own that comes from one pass.
 
     The messages' key, ``order_id``, is a column beside the change: what lies by it stays so, which a value of the map would not tell.
+    The number of partitions follows the number of lines, which the files' footers tell: adaptive execution merges partitions by their compressed
+    bytes, and 64 MB of these are two million lines, which a task can only sort on disk.
     """
+    partitions = max(1, -(-table(spark, sf_dir, "lineitem").count() // LINES_PER_PARTITION))
     kinds = F.array_compact(F.array(*[F.when(F.expr(when), name) for name, when in LINE_PARTS.items()]))
-    return _line_changes(_lines(spark, sf_dir).withColumn("kind", F.explode(kinds)), F.col("kind"), "order_id")
+    return _line_changes(_lines(spark, sf_dir, partitions).withColumn("kind", F.explode(kinds)), F.col("kind"), "order_id")
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
