@@ -260,3 +260,18 @@ def test_settings_stay(spark, sf_dir):
     inside = in_own_session(docs)
     assert inside.schema == docs.schema and inside.count() == docs.count() and inside.where(F.col("doc_id") == 1).count() == 1
     assert "Union" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_files_of_ended_actions_go(spark, tmp_path):
+    """A checkpoint's shuffle files are no longer wanted; rows that are taken again are made again, and the caller's session stays as it is."""
+    context = spark.sparkContext._jsc.sc()
+    left = lambda: context.env().mapOutputTracker().shuffleStatuses().size()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own, of_caller = own_session(spark), spark.conf.get(name)
+    rows = lambda: own.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count()
+    before = left()
+    rows().checkpoint()
+    assert left() <= before
+    again = rows()
+    assert sorted(again.collect()) == sorted(again.collect()) and sorted(again.collect())[0] == (0, 143)
+    assert own.conf.get(name) == "true" and spark.conf.get(name) == of_caller
