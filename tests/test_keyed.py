@@ -3,12 +3,15 @@
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
 from tidemark.plans.streamed import queries
-from tidemark.streaming import changelog, processors, runners
+from tidemark.streaming import changelog, keyed, processors, runners
 from tidemark.streaming.keyed import InOrder, Timers, Value, process
 from tidemark.streaming.logics import Buyers, Firsts, LatestHeld
 
@@ -181,3 +184,67 @@ def test_rows_in_order_share_a_timer():
     last = Timers((), 90_000)
     assert list(logic.on_timer(("u",), 9_000, state, last)) == [("9000", 0, 0)]
     assert not last.due and state["waiting"].value is None
+
+
+class Store:
+    """A handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_bucket_is_read_and_written_once():
+    """However many keys a bucket has, it asks the store and the timers of Spark a few times, as each call costs more than a row's work."""
+    given = T.StructType([T.StructField("id", T.StringType()), T.StructField("ms", T.LongType()), T.StructField("v", T.DoubleType())])
+    held = keyed._Processor(LatestHeld(5_000, "v", ("id",)), ["id"], given, ["id", "held_ms"], ["ms", "v"], True)
+    store, n = Store(), 300
+    held.init(store)
+    rows = [[f"k{i % n}", str(1_000 + i // n * 2_000 + i % n), str(i // n)] for i in range(2 * n)]
+    frame = pd.DataFrame({"keyed_bucket": [0] * len(rows), "keyed_row": [np.array(r, dtype=object) for r in rows]})
+    assert not list(held.handleInputRows((0,), iter([frame]), None))
+    assert store.calls <= 3 and store.timers == {6_000}
+    store.calls, out = 0, []
+    mark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 6_100)
+    out += list(held.handleExpiredTimer((0,), mark, SimpleNamespace(getExpiryTimeInMs=lambda: 6_000)))
+    assert store.calls <= 3 and max(store.timers) == 6_100
+    assert [tuple(r) for f in out for r in f.itertuples(index=False)] == [(f"k{i}", 6_000 + i) for i in range(100)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_buckets_do_not_show(spark, tmp_path, buckets):
+    """Keys that share a bucket, of several types and null as well, give the rows that they give alone; long numbers stay exact beside nulls."""
+    rows = [(k, n, ms, None if i % 3 else 2**53 + i, BASE + timedelta(milliseconds=ms)) for i, (k, n, ms) in enumerate((f"k{x % 7}" if x % 7 else None, x % 2 == 0, 1_000 * x) for x in range(80))]
+    rows = [(k, n, int(BASE.timestamp() * 1000) + ms, v, t) for k, n, ms, v, t in rows] + [("end", True, 10**14, 0, BASE + timedelta(days=9999))]
+    schema = "k string, n boolean, ms long, v long, et timestamp"
+    output = T.StructType([T.StructField("v", T.LongType()), T.StructField("quiet", T.LongType()), T.StructField("again", T.LongType())])
+    out = process(batches(spark, tmp_path, rows, schema, [30, 50]), ["k", "n"], ["ms"], output, Firsts(9_000, 20_000, ("v",)), "et", buckets=buckets)
+    want, seen, told = [], {}, {}
+    for k, n, ms, v, _ in rows:
+        quiet, again = (k, n) not in seen or ms - seen[k, n] >= 9_000, (k, n) not in told or ms - told[k, n] >= 20_000
+        seen[k, n] = ms
+        told[k, n] = ms if again else told[k, n]
+        want += [(v, int(quiet), int(again))] if quiet or again else []
+    assert Counter(gather(spark, out, tmp_path)) == Counter(want)

@@ -261,8 +261,10 @@ def latest_held(s: SparkSession, d: str) -> DataFrame:
     """The latest delivery of each line once it has waited; every third line is delivered a third time, when the first two are gone."""
     topics = Topics(s)
     lines = _details(s, d).select("id", "split_total_amount", "row_op", F.unix_millis(time_of(F.col("create_time")).cast("timestamp")).alias("begin"))
-    third = lines.where("row_op > 0 AND length(id) % 3 = 0").withColumns({"row_op": F.lit(9), "split_total_amount": (trade.money("split_total_amount") + 1).cast("decimal(18,2)").cast("string")})
-    rows = lines.unionByName(third).select("id", "split_total_amount", F.col("row_op").cast("double").alias("row_op"), (F.col("begin") + F.col("row_op") * 1000).cast("long").alias("ms"))
+    delivery = lambda op, amount: F.struct(op.cast("double").alias("row_op"), amount.alias("split_total_amount"))
+    third = delivery(F.lit(9), (trade.money("split_total_amount") + 1).cast("decimal(18,2)").cast("string"))
+    both = F.array_compact(F.array(delivery(F.col("row_op"), F.col("split_total_amount")), F.when(F.expr("row_op > 0 AND length(id) % 3 = 0"), third)))
+    rows = lines.withColumn("_d", F.explode(both)).select("id", "_d.split_total_amount", "_d.row_op", (F.col("begin") + F.col("_d.row_op") * 1000).cast("long").alias("ms"))
     rows = rows.withColumn("rt", F.timestamp_millis("ms"))
     topics.put("deliveries", rows)
     stream = topics.read("deliveries", rows.schema, id=END, split_total_amount="0", row_op=0.0, ms=int(LAST.timestamp() * 1000), rt=LAST)

@@ -21,6 +21,8 @@ class Join(Logic):
     """The rows of both sides of one key, as JSON texts; ``outer`` keeps left rows without partner. A side is forgotten ``ttl_ms``
     after its last change, without a withdrawal."""
 
+    needs = ("side", "op", "body")
+
     def __init__(self, outer: bool, ttl_ms: int | None, timed: bool):
         self.outer, self.timed = outer, timed
         self.variables = (Variable("left", "rows array<string>", ttl_ms), Variable("right", "rows array<string>", ttl_ms))

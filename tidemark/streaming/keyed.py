@@ -1,6 +1,6 @@
 """Keyed processors with named state variables that expire, and any number of timers for a key.
 
-Spark keeps the variables and wakes the timers (``transformWithState``). What a processor does is a :class:`Logic`: it sees
+Spark keeps the variables and wakes the timers (``transformWithState``), both for a bucket of keys together. What a processor does is a :class:`Logic`: it sees
 the rows of a key one by one in event order, with the timers that fall due between them, so its rows do not depend on how the input
 is cut into micro-batches, as long as these come in order.
 """
@@ -8,15 +8,18 @@ is cut into micro-batches, as long as these come in order.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from types import SimpleNamespace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DataType, DecimalType, FractionalType, IntegralType, StructType
 
 
 @dataclass(frozen=True)
@@ -30,7 +33,7 @@ class Variable:
 
 
 class Value:
-    """A variable of the key that is being handled. Its value is read from the store once and written back once."""
+    """A variable of the key that is being handled."""
 
     def __init__(self, variable: Variable, held: Any):
         self.variable, self.held, self.changed = variable, held, False
@@ -52,13 +55,13 @@ class Value:
 
 
 class Timers:
-    """Times at which :meth:`Logic.on_timer` is asked for the key; Spark keeps them between micro-batches.
+    """Times at which :meth:`Logic.on_timer` is asked for the key; they are kept between micro-batches.
 
     ``reached`` is the time that all rows have come up to, where a timer is due.
     """
 
     def __init__(self, due: Iterable[int], reached: int = 0):
-        self.due, self.before, self.reached = set(due), set(due), reached
+        self.due, self.reached = set(due), reached
 
     def at(self, time: int) -> None:
         self.due.add(time)
@@ -71,6 +74,8 @@ class Logic:
     """What happens to the rows and timers of one key; both methods give rows of the output."""
 
     variables: tuple[Variable, ...] = ()
+    #: Columns that it reads, besides the key and those that give the order; None stands for all.
+    needs: tuple[str, ...] | None = None
     #: Whether timers fall due between rows; otherwise only the watermark wakes them.
     between_rows = True
 
@@ -92,7 +97,7 @@ class InOrder(Logic):
 
     def __init__(self, inner: Logic, columns: list[str], order: list[str]):
         self.inner, self.columns, self.order = inner, columns, order
-        self.variables = (*inner.variables, Variable("waiting", "rows array<string>, earliest long"))
+        self.variables, self.needs = (*inner.variables, Variable("waiting", "rows array<string>, earliest long")), tuple(columns)
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
         rows, earliest = state["waiting"].value or ([], None)
@@ -122,48 +127,76 @@ class InOrder(Logic):
             state["waiting"].clear()
 
 
+class Record(SimpleNamespace):
+    """A row of the input; its columns are attributes, or found by their names."""
+
+    def __getitem__(self, column: str) -> Any:
+        return self.__dict__[column]
+
+
+def _reader(kind: DataType) -> Callable[[str], Any]:
+    """A value of a type from Spark's text of it; what is no number and no boolean stays text."""
+    for types, read in (((IntegralType,), int), ((DecimalType,), Decimal), ((FractionalType,), float), ((BooleanType,), "true".__eq__)):
+        if isinstance(kind, types):
+            return read
+    return str
+
+
 class _Processor(StatefulProcessor):
-    def __init__(self, logic: Logic, columns: list[str], order: list[str], timed: bool):
+    """Runs a logic over the keys of a bucket. What they hold is one value of the store and their timers are one timer, the earliest, since each call
+    of the store, of a timer or of this class takes a good part of a millisecond: a bucket pays for it once, whatever the number of its keys."""
+
+    def __init__(self, logic: Logic, keys: list[str], given: StructType, columns: list[str], order: list[str], timed: bool):
         self.logic, self.columns, self.order, self.timed = logic, columns, order, timed
+        self.names, self.readers = given.fieldNames(), [_reader(f.dataType) for f in given]
+        self.key_at, self.order_at = [self.names.index(k) for k in keys], [self.names.index(c) for c in order]
 
-    def row(self, values: tuple) -> Row:
-        return Row(**dict(zip(self.columns, values, strict=True)))
+    def _rows(self, frames: Iterable[pd.DataFrame]) -> Iterator[list]:
+        for frame in frames:
+            for texts in frame["keyed_row"].tolist():
+                yield [None if x is None else read(x) for x, read in zip(texts.tolist(), self.readers, strict=True)]
+
+    def _frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The output as it is, without pandas' own guess at types."""
+        if out:
+            yield pd.DataFrame({c: pd.Series(list(values), dtype=object) for c, values in zip(self.columns, zip(*out, strict=True), strict=True)})
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.stores = {v.name: handle.getValueState(v.name, f"{v.schema}, touched_ms long") for v in self.logic.variables}
-        # What is pending for a key. Spark wakes a timer even where rows of the same micro-batch have taken it back.
-        self.pending = handle.getValueState("pending_timers", "due array<long>") if self.timed else None
-
-    def _open(self, reached: int = 0) -> tuple[dict[str, Value], Timers]:
-        held = {v.name: self.stores[v.name].get() for v in self.logic.variables}
-        due = self.pending.get() if self.timed else None
-        return {v.name: Value(v, None if held[v.name] is None else tuple(held[v.name])) for v in self.logic.variables}, Timers(due[0] if due else (), reached)
-
-    def _close(self, state: dict[str, Value], timers: Timers, *woken: int) -> None:
-        for name, v in state.items():
-            if not v.changed:
-                continue
-            if v.value is not None:
-                self.stores[name].update((*v.value, v.touched))
-            elif v.held is not None:
-                self.stores[name].clear()
-        # A value that nobody asks for again is removed by a timer of its own.
-        if not self.timed:
-            return
-        for v in state.values():
-            if v.value is not None and v.variable.ttl_ms is not None and v.changed:
-                timers.at(v.touched + v.variable.ttl_ms)
-        for t in timers.due - timers.before:
-            self.handle.registerTimer(t)
-        for t in timers.before - timers.due - set(woken):
-            self.handle.deleteTimer(t)
-        if timers.due == timers.before:
-            return
-        if timers.due:
-            self.pending.update((sorted(timers.due),))
+        # By key the values of the variables and the due times, as a pickled dict; and the timer that Spark has for the bucket.
+        self.store = handle.getValueState("held", "held binary, woken_ms long")
+
+    def _open(self) -> tuple[dict[tuple, tuple], int | None]:
+        found = self.store.get()
+        return (pickle.loads(found[0]), found[1]) if found is not None else ({}, None)
+
+    def _close(self, held: dict[tuple, tuple], registered: int | None, woken: int | None = None) -> None:
+        earliest = min((due[0] for _, due in held.values() if due), default=None)
+        if earliest != registered:
+            if registered is not None and registered != woken:  # Spark takes out the timer that it has woken
+                self.handle.deleteTimer(registered)
+            if earliest is not None:
+                self.handle.registerTimer(earliest)
+        if held:
+            self.store.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL), earliest))
         else:
-            self.pending.clear()
+            self.store.clear()
+
+    def _take(self, held: dict[tuple, tuple], key: tuple, reached: int = 0) -> tuple[dict[str, Value], Timers]:
+        values, due = held.get(key) or ((None,) * len(self.logic.variables), ())
+        return {v.name: Value(v, value) for v, value in zip(self.logic.variables, values, strict=True)}, Timers(due, reached)
+
+    def _keep(self, held: dict[tuple, tuple], key: tuple, state: dict[str, Value], timers: Timers) -> None:
+        if self.timed:  # a value that nobody asks for again is removed by a timer of its own
+            for v in state.values():
+                if v.value is not None and v.variable.ttl_ms is not None and v.changed:
+                    timers.at(v.touched + v.variable.ttl_ms)
+        values = tuple(None if v.value is None else (*v.value, v.touched) for v in state.values())
+        due = tuple(sorted(timers.due)) if self.timed else ()
+        if due or any(v is not None for v in values):
+            held[key] = (values, due)
+        else:
+            held.pop(key, None)
 
     def _fire(self, key: tuple, until: int, state: dict[str, Value], timers: Timers) -> Iterator[tuple]:
         while timers.due and (t := min(timers.due)) <= until:
@@ -173,37 +206,59 @@ class _Processor(StatefulProcessor):
                 if v.value is not None and v.variable.ttl_ms is not None and t - v.touched >= v.variable.ttl_ms:
                     v.clear()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        own = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
-        state, timers = self._open()
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, registered = self._open()
+        own: dict[tuple, list[list]] = {}
+        for row in self._rows(rows):
+            own.setdefault(tuple([row[i] for i in self.key_at]), []).append(row)
         out: list[tuple] = []
-        for row in own:
-            at = row[self.order[0]]
-            if self.logic.between_rows:
-                out += self._fire(key, at, state, timers)
-            out += self.logic.on_row(key, row, at, state, timers)
-        self._close(state, timers)
-        yield from map(self.row, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state, timers = self._open(timerValues.getCurrentWatermarkInMs() - 1)  # timers are woken when they lie before the watermark
-        fired = expiredTimerInfo.getExpiryTimeInMs()
-        out = [*self._fire(key, fired, state, timers)] if fired in timers.due else []
-        self._close(state, timers, fired)  # Spark takes out the timer that it has woken
-        yield from map(self.row, out)
+        for k, several in own.items():
+            if len(several) > 1:
+                several.sort(key=lambda r: [(r[i] is not None, r[i]) for i in self.order_at])
+            state, timers = self._take(held, k)
+            for values in several:
+                row, at = Record(**dict(zip(self.names, values, strict=True))), values[self.order_at[0]]
+                if self.logic.between_rows:
+                    out += self._fire(k, at, state, timers)
+                out += self.logic.on_row(k, row, at, state, timers)
+            self._keep(held, k, state, timers)
+        self._close(held, registered)
+        return self._frames(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, registered = self._open()
+        reached = timerValues.getCurrentWatermarkInMs() - 1  # timers are woken when they lie before the watermark
+        ripe = [k for k, (_, due) in held.items() if due and due[0] <= reached]
+        out: list[tuple] = []
+        for k in ripe:
+            state, timers = self._take(held, k, reached)
+            out += self._fire(k, reached, state, timers)
+            self._keep(held, k, state, timers)
+        if ripe:
+            self._close(held, registered, expiredTimerInfo.getExpiryTimeInMs())
+        return self._frames(out)
 
     def close(self) -> None:
         pass
 
 
-def process(rows: DataFrame, key: str | list[str], order: list[str], output: StructType, logic: Logic, event_time: str | None = None, late: str | None = "1 millisecond", out_time: str | None = None) -> DataFrame:
+#: Buckets that the keys of a stream are dealt to: as many calls for each micro-batch at most, and a task holds what the keys of one of them have.
+BUCKETS = 4096
+
+
+def process(rows: DataFrame, key: str | list[str], order: list[str], output: StructType, logic: Logic, event_time: str | None = None, late: str | None = "1 millisecond", out_time: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Runs ``logic`` over a stream. ``order`` are columns, of which the first is the event time in ms; ``event_time`` is the same time
     as a timestamp, whose watermark is ``late`` behind (rows at or before it are dropped); without ``late`` the stream has its watermark already. ``out_time`` names the output's own event time for further stateful steps.
 
     Without ``event_time`` no row is late and there are no timers: a value that has expired is then removed when its key is seen again.
+    Numbers, booleans and texts of the input are handed to the logic as such, all else as Spark's text of it. ``buckets`` is fixed for the life of a checkpoint; a micro-batch reads and writes what the buckets of its keys hold.
     """
     keys = [key] if isinstance(key, str) else key
     timed = event_time is not None
     marked = rows.withWatermark(event_time, late) if timed and late else rows
-    processor = _Processor(logic, output.fieldNames(), order, timed)
-    return marked.groupBy(*[F.col(k) for k in keys]).transformWithState(processor, output, "Append", "EventTime" if timed else "None", eventTimeColumnName=out_time or "")
+    given = StructType([rows.schema[c] for c in (rows.columns if logic.needs is None else dict.fromkeys((*keys, *order, *logic.needs)))])
+    # A row goes to Python as one array of texts: each column more would cost as much as all the rest there, and numbers with nulls would come as floats.
+    row = F.array(*[F.col(c).cast("string") for c in given.fieldNames()]).alias("keyed_row")
+    dealt = marked.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("keyed_bucket"), row, *([event_time] if timed else []))
+    processor = _Processor(logic, keys, given, output.fieldNames(), order, timed)
+    return dealt.groupBy("keyed_bucket").transformWithStateInPandas(processor, output, "Append", "EventTime" if timed else "None", eventTimeColumnName=out_time or "")

@@ -17,7 +17,8 @@ class Firsts(Logic):
     """
 
     def __init__(self, quiet_ms: int, again_ms: int, keep: tuple[str, ...]):
-        self.keep, self.variables = keep, (Variable("seen", "at long", quiet_ms, on_read=True), Variable("told", "at long", again_ms))
+        self.keep = self.needs = keep
+        self.variables = (Variable("seen", "at long", quiet_ms, on_read=True), Variable("told", "at long", again_ms))
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
         quiet, again = state["seen"].get(at) is None, state["told"].get(at) is None
@@ -36,7 +37,7 @@ class LatestHeld(Logic):
     """
 
     def __init__(self, hold_ms: int, version: str, keep: tuple[str, ...]):
-        self.hold_ms, self.version, self.keep = hold_ms, version, keep
+        self.hold_ms, self.version, self.keep, self.needs = hold_ms, version, keep, (version, *keep)
         self.variables = (Variable("best", "version double, kept array<string>"),)
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
@@ -60,7 +61,7 @@ class Buyers(Logic):
     variables = (Variable("day", "day string"),)
 
     def __init__(self, keep: tuple[str, ...], timed: bool = False):
-        self.keep, self.timed = keep, timed
+        self.keep, self.needs, self.timed = keep, keep, timed
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
         last, day = state["day"].get(at), datetime.fromtimestamp(at / 1000, UTC).strftime("%Y-%m-%d")

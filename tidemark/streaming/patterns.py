@@ -35,6 +35,7 @@ class Pattern(Logic):
     def __init__(self, steps: list[Step], within_ms: int, timeouts: bool, identifier: str):
         self.steps = [Step(s.when, 1, s.next) for s in steps for _ in range(s.times)]
         self.within_ms, self.timeouts, self.identifier = within_ms, timeouts, identifier
+        self.needs = (identifier, *[s.when for s in self.steps])
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
         held = state["begun"].get(at)
