@@ -248,3 +248,15 @@ def test_buckets_do_not_show(spark, tmp_path, buckets):
         told[k, n] = ms if again else told[k, n]
         want += [(v, int(quiet), int(again))] if quiet or again else []
     assert Counter(gather(spark, out, tmp_path)) == Counter(want)
+
+
+def test_joins_in_a_row_run_once(spark, tmp_path):
+    """A join whose left side is a join itself has one stateful step more, not twice as many; rows without a key go by."""
+    one = batches(spark, tmp_path / "l", [("x", "1", 1), (None, "2", 1), (None, "2", 1), (None, "3", -1), ("y", "4", 1)], LEFT, [3])
+    two, three = (batches(spark, tmp_path / n, [("x", n, 1), (None, n, 1)], f"k string, {n} string, op int", []) for n in "pq")
+    changes = changelog.changelog_join(changelog.changelog_join(one, two, ["k"]), three, ["k"])
+    query = runners.run_once(changes, f"{tmp_path}/state", changelog.write_folded(f"{tmp_path}/out"), partitions=1)
+    assert len(query.lastProgress.stateOperators) == 2 and {o.numShufflePartitions for o in query.lastProgress.stateOperators} == {1}
+    got = Counter(tuple(r) for r in changelog.read_folded(spark, f"{tmp_path}/out", changes.schema).collect())
+    assert got == Counter([("x", "1", "p", "q"), (None, "2", None, None), (None, "2", None, None), ("y", "4", None, None)])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2"

@@ -58,14 +58,24 @@ class Topics:
         to_messages(rows).select("value").write.option("compression", "gzip").text(f"{self.folder}/{name}")
         return text_stream(self.spark, f"{self.folder}/{name}", 1_000_000)
 
-    def run(self, rows: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    def run(self, rows: DataFrame, name: str, columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
         """Runs a job into a topic, only the named columns in their order where there are names; returns what it wrote."""
         rows_ = f"{self.folder}/{name}"
-        runners.run_once(rows, f"{rows_}-state", runners.write_batch(rows_, columns))
+        runners.run_once(rows, f"{rows_}-state", runners.write_batch(rows_, columns), partitions=partitions)
         schema = T.StructType([rows.schema[c] for c in columns]) if columns else rows.schema
         return self.spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(rows_)
 
 
+#: Order lines whose state lies in one partition of a stream, and how many partitions it has at least, unless the session has fewer. A partition costs each stateful
+#: step of a micro-batch some tenths of a second and several MB of disk, whatever it holds.
+LINES_PER_STORE, LEAST_STORES = 250_000, 16
+
+
+def _stores(s: SparkSession, d: str) -> int:
+    """Partitions of a stream over order lines, by their number, which the files' footers tell."""
+    return max(min(int(s.conf.get(runners.PARTITIONS)), LEAST_STORES), -(-A.table(s, d, "lineitem").count() // LINES_PER_STORE))
+
+
 def _pages(topics: Topics, d: str) -> tuple[str, T.StructType]:
     """Page views with the repaired flag of new visitors, as a topic that has its last row."""
     rows = A.page_log(topics.spark, d).withColumn("rt", F.col("rt").cast("timestamp")).drop("k", "event_type")
@@ -269,21 +279,26 @@ def latest_held(s: SparkSession, d: str) -> DataFrame:
     topics.put("deliveries", rows)
     stream = topics.read("deliveries", rows.schema, id=END, split_total_amount="0", row_op=0.0, ms=int(LAST.timestamp() * 1000), rt=LAST)
     output = T.StructType([*strings("id", "split_total_amount").fields, T.StructField("held_ms", T.LongType())])
-    return topics.run(process(stream, "id", ["ms", "row_op", "split_total_amount"], output, LatestHeld(HOLD_SECONDS * 1000, "row_op", ("id", "split_total_amount")), "rt"), "latest")
+    return topics.run(process(stream, "id", ["ms", "row_op", "split_total_amount"], output, LatestHeld(HOLD_SECONDS * 1000, "row_op", ("id", "split_total_amount")), "rt"), "latest", partitions=_stores(s, d))
+
+
+#: Lines of a third of a file of the topics that are joined, so that as many tasks write and read them as they need.
+LINES_PER_FILE = 600_000
 
 
 def retracting_join(s: SparkSession, d: str) -> DataFrame:
     """Lines with activity and coupon, each in three micro-batches that do not fit to each other: rows go out with nulls and are taken back."""
     topics = Topics(s)
     db, parts = A.topic_db(s, d), {}
+    files = max(1, -(-A.table(s, d, "lineitem").count() // LINES_PER_FILE))
     for kind, columns in (("order_detail", {"id": "id", "order_id": "order_id"}), ("order_detail_activity", {"id": "order_detail_id", "activity_id": "activity_id"}), ("order_detail_coupon", {"id": "order_detail_id", "coupon_id": "coupon_id"})):
         rows = facts.changes(db, kind).select(*[F.col("data")[old].alias(new) for new, old in columns.items()])
-        rows.withColumn("_part", F.pmod(F.xxhash64("id", F.lit(kind)), F.lit(3))).repartition(3, "_part").write.partitionBy("_part").parquet(f"{topics.folder}/{kind}")
-        parts[kind] = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{topics.folder}/{kind}/*")
+        rows.repartition(3 * files, F.xxhash64("id", F.lit(kind))).write.parquet(f"{topics.folder}/{kind}")
+        parts[kind] = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{topics.folder}/{kind}")
     lines, activity, coupon = parts.values()
     changes = changelog_join(changelog_join(lines, activity, ["id"]), coupon, ["id"])
     folder = f"{topics.folder}/changes"
-    runners.run_once(changes, f"{folder}-state", write_folded(folder))
+    runners.run_once(changes, f"{folder}-state", write_folded(folder), partitions=_stores(s, d))
     return read_folded(s, folder, changes.schema)
 
 

@@ -19,7 +19,9 @@ from .keyed import Logic, Timers, Value, Variable, process
 
 class Join(Logic):
     """The rows of both sides of one key, as JSON texts; ``outer`` keeps left rows without partner. A side is forgotten ``ttl_ms``
-    after its last change, without a withdrawal."""
+    after its last change, without a withdrawal.
+
+    The last part of a key isn't of the join's: it spreads rows whose key is null, of which nothing is kept."""
 
     needs = ("side", "op", "body")
 
@@ -28,6 +30,10 @@ class Join(Logic):
         self.variables = (Variable("left", "rows array<string>", ttl_ms), Variable("right", "rows array<string>", ttl_ms))
 
     def on_row(self, key: tuple, row: Any, at: int, state: dict[str, Value], timers: Timers) -> Iterable[tuple]:
+        *own_key, _ = key
+        when = (datetime.fromtimestamp(at / 1000, UTC),) if self.timed else ()
+        if None in own_key:
+            return [(*own_key, int(row.op), row.body, None, *when)] if self.outer and row.side == 0 else ()
         own, other = (state["left"], state["right"]) if row.side == 0 else (state["right"], state["left"])
         mine, theirs = (list(v[0]) if (v := s.get(at)) else [] for s in (own, other))
         op, body, out = int(row.op), row.body, []
@@ -43,8 +49,7 @@ class Join(Logic):
             out += turn + pairs if op > 0 else pairs + turn
         mine.append(body) if op > 0 else mine.remove(body)
         own.set(at, mine) if mine else own.clear()
-        when = (datetime.fromtimestamp(at / 1000, UTC),) if self.timed else ()
-        return [(*key, *o, *when) for o in out]
+        return [(*own_key, *o, *when) for o in out]
 
 
 def changelog_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", time: str | None = None, ttl_ms: int | None = None, late: str = "1 millisecond") -> DataFrame:
@@ -59,24 +64,21 @@ def changelog_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     rest = [[c for c in side.columns if c not in (*keys, "op", time)] for side in (left, right)]
     shapes = [T.StructType([side.schema[c] for c in cs]) for side, cs in zip((left, right), rest, strict=True)]
     times = [time] if time else []
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
 
     def tagged(side: DataFrame, n: int) -> DataFrame:
         op = F.col("op") if "op" in side.columns else F.lit(1)
         body = F.to_json(F.struct(*rest[n]), {"ignoreNullFields": "false"})
         at = F.unix_millis(time) if time else F.lit(0)
-        return side.select(*keys, F.lit(n).alias("side"), op.cast("int").alias("op"), body.alias("body"), at.cast("long").alias("at"), *times)
+        apart = F.when(F.expr(known), F.lit(0)).otherwise(F.xxhash64(body)).cast("long").alias("apart")
+        return side.select(*keys, apart, F.lit(n).alias("side"), op.cast("int").alias("op"), body.alias("body"), at.cast("long").alias("at"), *times)
 
-    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-    both = tagged(left, 0).where(known).unionByName(tagged(right, 1).where(known))
+    both = tagged(left, 0).unionByName(tagged(right, 1).where(known))
     fields = [T.StructField(k, left.schema[k].dataType) for k in keys] + [T.StructField("op", T.IntegerType()), T.StructField("l", T.StringType()), T.StructField("r", T.StringType())]
     output = T.StructType([*fields, *[T.StructField(c, T.TimestampType()) for c in times]])
-    joined = process(both, keys, ["at", "side"], output, Join(how == "left", ttl_ms, bool(time)), time, late, time)
+    joined = process(both, [*keys, "apart"], ["at", "side"], output, Join(how == "left", ttl_ms, bool(time)), time, late, time)
     wide = joined.select(*keys, F.from_json("l", shapes[0]).alias("l"), F.from_json("r", shapes[1]).alias("r"), "op", *times)
-    out = wide.select(*keys, *[F.col(f"l.{c}").alias(c) for c in rest[0]], *[F.col(f"r.{c}").alias(c) for c in rest[1]], *times, "op")
-    if how != "left":
-        return out
-    alone = left.where(f"NOT ({known})").select(*keys, *rest[0], *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rest[1]], *times, (F.col("op") if "op" in left.columns else F.lit(1)).cast("int").alias("op"))
-    return out.unionByName(alone)
+    return wide.select(*keys, *[F.col(f"l.{c}").alias(c) for c in rest[0]], *[F.col(f"r.{c}").alias(c) for c in rest[1]], *times, "op")
 
 
 def folded(changes: DataFrame) -> DataFrame:
