@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.streamed import queries
@@ -260,3 +261,15 @@ def test_joins_in_a_row_run_once(spark, tmp_path):
     got = Counter(tuple(r) for r in changelog.read_folded(spark, f"{tmp_path}/out", changes.schema).collect())
     assert got == Counter([("x", "1", "p", "q"), (None, "2", None, None), (None, "2", None, None), ("y", "4", None, None)])
     assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+
+
+def test_a_join_of_streams_is_one_store(spark, tmp_path):
+    """Each partition of a join has one store, whose files are compressed well; what the session has is as before afterwards."""
+    stream = lambda n: batches(spark, tmp_path / n, [(f"k{i}", BASE + timedelta(seconds=i)) for i in range(20)], f"{n} string, {n}_et timestamp", []).withWatermark(f"{n}_et", "1 second")
+    before = {k: spark.conf.get(k, None) for k in (runners.COMPRESSION, runners.JOIN_FORMAT, runners.PARTITIONS)}
+    with runners.on_rocksdb(spark, 3):
+        assert spark.conf.get(runners.COMPRESSION) == "zstd" and spark.conf.get(runners.PARTITIONS) == "3"
+    rows = gather(spark, stream("a").join(stream("b"), F.expr("a = b AND a_et = b_et"), "left"), tmp_path)
+    assert sorted(r[0] for r in rows) == sorted(f"k{i}" for i in range(20))
+    assert not list((tmp_path / "state/state").rglob("*keyToNumValues"))
+    assert {k: spark.conf.get(k, None) for k in before} == before

@@ -40,7 +40,7 @@ class Topics:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(self, name: str, rows: DataFrame) -> str:
-        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return name
 
     def end(self, name: str, schema: T.StructType, **values) -> None:
@@ -240,7 +240,7 @@ def order_chain(s: SparkSession, d: str) -> DataFrame:
     last = int(LAST.timestamp())
     ends = [("shop", k, "insert", {"id": f"{END}{n}", "order_id": f"{END}{n}", "order_detail_id": f"{END}{n}", "source_type": "2401", "user_id": END}, None, str(last + 1000 * n)) for n in (0, 1) for k in kinds]
     topics.put("db", s.createDataFrame(ends, CDC))
-    out = topics.run(joins.order_windows(topics.read("db", CDC), A.base_dic(s)), "windows")
+    out = topics.run(joins.order_windows(topics.read("db", CDC), A.base_dic(s)), "windows", partitions=_stores(s, d))
     return _ends(out.where(F.col("stt") < F.lit(LAST)))
 
 
