@@ -1,8 +1,10 @@
 """Keyed processors, whose rows must not depend on micro-batches or Arrow batches, against plain state machines."""
 
+import glob
 import random
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.streamed import queries
+from tidemark.session import shared_folder
 from tidemark.streaming import changelog, keyed, processors, runners
 from tidemark.streaming.keyed import InOrder, Timers, Value, process
 from tidemark.streaming.logics import Buyers, Firsts, LatestHeld
@@ -273,3 +276,12 @@ def test_a_join_of_streams_is_one_store(spark, tmp_path):
     assert sorted(r[0] for r in rows) == sorted(f"k{i}" for i in range(20))
     assert not list((tmp_path / "state/state").rglob("*keyToNumValues"))
     assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_buyers_of_the_order_window_run_by_bucket(spark):
+    """Flags of buyers are given for a bucket of users at once: with a call for each user the stream took 10 ms and more of a task for each."""
+    old = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/stream-*"))
+    assert queries()["stream_order_window"](spark, "/root/testdata/sf0.001").count() > 0
+    (new,) = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/stream-*")) - old
+    about = [p.read_text() for p in Path(new, "buyers-state/state/0/_metadata").rglob("*") if p.is_file() and p.suffix != ".crc"]
+    assert any("transformWithState" in t for t in about) and not any("applyInPandas" in t for t in about)

@@ -24,7 +24,7 @@ from ..streaming import joins, processors, runners
 from ..streaming.changelog import changelog_join, read_folded, write_folded
 from ..streaming.joins import first_per_key
 from ..streaming.keyed import process
-from ..streaming.logics import Firsts, LatestHeld
+from ..streaming.logics import Buyers, Firsts, LatestHeld
 from ..streaming.patterns import Step, match
 from . import facts, trade
 from .traffic import CHANNEL, keyword_rows
@@ -90,10 +90,10 @@ def _ends(rows: DataFrame) -> DataFrame:
     return rows.select(stamp("stt").alias("stt"), stamp("edt").alias("edt"), *rest)
 
 
-def _windows(topics: Topics, name: str, schema: T.StructType, keys: list[str], sums: list, size: str = "10 seconds", late: str = "2 seconds", columns: list[str] | None = None) -> DataFrame:
+def _windows(topics: Topics, name: str, schema: T.StructType, keys: list[str], sums: list, size: str = "10 seconds", late: str = "2 seconds", columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     topics.end(name, schema, rt=LAST)
     rows = runners.windowed(topics.read(name, schema), "rt", keys, sums, size, late)
-    return _ends(topics.run(rows, f"{name}-windows", columns))
+    return _ends(topics.run(rows, f"{name}-windows", columns, partitions))
 
 
 def traffic_window(s: SparkSession, d: str) -> DataFrame:
@@ -186,12 +186,15 @@ def order_window(s: SparkSession, d: str) -> DataFrame:
     typed = parse(topics.messages("lines", lines), lines.schema).withColumn("et", time_of(F.col("create_time")).cast("timestamp"))
     needed = ["id", "user_id", "create_time", "sku_num", "order_price", "split_activity_amount", "split_coupon_amount"]
     once = first_per_key(typed.select("et", *needed), "id", late="100 days").drop("et")
-    topics.run(once, "once")
+    stores = _stores(s, d)
+    topics.run(once, "once", partitions=stores)
     own = topics.read("once", once.schema).withColumn("ms", F.unix_millis(time_of(F.col("create_time")).cast("timestamp")))
-    flags = processors.unique_and_new(own, "user_id", "ms", ("ms", "id"))
+    keep = ("id", "sku_num", "order_price", "split_activity_amount", "split_coupon_amount", "ms")
+    output = T.StructType([*strings(*keep[:-1]).fields, *[T.StructField(c, T.LongType()) for c in ("ms", "unique_user", "new_user")]])
+    flags = process(own, "user_id", ["ms", "id"], output, Buyers(keep))
     flags = trade.amounts(flags).withColumn("rt", F.timestamp_millis("ms"))
-    topics.run(flags, "buyers")
-    return _windows(topics, "buyers", flags.schema, [], trade.order_sums())
+    topics.run(flags, "buyers", partitions=stores)
+    return _windows(topics, "buyers", flags.schema, [], trade.order_sums(), partitions=stores)
 
 
 def _numbered(topics: Topics, rows: DataFrame, name: str) -> DataFrame:
